@@ -6,8 +6,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,3 +109,59 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     roots = e.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return roots.union(roots.select(F.col("component").alias("id"), "component").distinct())
 
+
+
+def block_pairs(members: DataFrame, key: str, by: str, block: int) -> DataFrame:
+    """Deal the members of each key (``key``, a long) in groups of two blocks at most, sorted by group.
+
+    A key of more than ``block`` members is cut in blocks by a hash of ``by``, and every pair of its blocks is a group of
+    its own, so that all pairs of members meet, whatever the key's size, and no task holds more than a few blocks. Keys
+    of one member are left out. Adds ``block`` and ``pair`` (both blocks' numbers in one long).
+    """
+    sizes = members.groupBy(key).agg(F.count("*").alias("__n")).where("__n > 1")
+    cut = members.join(sizes, key).withColumn("__blocks", F.ceil(F.col("__n") / block).cast("int"))
+    cut = cut.withColumn("block", F.pmod(F.xxhash64(by, F.lit(5)), F.col("__blocks")).cast("int"))
+    paired = cut.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
+    paired = paired.withColumn("pair", F.least("block", "__other").cast("long") * (1 << 31) + F.greatest("block", "__other"))
+    return paired.drop("__n", "__blocks", "__other").repartition(key, "pair").sortWithinPartitions(key, "pair")
+
+
+def group_runs(batches: Iterator[pd.DataFrame], key: str) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Batches of whole groups, from rows sorted by (key, pair), with the bounds of their groups; a group that a batch cuts is carried over."""
+
+    def bounds(part: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
+        k, p = part[key].to_numpy(), part["pair"].to_numpy()
+        cut = np.flatnonzero((k[1:] != k[:-1]) | (p[1:] != p[:-1])) + 1
+        return part, np.concatenate(([0], cut, [len(k)]))
+
+    rest = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        if rest:
+            same = (batch[key] == rest[-1][key].iloc[-1]) & (batch["pair"] == rest[-1]["pair"].iloc[-1])
+            if same.all():
+                rest.append(batch)
+                continue
+            batch = pd.concat([*rest, batch], ignore_index=True)
+        last = (batch[key] == batch[key].iloc[-1]) & (batch["pair"] == batch["pair"].iloc[-1])
+        rest = [batch[last]]
+        if not last.all():
+            yield bounds(batch[~last])
+    if rest:
+        yield bounds(pd.concat(rest, ignore_index=True))
+
+
+def spanning(adjacent: np.ndarray) -> np.ndarray:
+    """A star for each component of a symmetric boolean adjacency matrix: rows of (hub, member)."""
+    todo, out = adjacent.any(1), []
+    for s in np.flatnonzero(todo):
+        if not todo[s]:
+            continue
+        todo[s] = False
+        frontier = np.array([s])
+        while len(frontier):
+            frontier = np.flatnonzero(adjacent[frontier].any(0) & todo)
+            todo[frontier] = False
+            out += [(s, m) for m in frontier]
+    return np.array(out, dtype=np.int64).reshape(-1, 2)

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from . import spm
+from . import decontam, langid, lm, quality, simhash, spm, toxicity
 
 QUERIES = {
+    "op2_toxicity": toxicity.op2_toxicity,
+    "op3_language_id": langid.op3_language_id,
+    "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
     "op6_sentencepiece": spm.op6_sentencepiece,
+    "op7_lm_scores": lm.op7_lm_scores,
+    "op8_decontamination": decontam.op8_decontamination,
+    "op9_quality": quality.op9_quality,
     "op10_token_counts": spm.op10_token_counts,
 }
 
