@@ -19,7 +19,7 @@ PER_CLASS = 6000
 THRESHOLD = 0.3
 BITS = 20
 WORD = re.compile(r"[^\W\d_]+")
-STEM = 5
+STEM = 4
 
 
 class Features:
@@ -44,7 +44,7 @@ class Features:
 class FtrlProximal:
     """Per-coordinate learning rates and L1 sparsity (McMahan et al., 2013); features are binary."""
 
-    def __init__(self, bits: int = BITS, alpha: float = 0.08, beta: float = 1.0, l1: float = 1.5, l2: float = 1.0):
+    def __init__(self, bits: int = BITS, alpha: float = 0.6, beta: float = 1.0, l1: float = 8.0, l2: float = 1.0):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.z, self.n = np.zeros(1 << bits), np.zeros(1 << bits)
         self.bias_z = self.bias_n = 0.0
