@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, lm, quality, simhash, spm, toxicity
+from . import decontam, embedding, html, langid, lm, quality, simhash, spm, toxicity
 
 QUERIES = {
+    "op1_html_extraction": html.op1_html_extraction,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_language_id": langid.op3_language_id,
     "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
+    "op5_embedding_near_dedup": embedding.op5_embedding_near_dedup,
     "op6_sentencepiece": spm.op6_sentencepiece,
     "op7_lm_scores": lm.op7_lm_scores,
     "op8_decontamination": decontam.op8_decontamination,
