@@ -137,6 +137,106 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, similarity: float = 0.8) -> DataFrame:
-    """One document of each group of near-copies stays; see ``near_groups``."""
-    raise NotImplementedError
+# --- near-copies by similarity of shingles ----------------------------------------------------------------------------
+
+#: Five-word shingles, and the similarity (Jaccard) from which texts are near-copies.
+NEAR_SHINGLE, NEAR_SIMILARITY = 5, 0.8
+#: Independent 64-bit fingerprints of a text's distinct words; near-copies differ in 3 bits or fewer in some of them.
+VIEWS = 8
+#: Bits of the fingerprint of the shingles by which candidates are verified.
+SKETCH_BITS = 1024
+MIX = tuple(np.random.default_rng(41).integers(1, 2**63, max(VIEWS, SKETCH_BITS // 64), dtype=np.uint64) | np.uint64(1))
+
+
+def _bits(hashes: np.ndarray, lanes: int) -> np.ndarray:
+    """The SimHash of hashed features in ``lanes`` independent words of 64 bits."""
+    ones = np.zeros(lanes * 64, np.int64)
+    mix = np.array(MIX[:lanes], np.uint64)
+    for k in range(0, len(hashes), 4096):
+        h = (hashes[k : k + 4096, None] ^ (hashes[k : k + 4096, None] >> np.uint64(31))) * mix
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
+        ones += np.unpackbits(h.view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)
+
+
+def near_features(text: str | None) -> tuple[list[int], bytes]:
+    """A text's views, as signed longs, and the sketch of its distinct shingles."""
+    words = WORD.findall(text.translate(LOWER)) if text else []
+    digest = xxhash.xxh64_intdigest
+    single = np.array([digest(w.encode("utf-8", "surrogatepass"), SEED) for w in set(words)], dtype=np.uint64)
+    joined = {" ".join(words[k : k + NEAR_SHINGLE]) for k in range(max(1, len(words) - NEAR_SHINGLE + 1))}
+    shingles = np.array([digest(x.encode("utf-8", "surrogatepass"), SEED) for x in joined], dtype=np.uint64)
+    return _bits(single, VIEWS).view(np.int64).tolist(), _bits(shingles, SKETCH_BITS // 64).tobytes()
+
+
+def near_feature_columns(text: Column) -> Column:
+    @F.pandas_udf("views array<long>, sketch binary")
+    def values(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            yield pd.DataFrame([near_features(t) for t in texts], columns=["views", "sketch"])
+
+    return values(text)
+
+
+def sketch_distance(similarity: float) -> int:
+    """Differing bits of two sketches up to which their texts' similarity is estimated at ``similarity`` or more."""
+    cosine = 2 * similarity / (1 + similarity)
+    return int(SKETCH_BITS * np.arccos(cosine) / np.pi)
+
+
+def _near_edges(limit: int):
+    def edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part, bounds in group_runs(batches, "key"):
+            key, pair, block, row = (part[c].to_numpy() for c in ("key", "pair", "block", "row"))
+            fps = part["fp"].to_numpy().view(np.uint64)
+            sketches = np.frombuffer(b"".join(part["sketch"]), np.uint64).reshape(len(part), -1)
+            out = [np.zeros((0, 2), np.int64)]
+            for s, e in zip(bounds[:-1], bounds[1:]):
+                if e - s < 2:
+                    continue
+                adjacent = linked(fps[s:e], fps[s:e], int(key[s]) >> 25 & 3)
+                if pair[s] >> 31 != pair[s] & 0x7FFFFFFF:
+                    adjacent &= block[s:e, None] != block[None, s:e]
+                a, b = np.nonzero(np.triu(adjacent, 1))
+                near = np.zeros(len(a), bool)
+                for k in range(0, len(a), 20_000):
+                    x = sketches[s + a[k : k + 20_000]] ^ sketches[s + b[k : k + 20_000]]
+                    near[k : k + 20_000] = np.bitwise_count(x).sum(1, dtype=np.int64) <= limit
+                adjacent[:] = False
+                adjacent[a[near], b[near]] = adjacent[b[near], a[near]] = True
+                out.append(row[s:e][spanning(adjacent)])
+            found = np.concatenate(out)
+            yield pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
+
+    return edges
+
+
+def near_copies_removed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = NEAR_SIMILARITY) -> DataFrame:
+    """One row of each group of near-copies: the row of the smallest id (nulls last), and one of repeated rows.
+
+    Equal texts are one class. Classes that meet in a bucket of any view hold the pigeonring's budgets for 3 bits there,
+    and are linked if the sketches of their five-word shingles put their similarity at ``similarity`` or more. Null texts
+    count as empty. Groups are the components of these links.
+    """
+    numbered = saved(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")  # from here on a row keeps its number
+    whole = F.coalesce(F.col(text), F.lit(""))
+    rows = numbered.select(F.col("__row").alias("row"), F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__row").alias("row")).alias("rank"), F.md5(whole.cast("binary")).alias("digest"), near_feature_columns(whole).alias("f"))
+    rows = saved(rows.select("row", "rank", "digest", "f.views", "f.sketch"), "features")
+    best = rows.groupBy("digest").agg(F.min("rank").alias("rank"))
+    classes = rows.join(best.select(F.col("rank.row").alias("row")), "row", "left_semi")
+    views = classes.select("row", F.posexplode("views").alias("view", "fp"))
+    keyed = views.select("row", "fp", F.explode(F.transform(chain_keys(F.col("fp")), lambda k: k + F.col("view").cast("long") * (1 << 27))).alias("key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    members = keyed.join(shared, "key", "left_semi").join(classes.select("row", "sketch"), "row")
+    edges = block_pairs(members, "key", "row", BLOCK).mapInPandas(_near_edges(sketch_distance(similarity)), "a long, b long")
+    found = connected_components(edges).withColumnRenamed("id", "row")
+    named = classes.select("row", "rank").join(found, "row", "left").withColumn("component", F.coalesce("component", "row"))
+    kept = named.groupBy("component").agg(F.min("rank").alias("rank")).select(F.col("rank.row").alias("__row"))
+    return numbered.join(kept, "__row", "left_semi").select(docs.columns)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-copies stays (five-word shingles, similarity 0.8 or more)."""
+    return near_copies_removed(docs)

@@ -177,6 +177,12 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "e.n_tokens", "e.ids_sha256", "e.decoded_sha256")
 
 
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The columns of every document, with its number of ids and the digests of its ids and its decoded text."""
+    coded = docs.withColumn("__e", encoding(F.col("text")))
+    return coded.select(*docs.columns, F.col("__e.n_tokens").alias("n_tokens"), F.col("__e.ids_sha256").alias("ids_sha256"), F.col("__e.decoded_sha256").alias("decoded_sha256"))
+
+
 # --- unigram token counts -------------------------------------------------------------------------------------------
 
 
