@@ -34,8 +34,10 @@ def ingest(pages: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 
-def conversation_steps(turns: DataFrame, idle: int = 3_600_000) -> DataFrame:
-    """(conv_id, turns, rewrites) of streamed turns (conv_id, rewritten), kept as state of each conversation."""
+def conversation_steps(turns: DataFrame, idle: int | None = None) -> DataFrame:
+    """(conv_id, turns, rewrites) of streamed turns (conv_id, rewritten), kept as state of each conversation; with
+    ``idle`` (milliseconds) a conversation without turns for so long is forgotten.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -46,10 +48,12 @@ def conversation_steps(turns: DataFrame, idle: int = 3_600_000) -> DataFrame:
             n += len(b)
             rewrites += int(b["rewritten"].fillna(0).sum())
         state.update((n, rewrites))
-        state.setTimeoutDuration(idle)
+        if idle:
+            state.setTimeoutDuration(idle)
         yield pd.DataFrame({"conv_id": [key[0]], "turns": [n], "rewrites": [rewrites]})
 
-    return turns.groupBy("conv_id").applyInPandasWithState(step, "conv_id long, turns long, rewrites long", "n long, rewrites long", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
+    return turns.groupBy("conv_id").applyInPandasWithState(step, "conv_id long, turns long, rewrites long", "n long, rewrites long", "update", timeout)
 
 
 def conversation_totals(turns: DataFrame) -> DataFrame:

@@ -92,3 +92,20 @@ def test_ingest_and_conversations(spark, tmp_path):
     assert q.awaitTermination(60)
     want = {tuple(r) for r in streams.conversation_totals(spark.read.parquet(src)).collect()}
     assert {tuple(r) for r in spark.table("steps").collect()} == want
+
+
+def test_command_line(spark, tmp_path):
+    from tessera.__main__ import main
+
+    raw = tmp_path / "raw"
+    raw.mkdir()
+    for n, t in enumerate(("alpha beta", "gamma delta", "epsilon zeta")):
+        (raw / f"{n}.md").write_text(f"> Source URL: https://a.example/{n}\n\n# {t}\nsome {t} text")
+    main(["build", "--raw", str(raw), "--index", str(tmp_path / "index")])
+    ids = {r["source_url"]: r["docid"] for r in spark.read.parquet(str(tmp_path / "index")).collect()}
+    (tmp_path / "cases.jsonl").write_text("\n".join(json.dumps({"case_id": str(n), "query": q, "expected_docids": [ids[f"https://a.example/{n}"]]}) for n, q in enumerate(("alpha", "gamma", "missing"))))
+    main(["evaluate", "--index", str(tmp_path / "index"), "--dataset", str(tmp_path / "cases.jsonl"), "--output", str(tmp_path / "report")])
+    s = spark.read.json(str(tmp_path / "report" / "summary")).first()
+    assert (s["hit"], s["evaluated_count"]) == (0.666667, 3.0)
+    main(["badcases", "--items", str(tmp_path / "report" / "items"), "--dataset", str(tmp_path / "cases.jsonl"), "--output", str(tmp_path / "bad")])
+    assert [r["case_id"] for r in spark.read.json(str(tmp_path / "bad")).collect()] == ["2"]
