@@ -197,7 +197,7 @@ def shuffled_batches(spark, sf_dir):
 
 def events_daily_window(spark, sf_dir):
     out = streams.daily(read(spark, sf_dir, "events"))
-    return out.select("day", "event_type", "n", F.round("total", 4).alias("total"), F.round("mean", 4).alias("mean"))
+    return out.select("day", "event_type", "n", F.round(F.col("total") + 1e-9, 4).alias("total"), F.round(F.col("mean") + 1e-9, 4).alias("mean"))
 
 
 def user_sessions(spark, sf_dir):
@@ -262,7 +262,7 @@ sha256(case when s = '' then {_case_sql("lv", evalset.ANSWERS, lambda t: _quote(
 select doc_id, case when n = 1 then '如何使用' || source || '？' else '如何使用' || source || '，针对“' || source || '”' || {_case_sql("lv", evalset.SUFFIXES, lambda t: f"case when doc_id % 2 = 0 then {_quote(t[0], '{n}', 'doc_id')} else {_quote(t[1], '{n}', 'doc_id')} end")} end question from l""",
     "shuffled_batches": """with o as (select item_id, row_number() over (order by sha1('42:' || item_id), item_id) - 1 pos, count(*) over () total from benchmark), s as (select unnest(range(0, 120)) slot)
 select slot // 8 batch, slot % 8 place, item_id from s join o on slot % total = pos""",
-    "events_daily_window": "select strftime(ts, '%Y-%m-%d') as \"day\", event_type, count(*) n, round(sum(value), 4) total, round(avg(value), 4) mean from events group by 1, 2",
+    "events_daily_window": "select strftime(ts, '%Y-%m-%d') as \"day\", event_type, count(*) n, round(sum(value) + 1e-9, 4) total, round(avg(value) + 1e-9, 4) mean from events group by 1, 2",
     "user_sessions": """with g as (select user_id, ts, case when ts < lag(ts) over (partition by user_id order by ts) + interval 30 minute then 0 else 1 end s from events),
 c as (select user_id, sum(s) over (partition by user_id order by ts rows unbounded preceding) k from g), n as (select user_id, k, count(*) n from c group by 1, 2)
 select user_id, count(*) sessions, max(n) longest from n group by 1""",
