@@ -111,19 +111,23 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
 
 
 
-def block_pairs(members: DataFrame, key: str, by: str, block: int) -> DataFrame:
+def block_pairs(members: DataFrame, key: str, by: str, block: int, payload: DataFrame | None = None) -> DataFrame:
     """Deal the members of each key (``key``, a long) in groups of two blocks at most, sorted by group.
 
     A key of more than ``block`` members is cut in blocks by a hash of ``by``, and every pair of its blocks is a group of
     its own, so that all pairs of members meet, whatever the key's size, and no task holds more than a few blocks. Keys
-    of one member are left out. Adds ``block`` and ``pair`` (both blocks' numbers in one long).
+    of one member are left out. Adds ``block`` and ``pair`` (both blocks' numbers in one long), and the columns of
+    ``payload``, which has one row for each ``by``: wide columns join only the members that are left.
     """
     sizes = members.groupBy(key).agg(F.count("*").alias("__n")).where("__n > 1")
     cut = members.join(sizes, key).withColumn("__blocks", F.ceil(F.col("__n") / block).cast("int"))
     cut = cut.withColumn("block", F.pmod(F.xxhash64(by, F.lit(5)), F.col("__blocks")).cast("int"))
     paired = cut.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
     paired = paired.withColumn("pair", F.least("block", "__other").cast("long") * (1 << 31) + F.greatest("block", "__other"))
-    return paired.drop("__n", "__blocks", "__other").repartition(key, "pair").sortWithinPartitions(key, "pair")
+    paired = paired.drop("__n", "__blocks", "__other")
+    if payload is not None:
+        paired = paired.join(payload, by)
+    return paired.repartition(key, "pair").sortWithinPartitions(key, "pair")
 
 
 def group_runs(batches: Iterator[pd.DataFrame], key: str) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:

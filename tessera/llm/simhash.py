@@ -190,7 +190,7 @@ def _near_edges(limit: int):
     def edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part, bounds in group_runs(batches, "key"):
             key, pair, block, row = (part[c].to_numpy() for c in ("key", "pair", "block", "row"))
-            fps = part["fp"].to_numpy().view(np.uint64)
+            fps = np.stack(part["views"].to_list()).astype(np.int64).view(np.uint64)[np.arange(len(part)), key >> 27]
             sketches = np.frombuffer(b"".join(part["sketch"]), np.uint64).reshape(len(part), -1)
             out = [np.zeros((0, 2), np.int64)]
             for s, e in zip(bounds[:-1], bounds[1:]):
@@ -227,10 +227,9 @@ def near_copies_removed(docs: DataFrame, id_col: str = "doc_id", text: str = "te
     best = rows.groupBy("digest").agg(F.min("rank").alias("rank"))
     classes = rows.join(best.select(F.col("rank.row").alias("row")), "row", "left_semi")
     views = classes.select("row", F.posexplode("views").alias("view", "fp"))
-    keyed = views.select("row", "fp", F.explode(F.transform(chain_keys(F.col("fp")), lambda k: k + F.col("view").cast("long") * (1 << 27))).alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    members = keyed.join(shared, "key", "left_semi").join(classes.select("row", "sketch"), "row")
-    edges = block_pairs(members, "key", "row", BLOCK).mapInPandas(_near_edges(sketch_distance(similarity)), "a long, b long")
+    keyed = views.select("row", F.explode(F.transform(chain_keys(F.col("fp")), lambda k: k + F.col("view").cast("long") * (1 << 27))).alias("key"))
+    dealt = block_pairs(keyed, "key", "row", BLOCK, classes.select("row", "views", "sketch"))
+    edges = dealt.mapInPandas(_near_edges(sketch_distance(similarity)), "a long, b long")
     found = connected_components(edges).withColumnRenamed("id", "row")
     named = classes.select("row", "rank").join(found, "row", "left").withColumn("component", F.coalesce("component", "row"))
     kept = named.groupBy("component").agg(F.min("rank").alias("rank")).select(F.col("rank.row").alias("__row"))
