@@ -3,7 +3,8 @@
 Tokens are tags in the context of their enclosing containers. Tokens of a host's pages that occur equally often in every
 page, that is, share an occurrence vector, are one equivalence class. A class is valid if its tokens stand in one order
 in the page and its occurrences nest; valid classes nested in each other are the template, what lies between two of its
-tokens is a slot. Slots of page furniture are dropped, and the rest is read.
+tokens is a slot. A slot that holds one text in nearly all pages of a host is furniture, wherever it stands. In the slots
+that vary, tag names, roles and class words tell what else is; the rest is read.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +41,9 @@ HIDDEN = "not-shown"
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 #: A token belongs to the template if so large a share of a host's pages hold it.
 SUPPORT = 0.5
+#: A slot is fixed if its pages are FIXED_PAGES or more, and so large a share of them hold the same text. On hosts where the
+#: other slots have less than VARIED of the text, pages are copies and their template tells nothing.
+FIXED_PAGES, FIXED, VARIED = 3, 0.9, 0.2
 #: Bytes of templates up to which they are sent to every task; beyond, pages and templates meet in a shuffle join.
 BROADCAST_BYTES = 64 << 20
 
@@ -122,47 +127,115 @@ def templates(pages: DataFrame) -> DataFrame:
 
     seen = pages.select(host_of(F.col("url")).alias("host"), F.xxhash64("page_id", "url", "html").alias("row"), "html").mapInPandas(occurrences, "host string, row long, token string, n int")
     half = lambda seed: F.sum((F.xxhash64("row", "n", F.lit(seed)) % (1 << 40)).cast("decimal(38,0)"))
-    sums = seen.groupBy("host", "token").agg(F.count("*").alias("support"), half(1).alias("a"), half(2).alias("b"))
+    sums = saved(seen.groupBy("host", "token").agg(F.count("*").alias("support"), half(1).alias("a"), half(2).alias("b")), "tokens")
     pages_of = sums.where("token = '*'").select("host", F.col("support").alias("pages"))
     tokens = sums.where("token <> '*'").join(pages_of, "host").where(F.col("support") >= F.greatest(F.lit(1), F.ceil(F.col("pages") * SUPPORT)))
-    return tokens.select("host", "token", F.xxhash64("support", "a", "b").alias("vector"), "support")
+    return tokens.select("host", "token", F.xxhash64("support", "a", "b").alias("vector"), "support", "pages")
+
+
+def _nests(tokens: list[str]) -> bool:
+    """Whether the closing tags of a round close what the round opened: no element ends before it begins, or crosses another."""
+    opened, spans = {}, []
+    for at, token in enumerate(tokens):
+        place, _, tag = token.rpartition("<")
+        if not tag.startswith("/"):
+            element = place, tag.partition(".")[0]
+            opened[element] = None if element in opened else at
+    for at, token in enumerate(tokens):
+        place, _, tag = token.rpartition("<")
+        start = opened.get((place, tag[1:])) if tag.startswith("/") else None
+        if start is not None:
+            spans.append((start, at))
+    return all(s < e for s, e in spans) and not any(s < t < e < f for s, e in spans for t, f in spans)
 
 
 def _valid(events: list[tuple], classes: dict[str, int]) -> set[str]:
-    """The tokens of valid classes in a page: in every round of the class its tokens come in one order, and its closing
-    tags close what the class opened, so spans of two classes nest or are apart.
+    """The tokens of valid classes in a page: in every round of the class its tokens come in one order, its closing tags
+    close what the class opened, and no round crosses one of a class with longer rounds: spans nest or are apart.
     """
-    sequences: dict[int, list[str]] = {}
-    for token, _, _ in events:
+    sequences: dict[int, list[tuple[int, str]]] = {}
+    for at, (token, _, _) in enumerate(events):
         if token in classes:
-            sequences.setdefault(classes[token], []).append(token)
-    out: set[str] = set()
-    for own in sequences.values():
-        size = len(set(own))
-        rounds = [own[k : k + size] for k in range(0, len(own), size)]
-        if all(r == rounds[0] for r in rounds):
-            out |= set(own)
-    return out
-
-
-def extract(source: str | None, classes: dict[str, int]) -> str:
-    """The main text of a page, given its host's template tokens and their classes.
-
-    The template's tokens cut the page in slots. A slot is furniture if its place in the template, or the place of the
-    untemplated containers within it, is. If any slot lies in an article or main element, only such slots are read.
+            sequences.setdefault(classes[token], []).append((at, token))
+    spans: list[tuple[int, int, int]] = []
+    sizes: dict[int, int] = {}
+    for c, own in sequences.items():
+        size = len({t for _, t in own})
+        first = [t for _, t in own[:size]]
+        if len(own) % size == 0 and all(own[k][1] == first[k % size] for k in range(len(own))) and (size == 1 or _nests(first)):
+            sizes[c] = size
+            if size > 1:
+                spans += [(own[k][0], own[k + size - 1][0], c) for k in range(0, len(own), size)]
+    stack: list[tuple[int, int]] = []
+    for start, end, c in sorted(spans):
+        while stack and stack[-1][0] < start:
+            stack.pop()
+        if c not in sizes:
+            continue
+        while stack and stack[-1][0] < end:  # crosses: the class of shorter rounds goes
+            other = stack[-1][1]
+            if other in sizes and sizes[other] >= sizes[c]:
+                del sizes[c]
+                break
+            sizes.pop(other, None)
+            stack.pop()
+        if c in sizes:
+            stack.append((end, c))
+    return {t for c in sizes for _, t in sequences[c]}
+
+
+def cut(events: list[tuple], classes: dict[str, int]) -> list[tuple[str, list]]:
+    """The slots of a page: the key of each slot's place, that is the template token before it with its number in the
+    page, and the slot's texts and breaks (None) with their paths.
     """
-    if not source:
-        return ""
-    events = Page(source).events
     template = _valid(events, classes)
-    slots: list[list] = [["", []]]  # the path of the slot's place, and its text by container
+    met: Counter = Counter()
+    slots: list[tuple[str, list]] = [("#0", [])]
     for token, text, path in events:
         if token is None:
             slots[-1][1].append((path, text))
         elif token in template:
-            slots.append([path, []])
+            slots.append((f"{token}#{met[token]}", []))
+            met[token] += 1
         else:
             slots[-1][1].append((path, None))  # parts two blocks
+    return slots
+
+
+def fixed_slots(pages: DataFrame) -> DataFrame:
+    """(host, slot) of the slots that hold the same text in nearly all pages of their host, from ``pages`` with their
+    host's ``template`` and number of ``pages``. Only hashes of the slots' texts are dealt.
+    """
+
+    def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for host, pages, source, template in zip(b["host"], b["pages"], b["html"], b["template"]):
+                for slot, own in cut(Page(source).events, dict(template)):
+                    text = " ".join("".join(t or " " for _, t in own).split())
+                    if text:
+                        out.append((host, pages, slot, xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63), len(text)))
+            yield pd.DataFrame(out, columns=["host", "pages", "slot", "text", "size"])
+
+    many = pages.where((F.col("pages") >= FIXED_PAGES) & F.col("html").isNotNull())
+    seen = many.select("host", "pages", "html", "template").mapInPandas(texts, "host string, pages long, slot string, text long, size long")
+    same = seen.groupBy("host", "pages", "slot", "text").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    slots = same.groupBy("host", "pages", "slot").agg(F.max("n").alias("top"), F.sum("n").alias("n"), F.sum("size").alias("size"))
+    fixed = (F.col("n") >= F.greatest(F.lit(FIXED_PAGES), F.ceil(F.col("pages") * SUPPORT))) & (F.col("top") >= F.col("n") * FIXED)
+    slots = saved(slots.select("host", "slot", "size", fixed.alias("fixed")), "slots")
+    told = slots.groupBy("host").agg(F.sum(F.when(F.col("fixed"), 0).otherwise(F.col("size"))).alias("varied"), F.sum("size").alias("all")).where(F.col("varied") >= F.col("all") * VARIED)
+    return slots.where("fixed").join(told.select("host"), "host").select("host", "slot")
+
+
+def extract(source: str | None, classes: dict[str, int]) -> str:
+    """The main text of a page, given its host's template tokens and their classes, and its fixed slots (key: 0).
+
+    The template's tokens cut the page in slots. A slot is furniture if it is fixed on the host; of other slots, what lies
+    in furniture by its path. If any slot left lies in an article or main element, only such slots are read.
+    """
+    if not source:
+        return ""
+    slots = cut(Page(source).events, classes)
     roles: dict[str, tuple[bool, bool]] = {}
 
     def role(path: str) -> tuple[bool, bool]:
@@ -183,7 +256,7 @@ def extract(source: str | None, classes: dict[str, int]) -> str:
             found = roles[path] = (furniture, main)
         return found
 
-    pieces = [(*role(path), text) for _, own in slots for path, text in [*own, ("", None)]]
+    pieces = [(*role(path), text) for slot, own in slots for path, text in [*(own if slot not in classes else ()), ("", None)]]
     main = any(m and not f and t is not None and not t.isspace() for f, m, t in pieces)
     blocks, block = [], []
     for furniture, within, text in pieces:
@@ -202,18 +275,24 @@ def main_text(pages: DataFrame) -> DataFrame:
     Pages are read where they are and the templates sent to them, if their size allows; else both meet by host in a
     shuffle join, which splits a host of many pages.
     """
-    found = templates(pages).groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("token", "vector"))).alias("template"))
+    found = templates(pages).groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("token", "vector"))).alias("template"), F.first("pages").alias("pages"))
     found = saved(found, "templates")
-    size = found.agg(F.coalesce(F.sum(F.length(F.to_json("template"))), F.lit(0))).first()[0]
-    side = F.broadcast(found) if size <= BROADCAST_BYTES else found
-    joined = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host")).join(side, "host", "left")
+
+    def joined(templates: DataFrame) -> DataFrame:
+        size = templates.agg(F.coalesce(F.sum(F.length(F.to_json("template"))), F.lit(0))).first()[0]
+        side = F.broadcast(templates) if size <= BROADCAST_BYTES else templates
+        return pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host")).join(side, "host", "left")
+
+    fixed = fixed_slots(joined(found)).groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("slot", F.lit(0).cast("long")))).alias("fixed"))
+    both = found.join(fixed, "host", "left")
+    whole = saved(both.select("host", F.when(F.col("fixed").isNull(), F.col("template")).otherwise(F.map_concat("template", "fixed")).alias("template")), "slots")
 
     @F.pandas_udf("string")
     def read(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for sources, maps in batches:
             yield pd.Series([extract(s, dict(m) if m is not None else {}) for s, m in zip(sources, maps)])
 
-    out = joined.select("page_id", "url", read("html", "template").alias("text"))
+    out = joined(whole).select("page_id", "url", read("html", "template").alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, queries, simhash, spm
+from tessera.llm import decontam, html, queries, simhash, spm
 
 CLASH = ("row", "key", "id", "label", "component", "block", "pair", "score", "host", "token", "y", "fp", "__row", "__p")
 WORDS = "the and of thing there other where with that this from not are was house garden river stone light water".split()
@@ -110,6 +110,16 @@ def test_pages(spark, small):
     assert out == Counter({(0, "one & two", 9): 1, (1, "", 0): 1, (2, "", 0): 1, (3, "x", 1): 2, (4, "", 149_999): 1})
 
 
+def test_fixed_slots_of_a_host(spark):
+    """Furniture in a container without a telling name goes where other text varies; copies of a page stay whole."""
+    page = lambda t: f"<body><div class=qx><p>same on every page</p></div><div class=zz><p>{t}</p></div></body>"
+    own = [f"story {'abcdefgh'[i] * 5} of its own" for i in range(8)]
+    pages = [(i, f"http://a.example/{i}", page(t)) for i, t in enumerate(own)] + [(10 + i, f"http://b.example/{i}", page("copy")) for i in range(4)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    out = {r["page_id"]: r["text"] for r in html.main_text(df).collect()}
+    assert out == dict(enumerate(own)) | {10 + i: "same on every page copy" for i in range(4)}
+
+
 def test_encodings(spark, small):
     sp = spm.encoder(spm.model_bytes(spm.model_path())).sp
     out = Counter((r["doc_id"], r["n_tokens"]) for r in rows(spark, small, "op6_sentencepiece"))

@@ -180,6 +180,19 @@ def test_html():
     assert html.extract(plain, {}) == "one two " + entities.unescape("&lt;x&gt;")
 
 
+def test_template_decides_what_is_furniture():
+    """A slot that is fixed on the host goes, though no name tells; classes that cross or don't nest are no template."""
+    page = "<body><div class=qx><p>same on every page</p></div><div class=zz><p>own text</p></div></body>"
+    classes = {t: k for k, t in enumerate(html.Page(page).tokens())}
+    slots = {key: [t for _, t in own if t] for key, own in html.cut(html.Page(page).events, classes)}
+    fixed = {key: 0 for key, own in slots.items() if own == ["same on every page"]}
+    assert html.extract(page, {}) == html.extract(page, classes) == "same on every page own text"
+    assert len(fixed) == 1 and html.extract(page, classes | fixed) == "own text"
+    assert html._nests(["<div", "/div<p", "<" "/div"]) and not html._nests(["<" "/div", "<div"])
+    events = [(t, "", "") for t in ("<ul", "<ol", "<li", "<dl")]
+    assert html._valid(events, {"<ul": 1, "<li": 1, "<ol": 2, "<dl": 2}) == {"<ul", "<li"}
+
+
 def test_languages_by_cosine():
     space = langid.NgramSpace()
     texts = {"en": "the thing and the other thing there", "es": "ción que los años de la niña mañana"}
