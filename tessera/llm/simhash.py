@@ -141,72 +141,91 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Five-word shingles, and the similarity (Jaccard) from which texts are near-copies.
 NEAR_SHINGLE, NEAR_SIMILARITY = 5, 0.8
-#: Independent 64-bit fingerprints of a text's distinct words; near-copies differ in 3 bits or fewer in some of them.
-VIEWS = 8
-#: Bits of the fingerprint of the shingles by which candidates are verified.
-SKETCH_BITS = 1024
-MIX = tuple(np.random.default_rng(41).integers(1, 2**63, max(VIEWS, SKETCH_BITS // 64), dtype=np.uint64) | np.uint64(1))
-
-
-def _bits(hashes: np.ndarray, lanes: int) -> np.ndarray:
-    """The SimHash of hashed features in ``lanes`` independent words of 64 bits."""
-    ones = np.zeros(lanes * 64, np.int64)
-    mix = np.array(MIX[:lanes], np.uint64)
-    for k in range(0, len(hashes), 4096):
-        h = (hashes[k : k + 4096, None] ^ (hashes[k : k + 4096, None] >> np.uint64(31))) * mix
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(32)
-        ones += np.unpackbits(h.view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)
+#: Bands of a text's MinHash and hashes of a band: a pair of similarity 0.8 shares a band but for 7 in 100,000.
+BANDS, ROWS = 24, 5
+MIX = np.random.default_rng(41).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 
 
-def near_features(text: str | None) -> tuple[list[int], bytes]:
-    """A text's views, as signed longs, and the sketch of its distinct shingles."""
+def shingles(text: str | None) -> np.ndarray:
+    """The hashes of a text's distinct five-word shingles, sorted; a shorter text is one shingle."""
     words = WORD.findall(text.translate(LOWER)) if text else []
-    digest = xxhash.xxh64_intdigest
-    single = np.array([digest(w.encode("utf-8", "surrogatepass"), SEED) for w in set(words)], dtype=np.uint64)
     joined = {" ".join(words[k : k + NEAR_SHINGLE]) for k in range(max(1, len(words) - NEAR_SHINGLE + 1))}
-    shingles = np.array([digest(x.encode("utf-8", "surrogatepass"), SEED) for x in joined], dtype=np.uint64)
-    return _bits(single, VIEWS).view(np.int64).tolist(), _bits(shingles, SKETCH_BITS // 64).tobytes()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(x.encode("utf-8", "surrogatepass"), SEED) for x in joined], dtype=np.uint64))
+
+
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """The MinHash bands of a set of hashes, each as one signed long."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(hashes), 1024):
+        h = (hashes[k : k + 1024, None] ^ (hashes[k : k + 1024, None] >> np.uint64(31))) * MIX
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
+        np.minimum(least, h.min(0), out=least)
+    key = np.arange(BANDS, dtype=np.uint64)
+    for part in least.reshape(BANDS, ROWS).T:
+        key = (key ^ part) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return key.view(np.int64)
 
 
-def near_feature_columns(text: Column) -> Column:
-    @F.pandas_udf("views array<long>, sketch binary")
-    def values(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+def band_column(text: Column) -> Column:
+    @F.pandas_udf("array<long>")
+    def values(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.DataFrame([near_features(t) for t in texts], columns=["views", "sketch"])
+            yield pd.Series([bands(shingles(t)) for t in texts], dtype=object)
 
     return values(text)
 
 
-def sketch_distance(similarity: float) -> int:
-    """Differing bits of two sketches up to which their texts' similarity is estimated at ``similarity`` or more."""
-    cosine = 2 * similarity / (1 + similarity)
-    return int(SKETCH_BITS * np.arccos(cosine) / np.pi)
+def shingle_column(text: Column) -> Column:
+    @F.pandas_udf("binary")
+    def values(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([shingles(t).tobytes() for t in texts], dtype=object)
+
+    return values(text)
 
 
-def _near_edges(limit: int):
+def near_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links (a, b) that connect sorted sets just as all pairs of Jaccard ``similarity`` or more do. Each set is compared
+    with all that no link has reached yet.
+    """
+    size = np.array([len(x) for x in sets])
+    order = np.argsort(size, kind="stable")
+    todo = np.ones(len(sets), bool)
+    out = []
+    for first in order:
+        if not todo[first]:
+            continue
+        todo[first] = False
+        frontier = [first]
+        while frontier:
+            a = frontier.pop()
+            b = np.flatnonzero(todo & (np.minimum(size, size[a]) >= similarity * np.maximum(size, size[a]) - 1e-9))
+            for k in range(0, len(b), 256):
+                own = b[k : k + 256]
+                flat = np.concatenate([sets[x] for x in own])
+                at = np.minimum(np.searchsorted(sets[a], flat), size[a] - 1)
+                same = np.add.reduceat((sets[a][at] == flat).astype(np.int64), np.cumsum(size[own]) - size[own])
+                near = own[same >= similarity * (size[own] + size[a] - same) - 1e-9]
+                todo[near] = False
+                out += [(a, x) for x in near]
+                frontier += near.tolist()
+    return out
+
+
+def _near_edges(similarity: float):
     def edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part, bounds in group_runs(batches, "key"):
-            key, pair, block, row = (part[c].to_numpy() for c in ("key", "pair", "block", "row"))
-            fps = np.stack(part["views"].to_list()).astype(np.int64).view(np.uint64)[np.arange(len(part)), key >> 27]
-            sketches = np.frombuffer(b"".join(part["sketch"]), np.uint64).reshape(len(part), -1)
+            row = part["row"].to_numpy()
             out = [np.zeros((0, 2), np.int64)]
             for s, e in zip(bounds[:-1], bounds[1:]):
-                if e - s < 2:
-                    continue
-                adjacent = linked(fps[s:e], fps[s:e], int(key[s]) >> 25 & 3)
-                if pair[s] >> 31 != pair[s] & 0x7FFFFFFF:
-                    adjacent &= block[s:e, None] != block[None, s:e]
-                a, b = np.nonzero(np.triu(adjacent, 1))
-                near = np.zeros(len(a), bool)
-                for k in range(0, len(a), 20_000):
-                    x = sketches[s + a[k : k + 20_000]] ^ sketches[s + b[k : k + 20_000]]
-                    near[k : k + 20_000] = np.bitwise_count(x).sum(1, dtype=np.int64) <= limit
-                adjacent[:] = False
-                adjacent[a[near], b[near]] = adjacent[b[near], a[near]] = True
-                out.append(row[s:e][spanning(adjacent)])
+                own = np.unique(row[s:e], return_index=True)[1] + s
+                links = near_links([np.frombuffer(part["shingles"].iloc[k], np.uint64) for k in own], similarity)
+                if links:
+                    out.append(row[own][np.array(links)])
             found = np.concatenate(out)
             yield pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
 
@@ -216,20 +235,23 @@ def _near_edges(limit: int):
 def near_copies_removed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = NEAR_SIMILARITY) -> DataFrame:
     """One row of each group of near-copies: the row of the smallest id (nulls last), and one of repeated rows.
 
-    Equal texts are one class. Classes that meet in a bucket of any view hold the pigeonring's budgets for 3 bits there,
-    and are linked if the sketches of their five-word shingles put their similarity at ``similarity`` or more. Null texts
-    count as empty. Groups are the components of these links.
+    Equal texts are one class. Classes that share a MinHash band are candidates; the pairs of one component of candidates
+    are verified by the Jaccard similarity of their sets of hashed five-word shingles, ``similarity`` or more. Null texts
+    count as empty. Groups are the components of the verified links.
     """
     numbered = saved(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")  # from here on a row keeps its number
     whole = F.coalesce(F.col(text), F.lit(""))
-    rows = numbered.select(F.col("__row").alias("row"), F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__row").alias("row")).alias("rank"), F.md5(whole.cast("binary")).alias("digest"), near_feature_columns(whole).alias("f"))
-    rows = saved(rows.select("row", "rank", "digest", "f.views", "f.sketch"), "features")
+    rows = numbered.select(F.col("__row").alias("row"), F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__row").alias("row")).alias("rank"), F.md5(whole.cast("binary")).alias("digest"), band_column(whole).alias("bands"))
+    rows = saved(rows, "features")
     best = rows.groupBy("digest").agg(F.min("rank").alias("rank"))
     classes = rows.join(best.select(F.col("rank.row").alias("row")), "row", "left_semi")
-    views = classes.select("row", F.posexplode("views").alias("view", "fp"))
-    keyed = views.select("row", F.explode(F.transform(chain_keys(F.col("fp")), lambda k: k + F.col("view").cast("long") * (1 << 27))).alias("key"))
-    dealt = block_pairs(keyed, "key", "row", BLOCK, classes.select("row", "views", "sketch"))
-    edges = dealt.mapInPandas(_near_edges(sketch_distance(similarity)), "a long, b long")
+    keyed = classes.select("row", F.explode("bands").alias("key"))
+    hubs = keyed.groupBy("key").agg(F.min("row").alias("hub"), F.count("*").alias("n")).where("n > 1")
+    stars = keyed.join(hubs, "key").where("row <> hub").select(F.col("hub").alias("a"), F.col("row").alias("b"))
+    members = saved(connected_components(stars).withColumnRenamed("id", "row").withColumnRenamed("component", "key"), "candidates")
+    sets = numbered.select(F.col("__row").alias("row"), whole.alias("text")).join(members.select("row"), "row").select("row", shingle_column(F.col("text")).alias("shingles"))
+    dealt = block_pairs(members, "key", "row", BLOCK, sets)
+    edges = dealt.mapInPandas(_near_edges(similarity), "a long, b long")
     found = connected_components(edges).withColumnRenamed("id", "row")
     named = classes.select("row", "rank").join(found, "row", "left").withColumn("component", F.coalesce("component", "row"))
     kept = named.groupBy("component").agg(F.min("rank").alias("rank")).select(F.col("rank.row").alias("__row"))

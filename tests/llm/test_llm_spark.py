@@ -169,3 +169,26 @@ def test_near_copies(spark):
     other = [word() for _ in range(200)]
     df = spark.createDataFrame([(3, " ".join(base)), (1, " ".join(edited)), (2, " ".join(other)), (4, " ".join(base)), (1, " ".join(edited))], "doc_id long, text string")
     assert sorted(r["doc_id"] for r in simhash.near_copies_removed(df).collect()) == [1, 2]
+
+
+def test_near_copies_by_exact_similarity(spark):
+    """Copies with an added block, a cut end or scattered edits against brute force, close to the threshold on both sides."""
+    rng = np.random.default_rng(12)
+    word = lambda: "".join("abcdefghij"[i] for i in rng.integers(0, 10, 6))
+    docs = []
+    for k in range(40):
+        base = [word() for _ in range(200)]
+        docs += [base, base + [word() for _ in range(30 + k)], base[: 150 + k]]
+        edited = list(base)
+        for at in rng.choice(200, 1 + k % 7, replace=False):
+            edited[at] = word()
+        docs.append(edited)
+    sets = [{tuple(d[i : i + 5]) for i in range(len(d) - 4)} for d in docs]
+    component = list(range(len(docs)))
+    for _ in range(4):
+        for a in range(len(docs)):
+            for b in range(a - a % 4, a - a % 4 + 4):
+                if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                    component[a] = component[b] = min(component[a], component[b])
+    df = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.near_copies_removed(df).collect()) == sorted(set(component))
