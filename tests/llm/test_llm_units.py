@@ -122,6 +122,32 @@ def test_spanning_connects_like_the_matrix():
     assert label(stars) == label(np.argwhere(a)) and len(stars) < 60
 
 
+def test_near_links_are_exact():
+    """The links connect just the sets that brute force connects, a hair under and over the threshold."""
+    rng = np.random.default_rng(14)
+    sets = []
+    for n in (5, 40, 300):
+        base = rng.integers(0, 2**63, n, dtype=np.uint64)
+        for share in (1, 0.9, 0.82, 0.8, 0.79, 0.75, 0.7):
+            sets.append(np.unique(base[: int(np.ceil(n * share))]))
+        sets.append(np.unique(np.concatenate([base[: n - n // 9], rng.integers(0, 2**63, n // 9, dtype=np.uint64)])))
+    near = np.array([[len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)) for b in sets] for a in sets])
+    links = np.zeros_like(near)
+    for a, b in simhash.near_links(sets, 0.8):
+        assert near[a, b]
+        links[a, b] = links[b, a] = True
+
+    def reach(m):
+        m = (m | np.eye(len(m), dtype=bool)).astype(int)
+        for _ in range(6):
+            m = ((m @ m) > 0).astype(int)
+        return m
+
+    assert (reach(links) == reach(near)).all()
+    assert simhash.near_links([np.arange(80, dtype=np.uint64), np.arange(100, dtype=np.uint64)], 0.8)
+    assert not simhash.near_links([np.arange(79, dtype=np.uint64), np.arange(100, dtype=np.uint64)], 0.8)
+
+
 def test_hadamard_keeps_lengths_and_probes_differ():
     x = np.random.default_rng(2).standard_normal((5, 64))
     assert np.allclose(np.linalg.norm(embedding.hadamard(x), axis=1), np.linalg.norm(x, axis=1))
