@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, html, queries, simhash, spm
+from tessera.llm import decontam, html, lm, queries, simhash, spm
 
 CLASH = ("row", "key", "id", "label", "component", "block", "pair", "score", "host", "token", "y", "fp", "__row", "__p")
 WORDS = "the and of thing there other where with that this from not are was house garden river stone light water".split()
@@ -142,6 +142,14 @@ def test_lm(spark, small):
         assert math.isclose(r["base_score"], sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in w), rel_tol=1e-9) and r["score"] <= 0
 
 
+def test_long_spellings_are_not_cut(spark):
+    cases = [(0.0, -10.0), (0.0, -250.0), (0.0, -4000.0), (1e-5, -4000.0), (1e-5, -5.0), (1e-320, -320.0)]
+    df = spark.createDataFrame(cases, "share double, s double")
+    out = [r[0] for r in df.select(lm.mixed(F.col("share"), F.col("s"), 0.9)).collect()]
+    want = [-11.0, -251.0, -4001.0, -5.0, math.log10(1e-5 + 0.1 * 1e-5), math.log10(1.1e-320)]
+    assert np.allclose(out, want, rtol=1e-6)
+
+
 def test_decontamination(spark, small, monkeypatch):
     out = {(r["doc_id"], r["item_id"]) for r in rows(spark, small, "op8_decontamination")}
     assert (7, 0) in out and all(i == 0 for _, i in out)
