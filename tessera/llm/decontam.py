@@ -142,7 +142,7 @@ def matches(index: SeedIndex, keep: np.ndarray, text: str) -> list[tuple[int, fl
                 start = max(0, at - offset - size // 2)
                 own = windows.setdefault(k, [])
                 if own and start <= own[-1][1] - size:
-                    own[-1] = (own[-1][0], max(own[-1][1], at - offset + size + size // 2))
+                    own[-1] = (min(own[-1][0], start), max(own[-1][1], at - offset + size + size // 2))
                 else:
                     own.append((start, at - offset + size + size // 2))
     found = []

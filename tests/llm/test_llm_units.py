@@ -196,6 +196,18 @@ def test_leaks_with_edits_and_common_seeds():
     assert decontam.matches(index, keep, "nothing of the and that here") == []
 
 
+def test_window_reaches_the_earliest_start():
+    """An item that repeats a 4-gram: a hit of the later place begins before the window of the first."""
+    item = "a b c d " + " ".join(f"w{i}" for i in range(26)) + " a b c d"
+    index = decontam.SeedIndex([(1, item)])
+    words = item.split()
+    text = " ".join(w for i, w in enumerate(words) if i > 29 or i % 4 != 1)  # of its 4-grams only the repeated one stays unbroken
+    text = " ".join(["q", *text.split()[3:]])  # the first place is gone: the one hit is the item's end
+    share = decontam.align(index.items[0], index.numbered(text))[0] / (2 * len(words))
+    found = decontam.matches(index, np.ones(len(index.seeds), bool), text)
+    assert share >= decontam.MIN_SCORE and [m[:2] for m in found] == [(1, share)]
+
+
 def test_html():
     page = "<html><head><title>T</title><script>var a='</p>';</script></head><body><nav><a href=x>n</a></nav><div class='ad'>buy</div><article><header><h1>A &amp; b</h1></header><p>c<b>d</b>\n e<br>f</p><section class='comments'>no</section></article><footer>&copy;</footer></body></html>"
     classes = {t: 1 for t in html.Page(page).tokens()}
