@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds join documents to test items, and Smith-Waterman alignment scores them."""
+"""Benchmark decontamination: n-gram seeds join documents to test items, and Smith-Waterman alignment scores them."""
 
 from __future__ import annotations
 
@@ -14,7 +14,7 @@ from .common import table
 
 WORD = re.compile(r"\w+")
 NGRAM = 4
-#: A seed met in more documents than this is common, unless its neighbours in the item are as frequent.
+#: For ``rare``: a seed met in more documents than this is common, unless its neighbours in the item are as frequent.
 COMMON = 50
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: An item leaks into a document if its best alignment scores this share of a whole, unchanged copy.
@@ -132,7 +132,9 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
 
 
 def matches(index: SeedIndex, keep: np.ndarray, text: str) -> list[tuple[int, float, int, int]]:
-    """(item_id, score, first word, end word) of the items that leak into a text, best place of each."""
+    """(item_id, score, first word, end word) of the items that leak into a text, best place of each. Windows around the
+    seeds of ``keep`` are aligned, but for those with too few of the item's words for MIN_SCORE, whatever their order.
+    """
     numbered = index.numbered(text)
     windows: dict[int, list[tuple[int, int]]] = {}
     for at, seed in index.hits(numbered):
@@ -149,6 +151,8 @@ def matches(index: SeedIndex, keep: np.ndarray, text: str) -> list[tuple[int, fl
     for k, own in windows.items():
         item, best = index.items[k], (0, 0, 0)
         for start, end in own:
+            if np.isin(item, numbered[start:end]).sum() < MIN_SCORE * len(item):
+                continue
             score, first, last = align(item, numbered[start:end])
             if score > best[0]:
                 best = (score, start + first, start + last)
@@ -168,30 +172,11 @@ def blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[SeedIndex]
         yield SeedIndex(sorted((r["item_id"], r["text"]) for r in rows))
 
 
-def seed_frequency(docs: DataFrame, index: SeedIndex, text: str = "text") -> np.ndarray:
-    """In how many documents each seed stands; a partition adds up its own, so the shuffle holds seeds, not documents."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(len(index.seeds), np.int64)
-        for b in batches:
-            for t in b["text"]:
-                for s in {s for _, s in index.hits(index.numbered(t))}:
-                    total[s] += 1
-        there = np.flatnonzero(total)
-        yield pd.DataFrame({"seed": there, "n": total[there]})
-
-    rows = docs.select(F.col(text).alias("text")).where("text is not null").mapInPandas(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
-    out = np.zeros(len(index.seeds), np.int64)
-    for r in rows.collect():  # bounded by the block's seeds
-        out[r["seed"]] = r["n"]
-    return out
-
-
 def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> Column:
     """An array<struct<item_id, score, first_word, end_word>> column of the items that leak into each whole text."""
     columns = []
     for index in blocks(benchmark, item_id, item_text):
-        keep = index.rare(seed_frequency(docs, index, text)) if index.seeds else np.zeros(0, bool)
+        keep = np.ones(len(index.seeds), bool)  # a pair may share no seed but a common one
         columns.append(_leaks_of(index, keep)(F.col(text)))
     return columns[0] if len(columns) == 1 else F.concat(*columns)
 
