@@ -7,6 +7,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import chain, count
 
 import numpy as np
 import pandas as pd
@@ -23,6 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or the first of name_1, name_2 and so on that is no column of ``df``, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for n in chain([name], (f"{name}_{k}" for k in count(1))) if n.lower() not in taken)
+
+
 def crc_remainder(id_col: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as empty text."""
     return (F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus).cast("int")
@@ -60,6 +67,22 @@ class BoundedCache(dict):
         return value
 
 
+class RecentCache(dict):
+    """A worker-side memo of ``fn`` in two generations of ``limit`` entries: what was asked for lately outlives the rest."""
+
+    def __init__(self, fn: Callable, limit: int = 150_000):
+        super().__init__()
+        self.fn, self.limit, self.old = fn, limit, {}
+
+    def __missing__(self, key):
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        found = self.old.get(key)
+        self[key] = value = self.fn(key) if found is None else found
+        return value
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, per_class: int) -> tuple[DataFrame, dict[int, float]]:
     """Texts with their label, from rows whose crc32 remainder isn't ``held``: about ``per_class`` rows of each class.
 

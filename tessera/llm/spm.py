@@ -3,22 +3,18 @@
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
-import ahocorasick
 import numpy as np
 import pandas as pd
 import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, table
+from .common import fresh, table
+from .pieces import SPACE, encoder, joined
 
-SPACE = "▁"
-#: A break no piece crosses: a newline is in no piece, and no piece holds a space mark after another character.
-UNIT = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 MODEL = "piece_bpe_32k.model"
 
 
@@ -34,96 +30,6 @@ def model_bytes(path: str) -> bytes:
         return f.read()
 
 
-class PrefixTableEncoder:
-    """BPE encoding in one pass over a unit.
-
-    For each prefix of a unit exactly one token can end its encoding. It is found among the automaton's matches that
-    end there: the one whose predecessor, itself the last token of the shorter prefix, is compatible, which means that
-    the merges of the two tokens' joined text give these two tokens again. The ids are then read off backwards.
-    """
-
-    def __init__(self, proto: bytes):
-        sp = self.sp = sentencepiece.SentencePieceProcessor(model_proto=proto)
-        plain = [i for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
-        self.piece = {i: sp.id_to_piece(i) for i in plain}
-        self.id = {p: i for i, p in self.piece.items()}
-        self.score = {p: sp.get_score(i) for i, p in self.piece.items()}
-        self.bytes = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        self.chars = set("".join(self.id))
-        if "\n" in self.chars or any(SPACE in p.lstrip(SPACE) for p in self.id):
-            raise ValueError("the model has pieces across unit breaks")
-        self.automaton = ahocorasick.Automaton()
-        for p, i in self.id.items():
-            self.automaton.add_word(p, (i, len(p)))
-        self.automaton.make_automaton()
-        self.pairs = BoundedCache(self._compatible, 1_000_000)
-        self.units = BoundedCache(self._unit, 120_000)
-
-    def merged(self, text: str) -> list[str]:
-        """The pieces of a short text by the merges themselves: best score first, leftmost among equals."""
-        parts, score = list(text), self.score
-        while len(parts) > 1:
-            best, at = None, -1
-            for k in range(len(parts) - 1):
-                s = score.get(parts[k] + parts[k + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, k
-            if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
-
-    def _compatible(self, pair: tuple[int, int]) -> bool:
-        a, b = self.piece[pair[0]], self.piece.get(pair[1], "")
-        return self.merged(a + b) == ([a, b] if b else [a])
-
-    def _known(self, run: str) -> list[int]:
-        n = len(run)
-        last, start, pairs = [-1] * (n + 1), [0] * (n + 1), self.pairs
-        for end, (token, size) in self.automaton.iter(run):
-            j = end + 1
-            if last[j] >= 0:
-                continue
-            i = j - size
-            # a first token must stand alone: the pair with no second token
-            if pairs[last[i], token] if i else pairs[token, -1]:
-                last[j], start[j] = token, i
-        ids, j = [], n
-        while j:
-            ids.append(last[j])
-            j = start[j]
-        return ids[::-1]
-
-    def _unit(self, unit: str) -> tuple[str, tuple[int, ...]]:
-        ids: list[int] = []
-        run = ""
-        for ch in unit:
-            if ch in self.chars:
-                run += ch
-                continue
-            if run:
-                ids += self._known(run)
-                run = ""
-            ids += [self.bytes[b] for b in ch.encode()]
-        if run:
-            ids += self._known(run)
-        return ",".join(map(str, ids)), tuple(ids)
-
-    def parts(self, text: str) -> list[tuple[str, tuple[int, ...]]]:
-        return list(map(self.units.__getitem__, UNIT.findall(self.sp.normalize(text))))
-
-    def encode(self, text: str | None) -> list[int]:
-        return [i for _, ids in self.parts(text or "") for i in ids]
-
-    def decode(self, ids: list[int]) -> str:
-        return self.sp.decode(ids)
-
-
-@lru_cache(2)
-def encoder(proto: bytes) -> PrefixTableEncoder:
-    return PrefixTableEncoder(proto)
-
-
 def encoding(text: Column, path: str | None = None) -> Column:
     """A struct column (ids_sha256, decoded_sha256, n_tokens) of a text column; null text counts as empty."""
     proto = model_bytes(path or model_path())
@@ -132,13 +38,10 @@ def encoding(text: Column, path: str | None = None) -> Column:
     def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         enc = encoder(proto)
         for texts in batches:
-            out = []
-            for t in texts:
-                parts = enc.parts(t) if t else []
-                ids = [i for _, x in parts for i in x]
-                joined = ",".join([s for s, _ in parts])
-                out.append((len(ids), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(enc.decode(ids).encode()).hexdigest()))
-            yield pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+            ids, bounds = enc.encode_batch(list(texts))
+            decimal = [hashlib.sha256(x).hexdigest() for x in joined(ids, bounds, enc.sp.get_piece_size())]
+            text = [hashlib.sha256(enc.decode(ids[s:e].tolist()).encode()).hexdigest() for s, e in zip(bounds[:-1], bounds[1:])]
+            yield pd.DataFrame({"n_tokens": np.diff(bounds), "ids_sha256": decimal, "decoded_sha256": text})
 
     return digest(text)
 
@@ -151,7 +54,8 @@ def token_ids(text: Column, path: str | None = None) -> Column:
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         enc = encoder(proto)
         for texts in batches:
-            yield pd.Series([enc.encode(t) for t in texts])
+            found, bounds = enc.encode_batch(list(texts))
+            yield pd.Series([found[s:e] for s, e in zip(bounds[:-1], bounds[1:])], dtype=object)
 
     return ids(text)
 
@@ -178,9 +82,14 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The columns of every document, with its number of ids and the digests of its ids and its decoded text."""
-    coded = docs.withColumn("__e", encoding(F.col("text")))
-    return coded.select(*docs.columns, F.col("__e.n_tokens").alias("n_tokens"), F.col("__e.ids_sha256").alias("ids_sha256"), F.col("__e.decoded_sha256").alias("decoded_sha256"))
+    """The columns of every document, with ``n_tokens`` and the digests ``ids_sha256`` and ``decoded_sha256``; an input
+    column of one of these names is replaced. Null and empty texts give no ids and the digests of empty strings; repeated
+    rows give repeated results, so there are no ties; an empty table gives no rows; other nulls and columns stay as they are.
+    """
+    new = ("n_tokens", "ids_sha256", "decoded_sha256")
+    kept = [c for c in docs.columns if c.lower() not in new]
+    coded = fresh(docs, "coded")
+    return docs.withColumn(coded, encoding(F.col("text"))).select(*kept, *[F.col(f"{coded}.{c}").alias(c) for c in new])
 
 
 # --- unigram token counts -------------------------------------------------------------------------------------------

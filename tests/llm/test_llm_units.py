@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings, strategies as st
 
-from tessera.llm import common, decontam, embedding, html, langid, lm, quality, simhash, spm, toxicity
+from tessera.llm import common, decontam, embedding, html, langid, lm, pieces, quality, simhash, spm, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -24,11 +24,36 @@ def test_encoding_equals_library(text):
     assert ids == enc.sp.encode(text) and enc.decode(ids) == enc.sp.decode(enc.sp.encode(text))
 
 
+def test_encoding_of_a_batch(encoder, monkeypatch):
+    """Whole batches equal the library's ids, however a batch and its texts are cut; long units go one at a time."""
+    texts = ["a b", None, "", "\n", "x\n\ny ", " lead", "the the the", "q" * 200, "日本語 😀\x00 end", "▁▁ a▁b", "tail  \n "]
+    texts += [" ".join(t or "" for t in texts) * 3]
+    for chars in (1_000_000, 40, 1):
+        monkeypatch.setattr(pieces, "CHARS", chars)
+        ids, bounds = encoder.encode_batch(texts)
+        assert [ids[s:e].tolist() for s, e in zip(bounds[:-1], bounds[1:])] == [encoder.sp.encode(t or "") for t in texts]
+        assert [bytes(x).decode() for x in pieces.joined(ids, bounds, 32_000)] == [",".join(map(str, encoder.sp.encode(t or ""))) for t in texts]
+    assert encoder.encode_batch([])[0].tolist() == [] and encoder.encode_batch([None])[1].tolist() == [0, 0]
+    monkeypatch.setattr(pieces, "CHARS", 10_000)
+    monkeypatch.setattr(pieces, "PAIRS", 50)  # the table of pairs is emptied now and then
+    assert encoder.encode(texts[-1]) == encoder.sp.encode(texts[-1])
+
+
+def test_automaton_steps():
+    auto = pieces.PieceAutomaton({p: i for i, p in enumerate(["a", "b", "ab", "bab", "abba", "ü"])})
+    text = "abbababüxab"
+    state, one = np.zeros(1, np.int64), 0
+    for k, ch in enumerate(text):
+        state, one = auto.steps(state, np.array([ord(ch)])), auto.step(one, ch)
+        assert state[0] == one
+        assert sorted(s for _, s in auto.ends[one]) == sorted(len(p) for p in ("a", "b", "ab", "bab", "abba", "ü") if text[: k + 1].endswith(p))
+
+
 def test_encoding_of_joined_pieces(encoder):
     rng = np.random.default_rng(3)
-    pieces = list(encoder.piece.values())
+    every = list(encoder.piece.values())
     for _ in range(300):
-        t = "".join(pieces[i].replace(spm.SPACE, " ") for i in rng.integers(0, len(pieces), 8))
+        t = "".join(every[i].replace(pieces.SPACE, " ") for i in rng.integers(0, len(every), 8))
         assert encoder.encode(t) == encoder.sp.encode(t)
     assert encoder.encode(None) == encoder.encode("") == []
 
