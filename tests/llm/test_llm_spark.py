@@ -142,12 +142,21 @@ def test_lm(spark, small):
         assert math.isclose(r["base_score"], sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in w), rel_tol=1e-9) and r["score"] <= 0
 
 
-def test_long_spellings_are_not_cut(spark):
-    cases = [(0.0, -10.0), (0.0, -250.0), (0.0, -4000.0), (1e-5, -4000.0), (1e-5, -5.0), (1e-320, -320.0)]
-    df = spark.createDataFrame(cases, "share double, s double")
-    out = [r[0] for r in df.select(lm.mixed(F.col("share"), F.col("s"), 0.9)).collect()]
-    want = [-11.0, -251.0, -4001.0, -5.0, math.log10(1e-5 + 0.1 * 1e-5), math.log10(1.1e-320)]
-    assert np.allclose(out, want, rtol=1e-6)
+def test_lm_counts_beyond_the_known_words(spark, small, monkeypatch):
+    """However few words are looked up in place, results are the same."""
+    first = {(r["doc_id"], r["n_tokens"]): r for r in rows(spark, small, "op7_lm_scores")}
+    monkeypatch.setattr(lm, "KNOWN_WORDS", 3)
+    second = {(r["doc_id"], r["n_tokens"]): r for r in rows(spark, small, "op7_lm_scores")}
+    assert first.keys() == second.keys()
+    for k, a in first.items():
+        b = second[k]
+        assert a["n_known"] == b["n_known"] and math.isclose(a["base_score"], b["base_score"], rel_tol=1e-9) and math.isclose(a["score"], b["score"], rel_tol=1e-9)
+
+
+def test_ids_stay_whole_beside_nulls(spark, tmp_path):
+    big = 9007199254740993
+    spark.createDataFrame([(None, "a b"), (big, "c d"), (big + 1, None)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r["doc_id"] for r in rows(spark, tmp_path, "op7_lm_scores")} == {None, big, big + 1}
 
 
 def test_decontamination(spark, small, monkeypatch):

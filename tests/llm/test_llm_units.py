@@ -311,30 +311,84 @@ def test_ftrl_is_sparse_and_separates():
     assert f.of("") == [] and f.of("123 !!") == []
 
 
-def test_attention_gradients_and_scorer():
-    m = lm.Attention.new(7, 6)
+def small_attention(monkeypatch, groups=4):
+    monkeypatch.setattr(lm, "GROUPS", groups)
+    monkeypatch.setattr(lm, "LEAVES", groups**2)
+    return lm.Attention.new(np.arange(1.0, groups**2 + 1), 6)
+
+
+def test_attention_gradients(monkeypatch):
+    m = small_attention(monkeypatch)
     rng = np.random.default_rng(9)
-    x, y = rng.integers(0, 8, (3, lm.WINDOW)), rng.integers(0, 7, (3, lm.STRIDE))
-    w = np.ones((3, lm.STRIDE), np.float32)
-    for p in m.parts():
-        p[:] = p.astype(np.float64)
+    x, y = rng.integers(0, 17, (3, lm.WINDOW)), rng.integers(0, 16, (3, lm.STRIDE))
+    w = (rng.random((3, lm.STRIDE)) < 0.8).astype(np.float32)
     _, grads = m.gradients(x, y, w)
     for p, g in zip(m.parts(), grads):
-        at = tuple(rng.integers(0, s) for s in p.shape)
-        kept, step = p[at], 1e-2
-        p[at] = kept + step
-        up, _ = m.gradients(x, y, w)
-        p[at] = kept - step
-        down, _ = m.gradients(x, y, w)
-        p[at] = kept
-        assert abs((up - down) / (2 * step) - g[at]) < 2e-3 + 0.05 * abs(g[at])
-    target, chance = m.scorer([np.array([1, 2])])(x, y)
-    p, _ = m.forward(x)
-    i, j = np.ogrid[:3, : lm.STRIDE]
-    assert np.allclose(target, p[i, j, y].ravel(), rtol=1e-3, atol=1e-6) and np.allclose(chance[:, 0], p[:, :, 1:3].sum(2).ravel(), rtol=1e-3)
-    later = x.copy()
-    later[:, -1] = (later[:, -1] + 1) % 7
-    assert np.allclose(m.forward(later)[0][:, :-1], p[:, :-1], atol=1e-6)  # causal
+        for _ in range(3):
+            at = tuple(rng.integers(0, s) for s in p.shape)
+            kept, step = p[at], 1e-2
+            p[at] = kept + step
+            up, _ = m.gradients(x, y, w)
+            p[at] = kept - step
+            down, _ = m.gradients(x, y, w)
+            p[at] = kept
+            assert abs((up - down) / (2 * step) - g[at]) < 2e-3 + 0.05 * abs(g[at])
+    assert np.array_equal(m.unflat(m.flat()).leaf_out, m.leaf_out)
+
+
+def plain_score(model, ids):
+    """log10 of a sequence's probability by a forward pass of its own for each token, in double precision."""
+    a, end, groups = model.attention, len(model.leaf) - 1, lm.GROUPS
+    embed, place, qkv = a.embed.astype(float), a.place.astype(float), a.qkv.astype(float)
+    d = embed.shape[1]
+    line, total = [*ids, end], 0.0
+    for t, target in enumerate(line):
+        begin = t // lm.STRIDE * lm.STRIDE - lm.LEAD  # where the window of this token begins; its places run from there
+        leaves = [model.leaf[line[p - 1]] if p >= 1 else lm.LEAVES for p in range(begin, t + 1)]
+        h = embed[leaves] + place[: len(leaves)]
+        q, k, v = np.split(h @ qkv, 3, axis=1)
+        s = k @ q[-1] / d**0.5
+        s = np.exp(s - s.max())
+        z = h[-1] + (s / s.sum()) @ v
+        group, rest = divmod(int(model.leaf[target]), groups)
+        for logits, at in ((z @ a.out + a.bias, group), (z @ a.leaf_out[group] + a.leaf_bias[group], rest)):
+            total += logits[at] - np.log(np.exp(logits - logits.max()).sum()) - logits.max()
+        total += model.share[target]
+    return total / np.log(10)
+
+
+def test_scores_equal_a_plain_forward_pass(monkeypatch):
+    m = small_attention(monkeypatch)
+    rng = np.random.default_rng(10)
+    leaf, count = rng.integers(0, 16, 31), rng.integers(1, 9, 31)
+    leaf[:16] = range(16)
+    model = lm.Model(b"", m, leaf, np.log(count / np.bincount(leaf, count, 16)[leaf]))
+    sequences = [rng.integers(0, 30, n) for n in (0, 1, 7, 8, 31, 32, 33, 64, 200, 9000, 3)]
+    found = model.score(sequences, m.scorer())
+    assert np.allclose(found[:9], [plain_score(model, s) for s in sequences[:9]], rtol=1e-4) and np.isclose(found[10], plain_score(model, sequences[10]), rtol=1e-4)
+    assert np.isclose(found[9], plain_score(model, sequences[9]), rtol=1e-4)  # more windows than one batch holds
+    every = sum(10 ** model.score([np.array([i])], m.scorer())[0] for i in range(30))
+    one = 10 ** model.score([np.zeros(0, int)], m.scorer())[0]
+    assert 0 < one < 1 and 0 < every < 1 - one  # chances of different texts add up to less than 1
+
+
+def test_leaves_are_balanced():
+    rng = np.random.default_rng(11)
+    counts = rng.integers(1, 100, 9000).astype(float)
+    leaf = lm.leaves_of(rng.standard_normal((9000, 4)), counts)
+    mass = np.bincount(leaf, counts, lm.LEAVES)
+    assert leaf.max() < lm.LEAVES and (mass > 0).mean() > 0.9 and mass.max() < 8 * counts.sum() / lm.LEAVES
+    assert (lm.leaves_of(np.zeros((3, 4)), np.ones(3)) < lm.LEAVES).all()
+
+
+def test_training_lowers_the_loss(monkeypatch):
+    m = small_attention(monkeypatch)
+    rng = np.random.default_rng(12)
+    seq = np.tile(rng.permutation(16), 40)  # each leaf tells the next
+    x, y = lm.windows(seq, 16)
+    trainer = lm.Trainer(m, 0.02)
+    losses = [trainer.step(x, y, np.ones(y.shape, np.float32)) for _ in range(150)]
+    assert losses[-1] < 0.4 * losses[0]
 
 
 def test_windows_score_each_id_once():
