@@ -11,6 +11,7 @@ its units together, one character place after the other.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -137,6 +138,25 @@ def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
 
 
+def portions(texts: Iterable[str], at: re.Pattern) -> Iterator[tuple[list[str], list[int]]]:
+    """Texts in lists of CHARS characters or fewer, with their numbers; a longer text is cut where ``at`` matches next."""
+    parts, owners, chars = [], [], 0
+    for k, t in enumerate(texts):
+        begin = 0
+        while begin < len(t):
+            cut = at.search(t, begin + CHARS) if len(t) - begin > CHARS else None
+            end = cut.start() if cut else len(t)
+            if parts and chars + end - begin > CHARS:
+                yield parts, owners
+                parts, owners, chars = [], [], 0
+            parts.append(t[begin:end])
+            owners.append(k)
+            chars += end - begin
+            begin = end
+    if parts:
+        yield parts, owners
+
+
 class PrefixTableEncoder:
     """The ids that the library's encoder gives, for a BPE model with byte pieces.
 
@@ -306,30 +326,12 @@ class PrefixTableEncoder:
         """The ids of all texts, one after the other, and the bounds of each text's ids; a null text has none. Texts are
         taken CHARS characters at a time, and a longer one in parts that begin where a unit does.
         """
-        sums, ids, parts, owners, chars = np.zeros(len(texts), np.int64), [], [], [], 0
-
-        def flush() -> None:
-            if parts:
-                found, counts = self._encode(parts)
-                ids.append(found)
-                np.add.at(sums, owners, counts)
-                parts.clear()
-                owners.clear()
-
-        for k, t in enumerate(texts):
-            whole, at = self.sp.normalize(t) if t else "", 0
-            while at < len(whole):
-                cut = BREAK.search(whole, at + CHARS) if len(whole) - at > CHARS else None
-                end = cut.start() if cut else len(whole)
-                if chars + end - at > CHARS:
-                    flush()
-                    chars = 0
-                parts.append(whole[at:end])
-                owners.append(k)
-                chars += end - at
-                at = end
-        flush()
-        return np.concatenate(ids) if ids else np.zeros(0, np.int32), np.concatenate(([0], np.cumsum(sums)))
+        sums, ids = np.zeros(len(texts), np.int64), [np.zeros(0, np.int32)]
+        for parts, owners in portions((self.sp.normalize(t) if t else "" for t in texts), BREAK):
+            found, counts = self._encode(parts)
+            ids.append(found)
+            np.add.at(sums, owners, counts)
+        return np.concatenate(ids), np.concatenate(([0], np.cumsum(sums)))
 
     def encode(self, text: str | None) -> list[int]:
         return self.encode_batch([text])[0].tolist()

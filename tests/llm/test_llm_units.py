@@ -75,7 +75,19 @@ def test_trie_counts_are_optimal():
     words = ["abc", "ab", "abcab", "bca", "éa", "", "aé", "abcbc"]
     counter = spm.TrieCounter(scores, byte_score)
     assert counter.count(words) == {w: brute(w) for w in words}
-    assert counter.nodes < sum(map(len, words))  # shared prefixes are walked once
+    assert counter.nodes == len({w[:k] for w in words for k in range(1, len(w) + 1)})  # a shared prefix is one node
+    assert [counter.long(w) for w in words if w] == [brute(w) for w in words if w]
+
+
+def test_counts_of_texts(monkeypatch):
+    scores, byte_score = spm.unigram_scores(spm.model_bytes(spm.model_path()))
+    counter = spm.TrieCounter(scores, byte_score)
+    texts = ["the garden  of\tthe house", None, "", " \n ", "Ünïcode\x1cspace\u3000日本語 😀", "z" * 300 + " end", "\x85a "]
+    want = [(len((t or "").split()), sum(counter.long(pieces.SPACE + w) for w in (t or "").split())) for t in texts]
+    for chars in (1_000_000, 10, 1):
+        monkeypatch.setattr(pieces, "CHARS", chars)
+        words, tokens = counter.count_texts(texts)
+        assert list(zip(words.tolist(), tokens.tolist())) == want
 
 
 def test_unigram_counts_equal_tokenizers_library():
