@@ -4,9 +4,11 @@ bounded worker caches and distributed connected components.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import chain, count
 
 import numpy as np
@@ -35,22 +37,41 @@ def crc_remainder(id_col: str, modulus: int) -> Column:
     return (F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus).cast("int")
 
 
+@lru_cache(4)
+def _local_root(application: str) -> str:
+    return tempfile.mkdtemp(prefix="tessera-ckpt-")
+
+
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; set to a local folder only where it is unset (tests)."""
+    """The shared folder named by ``spark.checkpoint.dir``. Where it is unset, a folder of this machine serves a session
+    whose tasks all run in this process (tests); on a cluster that is an error.
+    """
+    context = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        at = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="tessera-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
+    if not at and context._jsc.sc().getCheckpointDir().isDefined():
+        at = context._jsc.sc().getCheckpointDir().get()
+    if not at and not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return at or _local_root(context.applicationId)
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as parquet in the shared folder and read it back: lineage ends there, and any executor can be lost."""
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Write ``df`` as parquet in the shared folder and read it back; also the folder's path, for ``removed``."""
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder: lineage ends there, and any executor can be lost. Kept until the folder is cleared."""
+    return written(df, name)[0]
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a table of ``written`` that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 class BoundedCache(dict):
@@ -87,7 +108,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
     """Texts with their label, from rows whose crc32 remainder isn't ``held``: about ``per_class`` rows of each class.
 
     The sample is a documented bound for fitting a classifier. A row is taken by a hash of its id, so the choice is the
-    same on every run. Repeated labels of a document are merged by their maximum; null labels and ids are ignored.
+    same on every run. Repeated labels of a document are merged by their maximum; null labels and ids are ignored. Of
+    repeated ids the first text by code points counts, so the bound holds however often an id is repeated.
     Returns (doc_id, text, label as ``y``) and the weight of each class that undoes the stratification.
     """
     l = labels.select(F.col("doc_id"), F.col(label).alias("y")).where(F.col("y").isNotNull() & F.col("doc_id").isNotNull())
@@ -100,10 +122,32 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
         bound = bound | ((F.col("y") == y) & (slot < int(s * 1_000_000)))
     chosen = l.where(bound)
     # about 2 * per_class ids at most: a proven bound, so they may be broadcast
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"))
     return sample, {y: 1.0 / s for y, s in share.items()}
 
 
+#: Vertices of more neighbours than HUB are met by a broadcast of their smallest neighbours, for the HUBS greatest of them.
+HUB, HUBS = 500, 2_000
+
+
+def _large_star(e: DataFrame) -> DataFrame:
+    """Every larger neighbour of u is linked to u's smallest neighbour (u itself, if it is smaller).
+
+    The join on u would bring a hub's rows into one task. The hubs of most neighbours are met where their rows are; with
+    HUBS of them gone, no other vertex has more than one in HUBS of the rows.
+    """
+    both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    per = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    top = per.where(F.col("n") > HUB).orderBy(F.desc("n"), "u").limit(HUBS).select("u", "m").collect()  # HUBS rows
+    linked = lambda rows: rows.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+    if not top:
+        return linked(both.join(per.drop("n"), "u")).distinct()
+    hubs = F.broadcast(e.sparkSession.createDataFrame(top, "u long, m long"))
+    rest = both.join(hubs, "u", "left_anti")
+    low = rest.groupBy("u").agg(F.min("v").alias("m"))
+    return linked(rest.join(low, "u")).union(linked(both.join(hubs, "u"))).distinct()
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Smallest reachable id of every vertex of an undirected edge list (a, b): returns (id, component).
 
@@ -111,18 +155,17 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     size. Per-vertex minima are partial aggregates, and each round's table is written to the shared folder, so no group
     is gathered in one task and a lost executor costs only that round. Self loops and repeated edges are harmless; an empty table gives an empty one.
     """
+    spark = edges.sparkSession
     e = edges.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).where("u <> v").distinct()
-    e = saved(e, "cc")
+    e, path = written(e, "cc")
     signature = None
     for _ in range(max_rounds):
-        # large star: every larger neighbour of u is linked to u's smallest neighbour
-        both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = _large_star(e)
         # small star: every smaller neighbour of u, and u itself, are linked to the smallest of them
-        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low2, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low2.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        e = saved(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "cc")
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        old, (e, path) = path, written(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "cc")
+        removed(spark, old)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(998_244_353)))).first()
         if now == signature:
             break
@@ -133,7 +176,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     return roots.union(roots.select(F.col("component").alias("id"), "component").distinct())
 
 
-
 def block_pairs(members: DataFrame, key: str, by: str, block: int, payload: DataFrame | None = None) -> DataFrame:
     """Deal the members of each key (``key``, a long) in groups of two blocks at most, sorted by group.
 

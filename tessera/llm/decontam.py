@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, table
 
 WORD = re.compile(r"\w+")
 NGRAM = 4
@@ -159,30 +159,32 @@ def matches(index: SeedIndex, keep: np.ndarray, text: str) -> list[tuple[int, fl
         share = best[0] / (MATCH * len(item))
         if share >= MIN_SCORE:
             found.append((index.ids[k], share, best[1], best[2]))
-    return sorted(found)
+    return sorted(found, key=lambda m: (m[0] is None, m))
 
 
 def blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[SeedIndex]:
     """Indexes of the benchmark's items, a block of bounded size at a time."""
-    items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).alias("text")).where("item_id is not null and text is not null").distinct()
+    items = benchmark.select(F.col(item_id).alias("item_id"), F.col(text).alias("text")).where("text is not null").distinct()
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     count = int(chars // BLOCK_CHARS) + 1
     for b in range(count):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(count)) == b).collect()  # about BLOCK_CHARS characters
-        yield SeedIndex(sorted((r["item_id"], r["text"]) for r in rows))
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == b).collect()  # about BLOCK_CHARS characters
+        yield SeedIndex(sorted(((r["item_id"], r["text"]) for r in rows), key=lambda r: (r[0] is None, r)))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> Column:
-    """An array<struct<item_id, score, first_word, end_word>> column of the items that leak into each whole text."""
-    columns = []
+    """An array<struct<item_id, score, first_word, end_word>> column of the items that leak into each whole text. Ids keep
+    their type; an item of a null id is an item like any other.
+    """
+    columns, kind = [], benchmark.schema[item_id].dataType.simpleString()
     for index in blocks(benchmark, item_id, item_text):
         keep = np.ones(len(index.seeds), bool)  # a pair may share no seed but a common one
-        columns.append(_leaks_of(index, keep)(F.col(text)))
+        columns.append(_leaks_of(index, keep, kind)(F.col(text)))
     return columns[0] if len(columns) == 1 else F.concat(*columns)
 
 
-def _leaks_of(index: SeedIndex, keep: np.ndarray):
-    @F.pandas_udf("array<struct<item_id:bigint,score:double,first_word:int,end_word:int>>")
+def _leaks_of(index: SeedIndex, keep: np.ndarray, kind: str):
+    @F.pandas_udf(f"array<struct<item_id:{kind},score:double,first_word:int,end_word:int>>")
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         names = ("item_id", "score", "first_word", "end_word")
         for texts in batches:
@@ -193,8 +195,9 @@ def _leaks_of(index: SeedIndex, keep: np.ndarray):
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, item_id, score, first_word and end_word of every benchmark item that leaks into a document, at its best
-    place. Null and empty texts and items match nothing; repeated rows give repeated results; among equally good places
-    the first counts; with an empty benchmark or no documents there are no rows.
+    place. Null and empty texts and items match nothing; items of a null id are matched and keep it; repeated documents
+    give repeated results, repeated items one; among equally good places the first counts; other columns are not read;
+    with an empty benchmark or no documents there are no rows.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = docs.select("doc_id", F.explode(leaks(docs, table(spark, sf_dir, "benchmark"))).alias("m"))
@@ -202,6 +205,8 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents into which no benchmark item leaks; the rest go."""
-    found = leaks(docs, table(spark, sf_dir, "benchmark"))
-    return docs.withColumn("__m", found).where(F.size("__m") == 0).select(docs.columns)
+    """Documents into which no benchmark item leaks, with their columns; the rest go. Null and empty texts stay; repeated
+    rows stay or go together, so there are no ties; an empty benchmark takes nothing, and an empty table gives no rows.
+    """
+    found = fresh(docs, "leaks")
+    return docs.withColumn(found, leaks(docs, table(spark, sf_dir, "benchmark"))).where(F.size(found) == 0).select(docs.columns)

@@ -8,13 +8,14 @@ texts; a document goes to the prototype of greatest cosine.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_remainder, table
+from .common import crc_remainder, fresh, table
 
 SYMBOLS = 64  # 0 is the space between words, 1-26 are a-z, the rest is shared by all other letters
 DIMENSIONS = 512
@@ -25,6 +26,7 @@ UNDETERMINED = "und"
 MIN_COSINE = 0.1
 
 
+@lru_cache(1)
 def symbol_table() -> np.ndarray:
     """Symbol of every code point."""
     out = np.zeros(0x110000, np.uint8)
@@ -147,6 +149,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language; those without a letter or like no language go."""
-    kept = docs.withColumn("__p", identified(F.col("text"), learn(docs)))
-    return kept.where((F.col("__p.lang_pred") != UNDETERMINED) & (F.col("__p.score") >= MIN_COSINE)).select(docs.columns)
+    """Documents in a learned language, with their columns; those without a letter or like no language go, null and empty
+    texts among them. Among equally near languages the first by name counts, so ties stay; repeated rows stay or go
+    together; rows of a null language teach nothing; if no language is learned, or the table is empty, there are no rows.
+    """
+    found = fresh(docs, "language")
+    kept = docs.withColumn(found, identified(F.col("text"), learn(docs)))
+    return kept.where((F.col(f"{found}.lang_pred") != UNDETERMINED) & (F.col(f"{found}.score") >= MIN_COSINE)).select(docs.columns)

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_remainder, labelled_sample, table
+from .common import crc_remainder, fresh, labelled_sample, table
 
 HELD_OUT, MODULUS = 0, 5
 #: Bound of the fitting sample: about so many labelled texts of each class.
@@ -23,6 +24,7 @@ FEATURES = (
 )
 
 
+@lru_cache(1)
 def class_table() -> np.ndarray:
     """Character class of every code point."""
     out = np.full(0x110000, SYMBOL, np.uint8)
@@ -173,6 +175,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents predicted to be of quality 1 at THRESHOLD; the rest go."""
+    """Documents scored THRESHOLD or more, with their columns; the rest go. Null and empty texts are scored as texts of no
+    words; ties at the threshold stay; repeated rows stay or go together; with no labels every score is 0.5, so all stay;
+    an empty table gives no rows.
+    """
     model = learn(docs, table(spark, sf_dir, "labels"))
-    return docs.withColumn("__q", scored(F.col("text"), model)).where(F.col("__q") >= THRESHOLD).select(docs.columns)
+    score = fresh(docs, "score")
+    return docs.withColumn(score, scored(F.col("text"), model)).where(F.col(score) >= THRESHOLD).select(docs.columns)
