@@ -73,27 +73,29 @@ def unit(vector) -> np.ndarray | None:
     return x / np.sqrt(x @ x)
 
 
-HASHED = "row long, vec_id long, label long, digest binary, embedding array<double>, keys array<long>"
+HASHED = "row long, vec_id string, digest binary, keys array<long>"
 
 
 def _hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of each row: its id (as text, which keeps nulls and large numbers whole), and, if it has a label and a proper vector,
+    a digest of both and its bucket keys.
+    """
     for b in batches:
-        n = len(b)
-        digest, vectors, keys = [None] * n, [None] * n, [None] * n
+        digest, vectors, keys = [None] * len(b), {}, [None] * len(b)
         by_width: dict[int, list[int]] = {}
         for k, (v, label) in enumerate(zip(b["embedding"], b["label"])):
-            x = unit(v) if not pd.isna(label) else None
+            x = unit(v) if label is not None else None
             if x is not None:
                 vectors[k] = x
-                digest[k] = hashlib.blake2b(x.tobytes() + b"%d" % int(label), digest_size=16).digest()
+                digest[k] = hashlib.blake2b(x.tobytes() + label.encode(), digest_size=16).digest()
                 by_width.setdefault(len(x), []).append(k)
         for rows in by_width.values():
             found = bucket_keys(np.stack([vectors[k] for k in rows]))
             for k, own in zip(rows, found):
                 # labels and widths never meet: both are part of the key
-                salt = int.from_bytes(hashlib.blake2b(b"%d/%d" % (int(b["label"].iloc[k]), len(vectors[k])), digest_size=5).digest(), "big")
+                salt = int.from_bytes(hashlib.blake2b(b"%s/%d" % (b["label"].iloc[k].encode(), len(vectors[k])), digest_size=5).digest(), "big")
                 keys[k] = np.unique(own ^ (salt << 22))
-        yield pd.DataFrame({"row": b["row"], "vec_id": b["vec_id"], "label": b["label"].astype("Int64"), "digest": digest, "embedding": vectors, "keys": keys})
+        yield pd.DataFrame({"row": b["row"], "vec_id": b["vec_id"], "digest": digest, "keys": keys})
 
 
 def _near(part: pd.DataFrame, s: int, e: int) -> np.ndarray:
@@ -104,7 +106,9 @@ def _near(part: pd.DataFrame, s: int, e: int) -> np.ndarray:
     widths = own["embedding"].map(len).to_numpy()
     for w in np.unique(widths):
         at = np.flatnonzero(widths == w)
-        x = np.stack(own["embedding"].iloc[at].to_list())
+        x = np.stack(own["embedding"].iloc[at].to_list()).astype(np.float64)
+        x /= np.abs(x).max(1, keepdims=True)  # as in ``unit``
+        x /= np.sqrt((x * x).sum(1, keepdims=True))
         adjacent[np.ix_(at, at)] = (x @ x.T >= THRESHOLD) & (label[at, None] == label[None, at])
     np.fill_diagonal(adjacent, False)
     pair = int(own["pair"].iloc[0])
@@ -141,21 +145,27 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     components, and within a component every pair of classes is verified once, which gives the numbers of links. Groups
     emit stars and counts, never all pairs.
     """
-    numbered = vectors.select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), "embedding")
-    rows = saved(numbered.mapInPandas(_hashed, HASHED), "vectors")  # from here on a row keeps its number
-    classes = rows.where("digest is not null").groupBy("digest").agg(F.min("row").alias("row"), F.min("vec_id").alias("least"), F.count("*").alias("copies"))
-    first = rows.join(classes.select("row", "copies", "least"), "row")  # one row of each class
+    number = F.monotonically_increasing_id().alias("row")
+    rows = saved(vectors.select(number, "vec_id", F.col("label").cast("string").alias("label"), "embedding"), "vectors")  # from here on a row keeps its number
+    kind = vectors.schema["vec_id"].dataType
+    hashed = rows.select("row", F.col("vec_id").cast("string").alias("vec_id"), "label", "embedding").mapInPandas(_hashed, HASHED)
+    hashed = saved(hashed.withColumn("vec_id", F.col("vec_id").cast(kind)), "hashed")
+    classes = hashed.where("digest is not null").groupBy("digest").agg(F.min("row").alias("row"), F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    first = hashed.select("row", "keys").join(classes, "row").join(rows.select("row", "label", "embedding"), "row")  # one row of each class
     keyed = first.select("row", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    members = keyed.join(shared, "key", "left_semi").join(first.select("row", "label", "embedding"), "row")
-    edges = saved(block_pairs(members, "key", "row", BLOCK).mapInPandas(_edges, "a long, b long").distinct(), "links")
+    members = keyed.join(shared, "key", "left_semi")
+    payload = first.select("row", "label", "embedding")
+    edges = saved(block_pairs(members, "key", "row", BLOCK, payload).mapInPandas(_edges, "a long, b long").distinct(), "links")
     found = saved(connected_components(edges).withColumnRenamed("id", "row"), "components")
-    within = first.join(found, "row").select("row", "component", "label", "embedding", "copies")
-    counted = block_pairs(within, "component", "row", BLOCK).mapInPandas(_links, "row long, links long").groupBy("row").agg(F.sum("links").alias("links"))
-    named = first.select("digest", "row", "copies", "least").join(found, "row", "left").withColumn("component", F.coalesce("component", "row"))
+    within = found.select("row", "component")
+    counts = first.select("row", "label", "embedding", "copies")
+    counted = block_pairs(within, "component", "row", BLOCK, counts).mapInPandas(_links, "row long, links long").groupBy("row").agg(F.sum("links").alias("links"))
+    named = classes.join(found, "row", "left").withColumn("component", F.coalesce("component", "row"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     by_class = named.join(least, "component").join(counted, "row", "left").select("digest", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
-    out = rows.select("vec_id", "digest").join(by_class, "digest", "left")
+    # both sides are tables now, so a digest of many copies can be split where it is joined
+    out = hashed.select("vec_id", "digest").join(saved(by_class, "classes"), "digest", "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
 
