@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import block_pairs, connected_components, group_runs, saved, spanning, table
+from .common import block_pairs, connected_components, fresh, group_runs, saved, spanning, table
 
 MAX_DISTANCE = 3
 SHINGLE = 3
@@ -44,7 +44,11 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
         ends = np.concatenate((gaps, [len(raw)])).tolist()
         digest = xxhash.xxh64_intdigest
         hashes = [digest(raw[s:e], SEED) for s, e in zip(starts, ends[shingle - 1 :])]
-    h = np.array(hashes, dtype=np.uint64)
+    return majority(np.array(hashes, dtype=np.uint64))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
     for k in range(0, len(h), 1 << 16):
         ones += np.unpackbits(h[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -141,7 +145,7 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Five-word shingles, and the similarity (Jaccard) from which texts are near-copies.
 NEAR_SHINGLE, NEAR_SIMILARITY = 5, 0.8
-#: Bands of a text's MinHash and hashes of a band: a pair of similarity 0.8 shares a band but for 7 in 100,000.
+#: Bands of a text's smallest hashes and hashes of a band: a pair of similarity 0.8 shares a band but for 7 in 100,000.
 BANDS, ROWS = 24, 5
 MIX = np.random.default_rng(41).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 
@@ -170,11 +174,15 @@ def bands(hashes: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def band_column(text: Column) -> Column:
-    @F.pandas_udf("array<long>")
-    def values(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def feature_column(text: Column) -> Column:
+    """The fingerprint of a text's set of shingles, and the bands that complete the search."""
+
+    @F.pandas_udf("fp long, bands array<long>")
+    def values(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield pd.Series([bands(shingles(t)) for t in texts], dtype=object)
+            sets = [shingles(t) for t in texts]
+            fps = np.array([majority(h) for h in sets], dtype=np.uint64).view(np.int64)
+            yield pd.DataFrame({"fp": fps, "bands": pd.Series([bands(h) for h in sets], dtype=object)})
 
     return values(text)
 
@@ -232,32 +240,52 @@ def _near_edges(similarity: float):
     return edges
 
 
+def near_candidates(classes: DataFrame) -> DataFrame:
+    """Edges (a, b) between rows of ``classes`` (row, fp, bands) that may be near-copies: those whose fingerprints are linked
+    within MAX_DISTANCE bits by pigeonring, and those that share a band, each as stars.
+
+    At similarity 0.8 fingerprints of 64 bits differ in about 10, far beyond what any filter on segments can afford, so
+    the fingerprints find the closest copies and the bands the others.
+    """
+    first = classes.groupBy("fp").agg(F.min("row").alias("row"))
+    same = classes.select("fp", F.col("row").alias("b")).join(first.withColumnRenamed("row", "a"), "fp").where("a <> b").select("a", "b")
+    linked = near_edges(first.select("fp")).select(F.col("a").alias("fp"), F.col("b").alias("other"))
+    linked = linked.join(first.withColumnRenamed("row", "a"), "fp").join(first.select(F.col("fp").alias("other"), F.col("row").alias("b")), "other").select("a", "b")
+    keyed = classes.select("row", F.explode("bands").alias("key"))
+    hubs = keyed.groupBy("key").agg(F.min("row").alias("hub"), F.count("*").alias("n")).where("n > 1")
+    stars = keyed.join(hubs, "key").where("row <> hub").select(F.col("hub").alias("a"), F.col("row").alias("b"))
+    return stars.union(same).union(linked)
+
+
 def near_copies_removed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = NEAR_SIMILARITY) -> DataFrame:
     """One row of each group of near-copies: the row of the smallest id (nulls last), and one of repeated rows.
 
-    Equal texts are one class. Classes that share a MinHash band are candidates; the pairs of one component of candidates
-    are verified by the Jaccard similarity of their sets of hashed five-word shingles, ``similarity`` or more. Null texts
-    count as empty. Groups are the components of the verified links.
+    Equal texts are one class. The pairs of one component of candidates are verified by the Jaccard similarity of their
+    sets of hashed five-word shingles, ``similarity`` or more. Null texts count as empty, and are copies of each other.
+    Groups are the components of the verified links. All columns of ``docs`` stay, whatever their names; an empty table
+    gives no rows.
     """
-    numbered = saved(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")  # from here on a row keeps its number
+    number = fresh(docs, "number")
+    numbered = saved(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")  # from here on a row keeps its number
     whole = F.coalesce(F.col(text), F.lit(""))
-    rows = numbered.select(F.col("__row").alias("row"), F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__row").alias("row")).alias("rank"), F.md5(whole.cast("binary")).alias("digest"), band_column(whole).alias("bands"))
-    rows = saved(rows, "features")
+    rank = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(number).alias("row"))
+    rows = numbered.select(F.col(number).alias("row"), rank.alias("rank"), F.md5(whole.cast("binary")).alias("digest"), feature_column(whole).alias("f"))
+    rows = saved(rows.select("row", "rank", "digest", "f.fp", "f.bands"), "features")
     best = rows.groupBy("digest").agg(F.min("rank").alias("rank"))
     classes = rows.join(best.select(F.col("rank.row").alias("row")), "row", "left_semi")
-    keyed = classes.select("row", F.explode("bands").alias("key"))
-    hubs = keyed.groupBy("key").agg(F.min("row").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    stars = keyed.join(hubs, "key").where("row <> hub").select(F.col("hub").alias("a"), F.col("row").alias("b"))
-    members = saved(connected_components(stars).withColumnRenamed("id", "row").withColumnRenamed("component", "key"), "candidates")
-    sets = numbered.select(F.col("__row").alias("row"), whole.alias("text")).join(members.select("row"), "row").select("row", shingle_column(F.col("text")).alias("shingles"))
+    members = saved(connected_components(near_candidates(classes)).withColumnRenamed("id", "row").withColumnRenamed("component", "key"), "candidates")
+    sets = numbered.select(F.col(number).alias("row"), whole.alias("text")).join(members.select("row"), "row").select("row", shingle_column(F.col("text")).alias("shingles"))
     dealt = block_pairs(members, "key", "row", BLOCK, sets)
     edges = dealt.mapInPandas(_near_edges(similarity), "a long, b long")
     found = connected_components(edges).withColumnRenamed("id", "row")
     named = classes.select("row", "rank").join(found, "row", "left").withColumn("component", F.coalesce("component", "row"))
-    kept = named.groupBy("component").agg(F.min("rank").alias("rank")).select(F.col("rank.row").alias("__row"))
-    return numbered.join(kept, "__row", "left_semi").select(docs.columns)
+    kept = named.groupBy("component").agg(F.min("rank").alias("rank")).select(F.col("rank.row").alias(number))
+    return numbered.join(kept, number, "left_semi").select(docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-copies stays (five-word shingles, similarity 0.8 or more)."""
+    """One document of each group of near-copies stays, with its columns: the one of the smallest id, nulls last, and of
+    rows that repeat it one. Near-copies are linked texts of similarity 0.8 or more over five-word shingles. Null and
+    empty texts are one group; shorter texts are one shingle; an empty table gives no rows.
+    """
     return near_copies_removed(docs)
