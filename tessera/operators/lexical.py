@@ -1,51 +1,108 @@
-"""BM25 over an inverted index that is kept as tables."""
+"""BM25 over an index of terms that is kept as tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+from itertools import islice
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from .topk import PASS, best_rows, top
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
-def postings(docs: DataFrame, id_col: str, text: str, tokenizer=tokens) -> DataFrame:
-    """(term, id, tf, dl), a row for each term of each text. Counts are made within a text's own task: nothing but the
-    rows of one text meet, so no shuffle is needed when each id stands once.
+def term_lists(docs: DataFrame, id_col: str, text: str, tokenizer=tokens) -> DataFrame:
+    """(id, dl, terms, tfs): the number of a text's terms, its distinct terms in order, and how often each stands there.
+
+    Terms are sorted and counted within a row, so nothing is shuffled; a text without a term has empty lists. Rows of a
+    null id are no documents.
     """
-    terms = docs.select(F.col(id_col).alias("id"), tokenizer(F.col(text)).alias("ts")).where(F.size("ts") > 0)
-    counted = terms.select("id", F.size("ts").alias("dl"), F.explode("ts").alias("term"))
-    return counted.groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.coalesce(F.sort_array(tokenizer(F.col(text))), F.array().cast("array<string>")).alias("ts"))
+    n = F.size("ts")
+    at = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get("ts", i) != F.get("ts", i - 1)))
+    rows = rows.select("id", n.alias("dl"), "ts", F.when(n > 0, at).otherwise(F.array().cast("array<int>")).alias("at"))
+    end = lambda j: F.coalesce(F.get("at", j + 1), F.col("dl"))
+    return rows.select("id", "dl", F.transform("at", lambda i: F.get("ts", i)).alias("terms"), F.transform("at", lambda i, j: (end(j) - i).cast("int")).alias("tfs"))
+
+
+def postings(lists: DataFrame) -> DataFrame:
+    """(term, id, tf, dl), a row for each term of each text."""
+    rows = lists.select("id", "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("p"))
+    return rows.select(F.col("p.terms").alias("term"), "id", F.col("p.tfs").alias("tf"), "dl")
 
 
-def corpus_statistics(docs: DataFrame, posts: DataFrame, text: str, tokenizer=tokens) -> DataFrame:
+def corpus_statistics(lists: DataFrame) -> DataFrame:
     """One row (n, avgdl); texts without a term count as documents of length zero."""
-    return docs.agg(F.count("*").alias("n"), F.avg(F.size(tokenizer(F.col(text)))).alias("avgdl"))
+    return lists.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
-def term_statistics(posts: DataFrame, stats: DataFrame, epsilon: float = EPSILON) -> DataFrame:
+def term_statistics(lists: DataFrame, stats: DataFrame, epsilon: float = EPSILON) -> DataFrame:
     """(term, df, idf). A negative idf is lifted to ``epsilon`` of the mean idf of all terms."""
-    df = posts.groupBy("term").agg(F.count("*").alias("df"))
+    df = lists.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     raw = df.crossJoin(F.broadcast(stats.select("n"))).withColumn("raw", F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))  # one row
     mean = raw.agg(F.avg("raw").alias("mean"))
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.lit(epsilon) * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25_topk(queries: DataFrame, query_id: str, query: str, posts: DataFrame, stats: DataFrame, terms: DataFrame, k: int = 5, k1: float = K1, b: float = B, tokenizer=tokens) -> DataFrame:
+def _weights(asked: DataFrame, terms: DataFrame) -> Iterator[tuple]:
+    """(question, [(term, weight)]) of the questions that hold a term of the index."""
+    rows = asked.join(terms, "term").groupBy("query_id").agg(F.collect_list(F.struct("term", (F.col("qtf") * F.col("idf")).alias("w"))).alias("ws"))
+    for r in rows.toLocalIterator():
+        yield r["query_id"], r["ws"]
+
+
+def _kernel(some: list[tuple], avgdl: float, k1: float, b: float):
+    words = {t: k for k, t in enumerate(sorted({x["term"] for _, ws in some for x in ws}))}
+    owner = np.repeat(np.arange(len(some)), [len(ws) for _, ws in some])
+    term = np.fromiter((words[x["term"]] for _, ws in some for x in ws), np.int64, len(owner))
+    weight = np.fromiter((x["w"] for _, ws in some for x in ws), np.float64, len(owner))
+
+    def score(batch: pd.DataFrame):
+        sizes = batch["terms"].map(len).to_numpy()
+        number = np.fromiter((words.get(t, -1) for ts in batch["terms"] for t in ts), np.int64, int(sizes.sum()))
+        tf = np.concatenate([*batch["tfs"], np.zeros(0)])
+        row = np.repeat(np.arange(len(batch)), sizes)
+        hit = np.flatnonzero(number >= 0)
+        met, number = np.unique(number[hit], return_inverse=True)
+        tf, row = tf[hit], row[hit]
+        part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * batch["dl"].to_numpy()[row] / avgdl))
+        share, there = np.zeros((len(met), len(batch))), np.zeros((len(met), len(batch)), np.float32)
+        share[number, row], there[number, row] = part, 1
+        at = np.full(len(words), -1)
+        at[met] = np.arange(len(met))
+
+        def of(first: int, last: int) -> np.ndarray:
+            own = slice(*np.searchsorted(owner, (first, last)))
+            asked = np.flatnonzero(at[term[own]] >= 0) + own.start
+            w, any_of = np.zeros((last - first, len(met))), np.zeros((last - first, len(met)), np.float32)
+            w[owner[asked] - first, at[term[asked]]], any_of[owner[asked] - first, at[term[asked]]] = weight[asked], 1
+            return np.where(any_of @ there > 0, -np.round(w @ share, 6), np.inf)
+
+        return batch["id"].to_numpy(), of
+
+    return score
+
+
+def bm25_topk(queries: DataFrame, query_id: str, query: str, lists: DataFrame, stats: DataFrame, terms: DataFrame, k: int = 5, k1: float = K1, b: float = B, tokenizer=tokens) -> DataFrame:
     """(query_id, id, score, rank): the best ``k`` texts of each question, by score rounded to 6 digits, then id.
 
-    Only terms of questions reach the index; a repeated term of a question counts each time. Texts that share no term
-    with a question don't appear.
+    A repeated term of a question counts each time. Texts that share no term with a question don't appear. The weights
+    of PASS questions at a time are sent to the texts' tasks; a task scores its texts where they are and keeps ``k`` of
+    them for each question, so a term that stands in every text moves no row.
     """
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(tokenizer(F.col(query))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    weighted = asked.join(terms, "term").join(posts, "term").crossJoin(F.broadcast(stats.select("avgdl")))
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = weighted.groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
+    avgdl = float(stats.first()["avgdl"] or 1.0)
+    kinds = queries.schema[query_id].dataType.simpleString(), lists.schema["id"].dataType.simpleString()
+    weights, found = _weights(asked.where("query_id is not null"), terms), None
+    while (some := list(islice(weights, PASS))) or found is None:
+        part = best_rows(lists, [q for q, _ in some], _kernel(some, avgdl, k1, b), k, *kinds)
+        found = part if found is None else found.unionByName(part)
+        if not some:
+            break
+    scored = found.select("query_id", "id", (-F.col("score")).alias("score"))
     return top(scored, "query_id", [F.desc("score"), F.asc("id")], k)
-
-
-def top(rows: DataFrame, by: str, order: list[Column], k: int, name: str = "rank") -> DataFrame:
-    """The first ``k`` rows of each group, numbered from 1; the optimizer cuts each partition to ``k`` before it is shuffled."""
-    w = Window.partitionBy(by).orderBy(*order)
-    return rows.withColumn(name, F.row_number().over(w)).where(F.col(name) <= k)

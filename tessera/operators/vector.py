@@ -1,56 +1,54 @@
-"""Exact nearest neighbours, a block of questions at a time."""
+"""Exact nearest neighbours, blocks of questions against batches of rows."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lexical import top
+from .topk import PASS, best_rows, top
 
-#: Questions of a block: the vectors of one block are sent to every task, whatever the number of questions.
-BLOCK = 2048
 
+def _kernel(vectors: list, metric: str):
+    q = np.array(vectors, dtype=np.float64) if vectors else np.zeros((0, 1))
+    if metric == "cosine":
+        q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
 
-def _block_topk(ids: list, matrix: np.ndarray, base: DataFrame, id_col: str, vector: str, k: int, metric: str) -> DataFrame:
-    kind = base.schema[id_col].dataType.simpleString()
-    q = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300) if metric == "cosine" else matrix
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            b = b[b["v"].map(lambda x: x is not None and len(x) == q.shape[1])]
-            if not len(b):
-                continue
-            x = np.stack(b["v"].to_list()).astype(np.float64)
-            own = b["id"].to_numpy()
-            order = np.argsort(own, kind="stable")
-            x, own = x[order], own[order]
+    def score(batch: pd.DataFrame):
+        b = batch[batch["v"].map(lambda x: x is not None and len(x) == q.shape[1])]
+        if not len(b):
+            return b["id"].to_numpy(), None
+        x = np.stack(b["v"].to_list()).astype(np.float64)
+        if metric == "cosine":
+            x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+        def of(first: int, last: int) -> np.ndarray:
             if metric == "cosine":
-                x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                score = np.round(1 - q @ x.T, 6) + 0.0
-            else:
-                score = np.round(np.stack([np.sqrt(((x - row) ** 2).sum(1)) for row in q]), 6)
-            near = np.argsort(score, axis=1, kind="stable")[:, :k]  # ties go to the smaller id
-            rows = np.repeat(np.arange(len(q)), near.shape[1])
-            yield pd.DataFrame({"query_id": np.array(ids)[rows], "id": own[near.ravel()], "distance": score[rows, near.ravel()]})
+                return np.round(1 - q[first:last] @ x.T, 6) + 0.0
+            return np.round(np.stack([np.sqrt(((x - row) ** 2).sum(1)) for row in q[first:last]]), 6)
 
-    return base.select(F.col(id_col).alias("id"), F.col(vector).alias("v")).mapInPandas(run, f"query_id {kind}, id {kind}, distance double")
+        return b["id"].to_numpy(), of
+
+    return score
 
 
 def vector_topk(queries: DataFrame, base: DataFrame, id_col: str, vector: str, k: int = 5, metric: str = "l2") -> DataFrame:
     """(query_id, id, distance, rank): the ``k`` nearest rows of each question by Euclidean or cosine distance, rounded to
-    6 digits, ties to the smaller id.
+    6 digits, ties to the smaller id. Rows of a null id or vector, or of another width, are no neighbours.
 
-    A task keeps the best ``k`` of its batches, so ``k`` rows of a question and batch are shuffled, never all pairs.
+    PASS questions at a time are sent to the rows' tasks. A task keeps the best ``k`` of all its rows for each question,
+    and only these are shuffled, never all pairs.
     """
-    asked = [(r[0], r[1]) for r in queries.select(id_col, vector).where(F.col(vector).isNotNull()).toLocalIterator()]
+    asked = queries.select(id_col, vector).where(F.col(vector).isNotNull() & F.col(id_col).isNotNull()).toLocalIterator()
+    kind = base.schema[id_col].dataType.simpleString()
+    rows = base.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector).alias("v"))
     found = None
-    for at in range(0, max(len(asked), 1), BLOCK):
-        some = asked[at : at + BLOCK]
-        matrix = np.array([v for _, v in some], dtype=np.float64) if some else np.zeros((0, 1))
-        part = _block_topk([i for i, _ in some], matrix, base, id_col, vector, k, metric)
+    while (some := [(r[0], r[1]) for r in islice(asked, PASS)]) or found is None:
+        part = best_rows(rows, [i for i, _ in some], _kernel([v for _, v in some], metric), k, kind, kind)
         found = part if found is None else found.unionByName(part)
-    return top(found, "query_id", [F.asc("distance"), F.asc("id")], k)
+        if not some:
+            break
+    return top(found.withColumnRenamed("score", "distance"), "query_id", [F.asc("distance"), F.asc("id")], k)

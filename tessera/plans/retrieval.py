@@ -6,23 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import chunking, context, fusion, lexical, metrics, vector
+from ..operators import chunking, context, fusion, metrics, vector
+from ..sources import index
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _index(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    posts = lexical.postings(docs, "doc_id", "text")
-    stats = lexical.corpus_statistics(docs, posts, "text")
-    return docs, posts, stats, lexical.term_statistics(posts, stats)
+def _index(spark, sf_dir) -> index.LexicalIndex:
+    return index.kept_lexical(spark, f"{sf_dir}/documents.parquet", "doc_id", "text")
 
 
 def bm25(spark, sf_dir, k=5):
-    _, posts, stats, terms = _index(spark, sf_dir)
-    return lexical.bm25_topk(read(spark, sf_dir, "benchmark"), "item_id", "text", posts, stats, terms, k)
+    return _index(spark, sf_dir).search(read(spark, sf_dir, "benchmark"), "item_id", "text", k)
 
 
 def bm25_topk(spark, sf_dir):
@@ -30,9 +27,9 @@ def bm25_topk(spark, sf_dir):
 
 
 def bm25_stats(spark, sf_dir):
-    _, posts, stats, terms = _index(spark, sf_dir)
-    one = terms.agg(F.count("*").alias("terms"), F.max("df").alias("max_df"), F.round(F.avg("idf"), 6).alias("mean_idf"))
-    return stats.select("n", F.round("avgdl", 6).alias("avgdl")).crossJoin(one)
+    found = _index(spark, sf_dir)
+    one = found.terms.agg(F.count("*").alias("terms"), F.max("df").alias("max_df"), F.round(F.avg("idf"), 6).alias("mean_idf"))
+    return found.stats.select("n", F.round("avgdl", 6).alias("avgdl")).crossJoin(one)  # a row each
 
 
 TOKENS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
@@ -74,21 +71,36 @@ d as (select q.vec_id query_id, b.vec_id id, round({distance}, 6) distance from
 select query_id, id, distance, row_number() over (partition by query_id order by distance, id) rank from d qualify rank <= 5"""
 
 
+#: So many items of one or two words are sent to the documents' tasks.
+SHORT_ITEMS = 10_000
+
+
 def gold_pairs(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(item_id, doc_id) of items that stand word for word in a document.
 
-    An item's second to fifth words stand whole in every document that holds it, so documents and items meet on runs of
-    four words, and only those pairs are searched; items too short for that are compared with every document.
+    All words of an item but the first and last stand whole in every document that holds it, so documents and items meet on
+    runs of four words, of an item's inner words the first four, and only those pairs are searched. Items of three to five
+    words meet documents on their one to three inner words in the same way. Items of one or two words may lie within a
+    word; their number is checked, and each is searched in every text where it is read.
     """
     words = F.filter(F.split("text", r"[ \n\t\r\f\u000b]+"), lambda w: w != "")
     item = items.select("item_id", F.col("text").alias("item"), words.alias("ws")).where("item is not null and item <> ''")
-    inner = F.size("ws") >= 6
-    anchored = item.where(inner).select("item_id", "item", F.xxhash64(F.array_join(F.slice("ws", 2, 4), " ")).alias("h"))
-    runs = docs.select("doc_id", "text", words.alias("ws"))
-    runs = runs.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("ws") - 3, F.lit(1))), lambda n: F.xxhash64(F.array_join(F.slice("ws", n, 4), " "))))).alias("h"))
-    pairs = runs.join(anchored, "h").select("doc_id", "item_id", "item").distinct().join(docs.select("doc_id", "text"), "doc_id")
-    short = docs.select("doc_id", "text").join(item.where(~inner).select("item_id", "item"), F.col("text").contains(F.col("item")))
-    return pairs.where(F.col("text").contains(F.col("item"))).select("item_id", "doc_id").unionByName(short.select("item_id", "doc_id"))
+    size = F.least(F.size("ws") - 2, F.lit(4))
+    anchored = item.where(size >= 1).select("item_id", "item", size.alias("size"), F.xxhash64(F.array_join(F.slice("ws", F.lit(2), size), " ")).alias("h"))
+    sizes = [r[0] for r in anchored.select("size").distinct().collect()]  # four at most
+    found = None
+    for n in sorted(sizes):
+        runs = docs.select("doc_id", words.alias("ws")).where(F.size("ws") >= n)
+        run = F.transform(F.sequence(F.lit(1), F.size("ws") - n + 1), lambda k, n=n: F.xxhash64(F.array_join(F.slice("ws", k, n), " ")))
+        wanted = anchored.where(F.col("size") == n).select("item_id", "item", "h")
+        met = runs.select("doc_id", F.explode(F.array_distinct(run)).alias("h")).join(wanted, "h").select("doc_id", "item_id", "item").distinct()
+        found = met if found is None else found.unionByName(met)
+    few = item.where(size < 1).select("item_id", "item")
+    short = docs.join(F.broadcast(few) if few.count() <= SHORT_ITEMS else few, F.col("text").contains(F.col("item"))).select("item_id", "doc_id")
+    if found is None:
+        return short
+    pairs = found.join(docs.select("doc_id", "text"), "doc_id").where(F.col("text").contains(F.col("item")))
+    return pairs.select("item_id", "doc_id").unionByName(short)
 
 
 def gold(spark, sf_dir):
@@ -143,7 +155,7 @@ def _branches(spark, sf_dir):
 
 
 def hybrid_rrf(spark, sf_dir):
-    out = fusion.reciprocal_rank_fusion(_branches(spark, sf_dir), [0.5, 0.5])
+    out = fusion.hybrid(_branches(spark, sf_dir), [0.5, 0.5])
     return out.select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -166,9 +178,8 @@ def _sub_results(spark, sf_dir):
     half = (F.size("ws") / 2).cast("int")
     parts = items.select("item_id", F.posexplode(F.array(F.array_join(F.slice("ws", 1, half), " "), F.array_join(F.slice("ws", half + 1, F.size("ws")), " "))).alias("sub_index", "query"))
     parts = parts.withColumn("part", F.col("item_id") * 2 + F.col("sub_index"))
-    docs, posts, stats, terms = _index(spark, sf_dir)
-    found = lexical.bm25_topk(parts, "part", "query", posts, stats, terms, 5)
-    shown = found.join(docs.withColumnRenamed("doc_id", "id"), "id")
+    found = _index(spark, sf_dir).search(parts, "part", "query", 5)
+    shown = found.join(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
     return shown.select((F.col("query_id") / 2).cast("long").alias("query_id"), (F.col("query_id") % 2).alias("sub_index"), "rank", "id", "text", "score")
 
 

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
+from functools import lru_cache
 
 from pyspark.sql import SparkSession
 
@@ -15,3 +18,21 @@ def session(app: str = "tessera", master: str | None = None, partitions: int | N
     if partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
     return builder.getOrCreate()
+
+
+@lru_cache(4)
+def _local_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix="tessera-")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that the driver and all executors share: the one named by ``spark.checkpoint.dir``. Where it is unset, one of
+    this machine serves a session whose tasks all run in this process; on a cluster that is an error.
+    """
+    context = spark.sparkContext
+    at = context._jsc.sc().getCheckpointDir()
+    if at.isDefined():
+        return at.get().rsplit("/", 1)[0]  # Spark adds a folder of its own
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return _local_folder(context.applicationId)
