@@ -155,8 +155,12 @@ def caption_text(parts: Column, limit: int = 120) -> Column:
     return F.left(collapsed(F.array_join(texts, " ")), F.lit(limit))
 
 
+#: Captions without a model.
+CAPTION_OF_ALT, CAPTION = "图片内容与“{alt}”相关。", "文档配图，建议结合上下文理解。"
+
+
 def fallback_caption(alt: Column) -> Column:
-    return F.when(F.coalesce(alt, F.lit("")) != "", F.concat(F.lit("图片内容与“"), alt, F.lit("”相关。"))).otherwise("文档配图，建议结合上下文理解。")
+    return F.when(F.coalesce(alt, F.lit("")) != "", F.concat(F.lit(CAPTION_OF_ALT.split("{alt}")[0]), alt, F.lit(CAPTION_OF_ALT.split("{alt}")[1]))).otherwise(CAPTION)
 
 
 @F.pandas_udf(T.StringType())

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pandas as pd
@@ -90,34 +92,49 @@ def route_path(url: Column, root: str = "/docs") -> Column:
     return F.when((rest == "") | (leaf == "home"), "docs/home.md").otherwise(F.concat(F.lit("docs/"), named, F.lit(".md")))
 
 
+#: Where a page's markdown may lie below the data address, best first. ``page`` is its path, ``name`` the last
+#: segment, ``above`` the path of the page above, ``group`` that page's last segment, ``short`` a path that ends in
+#: "-started" without its last two letters. A place that needs what the page hasn't is left out.
+DATA_PLACES = (
+    "{page}/{name}_CN.md",
+    "{page}_CN.md",
+    "{above}/index_CN.md",
+    "{above}/{group}_CN.md",
+    "{low_page}/{low_name}_CN.md",
+    "{low_page}_CN.md",
+    "{short_page}/{short_name}_CN.md",
+    "{short_page}_CN.md",
+)
+ROOT_PLACES = ("home/home_CN.md", "overview/overview_CN.md")
+HOME_PLACES = (*ROOT_PLACES, "home_CN.md")
+
+
 def data_candidates(url: Column, base: str, root: str = "/docs") -> Column:
-    """The addresses, best first, under which a page's markdown may lie."""
+    """The addresses, best first and each once, under which a page's markdown may lie."""
     rest = rest_path(url, root)
-    parts = F.filter(F.split(rest, "/"), lambda x: x != "")
-    n = F.size(parts)
-    leaf = F.element_at(parts, -1)
-    rel = F.array_join(parts, "/")
-    parent = F.array_join(F.slice(parts, 1, F.greatest(n - 1, F.lit(0))), "/")
-    parent_leaf = F.when(n > 1, F.try_element_at(parts, n - 1)).otherwise(leaf)
-    has_parent = n > 1
-    at = lambda *xs: F.concat(F.lit(base + "/"), *xs)
-    low_rel, low_leaf = F.lower(rel), F.lower(leaf)
-    alias = F.left(leaf, F.length(leaf) - 2)
-    alias_rel = F.when(has_parent, F.concat(parent, F.lit("/"), alias)).otherwise(alias)
-    lower = (low_rel != rel) | (low_leaf != leaf)
-    started = leaf.endswith("-started")
-    found = F.array(
-        at(rel, F.lit("/"), leaf, F.lit("_CN.md")),
-        at(rel, F.lit("_CN.md")),
-        F.when((leaf == "index") & has_parent, at(parent, F.lit("/index_CN.md"))),
-        F.when(has_parent, at(parent, F.lit("/"), parent_leaf, F.lit("_CN.md"))),
-        F.when(lower, at(low_rel, F.lit("/"), low_leaf, F.lit("_CN.md"))),
-        F.when(lower, at(low_rel, F.lit("_CN.md"))),
-        F.when(started, at(alias_rel, F.lit("/"), alias, F.lit("_CN.md"))),
-        F.when(started, at(alias_rel, F.lit("_CN.md"))),
-    )
-    home = [F.lit(f"{base}/home/home_CN.md"), F.lit(f"{base}/overview/overview_CN.md")]
-    return F.when(rest == "", F.array(*home)).when(rest == "home", F.array(*home, F.lit(f"{base}/home_CN.md"))).otherwise(F.array_distinct(F.filter(found, lambda x: x.isNotNull())))
+    steps = F.filter(F.split(rest, "/"), lambda x: x != "")
+    page, name, nested = F.array_join(steps, "/"), F.element_at(steps, -1), F.size(steps) > 1
+    above = F.when(nested, F.array_join(F.slice(steps, 1, F.greatest(F.size(steps) - 1, F.lit(0))), "/"))
+    short = F.when(name.endswith("-started"), F.left(name, F.length(name) - 2))
+    values = {
+        "page": page,
+        "name": name,
+        "above": above,
+        "group": F.when(nested, F.try_element_at(steps, F.greatest(F.size(steps) - 1, F.lit(1)))),
+        "low_page": F.when(F.lower(page) != page, F.lower(page)),
+        "low_name": F.lower(name),
+        "short_page": F.when(nested, F.concat(above, F.lit("/"), short)).otherwise(short),
+        "short_name": short,
+    }
+
+    def placed(place: str) -> Column:
+        parts = re.split(r"\{(\w+)\}", place)
+        filled = F.concat(F.lit(f"{base}/"), *(values[p] if k % 2 else F.lit(p) for k, p in enumerate(parts)))
+        return F.when(name == "index", filled) if place.endswith("/index_CN.md") else filled
+
+    fixed = lambda places: F.array_distinct(F.array(*(F.lit(f"{base}/{p}") for p in places)))
+    found = F.array_distinct(F.filter(F.array(*map(placed, DATA_PLACES)), lambda x: x.isNotNull()))
+    return F.when(rest == "", fixed(ROOT_PLACES)).when(rest == "home", fixed(HOME_PLACES)).otherwise(found)
 
 
 def route_of_data(url: Column, site: str, root: str = "/docs") -> Column:
@@ -133,19 +150,45 @@ def route_of_data(url: Column, site: str, root: str = "/docs") -> Column:
     return F.when(p.contains("/dist/") & F.lower(rel).endswith(".md") & (F.size(parts) > 0), full)
 
 
+def _join(base: str | None, link: str) -> str:
+    try:
+        return urljoin(base or "", link)
+    except ValueError:
+        return link
+
+
 @F.pandas_udf(T.StringType())
 def resolved(base: pd.Series, link: pd.Series) -> pd.Series:
     """A link as seen from a page; RFC 3986 resolution has no built-in."""
+    return pd.Series([_join(b, x) if x is not None else None for b, x in zip(base, link)])
+
+
+class _Anchors(HTMLParser):
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.found: list[str] = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "a":
+            href = next((v for k, v in attrs if k == "href"), None)
+            if href and href.strip():
+                self.found.append(href.strip())
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def anchors(html: pd.Series) -> pd.Series:
+    """The targets of all anchors, in page order; blank ones are left out. HTML needs a parser, and there is no built-in one."""
 
-    def one(b, x):
-        try:
-            return urljoin(b or "", x)
-        except ValueError:
-            return x
+    def one(x):
+        p = _Anchors()
+        p.feed(x)
+        p.close()
+        return p.found
 
-    return pd.Series([one(b, x) if x is not None else None for b, x in zip(base, link)])
+    return pd.Series([one(x) if x else [] for x in html], dtype=object)
 
 
-def anchors(html: Column) -> Column:
-    """The targets of all anchors, in page order."""
-    return F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r'<a [^>]*href="([^"]*)"'), F.lit(1))
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def resolved_all(base: pd.Series, links: pd.Series) -> pd.Series:
+    """Some links as seen from a page."""
+    return pd.Series([[_join(b, x) for x in xs] if xs is not None else [] for b, xs in zip(base, links)], dtype=object)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,9 +43,30 @@ def validated(raw: DataFrame, strict: bool = False) -> DataFrame:
     return out
 
 
+def _with_offsets(rows: DataFrame, bucket: Column, order: list[str], name: str) -> DataFrame:
+    """Rows numbered from 1 by bucket, then ``order``: numbers within a bucket, plus the rows of the buckets before. Only
+    the buckets' counts meet in one task, so buckets must be few.
+    """
+    dealt = rows.withColumn("__bucket", bucket)
+    counts = dealt.groupBy("__bucket").agg(F.count("*").alias("__rows"))
+    before = counts.select("__bucket", (F.sum("__rows").over(Window.orderBy("__bucket")) - F.col("__rows")).alias("__before"))
+    own = F.row_number().over(Window.partitionBy("__bucket").orderBy(*order))
+    return dealt.withColumn("__n", own).join(F.broadcast(before), "__bucket").withColumn(name, (F.col("__before") + F.col("__n")).cast("int")).drop("__bucket", "__n", "__before")
+
+
 def numbered(rows: DataFrame, order: str, name: str = "n") -> DataFrame:
-    """Rows numbered from 1 in the order of a column; a file of cases is small, and its numbers are its lines'."""
-    return rows.withColumn(name, F.row_number().over(Window.orderBy(order)))
+    """Rows numbered from 1 in the order of a column of ``monotonically_increasing_id``, whose upper bits are a partition's number."""
+    return _with_offsets(rows, F.shiftright(F.col(order), 33), [order], name)
+
+
+def numbered_by(rows: DataFrame, column: str, name: str = "n", width: int = 2) -> DataFrame:
+    """Rows numbered from 1 in the order of a text column's code points. A bucket holds the texts that agree in
+    ``width`` characters after the prefix that all of them share.
+    """
+    ends = rows.agg(F.min(column).alias("a"), F.max(column).alias("b")).first()
+    a, b = ends["a"] or "", ends["b"] or ""
+    common = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    return _with_offsets(rows, F.substring(column, 1, common + width), [column], name)
 
 
 def _first(df: DataFrame, *names: str) -> Column:
@@ -111,8 +135,8 @@ SUFFIXES = {
 
 
 def _by_level(level: Column, values: dict, make) -> Column:
-    out = make(values["hard"])
-    for name in ("medium", "easy"):
+    out = make(values["easy"])  # also of an unknown level
+    for name in ("hard", "medium"):
         out = F.when(level == name, make(values[name])).otherwise(out)
     return out
 
@@ -143,9 +167,12 @@ def diversified(rows: DataFrame, query: str, title: str, level: str, position: s
 
 
 def shuffled(rows: DataFrame, id_col: str, seed: int) -> DataFrame:
-    """A fixed order that looks random: ``position`` from 0 by a digest of the seed and the id."""
+    """A fixed order that looks random: ``position`` from 0 by a digest of the seed and the id. The digest's first three
+    digits deal the rows in 4096 buckets, so no task sorts the whole set.
+    """
     digest = F.sha1(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
-    return rows.withColumn("__d", digest).withColumn("position", F.row_number().over(Window.orderBy("__d", id_col)) - 1).drop("__d")
+    dealt = _with_offsets(rows.withColumn("__d", digest), F.substring("__d", 1, 3), ["__d", id_col], "position")
+    return dealt.withColumn("position", F.col("position") - 1).drop("__d")
 
 
 def cyclic_batches(ordered: DataFrame, batches: int, size: int) -> DataFrame:
@@ -166,3 +193,71 @@ def linked_docids(proposed: Column, batch: Column, fallback: Column) -> Column:
     """The first three proposed ids that are of the batch, else the fallback alone."""
     own = F.slice(F.filter(proposed, lambda x: F.array_contains(batch, x)), 1, 3)
     return F.when(F.size(own) > 0, own).otherwise(F.array(fallback))
+
+
+#: What marks a generated case.
+CASE_TAGS = ("auto_generated", "need_human_review", "docid_labeled", "question_only")
+
+
+def generated_cases(docs: DataFrame, total: int, seed: int = 42, docs_per_call: int = 5, per_call: int = 30, ask: Callable[[int, list[dict]], list[dict]] | None = None, model: str = "") -> tuple[DataFrame, DataFrame]:
+    """``total`` question cases on documents (docid, title, url, snippet), and the counters of their calls.
+
+    A call shows a model a few documents of a fixed shuffle and asks for questions: ``ask(count, documents)`` gives rows
+    (query, difficulty, source_docids), is tried twice, and may fail; templates then make the call's questions. Calls are
+    rows of a table and run in parallel, so each asks for its full share, and numbers are given afterwards in order.
+    Returns (case_id, query, expected_docids, difficulty, dataset_type, tags, metadata), and one row (llm_success, fallback).
+    """
+    if total <= 0 or docs_per_call <= 0 or per_call <= 0:
+        raise ValueError("counts must be positive")
+    calls = -(-total // per_call)
+    payload = F.struct("docid", "title", "url", "snippet")
+    placed = cyclic_batches(shuffled(docs, "docid", seed), calls, docs_per_call)
+    batches = placed.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("place", payload.alias("d")))).alias("ds"))
+    batches = batches.select("batch", F.transform("ds", lambda x: x["d"]).alias("documents"), questions_per_call(F.col("batch") + 1, per_call, total).alias("wanted"))
+    item = "struct<query:string,difficulty:string,source_docids:array<string>>"
+
+    @F.pandas_udf(f"array<{item}>")
+    def asked(documents: pd.Series, wanted: pd.Series) -> pd.Series:
+        def one(shown, count):
+            own = [dict(d) for d in shown]
+            for _ in range(2):
+                try:
+                    found = [x for x in ask(int(count), own) if isinstance(x, dict)]
+                except Exception:  # noqa: BLE001 - a model's failure must not lose the call
+                    continue
+                if found:
+                    ids = lambda v: [v] if isinstance(v, str) else [x for x in v or [] if isinstance(x, str)]
+                    return [{"query": str(x.get("query") or ""), "difficulty": str(x.get("difficulty") or ""), "source_docids": ids(x.get("source_docids"))} for x in found[: int(count)]]
+            return []
+
+        return pd.Series([one(d, n) for d, n in zip(documents, wanted)], dtype=object)
+
+    got = batches.withColumn("items", asked("documents", "wanted") if ask else F.array().cast(f"array<{item}>"))
+    got = got.withColumn("llm", F.size("items") > 0)
+    blank = F.transform(F.sequence(F.lit(1), F.greatest(F.col("wanted"), F.lit(1))), lambda _: F.lit(None).cast(item))
+    rows = got.where("wanted > 0").select("batch", "documents", "llm", F.posexplode(F.when(F.col("llm"), F.col("items")).otherwise(blank)).alias("place", "item"))
+    before = got.groupBy("batch").agg(F.sum(F.when(F.col("llm"), F.size("items")).otherwise(F.col("wanted"))).alias("made"))
+    before = before.select("batch", (F.sum("made").over(Window.orderBy("batch")) - F.col("made")).alias("before"))  # a row a call
+    rows = rows.join(F.broadcast(before), "batch").withColumn("n", (F.col("before") + F.col("place") + 1).cast("int")).where(F.col("n") <= total)
+    known = F.transform("documents", lambda d: d["docid"])
+    choice = F.pmod(F.xxhash64(F.lit(seed), "n"), F.size("documents")).cast("int")
+    rows = rows.withColumn("docids", linked_docids(F.coalesce(F.col("item.source_docids"), F.array().cast("array<string>")), known, F.get(known, choice)))
+    meta = lambda c: F.transform("docids", lambda x: F.coalesce(F.get(F.filter("documents", lambda d: d["docid"] == x), 0)[c], F.lit("")))
+    rows = rows.withColumn("titles", meta("title")).withColumn("addresses", meta("url"))
+    rows = rows.withColumn("difficulty", tx.normalize_difficulty(F.col("item.difficulty"), F.col("n"), F.lit(total)))
+    title = F.coalesce(F.get("titles", 0), F.lit(""))
+    query = tx.normalize_query(F.coalesce(F.col("item.query"), F.lit("")))
+    template = template_question(title, F.col("difficulty"), F.xxhash64(F.lit(seed), "n", F.lit(1)))
+    rows = rows.withColumn("query", F.when((tx.stripped(F.coalesce(F.col("item.query"), F.lit(""))) == "") | tx.is_weak_question(query), tx.normalize_query(template)).otherwise(query))
+    rows = diversified(rows.withColumn("title", title), "query", F.col("title"), "difficulty", "n")
+    facts = F.struct(
+        F.lit("pending").alias("review_status"),
+        F.col("docids").alias("source_docids"),
+        F.col("titles").alias("source_titles"),
+        F.col("addresses").alias("source_urls"),
+        F.lit(model).alias("embedding_model"),
+        F.lit("llm_question_only").alias("generation_mode"),
+        F.when(F.col("llm"), "llm").otherwise("fallback").alias("generation_source"),
+    )
+    cases = rows.select(F.concat(F.lit("auto_q_"), F.col("n")).alias("case_id"), "query", F.col("docids").alias("expected_docids"), "difficulty", F.lit("qa").alias("dataset_type"), F.array(*map(F.lit, CASE_TAGS)).alias("tags"), facts.alias("metadata"))
+    return cases, got.where("wanted > 0").agg(F.count_if("llm").alias("llm_success"), F.count_if(~F.col("llm")).alias("fallback"))

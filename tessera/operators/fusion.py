@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .lexical import top
+from .topk import top
 
 RRF_CONSTANT = 60
 
@@ -32,6 +32,16 @@ def reciprocal_rank_fusion(branches: list[DataFrame], weights: list[float], k: i
     return out.where(F.col("rank") <= k) if k else out
 
 
+def hybrid(branches: list[DataFrame | None], weights: list[float], k: int | None = None) -> DataFrame:
+    """Rank fusion of the branches (query_id, id, rank) that there are. A branch without an index is None, and one that
+    found nothing for a question takes no part in it; with one branch left its own order holds.
+    """
+    there = [(b, w) for b, w in zip(branches, weights) if b is not None]
+    if not there:
+        raise ValueError("there is neither a vector nor a lexical index")
+    return reciprocal_rank_fusion([b for b, _ in there], [w for _, w in there], k)
+
+
 def merge_queries(results: DataFrame, content: str) -> DataFrame:
     """Results (query_id, sub_index, rank, ...) of a question's parts in order of the parts, each content once: the first."""
     keyed = results.withColumn("__key", F.regexp_replace(content, r"^\s+|\s+$", ""))

@@ -131,7 +131,7 @@ def snippets(spark, sf_dir):
 
 
 def _edges(spark, sf_dir):
-    """The pages' links; each site's links lead to pages of the same path on it."""
+    """The links of all pages, resolved and normalised."""
     return crawl.link_edges(_pages(spark, sf_dir))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..operators.context import context, graded_text
 
 MAX_REWRITES = 1
 
@@ -68,6 +69,14 @@ def default_generate(question: Column, context: Column) -> Column:
     return F.concat(question, F.lit("\n\n"), F.coalesce(context, F.lit("")))
 
 
+#: Documents that a simple question is answered from.
+RETRIEVED = 5
+
+
+def default_chat(message: Column) -> Column:
+    return message
+
+
 @dataclass
 class Models:
     """The slots of a flow. ``retrieve`` takes questions (query_id, query) and gives (query_id, position, docid, page_content, source_url, image_map)."""
@@ -79,19 +88,21 @@ class Models:
     rewrite: Callable[[Column], Column] = default_rewrite
     grade: Callable[[Column, Column], Column] = default_grade
     generate: Callable[[Column, Column], Column] = default_generate
+    chat: Callable[[Column], Column] = default_chat
     rerank: Callable[[Column, Column], Column] = field(default=lambda q, d: F.coalesce(tx.reference_overlap(F.lower(d), F.lower(q)), F.lit(0.0)))
     strict_grade: bool = True
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    from ..operators.context import context
-
     return context(docs).select("query_id", "context", "image_registry")
 
 
 def answer(questions: DataFrame, models: Models) -> DataFrame:
     """(query_id, query, datasource, path, loop_step, context, image_registry, answer) of a batch (query_id, query).
 
+    What the grader reads is the first documents, cut; what the generator reads is the whole context. Retrieval keeps the
+    first RETRIEVED documents of a question.
+
     The bounded loop, one rewrite at most, is unrolled; branches are filtered before a model sees them and joined by a union.
     """
     from ..operators import fusion
@@ -109,10 +120,9 @@ def answer(questions: DataFrame, models: Models) -> DataFrame:
     parallel = docs.where("path = 'parallel'").select("query_id", "query", "path", F.lit(0).alias("loop_step")).join(_texts(ranked), "query_id", "left")
 
     def graded(q: DataFrame, step: int) -> tuple[DataFrame, DataFrame]:
-        got = models.retrieve(q.select("query_id", "query"))
-        texts = _texts(got)
-        seen = q.join(texts, "query_id", "left")
-        score = models.grade(F.col("query"), F.coalesce("context", F.lit("")))
+        got = models.retrieve(q.select("query_id", "query")).where(F.col("position") <= RETRIEVED)
+        seen = q.join(_texts(got), "query_id", "left").join(graded_text(got), "query_id", "left")
+        score = models.grade(F.col("query"), F.coalesce("documents", F.lit("")))
         return seen.withColumn("next", grade_route(F.col("context").isNotNull(), F.lit(step), score, models.strict_grade)), got
 
     first, _ = graded(docs.where("path = 'simple'").select("query_id", "query"), 0)
@@ -127,4 +137,5 @@ def answer(questions: DataFrame, models: Models) -> DataFrame:
     out = chat
     for branch in (parallel, *done, lost):
         out = out.unionByName(branch)
-    return out.withColumn("answer", models.generate(F.col("query"), F.col("context")))
+    said = F.when(F.col("path") == "chat", models.chat(F.col("query"))).otherwise(models.generate(F.col("query"), F.col("context")))
+    return out.withColumn("answer", said)

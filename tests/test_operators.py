@@ -1,8 +1,12 @@
+import hashlib
+
+import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from tessera.operators import chunking, context, crawl, evalset, fusion, metrics, vector
+from tessera import schemas
+from tessera.operators import chunking, context, crawl, evalset, fusion, lexical, metrics, topk, vector
 from tessera.plans import config, flow
 
 
@@ -67,7 +71,8 @@ def test_fusion_and_rerank(spark):
 def test_vector_blocks(spark, monkeypatch):
     base = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(20)] + [(99, None)], "id int, v array<float>")
     whole = sorted(map(tuple, vector.vector_topk(base.where("id < 6"), base, "id", "v", 3).collect()))
-    monkeypatch.setattr(vector, "BLOCK", 2)
+    monkeypatch.setattr(topk, "BLOCK", 2)
+    monkeypatch.setattr(vector, "PASS", 4)
     assert sorted(map(tuple, vector.vector_topk(base.where("id < 6"), base, "id", "v", 3).collect())) == whole
     assert vector.vector_topk(base.where("id < 0"), base, "id", "v", 3).count() == 0
 
@@ -115,8 +120,14 @@ def test_crawl(spark):
     seeds = spark.createDataFrame([("a",)], "url string")
     assert sorted(map(tuple, crawl.breadth_first(edges, seeds, 2).collect())) == [("a", 0), ("b", 1), ("c", 2)]
     assert crawl.breadth_first(edges, seeds, 5, max_pages=2).count() == 2
-    tree = spark.createDataFrame([("r", "docs/a.md"), ("r", "README.md"), ("r", "src/x.md"), ("r", "docs/b.txt")], "repo string, path string")
-    assert {r["path"] for r in crawl.repository_files(tree).collect()} == {"docs/a.md", "README.md"}
+    files = ["README.md", "docs/a.md", "src/readme.md", "src/x.md", "docs/b.txt", "readme_cn.md", "Doc/z.md", "docs/dir.md"]
+    tree = spark.createDataFrame([("r", p, n, "tree" if "dir" in p else "blob") for n, p in enumerate(files)], "repo string, path string, position int, type string")
+    assert {r["path"] for r in crawl.repository_files(tree).collect()} == {"README.md", "docs/a.md", "readme_cn.md", "Doc/z.md"}
+    assert {r["path"] for r in crawl.repository_files(tree, 2).collect()} == {"README.md", "docs/a.md"}
+    sources = spark.createDataFrame([("docs",), ("learn",)], "name string")
+    assert [r[0] for r in crawl.selected_sources(sources, " docs, x").collect()] == ["docs"] and crawl.selected_sources(sources, "").count() == 2
+    report = crawl.link_report(spark.createDataFrame([(u,) for u in ("h/b", "h/a", "h/b", "h/", None, "h/ab")], "link string"))
+    assert sorted((r["position"], r["link"]) for r in report.collect()) == [(1, "h/"), (2, "h/a"), (3, "h/ab"), (4, "h/b")]
     m = spark.createDataFrame([({"A": "https://d.example/docs/a/", "B": "https://d.example/docs/a", "C": "https://x.example/"},)], "m map<string,string>")
     assert [r["origin"] for r in crawl.mapping_origins(m, "m", "d.example").collect()] == ["https://d.example/docs/a"]
 
@@ -136,3 +147,99 @@ def test_config():
     assert config.model_for("judge", {"strong": "m"}, {}) == "m" and config.model_for("judge", {"strong": "m"}, {"MODEL_JUDGE": "x"}) == "x"
     with pytest.raises(ValueError):
         config.text_embedding_model("some-VL-embed")
+
+
+def test_web_round(spark):
+    """A site of four pages: a thin page is read by the reader, links are followed once, others' sites are left alone."""
+    long = "word " * 60
+    site = {
+        "https://d.example/docs": f"<title>Home</title><main><p>{long}</p><a href='/docs/thin#x'>t</a><a href='https://other.example/docs'>o</a></main>",
+        "https://d.example/docs/thin": "<title>Thin</title><main>few</main><a href='/docs'>back</a><a href='/docs/gone'>g</a><a href='/docs/deep'>d</a>",
+        "https://d.example/docs/deep": f"<main>{long}</main><a href='/docs/deeper'>d</a>",
+        "https://d.example/docs/deeper": f"<main>{long}</main>",
+    }
+    pages = spark.createDataFrame([(u, 200, "text/html", h) for u, h in site.items()], "url string, status int, content_type string, html string")
+    fetch = lambda urls: urls.join(pages, "url", "left").fillna({"status": 404, "content_type": ""})
+    read = lambda urls: urls.withColumn("page", F.lit(f"Title: Read\n\nMarkdown Content:\n# Read\n{long}"))
+    seeds = spark.createDataFrame([("https://D.example/docs/",)], "url string")
+    empty = spark.createDataFrame([], schemas.CRAWL_STATE)
+    rows, state = crawl.web_round(seeds, fetch, read, empty, "docs", ["d.example"], ["/docs"], 2, 50, "now")
+    got = {r["url"].rsplit("/", 1)[1]: r for r in rows.collect()}
+    assert {k: (r["depth"], r["status"]) for k, r in got.items()} == {"docs": (0, "fetched"), "thin": (1, "fetched"), "deep": (2, "fetched"), "gone": (2, "failed")}
+    assert got["thin"]["title"] == "Read" and "# Read" in got["thin"]["markdown"] and got["docs"]["change"] == "new"
+    again, _ = crawl.web_round(seeds, fetch, read, state, "docs", ["d.example"], ["/docs"], 2, 2, "later")
+    assert {r["url"].rsplit("/", 1)[1]: r["change"] for r in again.collect()} == {"docs": "unchanged", "thin": "unchanged"}
+
+
+def test_generated_cases(spark):
+    docs = spark.createDataFrame([(f"d{i}", f"T{i}", f"https://x/{i}", "s") for i in range(7)], "docid string, title string, url string, snippet string")
+    tries = []
+
+    def ask(count, shown):
+        tries.append(count)
+        if shown[0]["docid"] in ("d0", "d1", "d2", "d3"):
+            raise RuntimeError("no model")
+        return [{"query": f"What of {d['title']} number {k}", "difficulty": "hard", "source_docids": ["nope"] if k else d["docid"]} for k, d in zip(range(count), shown)]
+
+    for model in (None, ask):
+        cases, counters = evalset.generated_cases(docs, 23, 42, 3, 5, model)
+        rows, counts = cases.collect(), counters.first()
+        numbers = sorted(int(r["case_id"].rsplit("_", 1)[1]) for r in rows)
+        assert numbers == list(range(1, len(rows) + 1)) and len(rows) <= 23 and counts["llm_success"] + counts["fallback"] == 5
+        assert all(1 <= len(r["expected_docids"]) <= 3 and r["query"] for r in rows) and len({r["query"] for r in rows}) == len(rows)
+        assert {r["metadata"]["generation_source"] for r in rows} == ({"fallback"} if model is None else {"fallback", "llm"})
+        if model is None:
+            assert len(rows) == 23 and counts["fallback"] == 5
+    with pytest.raises(ValueError):
+        evalset.generated_cases(docs, 0)
+
+
+def test_orders_without_one_task(spark):
+    rows = spark.range(0, 5000, 1, 7).select("id", F.concat(F.lit("id-"), "id").alias("name"))
+    order = [(r["position"], r["id"]) for r in evalset.shuffled(rows, "id", 3).collect()]
+    assert sorted(p for p, _ in order) == list(range(5000))
+    digest = lambda i: hashlib.sha1(f"3:{i}".encode()).hexdigest()
+    assert [i for _, i in sorted(order)] == sorted(range(5000), key=digest)
+    named = {r["name"]: r["n"] for r in evalset.numbered_by(rows, "name").collect()}
+    assert [k for k, _ in sorted(named.items(), key=lambda x: x[1])] == sorted(f"id-{i}" for i in range(5000))
+    lines = evalset.numbered(rows.withColumn("at", F.monotonically_increasing_id()), "at").collect()
+    assert sorted((r["n"], r["id"]) for r in lines) == [(i + 1, i) for i in range(5000)]
+
+
+def test_hybrid_with_one_branch(spark):
+    one = spark.createDataFrame([(1, "b", 1), (1, "a", 2)], "query_id int, id string, rank int")
+    other = spark.createDataFrame([(1, "a", 1), (2, "c", 1)], "query_id int, id string, rank int")
+    order = lambda df: [(r["query_id"], r["id"]) for r in df.orderBy("query_id", "rank").collect()]
+    assert order(fusion.hybrid([one, None], [0.5, 0.5])) == order(fusion.hybrid([None, one], [0.5, 0.5])) == [(1, "b"), (1, "a")]
+    assert order(fusion.hybrid([one, other], [0.5, 0.5])) == [(1, "a"), (1, "b"), (2, "c")]
+    with pytest.raises(ValueError):
+        fusion.hybrid([None, None], [0.5, 0.5])
+
+
+def test_search_equals_a_plain_search(spark, monkeypatch):
+    """Scores and ties against loops, with questions and texts in several blocks, string ids and null ids."""
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(30)]
+    texts = [" ".join(rng.choice(words, rng.integers(0, 12))) for _ in range(60)]
+    docs = spark.createDataFrame([(f"d{i % 50:02}-{i}", t) for i, t in enumerate(texts)] + [(None, "w1"), ("zz", None)], "id string, t string").repartition(5)
+    asked = [(i, " ".join(rng.choice(words, 6))) for i in range(9)] + [(9, "none of these"), (10, None)]
+    lists = lexical.term_lists(docs, "id", "t").cache()
+    stats = lexical.corpus_statistics(lists)
+    terms = lexical.term_statistics(lists, stats).cache()
+    queries = spark.createDataFrame(asked, "q int, t string")
+    found = {(r["query_id"], r["id"], r["rank"]) for r in lexical.bm25_topk(queries, "q", "t", lists, stats, terms, 4).collect()}
+    idf, avgdl = {r["term"]: r["idf"] for r in terms.collect()}, stats.first()["avgdl"]
+    rows = [(r["id"], (r["t"] or "").split()) for r in docs.collect() if r["id"]]
+    want = set()
+    for q, t in asked:
+        scores = []
+        for i, own in rows:
+            part = [idf[w] * own.count(w) * 2.5 / (own.count(w) + 1.5 * (0.25 + 0.75 * len(own) / avgdl)) for w in (t or "").split() if w in own]
+            scores += [(-round(sum(part), 6), i)] if part else []
+        want |= {(q, i, n) for n, (_, i) in enumerate(sorted(scores)[:4], 1)}
+    assert found == want
+    monkeypatch.setattr(topk, "BLOCK", 2)
+    monkeypatch.setattr(lexical, "PASS", 4)
+    assert {(r["query_id"], r["id"], r["rank"]) for r in lexical.bm25_topk(queries, "q", "t", lists, stats, terms, 4).collect()} == want
+    assert lexical.bm25_topk(queries.where("false"), "q", "t", lists, stats, terms, 4).count() == 0
+    assert lexical.postings(lists).count() == sum(len(set(own)) for _, own in rows)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import crawl
-from tessera.sources import files
+from tessera.sources import files, http, index
 from tessera.streaming import streams
 
 
@@ -109,3 +109,54 @@ def test_command_line(spark, tmp_path):
     assert (s["hit"], s["evaluated_count"]) == (0.666667, 3.0)
     main(["badcases", "--items", str(tmp_path / "report" / "items"), "--dataset", str(tmp_path / "cases.jsonl"), "--output", str(tmp_path / "bad")])
     assert [r["case_id"] for r in spark.read.json(str(tmp_path / "bad")).collect()] == ["2"]
+    main(["run-eval", "--index", str(tmp_path / "index"), "--dataset", str(tmp_path / "cases.jsonl"), "--output", str(tmp_path / "evals"), "--upload", str(tmp_path / "sets")])
+    report = str(tmp_path / "evals" / os.listdir(tmp_path / "evals")[0])
+    assert spark.read.json(f"{report}/summary").first()["retrieval"]["hit"] == 0.666667 and spark.read.json(f"{report}/answers").count() == 3
+    assert spark.read.json(str(tmp_path / "sets" / "cases" / "examples")).count() == 3
+    assert spark.read.json(str(tmp_path / "sets" / "cases" / "summaries")).first()["type"] == "eval_summary"
+    main(["evaluate", "--index", str(tmp_path / "index"), "--dataset", str(tmp_path / "cases.jsonl"), "--output", str(tmp_path / "by_url"), "--by", "url", "--branch", "hybrid", "-k", "1"])
+    assert spark.read.json(str(tmp_path / "by_url" / "summary")).first()["evaluated_count"] == 3.0
+    main(["generate", "--index", str(tmp_path / "index"), "--output", str(tmp_path / "made"), "--count", "7"])
+    assert {r["case_id"] for r in spark.read.json(str(tmp_path / "made")).collect()} == {f"auto_q_{n}" for n in range(1, 8)}
+
+
+def test_index_is_kept(spark, tmp_path):
+    at = str(tmp_path / "d.parquet")
+    rows = lambda *texts: spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows("a b", "b c").write.parquet(at)
+    first = index.kept_lexical(spark, at, "doc_id", "text")
+    assert first.lists.inputFiles() == index.kept_lexical(spark, at, "doc_id", "text").lists.inputFiles()
+    rows("a b", "b c", "c d").write.mode("overwrite").parquet(at)
+    assert index.kept_lexical(spark, at, "doc_id", "text").stats.first()["n"] == 3
+    assert index.read_lexical(spark, str(tmp_path / "none")) is None
+
+
+def test_reports_and_data_sets(spark, tmp_path):
+    links = spark.createDataFrame([("u/b",), ("u/a",), ("u/b",)], "url string")
+    mapping = spark.createDataFrame([("u/b", "b.md"), ("u/a", "a.md")], "url string, file string")
+    counts = files.write_link_reports(str(tmp_path / "r"), {"discovered": links, "origins": links.limit(1)}, mapping)
+    assert {r["name"]: r["n"] for r in counts.collect()} == {"discovered": 2, "origins": 1, "mapped": 2}
+    assert [(r["position"], r["url"]) for r in spark.read.json(str(tmp_path / "r" / "links" / "list=discovered")).orderBy("position").collect()] == [(1, "u/a"), (2, "u/b")]
+    root = str(tmp_path / "sets")
+    assert files.dataset(spark, root, "s", "first") == files.dataset(spark, root, "s", "second")
+    assert spark.read.json(f"{root}/s/about").first()["description"] == "first"
+    crawl_rows = spark.createDataFrame([("u", "fetched", "")], "url string, status string, reason string")
+    assert files.write_reports(crawl_rows, str(tmp_path / "w")).first()["n"] == 1
+    state = spark.createDataFrame([("u", "h")], "url string, hash string")
+    for _ in range(2):  # the second is read from what it replaces
+        files.replace_state(state, str(tmp_path / "state"))
+        state = spark.read.parquet(str(tmp_path / "state" / "last"))
+    assert state.first()["hash"] == "h"
+
+
+def test_http_source(spark):
+    def ask(url, headers, timeout):
+        if headers.get("If-None-Match") == "e1":
+            return 304, {}, b""
+        return (200, {"content-type": "text/html", "etag": "e1"}, b"<p>x</p>") if "ok" in url else (599, {}, b"")
+
+    urls = spark.createDataFrame([("http://ok",), ("http://bad",)], "url string")
+    got = http.fetched(urls, None, 1, ask)
+    assert {(r["url"], r["status"], r["html"]) for r in got.collect()} == {("http://ok", 200, "<p>x</p>"), ("http://bad", 599, "")}
+    assert {r["url"]: r["status"] for r in http.fetched(urls, got, 1, ask).collect()} == {"http://ok": 304, "http://bad": 599}
+    assert [tuple(r) for r in http.reader("http://reader/", 1, lambda u, h, t: (200, {}, u.encode()))(urls.limit(1)).collect()] == [("http://ok", "http://reader/http://ok")]
