@@ -29,6 +29,48 @@ LONG = 48
 PAIRS = 2_000_000
 
 
+class LongTable:
+    """A hash table from whole numbers that aren't negative to whole numbers, for many keys at once."""
+
+    def __init__(self, bits: int = 12):
+        self.bits, self.used = bits, 0
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Keys that the table doesn't hold, each once."""
+        if 4 * (self.used + len(keys)) > len(self.keys):
+            full = self.keys >= 0
+            keys, values = np.concatenate([self.keys[full], keys]), np.concatenate([self.values[full], values])
+            self.__init__(int(np.ceil(np.log2(8 * len(keys)))))
+        self.used += len(keys)
+        at, mask = self._slot(keys), len(self.keys) - 1
+        while len(keys):
+            free = self.keys[at] < 0
+            self.keys[at[free]] = keys[free]  # of keys that want one slot the last gets it
+            got = self.keys[at] == keys
+            self.values[at[got]] = values[got]
+            keys, values, at = keys[~got], values[~got], (at[~got] + 1) & mask
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The keys' values; -1 for those that the table doesn't hold."""
+        at, mask = self._slot(keys), len(self.keys) - 1
+        found = self.keys[at]
+        out = np.where(found == keys, self.values[at], -1)
+        other = np.flatnonzero((found != keys) & (found >= 0))
+        at = at[other]
+        while len(other):
+            at = (at + 1) & mask
+            found = self.keys[at]
+            hit = found == keys[other]
+            out[other[hit]] = self.values[at[hit]]
+            more = ~hit & (found >= 0)
+            other, at = other[more], at[more]
+        return out
+
+
 class PieceAutomaton:
     """An Aho-Corasick automaton over pieces: ``ends[state]`` lists (piece's number, size) of all pieces that end there,
     longest first. The same in arrays: ``out[first[state] : first[state + 1]]``, and a hash table of the edges.
@@ -60,48 +102,19 @@ class PieceAutomaton:
         self.first = np.concatenate(([0], np.cumsum([len(x) for x in ends])))
         self.out = np.array([v for x in ends for v, _ in x], np.int64)
         self.size = np.array([s for x in ends for _, s in x], np.int64)
-        keys = np.array([s << 21 | ord(ch) for s, own in enumerate(edges) for ch in own], np.int64)
-        self.bits = max(4, int(np.ceil(np.log2(max(len(keys), 1) * 4))))
-        self.keys, self.to = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int64)
-        goal = np.array([t for own in edges for t in own.values()], np.int64)
-        at = self._slot(keys)
-        while len(keys):
-            free = self.keys[at] < 0
-            self.keys[at[free]] = keys[free]  # of keys that want one slot the last gets it
-            got = self.keys[at] == keys
-            self.to[at[got]] = goal[got]
-            keys, goal, at = keys[~got], goal[~got], (at[~got] + 1) & ((1 << self.bits) - 1)
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def _edge(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
-        """Where the trie's edges lead; -1 where there is none."""
-        key = state << 21 | code
-        at = self._slot(key)
-        found = self.keys[at]
-        out = np.where(found == key, self.to[at], -1)
-        other = np.flatnonzero((found != key) & (found >= 0))
-        at = at[other]
-        while len(other):
-            at = (at + 1) & ((1 << self.bits) - 1)
-            found = self.keys[at]
-            hit = found == key[other]
-            out[other[hit]] = self.to[at[hit]]
-            more = ~hit & (found >= 0)
-            other, at = other[more], at[more]
-        return out
+        self.table = LongTable()
+        self.table.put(np.array([s << 21 | ord(ch) for s, own in enumerate(edges) for ch in own], np.int64), np.array([t for own in edges for t in own.values()], np.int32))
 
     def steps(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
-        """The states after one more character each."""
-        out = self._edge(state, code)
+        """The states after one more character each: along an edge, or that of the nearest failure link that has one."""
+        out = self.table.get(state << 21 | code).astype(np.int64)
         todo = np.flatnonzero(out < 0)
         state, code = state[todo], code[todo]
         while len(todo):
             out[todo[state == 0]] = 0
             left = state > 0
             todo, state, code = todo[left], self.fail[state[left]], code[left]
-            found = self._edge(state, code)
+            found = self.table.get(state << 21 | code)
             out[todo] = found
             left = found < 0
             todo, state, code = todo[left], state[left], code[left]
@@ -186,7 +199,7 @@ class PrefixTableEncoder:
         self.plain = np.zeros(0x110000, bool)  # characters that are pieces
         self.plain[[ord(ch) for ch in self.chars & set(self.id)]] = True
         self.pairs = BoundedCache(self._compatible, PAIRS)
-        self.pair_keys, self.pair_ok = np.array([-1, np.iinfo(np.int64).max]), np.zeros(2, bool)
+        self.table = LongTable()
         self.units = RecentCache(self._unit, 20_000)
 
     def merged(self, text: str) -> list[str]:
@@ -208,17 +221,14 @@ class PrefixTableEncoder:
         return self.merged(a + b) == [a, b]
 
     def _compatibles(self, pairs: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.pair_keys, pairs)
-        new = np.unique(pairs[self.pair_keys[at] != pairs])
+        found = self.table.get(pairs)
+        new = np.unique(pairs[found < 0])
         if len(new):
-            if len(self.pair_keys) + len(new) > PAIRS:
-                self.pair_keys, self.pair_ok = np.array([-1, np.iinfo(np.int64).max]), np.zeros(2, bool)
-                new = np.unique(pairs)
-            place = np.searchsorted(self.pair_keys, new)
-            self.pair_ok = np.insert(self.pair_ok, place, [self._compatible(p) for p in new.tolist()])
-            self.pair_keys = np.insert(self.pair_keys, place, new)
-            at = np.searchsorted(self.pair_keys, pairs)
-        return self.pair_ok[at]
+            if self.table.used + len(new) > PAIRS:
+                self.table, new = LongTable(), np.unique(pairs)
+            self.table.put(new, np.array([self._compatible(p) for p in new.tolist()], np.int32))
+            found = self.table.get(pairs)
+        return found > 0
 
     def _known(self, run: str) -> list[int]:
         """The ids of one run of characters of pieces."""

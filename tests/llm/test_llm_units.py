@@ -384,6 +384,23 @@ def test_scores_equal_a_plain_forward_pass(monkeypatch):
     assert 0 < one < 1 and 0 < every < 1 - one  # chances of different texts add up to less than 1
 
 
+def test_words_are_those_of_the_pattern():
+    for t in ("A Bc\x0bd\x0c\re\tÉ\x1cÄ\x85\xa0\u3000Z\n", "", None, "\x00 \x1f", "ONE"):
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+        assert [w.decode() for w in common.words_of(t)] == re.findall("[^\x20\x09-\x0D]+", low)
+
+
+def test_long_table():
+    rng = np.random.default_rng(15)
+    table, known = pieces.LongTable(4), {}
+    for _ in range(30):
+        keys = np.setdiff1d(rng.integers(0, 1 << 40, 50), np.array(list(known), np.int64))
+        known |= {int(k): int(k) % 97 for k in keys}
+        table.put(keys, (keys % 97).astype(np.int32))
+    asked = np.concatenate([np.array(list(known)), rng.integers(0, 1 << 40, 500)])
+    assert table.get(asked).tolist() == [known.get(int(k), -1) for k in asked] and table.used == len(known)
+
+
 def test_leaves_are_balanced():
     rng = np.random.default_rng(11)
     counts = rng.integers(1, 100, 9000).astype(float)
