@@ -32,6 +32,11 @@ def fresh(df: DataFrame, name: str) -> str:
     return next(n for n in chain([name], (f"{name}_{k}" for k in count(1))) if n.lower() not in taken)
 
 
+def words_of(text: str | None) -> list[bytes]:
+    """The words ``[^\\x20\\x09-\\x0D]+`` of a text with A-Z in lower case, in UTF-8: bytes are parted and lowered by just these rules."""
+    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+
+
 def crc_remainder(id_col: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as empty text."""
     return (F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus).cast("int")
