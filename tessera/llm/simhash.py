@@ -8,7 +8,6 @@ distance is taken.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import block_pairs, connected_components, fresh, group_runs, saved, spanning, table
+from .common import block_pairs, connected_components, fresh, group_runs, saved, spanning, table, words_of
 
 MAX_DISTANCE = 3
 SHINGLE = 3
@@ -25,19 +24,17 @@ SEED = 42
 SEGMENTS, WIDTH = 4, 16
 #: Rows of a block: a bucket of more fingerprints is cut in blocks, and each pair of blocks is a group of its own.
 BLOCK = 400
-WORD = re.compile("[^\x20\x09-\x0d]+")
-LOWER = {c: c + 32 for c in range(65, 91)}
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """The unsigned fingerprint of a whole text: 0 for null, empty or blank ones."""
-    words = WORD.findall(text.translate(LOWER) if text else "")
+    words = words_of(text)
     if not words:
         return 0
+    raw = b" ".join(words)
     if len(words) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(" ".join(words).encode("utf-8", "surrogatepass"), SEED)]
+        hashes = [xxhash.xxh64_intdigest(raw, SEED)]
     else:
-        raw = " ".join(words).encode("utf-8", "surrogatepass")
         # words hold no space, so the joined text's spaces are the bounds
         gaps = np.flatnonzero(np.frombuffer(raw, np.uint8) == 32)
         starts = np.concatenate(([0], gaps + 1)).tolist()
@@ -152,10 +149,8 @@ MIX = np.random.default_rng(41).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64
 
 def shingles(text: str | None) -> np.ndarray:
     """The hashes of a text's distinct five-word shingles, sorted; a shorter text is one shingle."""
-    words = WORD.findall(text.translate(LOWER)) if text else []
-    joined = {" ".join(words[k : k + NEAR_SHINGLE]) for k in range(max(1, len(words) - NEAR_SHINGLE + 1))}
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(x.encode("utf-8", "surrogatepass"), SEED) for x in joined], dtype=np.uint64))
+    words, digest = words_of(text), xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(b" ".join(words[k : k + NEAR_SHINGLE]), SEED) for k in range(max(1, len(words) - NEAR_SHINGLE + 1))], dtype=np.uint64))
 
 
 def bands(hashes: np.ndarray) -> np.ndarray:
