@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import partial
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -75,6 +77,10 @@ select query_id, id, distance, row_number() over (partition by query_id order by
 SHORT_ITEMS = 10_000
 
 
+def _run(n: int, at: Column) -> Column:
+    return F.xxhash64(F.array_join(F.slice("ws", at, n), " "))
+
+
 def gold_pairs(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(item_id, doc_id) of items that stand word for word in a document.
 
@@ -91,7 +97,7 @@ def gold_pairs(docs: DataFrame, items: DataFrame) -> DataFrame:
     found = None
     for n in sorted(sizes):
         runs = docs.select("doc_id", words.alias("ws")).where(F.size("ws") >= n)
-        run = F.transform(F.sequence(F.lit(1), F.size("ws") - n + 1), lambda k, n=n: F.xxhash64(F.array_join(F.slice("ws", k, n), " ")))
+        run = F.transform(F.sequence(F.lit(1), F.size("ws") - n + 1), partial(_run, n))
         wanted = anchored.where(F.col("size") == n).select("item_id", "item", "h")
         met = runs.select("doc_id", F.explode(F.array_distinct(run)).alias("h")).join(wanted, "h").select("doc_id", "item_id", "item").distinct()
         found = met if found is None else found.unionByName(met)
