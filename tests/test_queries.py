@@ -1,9 +1,9 @@
 import pytest
 
 from oracle import same
-from tessera.plans import crawling, evaluation, retrieval
+from tessera.plans import cases, crawling, evaluation, retrieval
 
-MODULES = (retrieval, evaluation, crawling)
+MODULES = (retrieval, evaluation, crawling, cases)
 ALL = {n: f for m in MODULES for n, f in m.QUERIES.items()}
 SQL = {n: s for m in MODULES for n, s in m.ORACLES.items()}
 
