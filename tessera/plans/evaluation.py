@@ -138,7 +138,7 @@ def route_decompose(spark, sf_dir):
 
 
 def history_tail(spark, sf_dir):
-    return context.history(read(spark, sf_dir, "conversations"), keep=3).select("conv_id", "turn", "role", F.sha2("text", 256).alias("text_hash"))
+    return context.history(read(spark, sf_dir, "conversations")).select("conv_id", "turn", "role", F.sha2("text", 256).alias("text_hash"))
 
 
 def message_clean(spark, sf_dir):
@@ -152,11 +152,17 @@ def loop_steps(spark, sf_dir):
     return streams.conversation_totals(c)
 
 
-def difficulty_normalize(spark, sf_dir):
+def _placed(spark, sf_dir):
+    """The documents, with their number as ``total``."""
     d = read(spark, sf_dir, "documents")
+    return d.crossJoin(F.broadcast(d.agg(F.count("*").alias("total"))))  # one row
+
+
+def difficulty_normalize(spark, sf_dir):
+    d = _placed(spark, sf_dir)
     given = F.when(F.col("doc_id") % 4 == 0, " Simple").when(F.col("doc_id") % 4 == 1, "COMPLEX")
-    a = tx.normalize_difficulty(given, F.col("doc_id"), F.lit(1000))
-    b = tx.normalize_difficulty(given, F.col("doc_id"), F.lit(1000), inclusive=True)
+    a = tx.normalize_difficulty(given, F.col("doc_id"), F.col("total"))
+    b = tx.normalize_difficulty(given, F.col("doc_id"), F.col("total"), inclusive=True)
     return d.select("doc_id", a.alias("difficulty"), b.alias("difficulty_inclusive"))
 
 
@@ -171,8 +177,8 @@ def query_key_dedup(spark, sf_dir):
 
 
 def template_questions(spark, sf_dir):
-    d = read(spark, sf_dir, "documents")
-    level = tx.normalize_difficulty(F.lit(""), F.col("doc_id"), F.lit(1000))
+    d = _placed(spark, sf_dir)
+    level = tx.normalize_difficulty(F.lit(""), F.col("doc_id"), F.col("total"))
     rows = d.select("doc_id", "source", level.alias("level"), tx.snippet(F.col("text"), 320).alias("snippet"))
     question, answer = evalset.template_question_answer(F.col("source"), F.col("snippet"), F.col("level"))
     picked = evalset.template_question(F.col("source"), F.col("level"), F.col("doc_id"))
@@ -184,7 +190,7 @@ def _case_sql(level, values, make):
 
 
 def diversified_questions(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").select("doc_id", "source", tx.normalize_difficulty(F.lit(""), F.col("doc_id"), F.lit(1000)).alias("level"))
+    d = _placed(spark, sf_dir).select("doc_id", "source", tx.normalize_difficulty(F.lit(""), F.col("doc_id"), F.col("total")).alias("level"))
     rows = d.withColumn("question", F.concat(F.lit("如何使用"), "source", F.lit("？")))
     return evalset.diversified(rows, "question", "source", "level", "doc_id").select("doc_id", "question")
 
@@ -196,8 +202,9 @@ def shuffled_batches(spark, sf_dir):
 
 
 def events_daily_window(spark, sf_dir):
-    out = streams.daily(read(spark, sf_dir, "events"))
-    return out.select("day", "event_type", "n", F.round(F.col("total") + 1e-9, 4).alias("total"), F.round(F.col("mean") + 1e-9, 4).alias("mean"))
+    # decimals add up exactly, in whatever order
+    out = streams.daily(read(spark, sf_dir, "events").withColumn("value", F.col("value").cast("decimal(18,6)")))
+    return out.select("day", "event_type", "n", F.col("total").cast("double").alias("total"), (F.col("total").cast("double") / F.col("n")).alias("mean"))
 
 
 def user_sessions(spark, sf_dir):
@@ -222,7 +229,7 @@ QUERIES = {
     for f in (evalcase_validate, judge_parse, judge_summary, feedback_summary, feedback_daily, latency_items, latency_summary, reference_overlap, text_similarity, upload_antijoin, answers_join, grade_routing, route_router, route_decompose, history_tail, message_clean, loop_steps, difficulty_normalize, query_key_dedup, template_questions, diversified_questions, shuffled_batches, events_daily_window, user_sessions, exact_dedup_documents, merged_summary)
 }
 
-_LEVEL = "case when doc_id / 1000::double < 0.4::double then 'easy' when doc_id / 1000::double < 0.8::double then 'medium' else 'hard' end"
+_LEVEL = "case when doc_id / (select count(*) from documents)::double < 0.4::double then 'easy' when doc_id / (select count(*) from documents)::double < 0.8::double then 'medium' else 'hard' end"
 _quote = lambda t, mark, value: "'" + t.replace(mark, f"' || {value} || '") + "'"
 _JUDGE_SUMMARY = "select round(avg(correctness), 6) correctness, round(avg(completeness), 6) completeness, round(avg(groundedness), 6) groundedness, round(avg((correctness + completeness + groundedness) / 3), 6) judge_score, count(*) cases from ju"
 
@@ -248,11 +255,11 @@ select doc_id, loop_step, case when not docs and loop_step < 1 then 'rewrite' wh
 case when not docs and loop_step < 1 then 'rewrite' when not docs then 'web' when good then 'generate' when loop_step < 1 then 'rewrite' else 'web' end next_lenient from g""",
     "route_router": "select conv_id, turn, case when role = 'system' then 'chat' else 'docs' end route from conversations",
     "route_decompose": "select conv_id, turn, case when turn % 3 = 0 then 'simple' else 'parallel' end route from conversations",
-    "history_tail": "select conv_id, turn, role, sha256(coalesce(text, '')) text_hash from conversations where not contains(coalesce(text, ''), '<svg') qualify row_number() over (partition by conv_id order by turn desc) <= 3",
+    "history_tail": "select conv_id, turn, role, sha256(coalesce(text, '')) text_hash from conversations where not contains(coalesce(text, ''), '<svg') qualify row_number() over (partition by conv_id order by turn desc) <= 8",
     "message_clean": "select conv_id, turn, sha256(text) text_hash from conversations",
     "loop_steps": "select conv_id, count(*) turns, sum(turn % 2)::bigint rewrites from conversations group by conv_id",
     "difficulty_normalize": f"""select doc_id, case doc_id % 4 when 0 then 'easy' when 1 then 'hard' else {_LEVEL} end difficulty,
-case doc_id % 4 when 0 then 'easy' when 1 then 'hard' else case when doc_id / 1000::double <= 0.5::double then 'easy' when doc_id / 1000::double <= 0.8::double then 'medium' else 'hard' end end difficulty_inclusive from documents""",
+case doc_id % 4 when 0 then 'easy' when 1 then 'hard' else case when doc_id / (select count(*) from documents)::double <= 0.5::double then 'easy' when doc_id / (select count(*) from documents)::double <= 0.8::double then 'medium' else 'hard' end end difficulty_inclusive from documents""",
     "query_key_dedup": "with k as (select doc_id, regexp_replace(lower(array_to_string(string_split(coalesce(text, ''), ' ')[1:2], ' ')), '[^0-9a-z一-鿿]+', '', 'g') as \"key\" from documents) select doc_id, \"key\", row_number() over (partition by \"key\" order by doc_id) > 1 is_repeat from k",
     "template_questions": f"""with l as (select doc_id, source, {_LEVEL} lv, left(regexp_replace(replace(coalesce(text, ''), chr(10), ' '), '^\\s+|\\s+$', '', 'g'), 320) s from documents)
 select doc_id, {_case_sql("lv", evalset.TEMPLATES, lambda t: f"case when doc_id % 2 = 0 then {_quote(t[0], '{title}', 'source')} else {_quote(t[1], '{title}', 'source')} end")} question,
@@ -262,7 +269,7 @@ sha256(case when s = '' then {_case_sql("lv", evalset.ANSWERS, lambda t: _quote(
 select doc_id, case when n = 1 then '如何使用' || source || '？' else '如何使用' || source || '，针对“' || source || '”' || {_case_sql("lv", evalset.SUFFIXES, lambda t: f"case when doc_id % 2 = 0 then {_quote(t[0], '{n}', 'doc_id')} else {_quote(t[1], '{n}', 'doc_id')} end")} end question from l""",
     "shuffled_batches": """with o as (select item_id, row_number() over (order by sha1('42:' || item_id), item_id) - 1 pos, count(*) over () total from benchmark), s as (select unnest(range(0, 120)) slot)
 select slot // 8 batch, slot % 8 place, item_id from s join o on slot % total = pos""",
-    "events_daily_window": "select strftime(ts, '%Y-%m-%d') as \"day\", event_type, count(*) n, round(sum(value) + 1e-9, 4) total, round(avg(value) + 1e-9, 4) mean from events group by 1, 2",
+    "events_daily_window": "select strftime(ts, '%Y-%m-%d') as \"day\", event_type, count(*) n, sum(value::decimal(18,6))::double total, sum(value::decimal(18,6))::double / count(*) mean from events group by 1, 2",
     "user_sessions": """with g as (select user_id, ts, case when ts < lag(ts) over (partition by user_id order by ts) + interval 30 minute then 0 else 1 end s from events),
 c as (select user_id, sum(s) over (partition by user_id order by ts rows unbounded preceding) k from g), n as (select user_id, k, count(*) n from c group by 1, 2)
 select user_id, count(*) sessions, max(n) longest from n group by 1""",

@@ -143,8 +143,9 @@ count(*) filter (not skipped)::double evaluated_count, count(*) filter (skipped)
 
 
 def retrieval_by_difficulty(spark, sf_dir):
-    level = tx.normalize_difficulty(F.lit(""), F.col("item_id"), F.lit(40))
-    items = metrics.retrieval_items(_cases(spark, sf_dir)).withColumn("difficulty", level)
+    total = read(spark, sf_dir, "benchmark").agg(F.count("*").alias("total"))
+    level = tx.normalize_difficulty(F.lit(""), F.col("item_id"), F.col("total"))
+    items = metrics.retrieval_items(_cases(spark, sf_dir)).crossJoin(F.broadcast(total)).withColumn("difficulty", level)  # one row
     return metrics.retrieval_summary(items, ["difficulty"])
 
 
@@ -263,7 +264,7 @@ ORACLES = {
     "gold_pairs": f"with {GOLD} select item_id, doc_id from go",
     "retrieval_metrics": f"with {ITEMS} select item_id, skipped, round(hit, 6) hit, round(recall, 6) recall, round(mrr, 6) mrr from it",
     "retrieval_summary": f"with {ITEMS} select {SUMMARY} from it",
-    "retrieval_by_difficulty": f"with {ITEMS} select case when item_id / 40::double < 0.4::double then 'easy' when item_id / 40::double < 0.8::double then 'medium' else 'hard' end difficulty, {SUMMARY} from it group by 1",
+    "retrieval_by_difficulty": f"with {ITEMS} select case when item_id / (select count(*) from benchmark)::double < 0.4::double then 'easy' when item_id / (select count(*) from benchmark)::double < 0.8::double then 'medium' else 'hard' end difficulty, {SUMMARY} from it group by 1",
     "badcases": f"with {ITEMS} select item_id, text from benchmark join it using (item_id) where not skipped and (hit < 1 or recall < 1)",
     "hybrid_rrf": f"with {HYBRID} select query_id, id, score, rank from hy",
     "simple_query_top5": f"with {HYBRID} select query_id, id, score, rank from hy where rank <= 5",
