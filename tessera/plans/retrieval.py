@@ -16,12 +16,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _index(spark, sf_dir) -> index.LexicalIndex:
+def lexical_index(spark, sf_dir) -> index.LexicalIndex:
     return index.kept_lexical(spark, f"{sf_dir}/documents.parquet", "doc_id", "text")
 
 
 def bm25(spark, sf_dir, k=5):
-    return _index(spark, sf_dir).search(read(spark, sf_dir, "benchmark"), "item_id", "text", k)
+    return lexical_index(spark, sf_dir).search(read(spark, sf_dir, "benchmark"), "item_id", "text", k)
 
 
 def bm25_topk(spark, sf_dir):
@@ -29,7 +29,7 @@ def bm25_topk(spark, sf_dir):
 
 
 def bm25_stats(spark, sf_dir):
-    found = _index(spark, sf_dir)
+    found = lexical_index(spark, sf_dir)
     one = found.terms.agg(F.count("*").alias("terms"), F.max("df").alias("max_df"), F.round(F.avg("idf"), 6).alias("mean_idf"))
     return found.stats.select("n", F.round("avgdl", 6).alias("avgdl")).crossJoin(one)  # a row each
 
@@ -185,7 +185,7 @@ def _sub_results(spark, sf_dir):
     half = (F.size("ws") / 2).cast("int")
     parts = items.select("item_id", F.posexplode(F.array(F.array_join(F.slice("ws", 1, half), " "), F.array_join(F.slice("ws", half + 1, F.size("ws")), " "))).alias("sub_index", "query"))
     parts = parts.withColumn("part", F.col("item_id") * 2 + F.col("sub_index"))
-    found = _index(spark, sf_dir).search(parts, "part", "query", 5)
+    found = lexical_index(spark, sf_dir).search(parts, "part", "query", 5)
     shown = found.join(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
     return shown.select((F.col("query_id") / 2).cast("long").alias("query_id"), (F.col("query_id") % 2).alias("sub_index"), "rank", "id", "text", "score")
 
