@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from .topk import PASS, best_rows, top
+from .topk import PASS, best_rows, driven, top
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -49,10 +49,10 @@ def term_statistics(lists: DataFrame, stats: DataFrame, epsilon: float = EPSILON
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.lit(epsilon) * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def _weights(asked: DataFrame, terms: DataFrame) -> Iterator[tuple]:
+def _weights(asked: DataFrame, terms: DataFrame, count: int) -> Iterator[tuple]:
     """(question, [(term, weight)]) of the questions that hold a term of the index."""
     rows = asked.join(terms, "term").groupBy("query_id").agg(F.collect_list(F.struct("term", (F.col("qtf") * F.col("idf")).alias("w"))).alias("ws"))
-    for r in rows.toLocalIterator():
+    for r in driven(rows, count):
         yield r["query_id"], r["ws"]
 
 
@@ -98,7 +98,7 @@ def bm25_topk(queries: DataFrame, query_id: str, query: str, lists: DataFrame, s
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(tokenizer(F.col(query))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     avgdl = float(stats.first()["avgdl"] or 1.0)
     kinds = queries.schema[query_id].dataType.simpleString(), lists.schema["id"].dataType.simpleString()
-    weights, found = _weights(asked.where("query_id is not null"), terms), None
+    weights, found = _weights(asked.where("query_id is not null"), terms, queries.count()), None
     while (some := list(islice(weights, PASS))) or found is None:
         part = best_rows(lists, [q for q, _ in some], _kernel(some, avgdl, k1, b), k, *kinds)
         found = part if found is None else found.unionByName(part)

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 #: Questions that are scored at once against a batch, and those that one pass over the base takes.
@@ -19,6 +19,11 @@ def top(rows: DataFrame, by: str, order: list[Column], k: int, name: str = "rank
     return rows.withColumn(name, F.row_number().over(w)).where(F.col(name) <= k)
 
 
+def driven(rows: DataFrame, count: int) -> Iterator[Row]:
+    """The rows of ``count`` questions on the driver: at once if one pass takes them, else a partition at a time."""
+    return iter(rows.collect()) if count <= PASS else rows.toLocalIterator()
+
+
 class Best:
     """The ``k`` least (score, id) of each question, over all batches met."""
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .topk import PASS, best_rows, top
+from .topk import PASS, best_rows, driven, top
 
 
 def _kernel(vectors: list, metric: str):
@@ -42,7 +42,8 @@ def vector_topk(queries: DataFrame, base: DataFrame, id_col: str, vector: str, k
     PASS questions at a time are sent to the rows' tasks. A task keeps the best ``k`` of all its rows for each question,
     and only these are shuffled, never all pairs.
     """
-    asked = queries.select(id_col, vector).where(F.col(vector).isNotNull() & F.col(id_col).isNotNull()).toLocalIterator()
+    asked = queries.select(id_col, vector).where(F.col(vector).isNotNull() & F.col(id_col).isNotNull())
+    asked = driven(asked, asked.count())
     kind = base.schema[id_col].dataType.simpleString()
     rows = base.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector).alias("v"))
     found = None
