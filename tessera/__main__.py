@@ -17,6 +17,7 @@ unless a model embeds them, so the default is lexical.
 from __future__ import annotations
 
 import argparse
+from collections.abc import Callable
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -70,8 +71,10 @@ def retrieval_items(spark: SparkSession, path: str, cases: DataFrame, k: int, by
     return metrics.url_items(joined, k=k)
 
 
-def run_eval(spark: SparkSession, path: str, cases: DataFrame, k: int, models: flow.Models | None = None, branch: str = "lexical") -> tuple[dict[str, DataFrame], DataFrame]:
-    """The tables of an evaluation by name (answers, retrieval, similarity, feedback where there is any), and the merged summary."""
+def run_eval(spark: SparkSession, path: str, cases: DataFrame, k: int, models: flow.Models | None = None, branch: str = "lexical", judge: Callable | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The tables of an evaluation by name (answers, retrieval, similarity, feedback where there is any, the judge's scores
+    where one is given), and the merged summary.
+    """
 
     def retrieve(q: DataFrame) -> DataFrame:
         found = search(spark, path, q, "query_id", flow.RETRIEVED, branch)
@@ -87,11 +90,10 @@ def run_eval(spark: SparkSession, path: str, cases: DataFrame, k: int, models: f
     if not feedback.isEmpty():
         tables["feedback"] = feedback
         summaries["feedback"] = metrics.feedback_summary(feedback)
-    merged = None
-    for name, summary in summaries.items():
-        one = summary.select(F.struct("*").alias(name))
-        merged = one if merged is None else merged.crossJoin(one)  # a row each
-    return tables, merged
+    if judge is not None:
+        tables["judge"] = metrics.judged(both, judge).select("case_id", *metrics.JUDGED, "judge_score", "reason")
+        summaries["judge"] = metrics.judge_summary(tables["judge"])
+    return tables, metrics.merged_summary(**summaries)
 
 
 def main(argv: list[str] | None = None) -> None:

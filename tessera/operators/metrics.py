@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,13 +56,21 @@ def similarity_summary(items: DataFrame, similarity: str = "similarity", referen
     return items.agg(F.round(F.coalesce(F.avg(F.when(has, F.col(similarity))), F.lit(0.0)), 6).alias("text_similarity"), F.count_if(has).alias("evaluated_count"), F.count_if(~has).alias("skipped_count"))
 
 
-JUDGED = ("correctness", "completeness", "groundedness")
+JUDGED = ("relevance", "groundedness", "completeness")
+
+
+def judged(answers: DataFrame, judge: Callable[[Column, Column, Column], Column]) -> DataFrame:
+    """The items of answers (query, answer, reference_answer) that a judge, a slot for a model, writes its scores of; a case
+    without a reference is judged against an empty one.
+    """
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    return judge_items(answers.withColumn("judge_output", judge(text("query"), text("answer"), text("reference_answer"))))
 
 
 def judge_items(answers: DataFrame, raw: str = "judge_output") -> DataFrame:
     """A judge's three scores and their mean; an answer that holds no JSON object scores zero, with the reason told."""
     body = tx.json_object(F.col(raw))
-    parsed = F.from_json(body, "correctness string, completeness string, groundedness string, reason string")
+    parsed = F.from_json(body, "relevance string, completeness string, groundedness string, reason string")
     scores = [tx.safe_double(parsed[n]).alias(n) for n in JUDGED]
     total = sum((tx.safe_double(parsed[n]) for n in JUDGED[1:]), tx.safe_double(parsed[JUDGED[0]]))
     return answers.select("*", *scores, (total / len(JUDGED)).alias("judge_score"), F.when(body.isNull(), "invalid_json_from_judge").otherwise(F.coalesce(parsed["reason"], F.lit(""))).alias("reason"))

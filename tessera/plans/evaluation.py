@@ -39,20 +39,20 @@ def evalcase_validate(spark, sf_dir):
 def _judged(spark, sf_dir):
     l = read(spark, sf_dir, "labels")
     n = F.col("doc_id")
-    good = F.concat(F.lit('```json\n{"correctness": '), (n % 5 / 4).cast("string"), F.lit(', "completeness": "'), F.col("quality").cast("string"), F.lit('", "groundedness": '), (1 - F.col("toxic")).cast("string"), F.lit(', "reason": "r"}\n```'))
+    good = F.concat(F.lit('```json\n{"relevance": '), (n % 5 / 4).cast("string"), F.lit(', "completeness": "'), F.col("quality").cast("string"), F.lit('", "groundedness": '), (1 - F.col("toxic")).cast("string"), F.lit(', "reason": "r"}\n```'))
     return l.select("doc_id", F.when(n % 7 == 0, "no object here").otherwise(good).alias("judge_output"))
 
 
 def judge_parse(spark, sf_dir):
     out = metrics.judge_items(_judged(spark, sf_dir))
-    return out.select("doc_id", "correctness", "completeness", "groundedness", F.round("judge_score", 6).alias("judge_score"), "reason")
+    return out.select("doc_id", "relevance", "completeness", "groundedness", F.round("judge_score", 6).alias("judge_score"), "reason")
 
 
 def judge_summary(spark, sf_dir):
     return metrics.judge_summary(metrics.judge_items(_judged(spark, sf_dir)))
 
 
-JUDGED = """ju as (select doc_id, case when doc_id % 7 = 0 then 0.0::double else (doc_id % 5) / 4.0::double end correctness, case when doc_id % 7 = 0 then 0.0::double else quality::double end completeness,
+JUDGED = """ju as (select doc_id, case when doc_id % 7 = 0 then 0.0::double else (doc_id % 5) / 4.0::double end relevance, case when doc_id % 7 = 0 then 0.0::double else quality::double end completeness,
 case when doc_id % 7 = 0 then 0.0::double else (1 - toxic)::double end groundedness, case when doc_id % 7 = 0 then 'invalid_json_from_judge' else 'r' end reason from labels)"""
 
 
@@ -231,7 +231,7 @@ QUERIES = {
 
 _LEVEL = "case when doc_id / (select count(*) from documents)::double < 0.4::double then 'easy' when doc_id / (select count(*) from documents)::double < 0.8::double then 'medium' else 'hard' end"
 _quote = lambda t, mark, value: "'" + t.replace(mark, f"' || {value} || '") + "'"
-_JUDGE_SUMMARY = "select round(avg(correctness), 6) correctness, round(avg(completeness), 6) completeness, round(avg(groundedness), 6) groundedness, round(avg((correctness + completeness + groundedness) / 3), 6) judge_score, count(*) cases from ju"
+_JUDGE_SUMMARY = "select round(avg(relevance), 6) relevance, round(avg(completeness), 6) completeness, round(avg(groundedness), 6) groundedness, round(avg((relevance + completeness + groundedness) / 3), 6) judge_score, count(*) cases from ju"
 
 ORACLES = {
     "evalcase_validate": """with r as (select doc_id n, case when doc_id % 11 = 0 then '' else 'case_' || doc_id end case_id, case when doc_id % 13 = 0 then '' else 'question ' || doc_id end query,
@@ -241,7 +241,7 @@ e as (select *, case when case_id = '' then 'case_id is required' when query = '
 when difficulty not in ('easy', 'medium', 'hard') then 'difficulty must be easy, medium or hard' when dataset_type = 'feedback' and n % 3 <> 0 then 'feedback dataset requires bot_answer'
 when dataset_type = 'feedback' and n % 4 = 0 then 'user_rating must be numeric when provided' else '' end error from r)
 select case_id, query, dataset_type, difficulty, user_rating, error = '' valid, error from e""",
-    "judge_parse": f"with {JUDGED} select *, round((correctness + completeness + groundedness) / 3, 6) judge_score from ju",
+    "judge_parse": f"with {JUDGED} select *, round((relevance + completeness + groundedness) / 3, 6) judge_score from ju",
     "judge_summary": f"with {JUDGED} {_JUDGE_SUMMARY}",
     "feedback_summary": f"with {FEEDBACK} select {FEEDBACK_SUMMARY} from fb",
     "feedback_daily": f"with {FEEDBACK} select 'feedback_' || strftime(ts, '%Y-%m-%d') || '.json' file, {FEEDBACK_SUMMARY} from fb group by 1",
@@ -274,5 +274,5 @@ select slot // 8 batch, slot % 8 place, item_id from s join o on slot % total =
 c as (select user_id, sum(s) over (partition by user_id order by ts rows unbounded preceding) k from g), n as (select user_id, k, count(*) n from c group by 1, 2)
 select user_id, count(*) sessions, max(n) longest from n group by 1""",
     "exact_dedup_documents": "select min(doc_id) doc_id, sha256(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g')) content_hash from documents group by 2",
-    "merged_summary": f"with {JUDGED}, {FEEDBACK}, {LATENCY} select (select round(avg((correctness + completeness + groundedness) / 3), 6) from ju) judge_score, (select round(count(user_rating) / count(*)::double, 6) from fb) coverage, (select round(avg(total), 3) from li) avg_total",
+    "merged_summary": f"with {JUDGED}, {FEEDBACK}, {LATENCY} select (select round(avg((relevance + completeness + groundedness) / 3), 6) from ju) judge_score, (select round(count(user_rating) / count(*)::double, 6) from fb) coverage, (select round(avg(total), 3) from li) avg_total",
 }

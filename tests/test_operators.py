@@ -54,6 +54,15 @@ def test_metrics(spark):
     assert metrics.similarity_summary(t).first()[:] == (1.0, 1, 1)
 
 
+def test_judge_slot(spark):
+    answers = spark.createDataFrame([("q1", "a1", "r"), ("q2", None, None)], "query string, answer string, reference_answer string")
+    judge = lambda q, a, r: F.concat(F.lit('{"relevance": 0.8, "groundedness": "0.7", "completeness": 0.9, "reason": "'), q, a, r, F.lit('"}'))
+    items = metrics.judged(answers, judge)
+    assert {r["reason"] for r in items.collect()} == {"q1a1r", "q2"}
+    summary = metrics.judge_summary(items).first()
+    assert (summary["judge_score"], summary["relevance"], summary["cases"]) == (0.8, 0.8, 2)
+
+
 def test_fusion_and_rerank(spark):
     a = spark.createDataFrame([(1, 10, 1), (1, 11, 2)], "query_id int, id int, rank int")
     b = spark.createDataFrame([(1, 12, 1), (1, 10, 2)], "query_id int, id int, rank int")
