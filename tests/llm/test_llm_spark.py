@@ -153,6 +153,13 @@ def test_lm_counts_beyond_the_known_words(spark, small, monkeypatch):
         assert a["n_known"] == b["n_known"] and math.isclose(a["base_score"], b["base_score"], rel_tol=1e-9) and math.isclose(a["score"], b["score"], rel_tol=1e-9)
 
 
+def test_frequent_words(spark):
+    df = spark.createDataFrame([(f"w{c}-{k}", c) for c in (1, 2, 3, 50, 900) for k in range(4)], "word string, c long")
+    for most, want in ((3, 0), (4, 4), (11, 8), (19, 16), (20, 20), (99, 20)):
+        found = lm.frequent(df, most).collect()
+        assert len(found) == want and (not found or min(r["c"] for r in found) >= max([c for c in (1, 2, 3, 50, 900) if c not in {r["c"] for r in found}], default=0))
+
+
 def test_ids_stay_whole_beside_nulls(spark, tmp_path):
     big = 9007199254740993
     spark.createDataFrame([(None, "a b"), (big, "c d"), (big + 1, None)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
