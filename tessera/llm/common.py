@@ -189,7 +189,8 @@ def block_pairs(members: DataFrame, key: str, by: str, block: int, payload: Data
     of one member are left out. Adds ``block`` and ``pair`` (both blocks' numbers in one long), and the columns of
     ``payload``, which has one row for each ``by``: wide columns join only the members that are left.
     """
-    sizes = members.groupBy(key).agg(F.count("*").alias("__n")).where("__n > 1")
+    # a table of its own: where an aggregate feeds a join, a key of many members can't be split
+    sizes = saved(members.groupBy(key).agg(F.count("*").alias("__n")).where("__n > 1"), "sizes")
     cut = members.join(sizes, key).withColumn("__blocks", F.ceil(F.col("__n") / block).cast("int"))
     cut = cut.withColumn("block", F.pmod(F.xxhash64(by, F.lit(5)), F.col("__blocks")).cast("int"))
     paired = cut.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
