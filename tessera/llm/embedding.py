@@ -162,9 +162,9 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     counts = first.select("row", "label", "embedding", "copies")
     counted = block_pairs(within, "component", "row", BLOCK, counts).mapInPandas(_links, "row long, links long").groupBy("row").agg(F.sum("links").alias("links"))
     named = classes.join(found, "row", "left").withColumn("component", F.coalesce("component", "row"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    least = saved(named.groupBy("component").agg(F.min("least").alias("component_id")), "least")
     by_class = named.join(least, "component").join(counted, "row", "left").select("digest", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
-    # both sides are tables now, so a digest of many copies can be split where it is joined
+    # joins with saved tables, not with aggregates, so a component or digest of many rows can be split where it is joined
     out = hashed.select("vec_id", "digest").join(saved(by_class, "classes"), "digest", "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))

@@ -125,7 +125,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
     distinct = rows.groupBy("fp").agg(F.min("id").alias("least"))
     components = connected_components(near_edges(distinct)).withColumnRenamed("id", "fp")
     named = distinct.join(components, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = named.groupBy("component").agg(F.min("least").alias("least_id"))
+    least = saved(named.groupBy("component").agg(F.min("least").alias("least_id")), "least")  # not an aggregate: the join can split a component
     by_fp = named.select("fp", "component").join(least, "component").select("fp", F.col("least_id").alias("component"))
     return rows.join(by_fp, "fp")
 
