@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, embedding, html, langid, lm, quality, simhash, spm, toxicity
+from . import decontam, embedding, html, langid, lm, quality, simhash, spm, toxicity, wordbpe
 
 QUERIES = {
     "op1_html_extraction": html.op1_html_extraction,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_decontamination": decontam.op8_decontamination,
     "op9_quality": quality.op9_quality,
     "op10_token_counts": spm.op10_token_counts,
+    "op12_bpe": wordbpe.op12_bpe,
 }
 
 ORACLES: dict[str, str] = {}
