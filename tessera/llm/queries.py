@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, embedding, html, langid, lm, quality, simhash, spm, toxicity, wordbpe
+from . import audit, decontam, embedding, html, langid, lm, quality, simhash, spm, toxicity, wordbpe
 
 QUERIES = {
     "op1_html_extraction": html.op1_html_extraction,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_quality": quality.op9_quality,
     "op10_token_counts": spm.op10_token_counts,
     "op12_bpe": wordbpe.op12_bpe,
+    "op13_source_divergence": audit.op13_source_divergence,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op13_source_divergence": audit.SQL}
