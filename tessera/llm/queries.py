@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audit, decontam, embedding, html, langid, lm, quality, simhash, spm, toxicity, wordbpe
+from . import audit, decontam, embedding, hardneg, html, langid, lm, quality, simhash, spm, toxicity, wordbpe
 
 QUERIES = {
     "op1_html_extraction": html.op1_html_extraction,
@@ -15,8 +15,9 @@ QUERIES = {
     "op8_decontamination": decontam.op8_decontamination,
     "op9_quality": quality.op9_quality,
     "op10_token_counts": spm.op10_token_counts,
+    "op11_hard_negatives": hardneg.op11_hard_negatives,
     "op12_bpe": wordbpe.op12_bpe,
     "op13_source_divergence": audit.op13_source_divergence,
 }
 
-ORACLES: dict[str, str] = {"op13_source_divergence": audit.SQL}
+ORACLES: dict[str, str] = {"op11_hard_negatives": hardneg.SQL, "op13_source_divergence": audit.SQL}
