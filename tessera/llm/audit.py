@@ -9,20 +9,22 @@ from __future__ import annotations
 
 import heapq
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, saved, table
+from .common import saved, table
 
 #: A term is kept if it stands in so many documents of its language; so many terms that mark a source are told.
 LEAST_DOCUMENTS, TOP = 10, 10
 SCALE = 1_000_000_000
-#: Leaves of a task's tries before they are sent on, and terms that are found without a walk.
-LEAVES, KNOWN = 150_000, 50_000
+#: Bytes of a branch; leaves of a task's tries and counters that aren't added up before they are sent on; rows of a batch.
+RADIX, LEAVES, WAITING, SENT = 2, 250_000, 1_500_000, 20_000
 #: Terms and counters of a piece of a merged trie; sources of a block, about; parts of a language's pieces in a join.
 PIECE_TERMS, PIECE_COUNTERS, BLOCK, SALTS = 256, 2_048, 64, 32
 #: Sums of block pairs that a task holds before it sends them on.
@@ -36,54 +38,47 @@ def terms_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(LETTERS).split(b" ") if text else []
 
 
-class RadixTrie:
-    """A byte trie whose nodes without a branch are joined to their child; leaves are numbered as they come."""
+class Box(dict):
+    """The terms under one node of a trie, with their leaves; a new term gets the trie's next leaf."""
+
+    def __init__(self, numbers: Iterator[int]):
+        super().__init__()
+        self.numbers = numbers
+
+    def __missing__(self, term: bytes) -> int:
+        self[term] = leaf = next(self.numbers)
+        return leaf
+
+
+class RadixTrie(dict):
+    """A byte trie that branches on the first bytes of a term, RADIX at a time; the terms under such a node lie in a box,
+    as in a burst trie, and are put in order when the trie is walked. Leaves are numbered as they come.
+    """
 
     def __init__(self):
-        self.root = [b"", {}, -1]  # label, children by their first byte, leaf
-        self.leaves = 0
-
-    def _new(self) -> int:
-        self.leaves += 1
-        return self.leaves - 1
-
-    def leaf(self, term: bytes) -> int:
-        """The leaf of a term, which isn't empty; a new one if the trie hasn't got it."""
-        node, at = self.root, 0
-        while True:
-            child = node[1].get(term[at])
-            if child is None:
-                node[1][term[at]] = [term[at:], {}, self._new()]
-                return self.leaves - 1
-            label = child[0]
-            if term.startswith(label, at):
-                at += len(label)
-                if at == len(term):
-                    if child[2] < 0:
-                        child[2] = self._new()
-                    return child[2]
-                node = child
-                continue
-            same = 1
-            while same < len(label) and at + same < len(term) and label[same] == term[at + same]:
-                same += 1
-            upper = [label[:same], {label[same]: child}, -1]  # the edge is parted where the texts part
-            child[0] = label[same:]
-            node[1][label[0]] = upper
-            if at + same == len(term):
-                upper[2] = self._new()
-                return upper[2]
-            node, at = upper, at + same
-
-    def walk(self) -> Iterator[tuple[bytes, int]]:
-        """(term, leaf) in byte order, which is the order of UTF-8 texts."""
-        todo = [(b"", self.root)]
-        while todo:
-            prefix, (label, children, leaf) = todo.pop()
-            text = prefix + label
-            if leaf >= 0:
-                yield text, leaf
-            todo += [(text, children[b]) for b in sorted(children, reverse=True)]
+        super().__init__()
+        self.numbers = count()
+
+    def __missing__(self, prefix: bytes) -> Box:
+        self[prefix] = box = Box(self.numbers)
+        return box
+
+    def __len__(self) -> int:
+        return sum(map(len, self.values()))
+
+    def leaves(self, terms: Iterable[bytes]) -> list[int]:
+        """The leaf of each term; a new one where the trie hasn't got it."""
+        return [self[t[:RADIX]][t] for t in terms]
+
+    def walk(self) -> tuple[list[bytes], list[int]]:
+        """All terms in byte order, which is the order of UTF-8 texts, and their leaves."""
+        terms, leaves = [], []
+        for prefix in sorted(self):
+            box = self[prefix]
+            own = sorted(box)
+            terms += own
+            leaves += map(box.__getitem__, own)
+        return terms, leaves
 
 
 class TermCounter:
@@ -93,58 +88,61 @@ class TermCounter:
         self.clear()
 
     def clear(self) -> None:
-        self.tries = defaultdict(RadixTrie)
-        self.known: dict[str, BoundedCache] = {}
+        self.tries: dict[str, RadixTrie] = defaultdict(RadixTrie)
         self.sources: dict[str, int] = {}
-        self.found = defaultdict(list)  # language: (leaves, counts, source of each)
-        self.leaves = 0
+        self.found = defaultdict(list)  # language: (leaves, counts, sources, documents)
+        self.waiting = 0
 
     def add(self, lang: str, source: str, text: str | None) -> None:
         counts = Counter(terms_of(text))
         counts.pop(b"", None)
-        if not counts:
-            return
-        if lang not in self.known:
-            self.known[lang] = BoundedCache(self.tries[lang].leaf, KNOWN)
-        before = self.tries[lang].leaves
-        leaves = np.fromiter(map(self.known[lang].__getitem__, counts), np.int64, len(counts))
-        self.leaves += self.tries[lang].leaves - before
-        number = self.sources.setdefault(source, len(self.sources))
-        self.found[lang].append((leaves, np.fromiter(counts.values(), np.int64, len(counts)), number))
+        if counts:
+            n = len(counts)
+            number = self.sources.setdefault(source, len(self.sources))
+            leaves = np.array(self.tries[lang].leaves(counts), np.int64)
+            self.found[lang].append((leaves, np.fromiter(counts.values(), np.int64, n), np.broadcast_to(number, n), np.broadcast_to(1, n)))
+            self.waiting += n
 
     def compact(self) -> None:
-        """Counters of one leaf and source are added up; a leaf's documents go with its first source."""
+        """Counters of one leaf and source are added up."""
+        self.waiting = 0
         for lang, parts in self.found.items():
-            if len(parts) > 1:
-                leaf = np.concatenate([p[0] for p in parts])
-                source = np.concatenate([np.broadcast_to(p[2], len(p[0])) for p in parts])
-                counts = np.concatenate([p[1] for p in parts])
-                documents = np.concatenate([p[3] if len(p) > 3 else np.ones(len(p[0]), np.int64) for p in parts])
-                order = np.lexsort((source, leaf))
-                leaf, source = leaf[order], source[order]
-                cut = np.flatnonzero(np.append(True, (leaf[1:] != leaf[:-1]) | (source[1:] != source[:-1])))
-                self.found[lang] = [(leaf[cut], np.add.reduceat(counts[order], cut), source[cut], np.add.reduceat(documents[order], cut))]
+            leaf, counts, source, documents = (np.concatenate(c) for c in zip(*parts))
+            key = leaf * len(self.sources) + source
+            order = np.argsort(key)
+            key = key[order]
+            cut = np.flatnonzero(np.diff(key, prepend=-1))
+            order_cut = order[cut]
+            self.found[lang] = [(leaf[order_cut], np.add.reduceat(counts[order], cut), source[order_cut], np.add.reduceat(documents[order], cut))]
+
+    def full(self) -> bool:
+        """Whether the tries are to be sent on; counters are added up when many wait."""
+        if self.waiting > WAITING:
+            self.compact()
+        return sum(map(len, self.tries.values())) > LEAVES
 
     def batches(self) -> Iterator[pa.RecordBatch]:
         """The leaves in byte order, and empty tries again."""
-        self.found = {lang: [*parts, (np.zeros(0, np.int64), np.zeros(0, np.int64), 0)] for lang, parts in self.found.items()}
         self.compact()
-        names = np.array([*self.sources, ""], object)
+        names = pa.array([*self.sources], pa.string())
         for lang, ((leaf, counts, source, documents),) in self.found.items():
-            terms, order = zip(*self.tries[lang].walk())
+            terms, order = self.tries[lang].walk()
             order = np.array(order, np.int64)
-            sizes = np.bincount(leaf, minlength=len(order))
-            first = np.cumsum(sizes) - sizes  # counters lie by leaf
-            sizes, ends = sizes[order], np.cumsum(sizes[order])
+            own = np.bincount(leaf, minlength=len(order))
+            first = np.cumsum(own) - own  # counters lie by leaf
+            sizes, ends = own[order], np.cumsum(own[order])
             at = np.arange(len(leaf)) + np.repeat(first[order] - ends + sizes, sizes)
             offsets = pa.array(np.concatenate(([0], ends)), pa.int32())
-            yield pa.record_batch({
-                "lang": pa.array([lang] * len(order), pa.string()),
+            met = pa.DictionaryArray.from_arrays(pa.array(source[at], pa.int32()), names).cast(pa.string())
+            batch = pa.record_batch({
+                "lang": pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(order), np.int32)), pa.array([lang], pa.string())).cast(pa.string()),
                 "term": pa.array(terms, pa.binary()),
                 "documents": pa.array(np.bincount(leaf, documents, len(order))[order].astype(np.int64)),
-                "sources": pa.ListArray.from_arrays(offsets, pa.array(names[source[at]], pa.string())),
+                "sources": pa.ListArray.from_arrays(offsets, met),
                 "counts": pa.ListArray.from_arrays(offsets, pa.array(counts[at])),
             })
+            for s in range(0, len(order), SENT):
+                yield batch.slice(s, SENT)
         self.clear()
 
 
@@ -157,44 +155,70 @@ def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for lang, source, text in zip(*(b.column(c).to_pylist() for c in ("lang", "source", "text"))):
             counter.add(lang, source, text)
-        counter.compact()
-        if counter.leaves > LEAVES:
+        if counter.full():
             yield from counter.batches()
     yield from counter.batches()
 
 
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pieces of the merged tries, from leaves in order: leaves of one term are one leaf, and kept if enough documents hold it."""
-    fields = pa.schema([("lang", pa.string()), ("terms", pa.list_(pa.binary())), ("sizes", pa.list_(pa.int32())), ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
-    now, documents, own = None, 0, Counter()
-    piece: tuple = (None, [], [], [], [])
+class Pieces:
+    """Kept leaves of a merged trie, in order, cut in pieces of one language."""
 
-    def full() -> pa.RecordBatch:
-        return pa.record_batch([[c] for c in piece], schema=fields)
+    schema = pa.schema([("lang", pa.string()), ("terms", pa.list_(pa.binary())), ("sizes", pa.list_(pa.int32())), ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
 
-    def closed() -> Iterator[pa.RecordBatch]:
-        nonlocal piece
-        if documents < LEAST_DOCUMENTS:
-            return
-        lang, term = now
-        if piece[1] and (piece[0] != lang or len(piece[1]) >= PIECE_TERMS or len(piece[3]) + len(own) > PIECE_COUNTERS):
-            yield full()
-            piece = (lang, [], [], [], [])
-        piece = (lang, *piece[1:])
-        for to, some in zip(piece[1:], ([term], [len(own)], own, own.values())):
+    def __init__(self):
+        self.lang, self.columns = None, ([], [], [], [])  # terms, sizes, sources, counts
+
+    def closed(self) -> Iterator[pa.RecordBatch]:
+        if self.columns[0]:
+            yield pa.record_batch([[self.lang], *([c] for c in self.columns)], schema=self.schema)
+        self.columns = ([], [], [], [])
+
+    def add(self, lang: str, term: bytes, sources: list[str], counts: list[int]) -> Iterator[pa.RecordBatch]:
+        if lang != self.lang or len(self.columns[0]) >= PIECE_TERMS or len(self.columns[2]) + len(sources) > PIECE_COUNTERS:
+            yield from self.closed()
+            self.lang = lang
+        for to, some in zip(self.columns, ((term,), (len(sources),), sources, counts)):
             to.extend(some)
 
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces of the merged tries, from leaves in order: leaves of one term are one leaf, and kept if enough documents hold it."""
+    pieces, rest = Pieces(), None
+
+    def leaves(b: pa.RecordBatch | pa.Table, cut: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Whole groups of rows of one term, which begin at ``cut``."""
+        documents = np.add.reduceat(b.column("documents").to_numpy(), cut)
+        ends = np.append(cut[1:], b.num_rows)
+        kept = np.flatnonzero(documents >= LEAST_DOCUMENTS)
+        if not len(kept):
+            return
+        one = b.combine_chunks().to_batches()[0]
+        langs, terms = (one.column(c).take(pa.array(cut[kept])).to_pylist() for c in ("lang", "term"))
+        sources, counts = (one.column(c) for c in ("sources", "counts"))
+        offsets = sources.offsets.to_numpy() - sources.offsets[0].as_py()
+        sources, counts = sources.flatten().to_pylist(), counts.flatten().to_pylist()
+        for lang, term, s, e in zip(langs, terms, offsets[cut[kept]].tolist(), offsets[ends[kept]].tolist()):
+            own = dict.fromkeys(sources[s:e], 0)
+            for name, c in zip(sources[s:e], counts[s:e]):
+                own[name] += c
+            yield from pieces.add(lang, term, list(own), list(own.values()))
+
     for b in batches:
-        for lang, term, n, sources, counts in zip(*(b.column(c).to_pylist() for c in range(5))):
-            if (lang, term) != now:
-                yield from closed()
-                now, documents, own = (lang, term), 0, Counter()
-            documents += n
-            for s, c in zip(sources, counts):
-                own[s] += c
-    yield from closed()
-    if piece[1]:
-        yield full()
+        if not b.num_rows:
+            continue
+        rows = pa.Table.from_batches([*(rest or []), b]).combine_chunks()
+        new = np.ones(rows.num_rows, bool)
+        for c in ("lang", "term"):
+            values = rows.column(c)
+            new[1:] = pc.not_equal(values[1:], values[:-1]).to_numpy() | (new[1:] if c == "term" else False)
+        cut = np.flatnonzero(new)
+        last = int(cut[-1])
+        if last:
+            yield from leaves(rows.slice(0, last), cut[:-1])
+        rest = rows.slice(last).to_batches()
+    if rest:
+        yield from leaves(pa.Table.from_batches(rest), np.zeros(1, np.int64))
+    yield from pieces.closed()
 
 
 def share(counts: np.ndarray, whole) -> np.ndarray:

@@ -14,11 +14,11 @@ from tessera.llm import audit
 @given(st.lists(st.binary(min_size=1, max_size=6).map(lambda b: bytes(x % 3 + 97 for x in b))))
 def test_trie_walks_in_byte_order(terms):
     trie = audit.RadixTrie()
-    leaves = [trie.leaf(t) for t in terms]
-    assert [trie.leaf(t) for t in terms] == leaves
-    walked = list(trie.walk())
-    assert [t for t, _ in walked] == sorted(set(terms))
-    assert dict(walked) == dict(zip(terms, leaves)) and trie.leaves == len(set(terms))
+    leaves = trie.leaves(terms)
+    assert trie.leaves(terms) == leaves
+    walked, order = trie.walk()
+    assert walked == sorted(set(terms))
+    assert dict(zip(walked, order)) == dict(zip(terms, leaves)) and len(trie) == len(set(terms)) == len(set(order))
 
 
 @given(st.text(alphabet=st.one_of(st.characters(max_codepoint=0x90, exclude_categories=["Cs"]), st.characters(exclude_categories=["Cs"]))))
