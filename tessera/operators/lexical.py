@@ -1,108 +1,239 @@
-"""BM25 over an index of terms that is kept as tables."""
+"""BM25 over blocks of postings, best first: a question meets the blocks of its own terms, and stops within them where the
+rest can't reach its k-th score.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import islice
+import math
+from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from .topk import PASS, best_rows, driven, top
+from .topk import top
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Postings of a block. Texts of a shard, at least and at most; between the two there are SHARDS of them.
+POSTINGS, FEW, MANY, SHARDS = 256, 2_000, 50_000, 64
+#: Characters of the questions that one pass takes: their weights are held on the driver and sent to the tasks.
+PASS_CHARS = 4_000_000
+#: Scores are rounded to 6 digits: two that round alike differ by less.
+MARGIN = 2e-6
 
 
 def term_lists(docs: DataFrame, id_col: str, text: str, tokenizer=tokens) -> DataFrame:
     """(id, dl, terms, tfs): the number of a text's terms, its distinct terms in order, and how often each stands there.
 
     Terms are sorted and counted within a row, so nothing is shuffled; a text without a term has empty lists. Rows of a
-    null id are no documents.
+    null id are no documents. Other columns stay.
     """
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.coalesce(F.sort_array(tokenizer(F.col(text))), F.array().cast("array<string>")).alias("ts"))
+    others = [c for c in docs.columns if c not in (id_col, text)]
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.coalesce(F.sort_array(tokenizer(F.col(text))), F.array().cast("array<string>")).alias("ts"), *others)
     n = F.size("ts")
     at = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get("ts", i) != F.get("ts", i - 1)))
-    rows = rows.select("id", n.alias("dl"), "ts", F.when(n > 0, at).otherwise(F.array().cast("array<int>")).alias("at"))
+    rows = rows.select("id", n.alias("dl"), "ts", F.when(n > 0, at).otherwise(F.array().cast("array<int>")).alias("at"), *others)
     end = lambda j: F.coalesce(F.get("at", j + 1), F.col("dl"))
-    return rows.select("id", "dl", F.transform("at", lambda i: F.get("ts", i)).alias("terms"), F.transform("at", lambda i, j: (end(j) - i).cast("int")).alias("tfs"))
+    return rows.select("id", "dl", F.transform("at", lambda i: F.get("ts", i)).alias("terms"), F.transform("at", lambda i, j: (end(j) - i).cast("int")).alias("tfs"), *others)
 
 
-def postings(lists: DataFrame) -> DataFrame:
-    """(term, id, tf, dl), a row for each term of each text."""
-    rows = lists.select("id", "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("p"))
-    return rows.select(F.col("p.terms").alias("term"), "id", F.col("p.tfs").alias("tf"), "dl")
+def impact(tf: Column, dl: Column, avgdl: float, k1: float = K1, b: float = B) -> Column:
+    """A posting's part of a score, before its term's weight."""
+    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / max(avgdl, 1e-9)))
 
 
-def corpus_statistics(lists: DataFrame) -> DataFrame:
-    """One row (n, avgdl); texts without a term count as documents of length zero."""
-    return lists.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+def shard_count(n: int) -> int:
+    return max(1, math.ceil(n / min(max(n / SHARDS, FEW), MANY)))
 
 
-def term_statistics(lists: DataFrame, stats: DataFrame, epsilon: float = EPSILON) -> DataFrame:
-    """(term, df, idf). A negative idf is lifted to ``epsilon`` of the mean idf of all terms."""
-    df = lists.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.crossJoin(F.broadcast(stats.select("n"))).withColumn("raw", F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))  # one row
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.lit(epsilon) * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-
-
-def _weights(asked: DataFrame, terms: DataFrame, count: int) -> Iterator[tuple]:
-    """(question, [(term, weight)]) of the questions that hold a term of the index."""
-    rows = asked.join(terms, "term").groupBy("query_id").agg(F.collect_list(F.struct("term", (F.col("qtf") * F.col("idf")).alias("w"))).alias("ws"))
-    for r in driven(rows, count):
-        yield r["query_id"], r["ws"]
-
-
-def _kernel(some: list[tuple], avgdl: float, k1: float, b: float):
-    words = {t: k for k, t in enumerate(sorted({x["term"] for _, ws in some for x in ws}))}
-    owner = np.repeat(np.arange(len(some)), [len(ws) for _, ws in some])
-    term = np.fromiter((words[x["term"]] for _, ws in some for x in ws), np.int64, len(owner))
-    weight = np.fromiter((x["w"] for _, ws in some for x in ws), np.float64, len(owner))
+def bucket_count(n: int) -> int:
+    """Folders of terms: 16 for a small index, 1,024 at most."""
+    return min(1_024, 16 * max(1, math.ceil(n / MANY)))
 
-    def score(batch: pd.DataFrame):
-        sizes = batch["terms"].map(len).to_numpy()
-        number = np.fromiter((words.get(t, -1) for ts in batch["terms"] for t in ts), np.int64, int(sizes.sum()))
-        tf = np.concatenate([*batch["tfs"], np.zeros(0)])
-        row = np.repeat(np.arange(len(batch)), sizes)
-        hit = np.flatnonzero(number >= 0)
-        met, number = np.unique(number[hit], return_inverse=True)
-        tf, row = tf[hit], row[hit]
-        part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * batch["dl"].to_numpy()[row] / avgdl))
-        share, there = np.zeros((len(met), len(batch))), np.zeros((len(met), len(batch)), np.float32)
-        share[number, row], there[number, row] = part, 1
-        at = np.full(len(words), -1)
-        at[met] = np.arange(len(met))
 
-        def of(first: int, last: int) -> np.ndarray:
-            own = slice(*np.searchsorted(owner, (first, last)))
-            asked = np.flatnonzero(at[term[own]] >= 0) + own.start
-            w, any_of = np.zeros((last - first, len(met))), np.zeros((last - first, len(met)), np.float32)
-            w[owner[asked] - first, at[term[asked]]], any_of[owner[asked] - first, at[term[asked]]] = weight[asked], 1
-            return np.where(any_of @ there > 0, -np.round(w @ share, 6), np.inf)
+def blocks(lists: DataFrame, shards: int, buckets: int, avgdl: float) -> DataFrame:
+    """(bucket, shard, term, block, df, max_tf, min_dl, ids, tfs, dls): the postings of each term in each shard of texts, best
+    first, in blocks. ``df`` is of the shard and stands in its first block.
 
-        return batch["id"].to_numpy(), of
-
-    return score
-
-
-def bm25_topk(queries: DataFrame, query_id: str, query: str, lists: DataFrame, stats: DataFrame, terms: DataFrame, k: int = 5, k1: float = K1, b: float = B, tokenizer=tokens) -> DataFrame:
+    A group is a term in a shard, of MANY postings at most, so no term is too large for a task. The order is that of the
+    average length given; a block's bounds hold for any.
+    """
+    rows = lists.select("id", "dl", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), F.explode(F.arrays_zip("terms", "tfs")).alias("p"))
+    rows = rows.select("id", "dl", "shard", F.col("p.terms").alias("term"), F.col("p.tfs").alias("tf"))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).withColumn("part", F.floor(F.col("shard") / SHARDS))
+    keys = ["bucket", "part", "term", "shard"]
+    own = rows.repartition("bucket", "part").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct((-impact(F.col("tf"), F.col("dl"), avgdl)).alias("o"), "id", "tf", "dl"))).alias("ps"))
+    n = F.size("ps")
+    cut = own.select(*keys, n.alias("n"), F.posexplode(F.transform(F.sequence(F.lit(1), n, F.lit(POSTINGS)), lambda s: F.slice("ps", s, POSTINGS))).alias("block", "p"))
+    tfs, dls = F.col("p.tf"), F.col("p.dl")
+    out = cut.select("bucket", "shard", "term", "block", F.when(F.col("block") == 0, F.col("n")).alias("df"), F.array_max(tfs).alias("max_tf"), F.array_min(dls).alias("min_dl"), F.col("p.id").alias("ids"), tfs.alias("tfs"), dls.alias("dls"))
+    return out.sortWithinPartitions("bucket", "term", "shard", "block")
+
+
+def with_idf(df: DataFrame, n: int, epsilon: float = EPSILON) -> DataFrame:
+    """(term, df, idf) of (term, df) among ``n`` texts. A negative idf is lifted to ``epsilon`` of the mean idf of all terms."""
+    raw = df.withColumn("raw", F.ln(F.lit(n) - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
+    mean = raw.agg(F.avg("raw").alias("mean"))
+    return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.lit(epsilon) * F.col("mean")).otherwise(F.col("raw")).alias("idf"))  # one row
+
+
+class Shard:
+    """The postings of some terms in one shard of texts, ordered by impact within a term."""
+
+    def __init__(self, words: pa.Array, rows: pa.Table, avgdl: float, k1: float, b: float):
+        rows = rows.combine_chunks()
+        gone = rows.filter(pc.is_null(rows["term"]))
+        rows = rows.filter(pc.is_valid(rows["term"]))
+        flat = lambda t, c: pc.list_flatten(t[c]).to_numpy(zero_copy_only=False)
+        ids, tf, dl = flat(rows, "ids"), flat(rows, "tfs").astype(np.float64), flat(rows, "dls")
+        word = np.repeat(pc.index_in(rows["term"], words).to_numpy(zero_copy_only=False), pc.list_value_length(rows["ids"]).to_numpy(zero_copy_only=False))
+        if gone.num_rows:
+            there = ~np.isin(ids, flat(gone, "ids"))
+            ids, tf, dl, word = ids[there], tf[there], dl[there], word[there]
+        part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / max(avgdl, 1e-9)))
+        self.ids, number = np.unique(ids, return_inverse=True)  # numbers follow the order of ids
+        order = np.lexsort((-part, word))
+        self.number, self.part = number[order], part[order]
+        self.first = np.searchsorted(word[order], np.arange(len(words) + 1))
+        self.sum, self.scratch = np.zeros(len(self.ids)), np.zeros(len(self.ids))
+        self.met = np.zeros(len(self.ids), bool)
+        self.by_number: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.read = 0  # postings that were scored
+
+    def _sorted(self, word: int) -> tuple[np.ndarray, np.ndarray]:
+        """A term's texts in order of their numbers, and their impacts."""
+        if word not in self.by_number:
+            own = slice(self.first[word], self.first[word + 1])
+            order = np.argsort(self.number[own])
+            self.by_number[word] = self.number[own][order], self.part[own][order]
+        return self.by_number[word]
+
+    def _add(self, start: int, end: int, weight: float) -> np.ndarray:
+        some = self.number[start:end]
+        self.sum[some] += weight * self.part[start:end]
+        self.met[some] = True
+        self.read += end - start
+        return some
+
+    def search(self, words: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The best ``k`` ids and their scores.
+
+        Terms are taken by the most that they can add. A text whose first term this is can't score more than its posting
+        and all later terms at their best, so a term's postings are read, best first, while that reaches the k-th score so
+        far, and no more terms are read when all together can't. What is left of the read texts is then looked up.
+        """
+        start, end = self.first[words], self.first[words + 1]
+        there = end > start
+        words, weights, start, end = words[there], weights[there], start[there], end[there]
+        if not len(words):
+            return self.ids[:0], np.zeros(0)
+        touched, left = [], []
+        if (weights <= 0).any():  # no bound holds
+            touched = [self._add(s, e, w) for s, e, w in zip(start, end, weights)]
+        else:
+            most = weights * self.part[start]
+            order = np.argsort(-most, kind="stable")
+            after = np.append(np.cumsum(most[order][::-1])[::-1], 0)
+            least = -np.inf
+            for i, t in enumerate(order):
+                w, s, e = weights[t], start[t], end[t]
+                if after[i] < least - MARGIN:
+                    left += [(words[x], weights[x], most[x], None) for x in order[i:]]
+                    break
+                cut = e
+                if after[i + 1] + w * self.part[e - 1] < least - MARGIN:
+                    cut = s + np.searchsorted(-self.part[s:e], -(least - MARGIN - after[i + 1]) / w, side="right")
+                some = self._add(s, cut, w)
+                touched.append(some)
+                if cut < e:
+                    left.append((words[t], w, w * self.part[cut], some))
+                if len(some) >= k:
+                    least = max(least, np.partition(self.sum[some], len(some) - k)[len(some) - k])
+        found = np.flatnonzero(self.met) if sum(map(len, touched)) > len(self.met) // 8 else np.unique(np.concatenate(touched))
+        kept = found
+        if left:
+            kept = found[self.sum[found] + sum(x[2] for x in left) >= least - MARGIN]
+            for word, w, _, done in left:
+                texts, part = self._sorted(word)
+                at = np.minimum(np.searchsorted(texts, kept), len(texts) - 1)
+                hit = texts[at] == kept
+                if done is not None:  # the part of this term that was read is in the sums
+                    self.scratch[done] = 1
+                    hit &= self.scratch[kept] == 0
+                    self.scratch[done] = 0
+                self.sum[kept[hit]] += w * part[at[hit]]
+                self.read += int(hit.sum())
+        score = np.round(self.sum[kept], 6)
+        self.sum[found], self.met[found] = 0, False
+        if len(kept) > k:
+            good = score >= np.partition(score, len(score) - k)[len(score) - k]
+            kept, score = kept[good], score[good]
+        best = np.lexsort((kept, -score))[:k]
+        return self.ids[kept[best]], score[best]
+
+
+def _shard_search(asked: list, words: list[str], avgdl: float, k: int, k1: float, b: float, query_type: pa.DataType, id_type: pa.DataType) -> Callable:
+    """A function from the blocks of a shard to (query_id, id, score) of the best ``k`` texts of each question."""
+    place = {w: i for i, w in enumerate(words)}
+    questions = [q for q, _ in asked]
+    own = [(np.array([place[x["term"]] for x in ws], np.int64), np.array([x["w"] for x in ws])) for _, ws in asked]
+    schema = pa.schema([("query_id", query_type), ("id", id_type), ("score", pa.float64())])
+
+    def run(rows: pa.Table) -> pa.Table:
+        shard = Shard(pa.array(words, pa.string()), rows, avgdl, k1, b)
+        found = [shard.search(w, x, k) for w, x in own]
+        owner = np.repeat(np.arange(len(found)), [len(i) for i, _ in found])
+        ids = np.concatenate([i for i, _ in found]) if found else np.zeros(0)
+        return pa.table([pa.array([questions[o] for o in owner], query_type), pa.array(ids, id_type), np.concatenate([s for _, s in found] or [np.zeros(0)])], schema=schema)
+
+    return run
+
+
+def bm25_topk(queries: DataFrame, query_id: str, query: str, postings: Callable[[list[tuple[str, int]]], DataFrame], terms: DataFrame, avgdl: float, id_type, k: int = 5, k1: float = K1, b: float = B, tokenizer=tokens, keep: Callable | None = None) -> DataFrame:
     """(query_id, id, score, rank): the best ``k`` texts of each question, by score rounded to 6 digits, then id.
 
-    A repeated term of a question counts each time. Texts that share no term with a question don't appear. The weights
-    of PASS questions at a time are sent to the texts' tasks; a task scores its texts where they are and keeps ``k`` of
-    them for each question, so a term that stands in every text moves no row.
+    ``postings(terms and their hashes)`` gives the blocks (unit, term, ids, tfs, dls) of these terms, a unit for each shard; a
+    row without a term holds ids that don't count any more. ``terms`` is (term, hash, idf). A repeated term of a question
+    counts each time. Texts that share no term with a question don't appear. Questions are taken in passes of PASS_CHARS
+    characters; ``keep`` writes a pass's result down where there are several.
     """
-    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(tokenizer(F.col(query))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    avgdl = float(stats.first()["avgdl"] or 1.0)
-    kinds = queries.schema[query_id].dataType.simpleString(), lists.schema["id"].dataType.simpleString()
-    weights, found = _weights(asked.where("query_id is not null"), terms, queries.count()), None
-    while (some := list(islice(weights, PASS))) or found is None:
-        part = best_rows(lists, [q for q, _ in some], _kernel(some, avgdl, k1, b), k, *kinds)
-        found = part if found is None else found.unionByName(part)
-        if not some:
-            break
-    scored = found.select("query_id", "id", (-F.col("score")).alias("score"))
-    return top(scored, "query_id", [F.desc("score"), F.asc("id")], k)
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    spark, kind = queries.sparkSession, queries.schema[query_id].dataType
+    asked = queries.where(F.col(query_id).isNotNull()).select(F.col(query_id).alias("query_id"), F.col(query).alias("text"))
+    passes = math.ceil((asked.agg(F.sum(F.length("text"))).first()[0] or 0) / PASS_CHARS)
+    found = []
+    for p in range(passes):
+        some = asked if passes == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == p)
+        counted = some.select("query_id", F.explode(tokenizer(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+        # the terms of one pass have a proven bound
+        weighed = terms.join(F.broadcast(counted), "term").select("query_id", "term", "hash", (F.col("qtf") * F.col("idf")).alias("w"))
+        rows = weighed.groupBy("query_id").agg(F.collect_list(F.struct("term", "hash", "w")).alias("ws")).collect()
+        hashes = {x["term"]: x["hash"] for r in rows for x in r["ws"]}
+        if not hashes:
+            continue
+        run = _shard_search([(r["query_id"], r["ws"]) for r in rows], list(hashes), avgdl, k, k1, b, to_arrow_type(kind), to_arrow_type(id_type))
+        part = postings(list(hashes.items())).groupBy("unit").applyInArrow(run, f"query_id {kind.simpleString()}, id {id_type.simpleString()}, score double")
+        found.append(keep(part) if keep and passes > 1 else part)
+    if not found:
+        return spark.createDataFrame([], f"query_id {kind.simpleString()}, id {id_type.simpleString()}, score double, rank int")
+    return top(reduce(DataFrame.unionByName, found), "query_id", [F.desc("score"), F.asc("id")], k)
+
+
+def full_scores(lists: pd.DataFrame, questions: dict, k: int, n: int, avgdl: float, idf: dict[str, float], k1: float = K1, b: float = B) -> list[tuple]:
+    """(query_id, id, score, rank) by scoring every text for every question, on small tables: what the index must equal."""
+    out = []
+    for q, ws in questions.items():
+        rows = []
+        for d in lists.itertuples():
+            own = dict(zip(d.terms, d.tfs))
+            parts = [idf[w] * own[w] * (k1 + 1) / (own[w] + k1 * (1 - b + b * d.dl / avgdl)) for w in ws if w in own]
+            if parts:
+                rows.append((-round(sum(parts), 6), d.id))
+        out += [(q, i, -s, r) for r, (s, i) in enumerate(sorted(rows)[:k], 1)]
+    return out

@@ -223,32 +223,3 @@ def test_hybrid_with_one_branch(spark):
     assert order(fusion.hybrid([one, other], [0.5, 0.5])) == [(1, "a"), (1, "b"), (2, "c")]
     with pytest.raises(ValueError):
         fusion.hybrid([None, None], [0.5, 0.5])
-
-
-def test_search_equals_a_plain_search(spark, monkeypatch):
-    """Scores and ties against loops, with questions and texts in several blocks, string ids and null ids."""
-    rng = np.random.default_rng(6)
-    words = [f"w{i}" for i in range(30)]
-    texts = [" ".join(rng.choice(words, rng.integers(0, 12))) for _ in range(60)]
-    docs = spark.createDataFrame([(f"d{i % 50:02}-{i}", t) for i, t in enumerate(texts)] + [(None, "w1"), ("zz", None)], "id string, t string").repartition(5)
-    asked = [(i, " ".join(rng.choice(words, 6))) for i in range(9)] + [(9, "none of these"), (10, None)]
-    lists = lexical.term_lists(docs, "id", "t").cache()
-    stats = lexical.corpus_statistics(lists)
-    terms = lexical.term_statistics(lists, stats).cache()
-    queries = spark.createDataFrame(asked, "q int, t string")
-    found = {(r["query_id"], r["id"], r["rank"]) for r in lexical.bm25_topk(queries, "q", "t", lists, stats, terms, 4).collect()}
-    idf, avgdl = {r["term"]: r["idf"] for r in terms.collect()}, stats.first()["avgdl"]
-    rows = [(r["id"], (r["t"] or "").split()) for r in docs.collect() if r["id"]]
-    want = set()
-    for q, t in asked:
-        scores = []
-        for i, own in rows:
-            part = [idf[w] * own.count(w) * 2.5 / (own.count(w) + 1.5 * (0.25 + 0.75 * len(own) / avgdl)) for w in (t or "").split() if w in own]
-            scores += [(-round(sum(part), 6), i)] if part else []
-        want |= {(q, i, n) for n, (_, i) in enumerate(sorted(scores)[:4], 1)}
-    assert found == want
-    monkeypatch.setattr(topk, "BLOCK", 2)
-    monkeypatch.setattr(lexical, "PASS", 4)
-    assert {(r["query_id"], r["id"], r["rank"]) for r in lexical.bm25_topk(queries, "q", "t", lists, stats, terms, 4).collect()} == want
-    assert lexical.bm25_topk(queries.where("false"), "q", "t", lists, stats, terms, 4).count() == 0
-    assert lexical.postings(lists).count() == sum(len(set(own)) for _, own in rows)

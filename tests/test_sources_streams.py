@@ -120,17 +120,6 @@ def test_command_line(spark, tmp_path):
     assert {r["case_id"] for r in spark.read.json(str(tmp_path / "made")).collect()} == {f"auto_q_{n}" for n in range(1, 8)}
 
 
-def test_index_is_kept(spark, tmp_path):
-    at = str(tmp_path / "d.parquet")
-    rows = lambda *texts: spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    rows("a b", "b c").write.parquet(at)
-    first = index.kept_lexical(spark, at, "doc_id", "text")
-    assert first.lists.inputFiles() == index.kept_lexical(spark, at, "doc_id", "text").lists.inputFiles()
-    rows("a b", "b c", "c d").write.mode("overwrite").parquet(at)
-    assert index.kept_lexical(spark, at, "doc_id", "text").stats.first()["n"] == 3
-    assert index.read_lexical(spark, str(tmp_path / "none")) is None
-
-
 def test_reports_and_data_sets(spark, tmp_path):
     links = spark.createDataFrame([("u/b",), ("u/a",), ("u/b",)], "url string")
     mapping = spark.createDataFrame([("u/b", "b.md"), ("u/a", "a.md")], "url string, file string")
