@@ -1,6 +1,7 @@
 """Command line: crawl a site, build an index, generate, convert and evaluate case sets, and search.
 
     python -m tessera crawl --source NAME --seeds URL[,URL] --hosts HOST[,HOST] --prefixes PATH[,PATH] --output DIR --state DIR [--reader URL]
+    python -m tessera crawl --config JSON [--sources NAME[,NAME]] --output DIR --state DIR [--max-depth N] [--max-pages N] [--timeout S] [--loop] [--interval S]
     python -m tessera build --raw DIR [--extra DIR] --index DIR
     python -m tessera generate --index DIR --output DIR --count N [--seed N]
     python -m tessera convert {feedback,qa} --input CSV --output DIR
@@ -17,6 +18,7 @@ unless a model embeds them, so the default is lexical.
 from __future__ import annotations
 
 import argparse
+import time
 from collections.abc import Callable
 from datetime import datetime, timezone
 
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as tx
-from .operators import chunking, crawl, evalset, fusion, metrics, vector
+from .operators import chunking, crawl, evalset, fusion, metrics, rounds, vector
 from .plans import flow
 from .session import session
 from .sources import files, http, index
@@ -96,11 +98,48 @@ def run_eval(spark: SparkSession, path: str, cases: DataFrame, k: int, models: f
     return tables, metrics.merged_summary(**summaries)
 
 
+def crawl_sources(spark: SparkSession, a: argparse.Namespace) -> list[dict]:
+    """The sources to crawl: one from the command line, or those of a JSON file (name, seeds, hosts, prefixes), of which ``--sources`` picks some."""
+    if a.config:
+        return [r.asDict() for r in crawl.selected_sources(spark.read.option("multiLine", "true").json(a.config), a.sources).collect()]
+    if not (a.source and a.seeds and a.hosts and a.prefixes):
+        raise SystemExit("crawl needs --config, or --source with --seeds, --hosts and --prefixes")
+    parts = lambda x: [p.strip() for p in x.split(",") if p.strip()]
+    return [{"name": a.source, "seeds": parts(a.seeds), "hosts": parts(a.hosts), "prefixes": parts(a.prefixes)}]
+
+
+def crawl_rounds(spark: SparkSession, a: argparse.Namespace) -> None:
+    """A round of every source, and with ``--loop`` another after each ``--interval`` seconds (``--rounds`` of them, if given).
+
+    Changed pages are written as markdown files at their paths, where ``build`` reads them; all others stay.
+    """
+    silent = lambda urls: urls.where("false").select("url", F.lit("").alias("page"))
+    read = http.reader(a.reader, a.timeout) if a.reader else silent
+    fetch = lambda urls: http.fetched(urls, None, a.timeout)
+    done = 0
+    while True:
+        stamp = datetime.now(timezone.utc).strftime("%Y%m%d_%H%M%S")
+        for source in crawl_sources(spark, a):
+            seeds = spark.createDataFrame([(u,) for u in source["seeds"]], "url string")
+            state = f"{a.state}/{source['name']}"
+            rows, after = rounds.web_round(seeds, fetch, read, files.load_state(spark, f"{state}/last"), source["name"], source["hosts"], source["prefixes"], a.max_depth, a.max_pages, stamp)
+            files.write_pages(rows.where("status = 'fetched' and change <> 'unchanged'"), a.output)
+            report = rows.select("url", "status", F.coalesce("change", F.lit("")).alias("reason"))
+            files.write_reports(report, f"{a.state}/{source['name']}/report")
+            files.write_link_reports(f"{a.state}/{source['name']}/links", {s: rows.where(F.col("status") == s).select("url") for s in ("fetched", "skipped", "failed")}, rows.where("status = 'fetched'").select("url", F.col("path").alias("file")))
+            files.replace_state(after, state)
+            crawl.crawl_statistics(rows).show()
+        done += 1
+        if not a.loop or done == a.rounds:
+            break
+        time.sleep(a.interval)
+
+
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="tessera", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     commands = parser.add_subparsers(dest="command", required=True)
     options = {
-        "crawl": ("--source", "--seeds", "--hosts", "--prefixes", "--output", "--state", "--reader"),
+        "crawl": ("--output", "--state", "--reader"),
         "build": ("--raw", "--extra", "--index"),
         "generate": ("--index", "--output"),
         "convert": ("--input", "--output"),
@@ -115,6 +154,12 @@ def main(argv: list[str] | None = None) -> None:
             sub.add_argument("mode", choices=("feedback", "qa"))
         for o in names:
             sub.add_argument(o, required=o not in ("--extra", "--reader", "--upload"))
+        if name == "crawl":
+            for o in ("--config", "--sources", "--source", "--seeds", "--hosts", "--prefixes"):
+                sub.add_argument(o)
+            for o, kind, default in (("--max-depth", int, 2), ("--max-pages", int, 120), ("--timeout", float, 20), ("--interval", float, 3600), ("--rounds", int, None)):
+                sub.add_argument(o, type=kind, default=default)
+            sub.add_argument("--loop", action="store_true")
         if name in ("evaluate", "run-eval", "search"):
             sub.add_argument("-k", type=int, default=5 if name == "search" else 10)
             sub.add_argument("--branch", choices=("lexical", "vector", "hybrid"), default="lexical")
@@ -127,17 +172,7 @@ def main(argv: list[str] | None = None) -> None:
     spark = session()
     stamp = datetime.now(timezone.utc).strftime("%Y%m%d_%H%M%S")
     if a.command == "crawl":
-        parts = lambda x: [p.strip() for p in x.split(",") if p.strip()]
-        seeds = spark.createDataFrame([(u,) for u in parts(a.seeds)], "url string")
-        silent = lambda urls: urls.where("false").select("url", F.lit("").alias("page"))
-        read = http.reader(a.reader) if a.reader else silent
-        rows, state = crawl.web_round(seeds, http.fetched, read, files.load_state(spark, f"{a.state}/last"), a.source, parts(a.hosts), parts(a.prefixes), crawled_at=stamp)
-        rows = rows.persist()
-        rows.where("status = 'fetched' and change <> 'unchanged'").select("path", "markdown").write.mode("overwrite").json(f"{a.output}/pages")
-        files.write_reports(rows.select("url", "status", F.coalesce("change", F.lit("")).alias("reason")), f"{a.output}/report")
-        files.replace_state(state, a.state)
-        crawl.crawl_statistics(rows).show()
-        rows.unpersist()
+        crawl_rounds(spark, a)
     elif a.command == "build":
         chunks = chunking.corpus_chunks(files.read_markdown(spark, files.target_directories(a.raw, a.extra)))
         chunks = chunks.withColumn("chunk", F.concat_ws("#", "docid", "chunk_index"))

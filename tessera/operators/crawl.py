@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import math
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import markdown, urls
-from ..functions.text import blank_to_null
+from ..functions import urls
+from ..session import kept
 from .evalset import numbered_by
 
 
@@ -90,21 +90,12 @@ def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     return links.select(urls.normalize_url(F.col("page")).alias("source"), "place", urls.normalize_url(urls.resolved(F.col("page"), F.col("href"))).alias("target"))
 
 
-def lineage_cut(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
-    """A function that writes a table down, so that what follows doesn't compute it again: to the checkpoint folder, or,
-    where a session has none, to the executors' memory and disks, from where it is computed again if one is lost.
-    """
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        return lambda df: df.checkpoint()
-    return lambda df: df.persist()
-
-
 def breadth_first(edges: DataFrame, seeds: DataFrame, max_depth: int = 2, max_pages: int | None = None, saved=None) -> DataFrame:
     """(url, depth) of pages met from the seeds (url), level by level. A level is one join against the edges and one
     anti-join against what was met; ``saved`` may write a level down to cut its lineage. With ``max_pages`` the first by
     depth and address stay.
     """
-    saved = saved or lineage_cut(edges.sparkSession)
+    saved = saved or (lambda df: kept(df, "level"))
     met = seeds.select("url", F.lit(0).alias("depth")).distinct()
     frontier = met
     for depth in range(1, max_depth + 1):
@@ -138,55 +129,21 @@ def link_report(links: DataFrame, name: str = "link") -> DataFrame:
     return numbered_by(links.select(name).where(F.col(name).isNotNull()).distinct(), name, name="position")
 
 
-def web_round(
-    seeds: DataFrame,
-    fetch: Callable[[DataFrame], DataFrame],
-    read: Callable[[DataFrame], DataFrame],
-    previous: DataFrame,
-    source: str,
-    hosts: Sequence[str],
-    prefixes: Sequence[str],
-    max_depth: int = 2,
-    max_pages: int = 120,
-    crawled_at: str = "",
-    saved: Callable[[DataFrame], DataFrame] | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """One crawl of a web source: its pages (url, depth, status, change, hash, path, title, markdown) and the next state.
-
-    A level of the frontier is fetched as one table: ``fetch`` takes (url) and gives (url, status, content_type, html), in
-    which each source reads as its site allows. A page whose markdown is thin is asked of ``read`` (url) -> (url, page), a
-    reader service, whose text counts if it is longer. Allowed links of what was fetched, of the page and its markdown,
-    are the next level. At most ``max_pages`` pages are fetched, the first by depth and address.
+def resolved_redirects(hops: DataFrame) -> DataFrame:
+    """(url, final, cyclic) of redirects (url, target): where a chain ends, and whether it runs in a circle, which has no end.
+
+    A round lets each address point where its target points, so a chain of n hops takes log2 n rounds; an address that
+    still points to a redirect after all rounds that a chain could need leads into a circle. Of several targets of an
+    address the least counts.
     """
-    saved = saved or lineage_cut(seeds.sparkSession)
-    allowed = lambda c: urls.is_allowed(F.col(c), hosts, prefixes)
-    met = seeds.select(urls.normalize_url(F.col("url")).alias("url")).where(allowed("url")).distinct()
-    frontier, pages, left = met, None, max_pages
-    for depth in range(max_depth + 1):
-        frontier = frontier.orderBy("url").limit(left)
-        got = fetch(frontier.select("url")).withColumn("status", fetch_status(F.col("status"), F.col("content_type")))
-        title = F.coalesce(blank_to_null(markdown.page_title(F.col("html"))), F.col("url"))
-        body = F.when(F.col("status") == "fetched", markdown.rendered(F.col("html")))
-        got = got.withColumn("title", title).withColumn("body", body)
-        thin = got.where((F.col("status") == "fetched") & markdown.is_thin(F.concat(F.lit("# \n"), F.col("body"))))
-        shown = markdown.reader_fields(F.col("page"))
-        better = read(thin.select("url")).select("url", shown[0].alias("reader_title"), markdown.clean_reader_page(shown[1]).alias("reader_body"))
-        got = got.join(better, "url", "left")
-        longer = F.length(F.coalesce("reader_body", F.lit(""))) > F.length(F.coalesce("body", F.lit("")))
-        got = got.withColumn("title", F.when(longer, F.coalesce("reader_title", "title")).otherwise(F.col("title"))).withColumn("body", F.when(longer, F.col("reader_body")).otherwise(F.col("body")))
-        level = saved(got.select("url", F.lit(depth).alias("depth"), "status", "title", "body", "html"))
-        pages = level if pages is None else pages.unionByName(level)
-        left = max_pages - pages.count()
-        if left <= 0 or depth == max_depth:
+    now = kept(hops.where("url is not null and target is not null").groupBy("url").agg(F.min("target").alias("target")), "hops")
+    ends, rounds = now.select(F.col("url").alias("end")), math.ceil(math.log2(max(2, now.count()))) + 1
+    for _ in range(rounds):
+        on = now.select(F.col("url").alias("__via"), F.col("target").alias("__next"))
+        far = now.join(on, F.col("target") == F.col("__via"), "left")
+        now = kept(far.select("url", F.coalesce("__next", "target").alias("target"), F.col("__next").isNotNull().alias("moved")), "hops")
+        if now.where("moved").isEmpty():
             break
-        fetched = level.where("status = 'fetched'")
-        of_page = F.transform(urls.resolved_all(F.col("url"), urls.anchors(F.col("html"))), lambda x: urls.normalize_url(x))
-        links = fetched.select(F.explode(of_page).alias("url")).union(fetched.select(F.explode(markdown.markdown_links(F.col("body"), F.col("url"))).alias("url")))
-        frontier = saved(links.where(allowed("url")).distinct().join(met, "url", "left_anti"))
-        met = met.union(frontier)
-    text = markdown.page_document(F.col("url"), F.col("title"), F.lit(source), F.lit(crawled_at), F.col("body"))
-    rows = pages.withColumn("markdown", F.when(F.col("status") == "fetched", text)).withColumn("source", F.lit(source))
-    rows = rows.withColumn("hash", F.sha2("body", 256)).withColumn("path", urls.slug_path(F.col("url"), source))
-    rows = changes(rows, previous).drop("html", "body")
-    kept = rows.where("status = 'fetched'").select("url", "hash", F.col("path").alias("file"), "source", F.lit(crawled_at).alias("last_crawled"))
-    return rows, next_state(kept, previous)
+        now = now.drop("moved")
+    told = now.join(ends, F.col("target") == F.col("end"), "left")
+    return told.select("url", F.when(F.col("end").isNull(), F.col("target")).alias("final"), F.col("end").isNotNull().alias("cyclic"))

@@ -139,17 +139,22 @@ def link_edges(spark, sf_dir):
     return _edges(spark, sf_dir).groupBy("source", "target").agg(F.count("*").alias("n"))
 
 
-def _graph(spark, sf_dir):
-    """A graph with depth: page n links to pages 2n+1 and 2n+2, and back to n // 3."""
-    p = _pages(spark, sf_dir).select("page_id")
-    address = lambda n: F.concat(F.lit("p/"), n.cast("string"))
-    steps = p.select("page_id", F.explode(F.array(F.col("page_id") * 2 + 1, F.col("page_id") * 2 + 2, F.floor(F.col("page_id") / 3))).alias("to"))
-    return steps.select(address(F.col("page_id")).alias("source"), address(F.col("to")).alias("target"))
+def _next_links(spark, sf_dir):
+    """(source, target): the path of a link and that of the link after it on some page."""
+    ps = F.transform(urls.anchors(F.col("html")), lambda h: urls.path(h))
+    pairs = _pages(spark, sf_dir).select(F.explode(F.arrays_zip(ps.alias("a"), F.slice(ps, 2, F.greatest(F.size(ps), F.lit(1))).alias("b"))).alias("p"))
+    return pairs.select(F.col("p.a").alias("source"), F.col("p.b").alias("target")).where("target is not null").distinct()
 
 
 def link_bfs(spark, sf_dir):
-    seeds = _pages(spark, sf_dir).where("page_id = 3").select(F.lit("p/3").alias("url"))
-    return crawl.breadth_first(_graph(spark, sf_dir), seeds, max_depth=4)
+    edges = _next_links(spark, sf_dir)
+    seeds = edges.where("source like '/t%' or source like '/d%'").select(F.col("source").alias("url")).distinct()
+    return crawl.breadth_first(edges, seeds, max_depth=4)
+
+
+def redirect_finals(spark, sf_dir):
+    hops = _next_links(spark, sf_dir).select(F.col("source").alias("url"), "target")
+    return crawl.resolved_redirects(hops)
 
 
 def _snapshots(spark, sf_dir):
@@ -243,7 +248,7 @@ def json_objects(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (url_normalize, url_valid, url_slug_path, url_route_path, url_candidates, data_routes, html_links, html_title, html_main_text, title_from_url, thin_pages, front_lines, docid_build, docid_eval, docid_generate, content_hash, slugs, snippets, link_edges, link_bfs, crawl_change_detect, crawl_next_state, crawl_classify, crawl_reports, crawl_stats, fetch_decision, first_candidates, merged_origins, reader_clean, keep_first_urls, json_objects)
+    for f in (url_normalize, url_valid, url_slug_path, url_route_path, url_candidates, data_routes, html_links, html_title, html_main_text, title_from_url, thin_pages, front_lines, docid_build, docid_eval, docid_generate, content_hash, slugs, snippets, link_edges, link_bfs, redirect_finals, crawl_change_detect, crawl_next_state, crawl_classify, crawl_reports, crawl_stats, fetch_decision, first_candidates, merged_origins, reader_clean, keep_first_urls, json_objects)
 }
 
 _PATH, _HOSTS, _SCHEME = f"regexp_extract(url, {_RFC}, 5)", f"lower(regexp_extract(url, {_RFC}, 4))", f"lower(regexp_extract(url, {_RFC}, 2))"
@@ -252,6 +257,7 @@ and not regexp_matches(lower({_PATH}), '\\.(png|jpg|jpeg|gif|svg|webp|bmp|ico|pd
 _REST = f"trim(case when starts_with({_PATH}, '/docs') then substr({_PATH}, 6) else {_PATH} end, '/')"
 _LINKS = "ln as (select page_id, url, unnest(regexp_extract_all(html, '<a [^>]*href=\"([^\"]*)\"', 1)) href, generate_subscripts(regexp_extract_all(html, '<a [^>]*href=\"([^\"]*)\"', 1), 1) - 1 place from pages)"
 _TARGETS = f"{_LINKS}, ed as (select {_norm('url')} source, place, {_norm('absolute')} target from (select *, regexp_extract(url, '^https?://[^/?#]+') || href absolute from ln))"
+_NEXT = f"""{_LINKS}, ne as (select distinct source, target from (select regexp_extract(href, {_RFC}, 5) source, lead(regexp_extract(href, {_RFC}, 5)) over (partition by page_id order by place) target from ln) where target is not null)"""
 _CANDIDATES = f"""rs as (select doc_id, {_REST} r from u), pt as (select doc_id, r, list_filter(string_split(r, '/'), lambda x: x <> '') p, array_to_string(list_filter(string_split(r, '/'), lambda x: x <> ''), '/') rel from rs),
 pv as (select *, coalesce(p[-1], '') leaf, array_to_string(p[1:len(p)-1], '/') parent, case when len(p) > 1 then p[-2] else p[-1] end pl from pt),
 cs as (select doc_id, case when r = '' then ['home/home_CN.md', 'overview/overview_CN.md'] when r = 'home' then ['home/home_CN.md', 'overview/overview_CN.md', 'home_CN.md'] else list_filter([
@@ -276,7 +282,7 @@ select doc_id, place, 'https://docs.example.com/docs/' || array_to_string(case w
     "html_title": "select page_id, regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '^\\s+|\\s+$', '', 'g') title from pages",
     "title_from_url": """with t as (select page_id, regexp_replace(url, '[?#].*$', '') u, url from pages), s as (select page_id, left(trim(translate(string_split(rtrim(u, '/'), '/')[-1], '-_', '  ')), 40) title, left(trim(translate(string_split(rtrim(url, '/'), '/')[-1], '-_', '  ')), 40) whole from t)
 select page_id, title, case when page_id % 2 = 0 then case when whole = '' then 'Untitled' else whole end else 'T' || page_id end normal from s""",
-    "thin_pages": """with m as (select doc_id, case when doc_id % 2 = 0 then 'menu' || chr(10) || '# ' || text else text end t from documents), b as (select doc_id, regexp_replace(case when doc_id % 2 = 0 then substr(t, 6) else t end, '^\\s+|\\s+$', '', 'g') s from m)
+    "thin_pages": """with m as (select doc_id, case when doc_id % 2 = 0 then 'menu' || chr(10) || '# ' || text else text end t from documents), b as (select doc_id, regexp_replace(regexp_extract(t, '(?ms)^# .*'), '^\\s+|\\s+$', '', 'g') s from m)
 select doc_id, length(regexp_replace(s, '\\s+', '', 'g')) < 120 thin, length(s) n_chars from b""",
     "front_lines": "select doc_id, 'https://docs.example.com/' || source source_url, 'T' || doc_id title, case when doc_id % 3 = 0 then 'guide' else 'doc' end data_type, 'doc-' || left(sha1('https://docs.example.com/' || source), 12) docid from documents",
     "docid_build": "select page_id, 'doc-' || left(sha1(case when page_id % 2 = 0 or page_id % 3 = 0 then url else 'p' || page_id end), 12) docid from pages",
@@ -286,8 +292,12 @@ select doc_id, length(regexp_replace(s, '\\s+', '', 'g')) < 120 thin, length(s)
     "slugs": "with s as (select doc_id, trim(regexp_replace(regexp_replace(lower(regexp_replace(left(text, 60), '^\\s+|\\s+$', '', 'g')), '[^a-z0-9._-]+', '-', 'g'), '-+', '-', 'g'), '-') s from documents) select doc_id, case when s = '' then 'index' else s end slug from s",
     "snippets": "select doc_id, sha256(left(regexp_replace(replace(coalesce(text, ''), chr(10), ' '), '^\\s+|\\s+$', '', 'g'), 280)) snippet_hash, sha256(replace(trim(regexp_replace(coalesce(text || ' ？？', ''), '\\s+', ' ', 'g')), '？？', '？')) query_hash from documents",
     "link_edges": f"with {_TARGETS} select source, target, count(*) n from ed group by 1, 2",
-    "link_bfs": """with recursive g as (select 'p/' || page_id s, 'p/' || unnest([page_id * 2 + 1, page_id * 2 + 2, page_id // 3]) t from pages), b as (select 'p/3' url, 0 depth union select t, depth + 1 from b join g on s = url where depth < 4)
+    "link_bfs": f"""with recursive {_NEXT}, b as (select source url, 0 depth from ne where source like '/t%' or source like '/d%' union select t.target, depth + 1 from b join ne t on t.source = url where depth < 4)
 select url, min(depth)::int depth from b group by url""",
+    "redirect_finals": f"""with recursive {_NEXT}, ho as (select source url, min(target) target from ne group by source),
+w as (select url, target from ho union select w.url, ho.target from w join ho on ho.url = w.target),
+en as (select url, target from w where target not in (select url from ho))
+select ho.url, en.target final, en.target is null cyclic from ho left join en on en.url = ho.url""",
     "crawl_change_detect": f"with {SNAPSHOTS} select url, change from ch",
     "crawl_next_state": f"with {SNAPSHOTS} select url, hash from no union all select url, coalesce(hash, '') from be where url not in (select url from no)",
     "crawl_classify": f"with {CLASSIFIED} select page_id, origin, has_child, status, reason from st",

@@ -5,9 +5,10 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 from functools import lru_cache
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "tessera", master: str | None = None, partitions: int | None = None) -> SparkSession:
@@ -36,3 +37,10 @@ def shared_folder(spark: SparkSession) -> str:
     if not re.fullmatch(r"local(\[.*\])?", context.master):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     return _local_folder(context.applicationId)
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: what follows doesn't compute it again, and any executor can be lost."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

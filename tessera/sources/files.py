@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -119,6 +121,32 @@ def hashed_embedding(dimensions: int = 64) -> Callable[[list[str]], list]:
     return embed
 
 
+def write_pages(rows: DataFrame, root: str) -> int:
+    """Write the markdown of rows (path, markdown) to files at their paths below ``root``, and return how many.
+
+    Each task writes its rows' files, beside their places first; a file whose page isn't among the rows stays.
+    """
+    if "://" not in root:
+        root = os.path.abspath(root)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(root)
+        for b in batches:
+            for path, text in zip(b["path"], b["markdown"]):
+                at = f"{base}/{path}"
+                system.create_dir(at.rsplit("/", 1)[0], recursive=True)
+                beside = f"{at}.{uuid.uuid4().hex}.next"
+                with system.open_output_stream(beside) as f:
+                    f.write(text.encode())
+                system.move(beside, at)
+            yield pd.DataFrame({"n": [len(b)]})
+
+    texts = rows.where("path is not null and markdown is not null").select("path", "markdown")
+    return texts.mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def load_state(spark: SparkSession, path: str) -> DataFrame:
     """The crawl's last snapshot; an empty one if it is missing or can't be read."""
     try:

@@ -158,28 +158,6 @@ def test_config():
         config.text_embedding_model("some-VL-embed")
 
 
-def test_web_round(spark):
-    """A site of four pages: a thin page is read by the reader, links are followed once, others' sites are left alone."""
-    long = "word " * 60
-    site = {
-        "https://d.example/docs": f"<title>Home</title><main><p>{long}</p><a href='/docs/thin#x'>t</a><a href='https://other.example/docs'>o</a></main>",
-        "https://d.example/docs/thin": "<title>Thin</title><main>few</main><a href='/docs'>back</a><a href='/docs/gone'>g</a><a href='/docs/deep'>d</a>",
-        "https://d.example/docs/deep": f"<main>{long}</main><a href='/docs/deeper'>d</a>",
-        "https://d.example/docs/deeper": f"<main>{long}</main>",
-    }
-    pages = spark.createDataFrame([(u, 200, "text/html", h) for u, h in site.items()], "url string, status int, content_type string, html string")
-    fetch = lambda urls: urls.join(pages, "url", "left").fillna({"status": 404, "content_type": ""})
-    read = lambda urls: urls.withColumn("page", F.lit(f"Title: Read\n\nMarkdown Content:\n# Read\n{long}"))
-    seeds = spark.createDataFrame([("https://D.example/docs/",)], "url string")
-    empty = spark.createDataFrame([], schemas.CRAWL_STATE)
-    rows, state = crawl.web_round(seeds, fetch, read, empty, "docs", ["d.example"], ["/docs"], 2, 50, "now")
-    got = {r["url"].rsplit("/", 1)[1]: r for r in rows.collect()}
-    assert {k: (r["depth"], r["status"]) for k, r in got.items()} == {"docs": (0, "fetched"), "thin": (1, "fetched"), "deep": (2, "fetched"), "gone": (2, "failed")}
-    assert got["thin"]["title"] == "Read" and "# Read" in got["thin"]["markdown"] and got["docs"]["change"] == "new"
-    again, _ = crawl.web_round(seeds, fetch, read, state, "docs", ["d.example"], ["/docs"], 2, 2, "later")
-    assert {r["url"].rsplit("/", 1)[1]: r["change"] for r in again.collect()} == {"docs": "unchanged", "thin": "unchanged"}
-
-
 def test_generated_cases(spark):
     docs = spark.createDataFrame([(f"d{i}", f"T{i}", f"https://x/{i}", "s") for i in range(7)], "docid string, title string, url string, snippet string")
     tries = []
