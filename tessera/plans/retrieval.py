@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import chunking, context, fusion, metrics, vector
-from ..sources import index
+from ..operators import chunking, context, fusion, metrics
+from ..sources import index, vector_index
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,9 +54,13 @@ def bm25_sql(k: int) -> str:
     return BM25.replace("@k", str(k))
 
 
+def vector_index_of(spark, sf_dir, metric="l2") -> vector_index.VectorIndex:
+    return vector_index.kept_vectors(spark, f"{sf_dir}/embeddings.parquet", "vec_id", "embedding", metric)
+
+
 def _vectors(spark, sf_dir, metric):
-    base = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return vector.vector_topk(base.where("vec_id % 50 = 0"), base, "vec_id", "embedding", 5, metric).withColumn("rank", F.col("rank").cast("long"))
+    asked = read(spark, sf_dir, "embeddings").where("vec_id % 50 = 0")
+    return vector_index_of(spark, sf_dir, metric).search(asked, "vec_id", "embedding", 5).withColumn("rank", F.col("rank").cast("long"))
 
 
 def vector_topk_l2(spark, sf_dir):
@@ -158,7 +162,7 @@ def _branches(spark, sf_dir):
     """A vector for each question: that of the document with its number, so both branches rank documents."""
     base = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     asked = base.join(read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi")
-    return [vector.vector_topk(asked, base, "vec_id", "embedding", 5), bm25(spark, sf_dir, 5)]
+    return [vector_index_of(spark, sf_dir).search(asked, "vec_id", "embedding", 5), bm25(spark, sf_dir, 5)]
 
 
 def hybrid_rrf(spark, sf_dir):
