@@ -46,6 +46,24 @@ def retrieval_summary(items: DataFrame, by: list[str] | None = None) -> DataFram
     return grouped.agg(_mean("hit"), _mean("recall"), _mean("mrr"), F.count_if(~F.col("skipped")).cast("double").alias("evaluated_count"), F.count_if("skipped").cast("double").alias("skipped_count"))
 
 
+def grouped_summary(items: DataFrame) -> DataFrame:
+    """(difficulty, dataset_type, tag, ...): the summary by difficulty, by type, by both, by tag and of all, in one pass.
+
+    An item counts once for each of its tags; a column that a row isn't grouped by is null. Grouping sets are computed from
+    one shuffle of partial sums.
+    """
+    given = F.concat(F.array(F.lit(None).cast("string")), F.filter(F.array_distinct(F.coalesce("tags", F.array())), lambda t: t.isNotNull()))
+    rows = items.withColumn("tag", F.explode(given))
+    whole = F.col("tag").isNull()
+    rows = rows.select(F.when(whole, F.col("difficulty")).alias("difficulty"), F.when(whole, F.col("dataset_type")).alias("dataset_type"), "tag", "skipped", "hit", "recall", "mrr", whole.alias("whole"))
+    level, kind, tag, one = (F.col(c) for c in ("difficulty", "dataset_type", "tag", "whole"))
+    grouped = rows.groupingSets([[one, level], [one, kind], [one, level, kind], [one], [one, tag]], one, level, kind, tag)
+    out = grouped.agg(F.grouping_id().alias("set"), _mean("hit"), _mean("recall"), _mean("mrr"), F.count_if(~F.col("skipped")).cast("double").alias("evaluated_count"), F.count_if("skipped").cast("double").alias("skipped_count"))
+    # whole items are grouped by level and kind, their tagged copies by the tag
+    by_tag = F.col("set") == 6  # neither level nor kind is grouped by
+    return out.where(F.when(by_tag, ~one).otherwise(one)).drop("whole", "set")
+
+
 def url_summary(items: DataFrame, matched_by: str = "matched_by") -> DataFrame:
     both = items.agg(F.count_if(F.col(matched_by) == "url").alias("url_match_count"), F.count_if(F.col(matched_by) == "docid").alias("docid_fallback_count"))
     return retrieval_summary(items).crossJoin(both)  # a row each

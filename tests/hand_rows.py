@@ -1,4 +1,4 @@
-"""Queries of operators that the tables hold no input for: hand-written rows, and the results to be had, written by hand too."""
+"""Hand-written rows for operators, and the results to be had, written by hand too."""
 
 from __future__ import annotations
 
@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import markdown, urls
-from ..functions import text as tx
-from ..operators import chunking, context, crawl, evalset, fusion, metrics
-from ..sources import files
-from . import flow
+from tessera.functions import markdown, urls
+from tessera.functions import text as tx
+from tessera.operators import chunking, context, crawl, evalset, fusion, metrics
+from tessera.sources import files
+from tessera.plans import flow
 
 #: name -> (a function of the session that gives (place, result) rows, the results in the order of places)
 CASES: dict[str, tuple[Callable[[SparkSession], DataFrame], list[str | None]]] = {}
@@ -255,15 +255,3 @@ def hybrid_rows(spark):
     both = fusion.hybrid([vectors, words], [0.5, 0.5]).withColumn("place", F.lit(2))
     found = one.unionByName(both).groupBy("place").agg(F.array_sort(F.collect_list(F.struct("rank", "id"))).alias("r"))
     return shown(found, listed(F.transform("r", lambda x: x["id"])))
-
-
-def _literal(value: str | None) -> str:
-    return "null" if value is None else "'" + value.replace("'", "''") + "'"
-
-
-def _query(make: Callable[[SparkSession], DataFrame]):
-    return lambda spark, sf_dir: make(spark)
-
-
-QUERIES = {name: _query(make) for name, (make, _) in CASES.items()}
-ORACLES = {name: "select * from (values " + ", ".join(f"({n}::bigint, {_literal(w)}::varchar)" for n, w in enumerate(wanted, 1)) + ") as t(place, result)" for name, (_, wanted) in CASES.items()}
