@@ -3,8 +3,8 @@
 Tokens are tags in the context of their enclosing containers. Tokens of a host's pages that occur equally often in every
 page, that is, share an occurrence vector, are one equivalence class. A class is valid if its tokens stand in one order
 in the page and its occurrences nest; valid classes nested in each other are the template, what lies between two of its
-tokens is a slot. A slot that holds one text in nearly all pages of a host is furniture, wherever it stands. In the slots
-that vary, tag names, roles and class words tell what else is; the rest is read.
+tokens is a slot. A slot that holds one text in nearly all pages of a host is furniture, unless it stands in an article. In
+the slots that vary, tag names, roles and class words tell what else is; the rest is read.
 """
 
 from __future__ import annotations
@@ -230,8 +230,8 @@ def fixed_slots(pages: DataFrame) -> DataFrame:
 def extract(source: str | None, classes: dict[str, int]) -> str:
     """The main text of a page, given its host's template tokens and their classes, and its fixed slots (key: 0).
 
-    The template's tokens cut the page in slots. A slot is furniture if it is fixed on the host; of other slots, what lies
-    in furniture by its path. If any slot left lies in an article or main element, only such slots are read.
+    The template's tokens cut the page in slots. Outside of main elements a slot is furniture if it is fixed on the host; of other
+    slots, what lies in furniture by its path. If any slot left lies in an article or main element, only such slots are read.
     """
     if not source:
         return ""
@@ -256,7 +256,8 @@ def extract(source: str | None, classes: dict[str, int]) -> str:
             found = roles[path] = (furniture, main)
         return found
 
-    pieces = [(*role(path), text) for slot, own in slots for path, text in [*(own if slot not in classes else ()), ("", None)]]
+    # a heading that all articles of a host have is their text: a fixed slot is furniture outside of main elements only
+    pieces = [(*role(path), text) for slot, own in slots for path, text in [*(x for x in own if slot not in classes or role(x[0]) == (False, True)), ("", None)]]
     main = any(m and not f and t is not None and not t.isspace() for f, m, t in pieces)
     blocks, block = [], []
     for furniture, within, text in pieces:
