@@ -307,6 +307,21 @@ def rewrite_rows(spark, sf_dir):
     return turns(spark, sf_dir).select("conv_id", "turn", F.sha2(flow.default_rewrite(text("Could you {text}")), 256).alias("hash"))
 
 
+_NAME = r"\b[A-Z][A-Za-z0-9_-]*[A-Za-z0-9]"
+_NOT = "('How', 'What', 'Why', 'When', 'Where', 'Who', 'Which', 'The', 'This', 'That', 'It', 'They', 'And', 'But', 'Can', 'Could', 'Do', 'Does', 'Is', 'Are', 'Hello', 'Please')"
+_REFERS = r"(?i)\b(it|this|that|they|them)\b|它|这个|那个|该框架"
+
+
+@query(f"""with t as (select conv_id, turn, role, {sql_text('Tell of this: {text}')} said from conversations),
+n as (select *, list_filter(regexp_extract_all(said, '{_NAME}'), lambda x: x not in {_NOT})[-1] own from t),
+b as (select *, last_value(own ignore nulls) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding) name from n),
+q as (select conv_id, turn, case when name is not null then regexp_replace(said, '{_REFERS}', name) else said end question from b where role = 'user')
+select conv_id, turn, sha256(question) question_hash, case when regexp_full_match(question, '(?i)\\s*(hi|hello|hey|thanks?|thank you|bye|你好|您好|谢谢|再见)[\\s!.,。！，]*') then 'chat' else 'docs' end datasource from q""")
+def standalone_questions(spark, sf_dir):
+    said = turns(spark, sf_dir).withColumn("text", text("Tell of this: {text}"))
+    return flow.standalone(said).select("conv_id", "turn", F.sha2("question", 256).alias("question_hash"), "datasource")
+
+
 @query(f"""with q as (select item_id, {WORDS.format("coalesce(b.text, '')")} r, {WORDS.format("coalesce(d.text, '')")} w from benchmark b join documents d on doc_id = item_id)
 select item_id, case when len(r) > 0 and len(list_intersect(w, r)) / len(r)::double >= 1 / 3::double then 'yes' else 'no' end grade from q""")
 def grade_rows(spark, sf_dir):

@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -47,6 +47,40 @@ def default_router(message: Column) -> Column:
     return F.when(greeting, "chat").otherwise("docs")
 
 
+#: Words that stand for something said before, and words with a capital that name nothing.
+REFERENCES = r"(?i)\b(it|this|that|they|them)\b|它|这个|那个|该框架"
+NAMES = r"\b(?!(?:How|What|Why|When|Where|Who|Which|The|This|That|It|They|And|But|Can|Could|Do|Does|Is|Are|Hello|Please)\b)[A-Z][A-Za-z0-9_-]*[A-Za-z0-9]"
+
+
+def last_name(message: Column) -> Column:
+    """The last name that a message says: a word that begins with a capital, other than those that begin questions; null if there is none."""
+    return F.try_element_at(F.regexp_extract_all(F.coalesce(message, F.lit("")), F.lit(NAMES), F.lit(0)), F.lit(-1))
+
+
+def with_reference(message: Column, name: Column) -> Column:
+    """A message with the first word that refers to something replaced by the name; unchanged without either."""
+    said = F.coalesce(message, F.lit(""))
+    word = F.regexp_extract(said, REFERENCES, 0)
+    at = F.instr(F.regexp_replace(said, REFERENCES, "\u0001"), "\u0001")
+    put = F.concat(F.left(said, at - 1), name, F.substr(said, at + F.length(word)))
+    return F.when((word != "") & name.isNotNull(), put).otherwise(said)
+
+
+def standalone(turns: DataFrame, router: Callable[[Column], Column] = default_router, rewrite: Callable[[Column, Column], Column] = with_reference) -> DataFrame:
+    """(conv_id, turn, question, datasource) of each user message of conversations (conv_id, turn, role, text): the question that
+    can be read without what was said before, and where it goes.
+
+    The name that a message's references stand for is the last one of the turns before it, the user's and the answers'.
+    Where a model that rewrites or routes gives no answer (null), the message itself is asked, of the documents.
+    """
+    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    named = turns.withColumn("name", F.last(last_name(F.col("text")), ignorenulls=True).over(before)).where("role = 'user'")
+    question = rewrite(F.col("text"), F.col("name"))
+    whole = question.isNotNull() & router(question).isNotNull()
+    out = named.select("conv_id", "turn", F.when(whole, question).otherwise(F.coalesce("text", F.lit(""))).alias("question"), whole.alias("ok"))
+    return out.select("conv_id", "turn", "question", F.when(F.col("ok"), datasource_route(router(F.col("question")))).otherwise("docs").alias("datasource"))
+
+
 def default_decompose(question: Column) -> Column:
     """The parts of a question that asks several; null of one that asks one thing."""
     parts = F.filter(F.transform(F.split(F.coalesce(question, F.lit("")), "[?？;；]"), tx.stripped), lambda x: x != "")

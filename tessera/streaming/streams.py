@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -56,6 +57,36 @@ def conversation_steps(turns: DataFrame, idle: int | None = None) -> DataFrame:
     return turns.groupBy("conv_id").applyInPandasWithState(step, "conv_id long, turns long, rewrites long", "n long, rewrites long", "update", timeout)
 
 
+def standalone_messages(turns: DataFrame, idle: int | None = None) -> DataFrame:
+    """(conv_id, turn, text, name) of streamed turns (conv_id, turn, role, text): each user message with the last name of the turns
+    before it, which is each conversation's state; ``plans.flow.with_reference`` makes the question of both. Turns of one
+    micro-batch count in their order; with ``idle`` (milliseconds) a conversation without turns for so long is forgotten.
+    """
+    from ..plans.flow import NAMES
+
+    names = re.compile(NAMES)
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        name = state.get[0] if state.exists else None
+        rows = pd.concat(list(batches)).sort_values("turn")  # a conversation's turns of one micro-batch
+        out = []
+        for turn, role, text in zip(rows["turn"], rows["role"], rows["text"]):
+            if role == "user":
+                out.append((key[0], turn, text, name))
+            found = names.findall(text or "")
+            name = found[-1] if found else name
+        state.update((name,))
+        if idle:
+            state.setTimeoutDuration(idle)
+        yield pd.DataFrame(out, columns=["conv_id", "turn", "text", "name"])
+
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
+    return turns.groupBy("conv_id").applyInPandasWithState(step, "conv_id long, turn long, text string, name string", "name string", "append", timeout)
+
+
 def conversation_totals(turns: DataFrame) -> DataFrame:
     """The batch twin of ``conversation_steps``."""
     return turns.groupBy("conv_id").agg(F.count("*").alias("turns"), F.coalesce(F.sum("rewritten"), F.lit(0)).cast("long").alias("rewrites"))
