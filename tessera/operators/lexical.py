@@ -5,7 +5,7 @@ rest can't reach its k-th score.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -52,27 +52,69 @@ def shard_count(n: int) -> int:
 
 
 def bucket_count(n: int) -> int:
-    """Folders of terms: 16 for a small index, 1,024 at most."""
+    """Buckets of terms: 16 for a small index, 1,024 at most."""
     return min(1_024, 16 * max(1, math.ceil(n / MANY)))
 
 
+def _blocks(kind: pa.DataType) -> Callable:
+    """A function from postings in order (bucket, shard, term, id, tf, dl) to blocks; a term of a shard that a batch cuts is carried over."""
+    ints = pa.int32()
+    schema = pa.schema([("bucket", ints), ("shard", ints), ("term", pa.string()), ("block", ints), ("df", ints), ("max_tf", ints), ("min_dl", ints), ("ids", pa.list_(kind)), ("tfs", pa.list_(ints)), ("dls", pa.list_(ints))])
+
+    def cut(rows: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
+        sizes = np.diff(np.append(starts, rows.num_rows))
+        place = np.arange(rows.num_rows) - np.repeat(starts, sizes)
+        begins = np.flatnonzero(place % POSTINGS == 0)
+        first = place[begins] == 0
+        df = np.zeros(len(begins), np.int32)
+        df[first] = sizes
+        tf, dl = (rows.column(c).to_numpy() for c in ("tf", "dl"))
+        offsets = pa.array(np.append(begins, rows.num_rows), ints)
+        lists = [pa.ListArray.from_arrays(offsets, rows.column(c)) for c in ("id", "tf", "dl")]
+        own = [rows.column(c).take(pa.array(begins)) for c in ("bucket", "shard", "term")]
+        numbers = [pa.array((place[begins] // POSTINGS).astype(np.int32)), pa.array(df, ints, mask=~first), pa.array(np.maximum.reduceat(tf, begins)), pa.array(np.minimum.reduceat(dl, begins))]
+        return pa.RecordBatch.from_arrays([*own, *numbers, *lists], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows = pa.Table.from_batches([*rest, b]).combine_chunks().to_batches()[0]
+            new = np.ones(rows.num_rows, bool)
+            new[1:] = False
+            for c in ("shard", "term"):
+                new[1:] |= pc.not_equal(rows.column(c)[1:], rows.column(c)[:-1]).to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(new)
+            if starts[-1]:
+                yield cut(rows.slice(0, int(starts[-1])), starts[:-1])
+            rest = [rows.slice(int(starts[-1]))]
+        if rest:
+            yield cut(pa.Table.from_batches(rest).combine_chunks().to_batches()[0], np.zeros(1, np.int64))
+
+    return run
+
+
 def blocks(lists: DataFrame, shards: int, buckets: int, avgdl: float) -> DataFrame:
     """(bucket, shard, term, block, df, max_tf, min_dl, ids, tfs, dls): the postings of each term in each shard of texts, best
-    first, in blocks. ``df`` is of the shard and stands in its first block.
+    first, in blocks, in the order of buckets and terms. ``df`` is of the shard and stands in its first block.
 
-    A group is a term in a shard, of MANY postings at most, so no term is too large for a task. The order is that of the
-    average length given; a block's bounds hold for any.
+    What is shuffled of a posting is its term, its text's id, and one number of both counts. A partition is sorted and cut
+    as it streams by: a term in a shard has MANY postings at most, and no more is held at once. The order within a term is
+    that of the average length given; a block's bounds hold for any.
     """
-    rows = lists.select("id", "dl", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), F.explode(F.arrays_zip("terms", "tfs")).alias("p"))
-    rows = rows.select("id", "dl", "shard", F.col("p.terms").alias("term"), F.col("p.tfs").alias("tf"))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).withColumn("part", F.floor(F.col("shard") / SHARDS))
-    keys = ["bucket", "part", "term", "shard"]
-    own = rows.repartition("bucket", "part").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct((-impact(F.col("tf"), F.col("dl"), avgdl)).alias("o"), "id", "tf", "dl"))).alias("ps"))
-    n = F.size("ps")
-    cut = own.select(*keys, n.alias("n"), F.posexplode(F.transform(F.sequence(F.lit(1), n, F.lit(POSTINGS)), lambda s: F.slice("ps", s, POSTINGS))).alias("block", "p"))
-    tfs, dls = F.col("p.tf"), F.col("p.dl")
-    out = cut.select("bucket", "shard", "term", "block", F.when(F.col("block") == 0, F.col("n")).alias("df"), F.array_max(tfs).alias("max_tf"), F.array_min(dls).alias("min_dl"), F.col("p.id").alias("ids"), tfs.alias("tfs"), dls.alias("dls"))
-    return out.sortWithinPartitions("bucket", "term", "shard", "block")
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = lists.schema["id"].dataType
+    rows = lists.select("id", "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("p"))
+    rows = rows.select(F.col("p.terms").alias("term"), "id", (F.col("p.tfs").cast("long") * (1 << 32) + F.col("dl")).alias("counts"))
+    bucket, shard = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"), F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")
+    dealt = rows.repartition(bucket, F.floor(shard / SHARDS))
+    tf, dl = F.shiftright("counts", 32).cast("int"), F.col("counts").bitwiseAND((1 << 32) - 1).cast("int")
+    own = dealt.select(bucket.alias("bucket"), shard.alias("shard"), "term", "id", "counts", impact(tf, dl, avgdl).alias("impact"))
+    ordered = own.sortWithinPartitions("bucket", "term", "shard", F.desc("impact"), "id").select("bucket", "shard", "term", "id", tf.alias("tf"), dl.alias("dl"))
+    schema = f"bucket int, shard int, term string, block int, df int, max_tf int, min_dl int, ids array<{kind.simpleString()}>, tfs array<int>, dls array<int>"
+    return ordered.mapInArrow(_blocks(to_arrow_type(kind)), schema)
 
 
 def with_idf(df: DataFrame, n: int, epsilon: float = EPSILON) -> DataFrame:

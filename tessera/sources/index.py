@@ -88,7 +88,9 @@ class LexicalIndex:
         return reduce(DataFrame.unionByName, parts)
 
     def postings(self, asked: list[tuple[str, int]]) -> DataFrame:
-        """(unit, term, ids, tfs, dls) of some terms, from the folders that hold them; and each shard's ids that are gone."""
+        """(unit, term, ids, tfs, dls) of some terms; and each shard's ids that are gone. Postings lie in the order of buckets and
+        terms, so what a scan needn't read shows in the files' statistics.
+        """
         words = F.broadcast(self.spark.createDataFrame([(t,) for t, _ in asked], "term string"))  # of one pass of questions
         unit = lambda number: (F.lit(number).cast("long") * (1 << 32) + F.col("shard")).alias("unit")
         parts = []
@@ -117,7 +119,7 @@ class LexicalIndex:
 def _postings(spark: SparkSession, s: Segment) -> DataFrame:
     """A segment's blocks; its folder has no file where no text has a term."""
     kind = spark.read.parquet(f"{s.path}/docs").schema["id"].dataType.simpleString()
-    schema = f"shard int, term string, block int, df int, max_tf int, min_dl int, ids array<{kind}>, tfs array<int>, dls array<int>, bucket int"
+    schema = f"bucket int, shard int, term string, block int, df int, max_tf int, min_dl int, ids array<{kind}>, tfs array<int>, dls array<int>"
     return spark.read.schema(schema).parquet(f"{s.path}/postings")
 
 
@@ -160,7 +162,7 @@ def _segment(spark: SparkSession, root: str, lists: DataFrame) -> tuple[list[Seg
         return [], 0, 0
     s = Segment(path, lexical.shard_count(one["n"]), lexical.bucket_count(one["n"]))
     blocks = lexical.blocks(rows, s.shards, s.buckets, one["length"] / one["n"])
-    blocks.write.partitionBy("bucket").parquet(f"{path}/postings")
+    blocks.write.parquet(f"{path}/postings")
     return [s], one["n"], one["length"]
 
 
