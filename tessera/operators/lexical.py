@@ -97,7 +97,7 @@ def _blocks(kind: pa.DataType) -> Callable:
 
 def blocks(lists: DataFrame, shards: int, buckets: int, avgdl: float) -> DataFrame:
     """(bucket, shard, term, block, df, max_tf, min_dl, ids, tfs, dls): the postings of each term in each shard of texts, best
-    first, in blocks, in the order of buckets and terms. ``df`` is of the shard and stands in its first block.
+    first, in blocks, in the order of terms within a file of few buckets. ``df`` is of the shard and stands in its first block.
 
     What is shuffled of a posting is its term, its text's id, and one number of both counts. A partition is sorted and cut
     as it streams by: a term in a shard has MANY postings at most, and no more is held at once. The order within a term is
@@ -111,8 +111,8 @@ def blocks(lists: DataFrame, shards: int, buckets: int, avgdl: float) -> DataFra
     bucket, shard = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"), F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")
     dealt = rows.repartition(bucket, F.floor(shard / SHARDS))
     tf, dl = F.shiftright("counts", 32).cast("int"), F.col("counts").bitwiseAND((1 << 32) - 1).cast("int")
-    own = dealt.select(bucket.alias("bucket"), shard.alias("shard"), "term", "id", "counts", impact(tf, dl, avgdl).alias("impact"))
-    ordered = own.sortWithinPartitions("bucket", "term", "shard", F.desc("impact"), "id").select("bucket", "shard", "term", "id", tf.alias("tf"), dl.alias("dl"))
+    own = dealt.select("term", shard.alias("shard"), "id", "counts", impact(tf, dl, avgdl).alias("impact"))
+    ordered = own.sortWithinPartitions("term", "shard", F.desc("impact")).select(bucket.alias("bucket"), "shard", "term", "id", tf.alias("tf"), dl.alias("dl"))
     schema = f"bucket int, shard int, term string, block int, df int, max_tf int, min_dl int, ids array<{kind.simpleString()}>, tfs array<int>, dls array<int>"
     return ordered.mapInArrow(_blocks(to_arrow_type(kind)), schema)
 

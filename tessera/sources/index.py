@@ -88,8 +88,8 @@ class LexicalIndex:
         return reduce(DataFrame.unionByName, parts)
 
     def postings(self, asked: list[tuple[str, int]]) -> DataFrame:
-        """(unit, term, ids, tfs, dls) of some terms; and each shard's ids that are gone. Postings lie in the order of buckets and
-        terms, so what a scan needn't read shows in the files' statistics.
+        """(unit, term, ids, tfs, dls) of some terms; and each shard's ids that are gone. A file holds few buckets, in
+        the order of terms, so what a scan needn't read shows in the files' statistics.
         """
         words = F.broadcast(self.spark.createDataFrame([(t,) for t, _ in asked], "term string"))  # of one pass of questions
         unit = lambda number: (F.lit(number).cast("long") * (1 << 32) + F.col("shard")).alias("unit")
@@ -155,14 +155,14 @@ def _unique(docs: DataFrame, id_col: str, text: str) -> DataFrame:
 def _segment(spark: SparkSession, root: str, lists: DataFrame) -> tuple[list[Segment], int, int]:
     """Write term lists (id, dl, terms, tfs, file) as a segment, none if there is no text; also the number of texts and of terms in them."""
     path = f"{root}/segments/{uuid.uuid4().hex}"
-    lists.write.parquet(f"{path}/docs")
+    lists.write.option("compression", "zstd").parquet(f"{path}/docs")
     rows = spark.read.parquet(f"{path}/docs")
     one = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("length")).first()
     if not one["n"]:
         return [], 0, 0
     s = Segment(path, lexical.shard_count(one["n"]), lexical.bucket_count(one["n"]))
     blocks = lexical.blocks(rows, s.shards, s.buckets, one["length"] / one["n"])
-    blocks.write.parquet(f"{path}/postings")
+    blocks.write.option("compression", "zstd").parquet(f"{path}/postings")
     return [s], one["n"], one["length"]
 
 
