@@ -96,6 +96,7 @@ def breadth_first(edges: DataFrame, seeds: DataFrame, max_depth: int = 2, max_pa
     depth and address stay.
     """
     saved = saved or (lambda df: kept(df, "level"))
+    edges = saved(edges.select("source", "target"))  # every level joins them
     met = seeds.select("url", F.lit(0).alias("depth")).distinct()
     frontier = met
     for depth in range(1, max_depth + 1):
