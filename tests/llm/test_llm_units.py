@@ -218,31 +218,74 @@ def test_alignment_equals_brute_force():
         assert best == h.max() and 0 <= first <= last <= len(text)
 
 
+def rare_seeds(items, frequent=()):
+    index = decontam.SeedIndex(items)
+    frequency = np.zeros(len(index.keys), int)
+    for a, b in frequent:
+        frequency[index.keys == index.numbers[a] * index.base + index.numbers[b]] = 10_000
+    return decontam.RareSeeds(index, index.rare(frequency))
+
+
 def test_leaks_with_edits_and_common_seeds():
     words = [f"w{i}" for i in range(40)]
-    index = decontam.SeedIndex([(7, " ".join(words)), (8, "short item"), (9, None), (10, "of the and that " + " ".join(f"z{i}" for i in range(30)))])
-    frequency = np.zeros(len(index.seeds), int)
-    frequency[index.item_seeds[0]] = 10_000  # the whole passage leaked into many documents
-    frequency[index.item_seeds[2][0]] = 10_000  # a common phrase
-    keep = index.rare(frequency)
-    assert keep[index.item_seeds[0]].all() and not keep[index.item_seeds[2][0]]
+    common = "of the and that"
+    items = [(7, " ".join(words)), (8, "short item"), (9, None), (10, common + " " + " ".join(f"z{i}" for i in range(30)))]
+    seeds = rare_seeds(items, [("of", "the"), ("the", "and"), ("and", "that")])
+    assert not {("of", "the"), ("the", "and"), ("and", "that")} & {(a, b) for a in common.split() for b in common.split() if seeds.index.numbers[a] * seeds.index.base + seeds.index.numbers[b] in seeds.keys}
     edited = list(words)
     edited[5:7], edited[20] = ["x"], "y"
-    found = decontam.matches(index, keep, "before it " + " ".join(edited) + " after, and a Short Item.")
+    found, none, empty = seeds.matches(["before it " + " ".join(edited) + " after, and a Short Item.", "nothing of the and that here", ""])
     assert [m[0] for m in found] == [7, 8] and found[0][1] > 0.85 and found[0][2] == 2
-    assert decontam.matches(index, keep, "nothing of the and that here") == []
+    assert none == [] and empty == []
+
+
+@pytest.mark.parametrize("every", [2, 3, 4, 5])
+def test_copies_with_replaced_words(every):
+    """One word in three, four or five replaced: every copy whose alignment reaches the threshold is found."""
+    rng = np.random.default_rng(every)
+    words = [f"v{i}" for i in range(300)]
+    items = [(i, " ".join(rng.choice(words, 40))) for i in range(40)]
+    seeds = rare_seeds(items)
+    hits = 0
+    for k, (i, text) in enumerate(items):
+        copy = " ".join(rng.choice(words, 60)) + " " + " ".join(w if j % every else f"new{j}" for j, w in enumerate(text.split())) + " " + " ".join(rng.choice(words, 60))
+        share = decontam.align(seeds.index.items[k], seeds.index.numbered(copy))[0] / 80
+        named = {m[0]: m[1] for m in seeds.matches([copy])[0]}
+        assert (share >= decontam.MIN_SCORE) == (i in named) and named.get(i, share) == share
+        hits += i in named
+    assert hits == 40 if every > 2 else hits == 0
+
+
+def test_leaks_equal_all_pairs_under_random_edits():
+    """Replaced, lost and put-in words in small vocabularies, where scores lie near the threshold: equal to aligning every pair."""
+    rng = np.random.default_rng(3)
+    words = [f"v{i}" for i in range(25)]
+    items = [(i, " ".join(rng.choice(words, rng.integers(8, 30)))) for i in range(30)]
+    seeds = rare_seeds(items, [("v1", "v2"), ("v3", "v4"), ("v5", "v6")])
+    texts = []
+    for _ in range(300):
+        out = list(rng.choice(words, rng.integers(0, 40)))
+        for w in items[rng.integers(30)][1].split():
+            u = rng.random()
+            out += [] if u < 0.15 else [str(rng.choice(words))] if u < 0.3 else [w, "zz"] if u < 0.5 else [w]
+        texts.append(" ".join([*out, *rng.choice(words, rng.integers(0, 40))]))
+    pairs = 0
+    for text, found in zip(texts, seeds.matches(texts)):
+        shares = {i: decontam.align(seeds.index.items[k], seeds.index.numbered(text))[0] / (2 * seeds.index.sizes[k]) for k, (i, _) in enumerate(items)}
+        assert {m[0]: m[1] for m in found} == {i: s for i, s in shares.items() if s >= decontam.MIN_SCORE}
+        pairs += len(found)
+    assert pairs > 100
 
 
 def test_window_reaches_the_earliest_start():
     """An item that repeats a 4-gram: a hit of the later place begins before the window of the first."""
     item = "a b c d " + " ".join(f"w{i}" for i in range(26)) + " a b c d"
-    index = decontam.SeedIndex([(1, item)])
+    seeds = rare_seeds([(1, item)])
     words = item.split()
     text = " ".join(w for i, w in enumerate(words) if i > 29 or i % 4 != 1)  # of its 4-grams only the repeated one stays unbroken
     text = " ".join(["q", *text.split()[3:]])  # the first place is gone: the one hit is the item's end
-    share = decontam.align(index.items[0], index.numbered(text))[0] / (2 * len(words))
-    found = decontam.matches(index, np.ones(len(index.seeds), bool), text)
-    assert share >= decontam.MIN_SCORE and [m[:2] for m in found] == [(1, share)]
+    share = decontam.align(seeds.index.items[0], seeds.index.numbered(text))[0] / (2 * len(words))
+    assert share >= decontam.MIN_SCORE and [m[:2] for m in seeds.matches([text])[0]] == [(1, share)]
 
 
 def test_html():
