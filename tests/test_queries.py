@@ -1,9 +1,9 @@
 import pytest
 
 from oracle import same
-from tessera.plans import crawling, derived, evaluation, retrieval
+from tessera.plans import crawling, derived, evaluation, retrieval, splitting
 
-MODULES = (retrieval, evaluation, crawling, derived)
+MODULES = (retrieval, evaluation, crawling, derived, splitting)
 ALL = {n: f for m in MODULES for n, f in m.QUERIES.items()}
 SQL = {n: s for m in MODULES for n, s in m.ORACLES.items()}
 
