@@ -42,15 +42,15 @@ def header_sections(docs: DataFrame, text: str) -> DataFrame:
     names = list(LEVELS.values())
     keys = [c for c in docs.columns if c != text]
     # numbered before they are taken apart: beside a generator the number would be a line's
-    rows = docs.select(F.struct(*keys, F.monotonically_increasing_id().alias("__row")).alias("__doc"), F.col(text).alias("__text"))
-    rows = rows.select("__doc", F.posexplode(marked_lines(F.col("__text"))).alias("__at", "__m")).where("__m.line <> ''").select("__doc", "__at", "__m.fenced", "__m.line")
+    rows = docs.select(F.struct(*keys, F.lit(0).alias("__none")).alias("__doc"), F.monotonically_increasing_id().alias("__row"), F.col(text).alias("__text"))
+    rows = rows.select("__doc", "__row", F.posexplode(marked_lines(F.col("__text"))).alias("__at", "__m")).where("__m.line <> ''").select("__doc", "__row", "__at", "__m.fenced", "__m.line")
     level = F.lit(None).cast("string")
     title = F.lit(None).cast("string")
     for mark, name in LEVELS.items():
         own = ~F.col("fenced") & F.startswith("line", F.lit(mark))
         level, title = F.when(own, name).otherwise(level), F.when(own, _bare(F.substr("line", F.lit(len(mark) + 1)))).otherwise(title)
-    rows = rows.select("__doc", "__at", "line", level.alias("__level"), title.alias("__title"))
-    order = Window.partitionBy("__doc.__row").orderBy("__at")
+    rows = rows.select("__doc", "__row", "__at", "line", level.alias("__level"), title.alias("__title"))
+    order = Window.partitionBy("__row").orderBy("__at")
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
     of = lambda c, name: F.when(F.col("__level") == name, F.col(c))
     for name in names:
@@ -60,11 +60,12 @@ def header_sections(docs: DataFrame, text: str) -> DataFrame:
         for higher in names[:k]:
             behind &= F.col(f"__at_{name}") > F.coalesce(f"__at_{higher}", F.lit(-1))
         rows = rows.withColumn(name, F.when(behind, F.col(f"__{name}")))
-    rows = rows.where("__level is null").select("__doc", "__at", "line", F.struct(*names).alias("__headers"))
+    rows = rows.where("__level is null").select("__doc", "__row", "__at", "line", F.struct(*names).alias("__headers"))
     # headers differ by value: the same names met again right after each other make no new section
     new = F.lag("__at").over(order).isNull() | ~F.col("__headers").eqNullSafe(F.lag("__headers").over(order))
     rows = rows.withColumn("section", F.sum(new.cast("int")).over(so_far) - 1)
-    whole = rows.groupBy("__doc", "section", "__headers").agg(F.sort_array(F.collect_list(F.struct("__at", "line"))).alias("__lines"))
+    # rows of a text are together already, so its sections are gathered without a second shuffle
+    whole = rows.groupBy("__row", "section").agg(F.first("__doc").alias("__doc"), F.first("__headers").alias("__headers"), F.sort_array(F.collect_list(F.struct("__at", "line"))).alias("__lines"))
     return whole.select(*(F.col("__doc")[c].alias(c) for c in keys), F.col("section").cast("int"), "__headers.*", F.array_join(F.col("__lines.line"), "  \n").alias("content"))
 
 
