@@ -105,6 +105,7 @@ def is_generic_title(title: Column) -> Column:
 
 def normalize_title(title: Column, url: Column) -> Column:
     clean = stripped(F.coalesce(title, F.lit("")))
+    # fixed values: the title where nothing else is known
     return F.when(is_generic_title(clean), F.coalesce(blank_to_null(title_from_url(url)), blank_to_null(clean), F.lit("文档主题"))).otherwise(clean)
 
 

@@ -110,6 +110,7 @@ def chunk_truncate(chunk: Column, longest: int = LONGEST) -> Column:
 def source_header(title: Column, filename: Column, url: Column, headers: Column) -> Column:
     """The line before a chunk that says where it is from."""
     path = F.array_join(F.filter(F.array(*(F.try_element_at(headers, F.lit(k)) for k in LEVELS.values())), lambda x: x.isNotNull()), " > ")
+    # fixed values: the words of the heading
     return F.concat(F.lit("【来源: "), F.coalesce(title, filename), F.when(url.isNotNull(), F.concat(F.lit(" ("), url, F.lit(")"))).otherwise(""), F.when(path != "", F.concat(F.lit(" | 章节: "), path)).otherwise(""), F.lit("】\n\n"))
 
 

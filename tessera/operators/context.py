@@ -31,6 +31,7 @@ def context(docs: DataFrame, by: str = "query_id", position: str = "position") -
     """
     images = filled_images(F.col("image_map"))
     marks = F.transform(F.map_keys(images), lambda k: F.concat(F.lit("[[IMG:"), F.col("docid"), F.lit(":"), k, F.lit("]]")))
+    # fixed values: the words of the heading
     part = F.concat(F.lit("【来源】"), F.coalesce("source_url", F.lit("")), F.lit("\n"), "page_content")
     listed = F.array_join(F.transform(marks, lambda m: F.concat(F.lit("- "), m)), "\n")
     part = F.when(F.size(images) > 0, F.concat(part, F.lit("\n\n【图片占位符】\n"), listed)).otherwise(part)
@@ -46,6 +47,7 @@ def graded_text(docs: DataFrame, by: str = "query_id", position: str = "position
     w = Window.partitionBy(by).orderBy(position)
     first = docs.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= count)
     source = F.coalesce("source_url", F.lit(""))
+    # fixed values: the words of the heading
     head = F.concat(F.lit("文档"), F.col("__n").cast("string"), F.when(source != "", F.concat(F.lit("（来源: "), source, F.lit("）"))).otherwise(""))
     part = F.concat(head, F.lit(":\n"), F.left(tx.stripped(F.coalesce("page_content", F.lit(""))), F.lit(chars)))
     rows = first.select(by, F.struct("__n", part.alias("part")).alias("d")).groupBy(by).agg(F.sort_array(F.collect_list("d")).alias("ds"))
