@@ -47,23 +47,24 @@ def default_router(message: Column) -> Column:
     return F.when(greeting, "chat").otherwise("docs")
 
 
-#: Words that stand for something said before, and words with a capital that name nothing.
-REFERENCES = r"(?i)\b(it|this|that|they|them)\b|它|这个|那个|该框架"
-NAMES = r"\b(?!(?:How|What|Why|When|Where|Who|Which|The|This|That|It|They|And|But|Can|Could|Do|Does|Is|Are|Hello|Please)\b)[A-Z][A-Za-z0-9_-]*[A-Za-z0-9]"
+#: Words that stand for something said before, words with a capital, and those of them that name nothing. A word
+#: ends where no ASCII letter, digit or underscore follows, on all versions of Java; a long s counts as an s.
+REFERENCES = r"(?i)(?<![A-Za-z0-9_])(it|thi[sſ]|that|they|them)(?![A-Za-z0-9_])|它|这个|那个|该框架"
+NAMES = r"(?<![A-Za-z0-9_])[A-Z][A-Za-z0-9_-]*[A-Za-z0-9]"
+NO_NAMES = ("How", "What", "Why", "When", "Where", "Who", "Which", "The", "This", "That", "It", "They", "And", "But", "Can", "Could", "Do", "Does", "Is", "Are", "Hello", "Please")
 
 
 def last_name(message: Column) -> Column:
     """The last name that a message says: a word that begins with a capital, other than those that begin questions; null if there is none."""
-    return F.try_element_at(F.regexp_extract_all(F.coalesce(message, F.lit("")), F.lit(NAMES), F.lit(0)), F.lit(-1))
+    words = F.regexp_extract_all(F.coalesce(message, F.lit("")), F.lit(NAMES), F.lit(0))
+    return F.try_element_at(F.filter(words, lambda w: ~w.isin(*NO_NAMES)), F.lit(-1))
 
 
 def with_reference(message: Column, name: Column) -> Column:
     """A message with the first word that refers to something replaced by the name; unchanged without either."""
     said = F.coalesce(message, F.lit(""))
-    word = F.regexp_extract(said, REFERENCES, 0)
-    at = F.instr(F.regexp_replace(said, REFERENCES, "\u0001"), "\u0001")
-    put = F.concat(F.left(said, at - 1), name, F.substr(said, at + F.length(word)))
-    return F.when((word != "") & name.isNotNull(), put).otherwise(said)
+    around = F.split(said, REFERENCES, 2)
+    return F.when((F.size(around) == 2) & name.isNotNull(), F.concat(F.get(around, 0), name, F.get(around, 1))).otherwise(said)
 
 
 def standalone(turns: DataFrame, router: Callable[[Column], Column] = default_router, rewrite: Callable[[Column, Column], Column] = with_reference) -> DataFrame:

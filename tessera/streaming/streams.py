@@ -62,7 +62,7 @@ def standalone_messages(turns: DataFrame, idle: int | None = None) -> DataFrame:
     before it, which is each conversation's state; ``plans.flow.with_reference`` makes the question of both. Turns of one
     micro-batch count in their order; with ``idle`` (milliseconds) a conversation without turns for so long is forgotten.
     """
-    from ..plans.flow import NAMES
+    from ..plans.flow import NAMES, NO_NAMES
 
     names = re.compile(NAMES)
 
@@ -76,7 +76,7 @@ def standalone_messages(turns: DataFrame, idle: int | None = None) -> DataFrame:
         for turn, role, text in zip(rows["turn"], rows["role"], rows["text"]):
             if role == "user":
                 out.append((key[0], turn, text, name))
-            found = names.findall(text or "")
+            found = [w for w in names.findall(text or "") if w not in NO_NAMES]
             name = found[-1] if found else name
         state.update((name,))
         if idle:

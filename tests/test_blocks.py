@@ -4,13 +4,14 @@ import difflib
 import random
 from functools import reduce
 
+import duckdb
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.functions import blocks
 from tessera.functions import text as tx
-from tessera.plans import flow
+from tessera.plans import derived, flow
 from tessera.streaming import streams
 
 
@@ -64,3 +65,14 @@ def test_standalone_stream_equals_the_batch(spark, tmp_path):
     got = spark.table("standalone").select("conv_id", "turn", flow.with_reference(F.col("text"), F.col("name")).alias("question"))
     want = flow.standalone(spark.createDataFrame(TURNS, schema)).select("conv_id", "turn", "question")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+ODD_TURNS = ["Doñll no sigue", "tell of itó and that", "That-One", "x\u0001 this", "How_ is it", "ÑAsk it", "🙂 thiſ is", "Is This-x it", "Iñ", "they\u0001it"]
+
+
+def test_standalone_questions_equal_sql_on_odd_words(spark, tmp_path):
+    turns = [(k, t, r, text) for k, own in enumerate(ODD_TURNS) for t, (r, text) in enumerate([("user", "Ask Qwen"), ("assistant", own), ("user", ODD_TURNS[(k * 3 + 1) % len(ODD_TURNS)])])]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    sql = derived.ORACLES["standalone_questions"].replace("from conversations", f"from '{tmp_path}/conversations.parquet/*.parquet'")
+    got = derived.standalone_questions(spark, str(tmp_path)).select("conv_id", "turn", "question_hash", "datasource")
+    assert sorted(map(tuple, got.collect())) == sorted(duckdb.sql(sql).fetchall())
