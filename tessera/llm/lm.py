@@ -5,8 +5,8 @@ ids and gives each next id's probability in three factors: its group and its lea
 ids before it, and its share of the leaf by its count. Leaves come of a balanced tree over the vocabulary, from the
 neighbours that the ids have in all training words. Windows overlap, and each id is scored once.
 
-Counts and neighbours cover every training word. Every training text gives windows to the gradient, one for EVERY ids or
-part of them: weights are trained on each partition and averaged, in ROUNDS rounds over different texts.
+Counts and neighbours cover every training word, and the gradient sees every id of every training text once: weights are
+trained on each partition and averaged, in ROUNDS rounds over different texts.
 """
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,7 +36,7 @@ GROUPS = 64
 LEAVES = GROUPS * GROUPS
 #: Numbers by which an id's neighbours are told: half for those before it, half for those after it.
 TRAITS = 32
-EVERY, ROUNDS, BATCH, RATE = 256, 6, 32, 0.02
+ROUNDS, BATCH, RATE = 6, 256, 0.02
 #: Windows that are scored together.
 HELD = 1024
 #: Words whose counts are sent to every task; all others meet their counts in a join, with the same results.
@@ -165,7 +164,9 @@ class Attention:
         g_h = g_qkv @ self.qkv.T
         g_h[:, LEAD:] += g_z
         g_embed = np.zeros_like(self.embed)
-        np.add.at(g_embed, x.ravel(), g_h.reshape(-1, d))
+        order = np.argsort(x.ravel(), kind="stable")
+        heads = np.flatnonzero(np.diff(x.ravel()[order], prepend=-1))
+        g_embed[x.ravel()[order[heads]]] = np.add.reduceat(g_h.reshape(-1, d)[order], heads)
         return loss, [g_embed, g_h.sum(0), np.tensordot(h, g_qkv, ((0, 1), (0, 1))), g_out, g_bias, g_leaf_out, g_leaf_bias]
 
     def scorer(self):
@@ -326,11 +327,10 @@ def id_kind(size: int) -> type:
 
 def encoded(docs: DataFrame, proto: bytes, known: dict[str, float], end_base: float) -> DataFrame:
     """Each row's number, id (as text, which keeps nulls and large numbers whole), tokens, the base score of its ``known``
-    words and end and their number, its other words, its ids, and its windows for the gradient if it is a training row.
+    words and end and their number, its other words, and its ids.
     """
     shared = docs.sparkSession.sparkContext.broadcast(known)  # KNOWN_WORDS words: bounded
-    schema = "row long, doc_id string, held_out boolean, round int, n_tokens long, n_known long, base double, tail string, ids binary, windows binary"
-    length = WINDOW + 1
+    schema = "row long, doc_id string, held_out boolean, round int, n_tokens long, n_known long, base double, tail string, ids binary"
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         class Places(dict):
@@ -343,24 +343,15 @@ def encoded(docs: DataFrame, proto: bytes, known: dict[str, float], end_base: fl
         kind = id_kind(end)
         for b in batches:
             words, ids, bounds = spelled(list(b["text"]), enc)
-            tails, known, base, own, cut = [], [], [], [], []
-            for k, (w, s, e, held) in enumerate(zip(words, bounds[:-1], bounds[1:], b["held_out"])):
+            tails, known, base, own = [], [], [], []
+            for w, s, e in zip(words, bounds[:-1], bounds[1:]):
                 at = np.fromiter(map(place.__getitem__, w), np.int64, len(w))
                 there = at >= 0
                 known.append(1 + int(there.sum()))
                 base.append(end_base + float(logs[at[there]].sum()))
                 tails.append(b"\n".join([w[i] for i in np.flatnonzero(~there).tolist()]).decode("utf-8", "replace"))
                 own.append(ids[s:e].astype(kind).tobytes())
-                if held:
-                    cut.append(b"")
-                    continue
-                # one window starts in every EVERY ids, at a place told by the text itself
-                line = np.concatenate((np.full(LEAD + 1, -1, np.int32), ids[s:e], [end], np.full(STRIDE, -2, np.int32)))
-                shift = xxhash.xxh64_intdigest(ids[s:e].tobytes(), 7)
-                first = shift % min(EVERY, max(int(e - s) + 1 - STRIDE, 0) + 1)
-                starts = np.arange(first, e - s + 1, EVERY)
-                cut.append(line[starts[:, None] + np.arange(length)].astype(np.int32).tobytes())
-            yield pd.DataFrame({"row": b["row"], "doc_id": b["doc_id"], "held_out": b["held_out"], "round": b["round"], "n_tokens": [len(w) + 1 for w in words], "n_known": known, "base": base, "tail": tails, "ids": own, "windows": cut})
+            yield pd.DataFrame({"row": b["row"], "doc_id": b["doc_id"], "held_out": b["held_out"], "round": b["round"], "n_tokens": [len(w) + 1 for w in words], "n_known": known, "base": base, "tail": tails, "ids": own})
 
     number = F.monotonically_increasing_id()
     numbered = docs.select(number.alias("row"), F.col("doc_id").cast("string").alias("doc_id"), (crc_remainder("doc_id", MODULUS) == HELD_OUT).alias("held_out"), "text")
@@ -419,33 +410,38 @@ def statistics(counts: DataFrame, proto: bytes, n_docs: int) -> tuple[np.ndarray
 
 
 def trained(rows: DataFrame, leaf: np.ndarray, model: Attention) -> Attention:
-    """ROUNDS rounds: each partition trains on the windows of the round's texts, and the weights are averaged by steps.
+    """ROUNDS rounds: each partition trains on all windows of the round's texts, and the weights are averaged by steps.
 
-    Weights are averaged where they meet in a shuffle, a block at a time; the driver receives one set of them a round.
+    Each id of a text, its end included, is a target once. Weights are averaged where they meet in a shuffle, a block at a
+    time; the driver receives one set of them a round.
     """
-    length, block = WINDOW + 1, 4096
+    block, end, kind = 4096, len(leaf) - 1, id_kind(len(leaf) - 1)
     for k in range(ROUNDS):
         rate = RATE * (1 - 0.9 * k / max(ROUNDS - 1, 1))
         start = model.flat()
 
         def train(batches: Iterator[pd.DataFrame], start=start, rate=rate, model=model) -> Iterator[pd.DataFrame]:
-            trainer, rest = Trainer(model.unflat(start), rate), np.zeros((0, length), np.int32)
+            trainer = Trainer(model.unflat(start), rate)
+            x, y = np.zeros((0, WINDOW), np.int16), np.zeros((0, STRIDE), np.int16)
+            small = leaf.astype(np.int16)
 
-            def step(own: np.ndarray) -> None:
-                x = own[:, :-1].astype(np.int64)
-                y = own[:, LEAD + 1 :].astype(np.int64)
-                # -1 stands before the text, -2 after its end
-                trainer.step(np.where(x < 0, LEAVES, leaf[x]), np.where(y < 0, 0, leaf[y]), (y >= 0).astype(np.float32))
+            def step(own: slice) -> None:
+                targets = y[own].astype(np.int64)
+                # past the end stands what stands before the text: no target
+                trainer.step(x[own].astype(np.int64), np.where(targets < LEAVES, targets, 0), (targets < LEAVES).astype(np.float32))
 
             for b in batches:
-                found = [np.frombuffer(w, np.int32).reshape(-1, length) for w in b["windows"] if w]
-                rest = np.concatenate([rest, *found])
-                rest = rest[np.random.default_rng(len(rest)).permutation(len(rest))]
-                while len(rest) >= 8 * BATCH:
-                    step(rest[:BATCH])
-                    rest = rest[BATCH:]
-            for at in range(0, len(rest), BATCH):
-                step(rest[at : at + BATCH])
+                for at in range(0, len(b), HELD):
+                    found = [windows(small[np.append(np.frombuffer(i, kind), end)], LEAVES) for i in b["ids"].iloc[at : at + HELD]]
+                    x, y = (np.concatenate([rest, *(f[j] for f in found)], dtype=np.int16) for j, rest in enumerate((x, y)))
+                    order = np.random.default_rng(len(x)).permutation(len(x))
+                    x, y = x[order], y[order]
+                    full = max(len(x) // BATCH - 1, 0) * BATCH  # the rest is mixed with what comes
+                    for first in range(0, full, BATCH):
+                        step(slice(first, first + BATCH))
+                    x, y = x[full:], y[full:]
+            for first in range(0, len(x), BATCH):
+                step(slice(first, first + BATCH))
             if trainer.steps:
                 values = trainer.model.flat().astype(np.float64) * trainer.steps
                 yield pd.DataFrame({"block": range(0, len(values), block), "steps": trainer.steps, "values": [values[s : s + block].tobytes() for s in range(0, len(values), block)]})
@@ -460,7 +456,7 @@ def trained(rows: DataFrame, leaf: np.ndarray, model: Attention) -> Attention:
             if total:
                 yield pd.DataFrame({"block": list(total), "values": [(v / n).tobytes() for n, v in total.values()]})
 
-        own = rows.where((F.col("round") == k) & ~F.col("held_out")).select("windows")
+        own = rows.where((F.col("round") == k) & ~F.col("held_out")).select("ids")
         means = own.mapInPandas(train, "block int, steps long, values binary").repartition("block").mapInPandas(averaged, "block int, values binary").collect()
         if means:
             model = model.unflat(np.concatenate([np.frombuffer(r["values"]) for r in sorted(means, key=lambda r: r["block"])]))

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -322,3 +323,23 @@ def test_near_copies_by_exact_similarity(spark):
                     component[a] = component[b] = min(component[a], component[b])
     df = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
     assert sorted(r["doc_id"] for r in simhash.near_copies_removed(df).collect()) == sorted(set(component))
+
+
+def test_each_id_is_a_target_of_the_gradient(spark, monkeypatch):
+    """All ids of all training texts, ends included, are targets, once each, whatever the texts' lengths."""
+    leaf, tasks, seen = np.arange(3_001) % lm.LEAVES, [], np.zeros(lm.LEAVES, int)
+
+    class Rows:
+        def __getattr__(self, name):
+            return lambda *a, **b: [] if name == "collect" else self
+
+        def mapInPandas(self, f, schema):
+            tasks.append(f)
+            return self
+
+    monkeypatch.setattr(lm.Trainer, "step", lambda self, x, y, w: np.add.at(seen, y[w > 0], 1))
+    lm.trained(Rows(), leaf, lm.Attention.new(np.ones(lm.LEAVES), 2))
+    sequences = [np.random.default_rng(n).integers(0, 3_000, n) for n in (0, 1, 31, 32, 300, 9_000)] * 9
+    batches = [pd.DataFrame({"ids": [s.astype(lm.id_kind(3_000)).tobytes() for s in own]}) for own in (sequences[:20], [], sequences[20:])]
+    list(tasks[0](iter(batches)))
+    assert (seen == np.bincount(np.concatenate([np.append(s, 3_000) for s in sequences]), minlength=lm.LEAVES)).all()
