@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..operators import lexical
-from ..session import shared_folder
+from ..session import kept, shared_folder
 from .files import exists
 
 #: Segments of a version, and the share of texts that are gone, beyond which segments are folded.
@@ -249,6 +249,32 @@ def listed(spark: SparkSession, path: str) -> dict[str, str]:
     return out
 
 
+def table_statistics(spark: SparkSession, path: str, id_col: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """``stats`` and ``terms`` (term, df, idf) of a parquet table's index. Without a kept version they are counted from the
+    texts in one pass, and no postings are made.
+    """
+    files = listed(spark, path)
+    version = hashlib.sha256(repr(sorted(files)).encode()).hexdigest()[:24]
+    found = _versions(spark, _root(spark, path, id_col, text))
+    for name in (f"{version}-folded", version):
+        if name in found:
+            there = LexicalIndex(spark, _root(spark, path, id_col, text), name, found[name])
+            return there.stats, there.terms.select("term", "df", "idf")
+    docs = _unique(spark.read.parquet(path).select(id_col, text), id_col, text).where(F.col(id_col).isNotNull())
+    words = docs.select(tokens(F.col(text)).alias("ts"))
+    words = words.select(F.size("ts").cast("long").alias("dl"), F.posexplode_outer(F.array_distinct("ts")).alias("place", "term"))
+    first = F.coalesce(F.col("place") == 0, F.lit(True))  # a text's first row, also of one without a term
+    counts = words.groupBy("term").agg(F.count("*").alias("df"), F.sum(first.cast("long")).alias("n"), F.sum(F.when(first, F.col("dl")).otherwise(0)).alias("length"))
+    counts = kept(counts, "statistics")
+    one = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("length")).first()
+    stats = spark.createDataFrame([(one["n"], one["length"] / one["n"] if one["n"] else 1.0)], "n long, avgdl double")
+    return stats, lexical.with_idf(counts.where("term is not null").select("term", "df"), one["n"])
+
+
+def _root(spark: SparkSession, path: str, id_col: str, text: str) -> str:
+    return f"{shared_folder(spark)}/lexical-{hashlib.sha256(repr((path, id_col, text)).encode()).hexdigest()[:20]}"
+
+
 def kept_lexical(spark: SparkSession, path: str, id_col: str, text: str) -> LexicalIndex:
     """The index of a parquet table's texts, from the shared folder. If the table's files changed since the last version, only
     the new files are read, and the texts of files that are no more are gone; without a version, or where most files are
@@ -256,7 +282,7 @@ def kept_lexical(spark: SparkSession, path: str, id_col: str, text: str) -> Lexi
     """
     files = listed(spark, path)
     version = hashlib.sha256(repr(sorted(files)).encode()).hexdigest()[:24]
-    root = f"{shared_folder(spark)}/lexical-{hashlib.sha256(repr((path, id_col, text)).encode()).hexdigest()[:20]}"
+    root = _root(spark, path, id_col, text)
     found = _versions(spark, root)
     for name in (f"{version}-folded", version):
         if name in found:

@@ -151,3 +151,19 @@ def test_odd_tables(spark, tmp_path):
     assert blank.search(queries, "q", "t").count() == 0 and blank.stats.first()["n"] == 2
     twice = index.write_lexical(spark.createDataFrame([(1, "b"), (1, "a"), (2, "a")], "id long, t string"), "id", "t", str(tmp_path / "t"))
     assert twice.manifest.n == 2 and {r["id"] for r in twice.search(queries, "q", "t").collect()} == {1, 2}
+
+
+def test_statistics_without_an_index_equal_its(spark, tmp_path):
+    """Counted from the texts, with null, empty and repeated ones, and with no postings made; then read from the kept index."""
+    rows = [(1, "a b b"), (2, None), (3, ""), (4, "..."), (5, "b c C"), (None, "x y"), (6, "é b 1"), (6, "é b")]
+    for name, own in (("some", rows), ("none", [])):
+        path = str(tmp_path / f"{name}.parquet")
+        spark.createDataFrame(own, "doc_id long, text string").write.parquet(path)
+        root = index._root(spark, path, "doc_id", "text")
+        seen = []
+        for _ in range(2):
+            stats, terms = index.table_statistics(spark, path, "doc_id", "text")
+            seen.append((stats.collect(), sorted((r["term"], r["df"], round(r["idf"], 9)) for r in terms.collect())))
+            assert bool(index._versions(spark, root)) == (len(seen) == 2)
+            index.kept_lexical(spark, path, "doc_id", "text")
+        assert seen[0] == seen[1]
