@@ -165,17 +165,34 @@ def fallback_caption(alt: Column) -> Column:
     return F.when(F.coalesce(alt, F.lit("")) != "", F.concat(F.lit(CAPTION_OF_ALT.split("{alt}")[0]), alt, F.lit(CAPTION_OF_ALT.split("{alt}")[1]))).otherwise(CAPTION)
 
 
-@F.pandas_udf(T.StringType())
-def repair_mojibake(col: pd.Series) -> pd.Series:
-    """Text that was UTF-8 read as GBK, set right; any other text as it is. No built-in encodes GBK."""
+def interleaved(between: Column, put: Column) -> Column:
+    """The parts of a text that was split, with what is put between them: one more part than there is to put."""
+    pairs = F.arrays_zip(between.alias("part"), put.alias("put"))
+    return F.array_join(F.transform(pairs, lambda p: F.concat(p["part"], F.coalesce(p["put"], F.lit("")))), "")
 
-    def one(x):
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _repaired(runs: pd.Series) -> pd.Series:
+    """All of a text's runs that were UTF-8 read as GBK, set right; null if one is none. No built-in encodes GBK."""
+
+    def all_of(own):
         try:
-            return x.encode("gbk").decode("utf-8")
+            return [x.encode("gbk").decode("utf-8") for x in own]
         except UnicodeError:
-            return x
+            return None
+
+    return pd.Series([None if own is None else all_of(own) for own in runs], dtype=object)
+
+
+def repair_mojibake(c: Column) -> Column:
+    """Text that was UTF-8 read as GBK, set right; any other text as it is.
 
-    return col.map(lambda x: one(x) if isinstance(x, str) else x)
+    ASCII is the same in both, and no character's bytes go across it, so a text is UTF-8 if each of its other runs is, and
+    only those go to Python.
+    """
+    other = r"[^\x00-\x7F]+"
+    found = interleaved(F.split(c, other, -1), _repaired(F.regexp_extract_all(c, F.lit(other), F.lit(0))))
+    return F.when(_repaired(F.regexp_extract_all(c, F.lit(other), F.lit(0))).isNull(), c).otherwise(found)
 
 
 @F.pandas_udf(T.DoubleType())
