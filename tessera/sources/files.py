@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,11 +81,12 @@ def embedded(chunks: DataFrame, embed: Callable[[list[str]], list], text: str =
     schema = T.StructType([*chunks.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("status", T.StringType())])
     names = [f.name for f in schema.fields]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # only the texts that the model is given at once leave the batch's memory
+        for b in (whole.slice(at, 50 * batch) for whole in batches for at in range(0, whole.num_rows, 50 * batch)):
             vectors, status = [], []
-            for at in range(0, len(b), batch):
-                texts = list(b[text].iloc[at : at + batch])
+            for at in range(0, b.num_rows, batch):
+                texts = b.column(text).slice(at, batch).to_pylist()
                 try:
                     found = list(embed(texts))
                     if len(found) != len(texts):
@@ -98,9 +100,9 @@ def embedded(chunks: DataFrame, embed: Callable[[list[str]], list], text: str =
                             found.append(None)
                 vectors += found
                 status += ["ok" if v is not None else "failed" for v in found]
-            yield b.assign(embedding=vectors, status=status)[names]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(vectors, pa.list_(pa.float32())), pa.array(status, pa.string())], names=names)
 
-    return chunks.mapInPandas(run, schema)
+    return chunks.mapInArrow(run, schema)
 
 
 def hashed_embedding(dimensions: int = 64) -> Callable[[list[str]], list]:

@@ -149,3 +149,17 @@ def test_http_source(spark):
     assert {(r["url"], r["status"], r["html"]) for r in got.collect()} == {("http://ok", 200, "<p>x</p>"), ("http://bad", 599, "")}
     assert {r["url"]: r["status"] for r in http.fetched(urls, got, 1, ask).collect()} == {"http://ok": 304, "http://bad": 599}
     assert [tuple(r) for r in http.reader("http://reader/", 1, lambda u, h, t: (200, {}, u.encode()))(urls.limit(1)).collect()] == [("http://ok", "http://reader/http://ok")]
+
+
+def test_embedded_texts_are_not_copied_whole(spark):
+    """Other columns and texts stay in Arrow's memory, and nulls, failures and order are as before."""
+    def embed(texts):
+        if any(t == "bad" for t in texts):
+            raise RuntimeError
+        return [[float(len(t or ""))] for t in texts]
+
+    rows = [(k, {"a": str(k)}, [None, "bad", "x" * k][k % 3]) for k in range(1_201)]
+    out = files.embedded(spark.createDataFrame(rows, "k long, m map<string,string>, page_content string").coalesce(1), embed)
+    assert "MapInArrow" in out._jdf.queryExecution().optimizedPlan().toString()
+    want = [(k, m, t, None if t == "bad" else [float(len(t or ""))], "failed" if t == "bad" else "ok") for k, m, t in rows]
+    assert [tuple(r) for r in out.collect()] == want
