@@ -23,6 +23,8 @@ from .index import listed
 SAMPLE, FEW, MANY, ROUNDS, SEED = 8_192, 16, 256, 8, 7
 #: Numbers in the vectors of the questions that one pass takes.
 PASS_NUMBERS = 4_000_000
+#: Distances that a task holds at once, and rows that it keeps before it cuts them to the best of each question.
+DISTANCES, HELD = 1_000_000, 1_000_000
 #: Distances are rounded to 6 digits; two that round alike differ by less.
 MARGIN = 2e-6
 #: The folder of rows that no pivot bounds: vectors of another width, and zero vectors by cosine.
@@ -110,6 +112,7 @@ class VectorIndex:
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             parts: list[tuple] = []
+            held = kept = 0
 
             def best() -> tuple:
                 who, ids, d = (np.concatenate(c) for c in zip(*parts))
@@ -125,15 +128,23 @@ class VectorIndex:
                     if w != q.shape[1] or not len(own):
                         continue
                     x = np.stack(part["v"].to_list()).astype(np.float64)
-                    if metric == "cosine":
-                        d = np.round(1 - q[own] @ _scaled(x, metric).T, 6) + 0.0
-                    else:
-                        d = np.round(np.stack([np.sqrt(((x - row) ** 2).sum(1)) for row in q[own]]), 6)
-                    last = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
-                    at, r = np.nonzero(d <= last[:, None])
-                    parts.append((own[at], part["id"].to_numpy()[r], d[at, r]))
-                    if sum(len(p[0]) for p in parts) > 1_000_000:
-                        parts[:] = [best()]
+                    x, ids = _scaled(x, metric), part["id"].to_numpy()
+                    size = max(1, DISTANCES // len(x))
+                    for some in (own[s : s + size] for s in range(0, len(own), size)):
+                        if metric == "cosine":
+                            d = np.round(1 - q[some] @ x.T, 6) + 0.0
+                        else:
+                            d = np.empty((len(some), len(x)))
+                            for row, one in zip(d, q[some]):
+                                row[:] = np.sqrt(((x - one) ** 2).sum(1))
+                            d = np.round(d, 6)
+                        last = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
+                        at, r = np.nonzero(d <= last[:, None])
+                        parts.append((some[at], ids[r], d[at, r]))
+                        held += len(at)
+                        if held > max(HELD, 2 * kept):  # at most k of each question stay
+                            parts[:] = [best()]
+                            held = kept = len(parts[0][0])
             if parts:
                 who, ids, d = best()
                 yield pd.DataFrame({"query_id": names[who], "id": ids, "distance": d})

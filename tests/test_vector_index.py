@@ -50,3 +50,32 @@ def test_few_rows_and_none(spark, tmp_path):
     none = vector_index.write_vectors(base.where("id = 0"), "id", "v", str(tmp_path / "none"))
     assert none.search(base, "id", "v", 5).count() == 0
     assert vector_index.read_vectors(spark, str(tmp_path / "nothing")) is None
+
+
+def test_few_distances_are_held_at_once(spark, tmp_path, monkeypatch):
+    """Blocks of questions give what all at once give, and no more distances than allowed are made at once."""
+    r = np.random.default_rng(5)
+    base = spark.createDataFrame([(k, [float(x) for x in r.integers(0, 4, 3)]) for k in range(300)], "id long, v array<double>")
+    for metric in ("l2", "cosine"):
+        found = vector_index.write_vectors(base, "id", "v", str(tmp_path / metric), metric)
+        asked = base.where("id % 2 = 0")
+        want = sorted(map(tuple, found.search(asked, "id", "v", 4).collect()))
+        q = np.array([row["v"] for row in asked.orderBy("id").collect()])
+        made = []
+        monkeypatch.setattr(vector_index.np, "partition", lambda d, *a, f=np.partition, **b: made.append(d.size) or f(d, *a, **b))
+        monkeypatch.setattr(vector_index, "DISTANCES", 500)
+        monkeypatch.setattr(vector_index, "HELD", 700)
+        tasks = []
+        plan = np.ones((len(q), len(found.clusters)), bool)
+        rows = found.rows.toPandas()
+        monkeypatch.setattr(type(found.rows), "mapInPandas", lambda self, f, schema: tasks.append(f) or self)
+        found._read([2 * k for k in range(len(q))], vector_index._scaled(q, metric), plan, None, 4, ("long", "long"))
+        monkeypatch.undo()
+        monkeypatch.setattr(vector_index, "HELD", 700)
+        monkeypatch.setattr(vector_index, "DISTANCES", 500)
+        monkeypatch.setattr(vector_index.np, "partition", lambda d, *a, f=np.partition, **b: made.append(d.size) or f(d, *a, **b))
+        got = next(tasks[0](iter([rows])))
+        monkeypatch.undo()
+        assert made and max(made) <= 500
+        got["rank"] = got.sort_values(["distance", "id"]).groupby("query_id").cumcount() + 1
+        assert sorted(got[got["rank"] <= 4].itertuples(index=False, name=None)) == want
