@@ -1,4 +1,4 @@
-"""BM25 over blocks of postings, best first: a question meets the blocks of its own terms, and stops within them where the
+"""BM25 over blocks of postings: a question meets the blocks of its own terms, takes them best first, and stops where the
 rest can't reach its k-th score.
 """
 
@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
@@ -21,6 +21,10 @@ from .topk import top
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Postings of a block. Texts of a shard, at least and at most; between the two there are SHARDS of them.
 POSTINGS, FEW, MANY, SHARDS = 256, 2_000, 50_000, 64
+#: Postings that a task inverts at once; texts for each 16 buckets.
+HELD, BUCKETED = 1_000_000, 50_000
+#: The columns of blocks, with the type of ids.
+BLOCK = "bucket int, term string, block int, df int, slices array<struct<shard:int,first:int,size:int>>, ids array<{}>, tfs array<int>, dls array<int>"
 #: Characters of the questions that one pass takes: their weights are held on the driver and sent to the tasks.
 PASS_CHARS = 4_000_000
 #: Scores are rounded to 6 digits: two that round alike differ by less.
@@ -42,79 +46,145 @@ def term_lists(docs: DataFrame, id_col: str, text: str, tokenizer=tokens) -> Dat
     return rows.select("id", "dl", F.transform("at", lambda i: F.get("ts", i)).alias("terms"), F.transform("at", lambda i, j: (end(j) - i).cast("int")).alias("tfs"), *others)
 
 
-def impact(tf: Column, dl: Column, avgdl: float, k1: float = K1, b: float = B) -> Column:
-    """A posting's part of a score, before its term's weight."""
-    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / max(avgdl, 1e-9)))
-
-
 def shard_count(n: int) -> int:
     return max(1, math.ceil(n / min(max(n / SHARDS, FEW), MANY)))
 
 
 def bucket_count(n: int) -> int:
     """Buckets of terms: 16 for a small index, 1,024 at most."""
-    return min(1_024, 16 * max(1, math.ceil(n / MANY)))
+    return min(1_024, 16 * max(1, math.ceil(n / BUCKETED)))
 
 
-def _blocks(kind: pa.DataType) -> Callable:
-    """A function from postings in order (bucket, shard, term, id, tf, dl) to blocks; a term of a shard that a batch cuts is carried over."""
+def _numbers(rows: pa.Table, column: str) -> np.ndarray:
+    """The numbers of a column, or those in its lists, one after the other."""
+    own = rows.column(column).combine_chunks()
+    return (own.flatten() if pa.types.is_list(own.type) else own).to_numpy(zero_copy_only=False)
+
+
+def _listed(values: pa.Array, begins: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(begins, len(values)), pa.int32()), values)
+
+
+def _changes(key: np.ndarray) -> np.ndarray:
+    """The places where another key begins."""
+    return np.flatnonzero(np.diff(key, prepend=key[0] - 1)) if len(key) else np.zeros(0, np.int64)
+
+
+def _runs(kind: pa.DataType) -> Callable:
+    """A function from texts (id, dl, shard, terms, tfs) to runs: the postings of a term in HELD postings or fewer of a task's
+    texts, of one group of shards, by shard.
+    """
     ints = pa.int32()
-    schema = pa.schema([("bucket", ints), ("shard", ints), ("term", pa.string()), ("block", ints), ("df", ints), ("max_tf", ints), ("min_dl", ints), ("ids", pa.list_(kind)), ("tfs", pa.list_(ints)), ("dls", pa.list_(ints))])
+    schema = pa.schema([("term", pa.string()), ("group", ints), ("shards", pa.list_(pa.int16())), ("ids", pa.list_(kind)), ("tfs", pa.list_(ints)), ("dls", pa.list_(ints))])
+
+    def inverted(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(parts)
+        terms = rows.column("terms").combine_chunks().flatten().dictionary_encode()
+        if not len(terms):
+            return
+        owner = np.repeat(np.arange(rows.num_rows), pc.list_value_length(rows.column("terms")).to_numpy())
+        shard, words = _numbers(rows, "shard")[owner].astype(np.int64), len(terms.dictionary)
+        key = (shard // SHARDS * words + terms.indices.to_numpy()) * SHARDS + shard % SHARDS
+        order = np.argsort(key, kind="stable")
+        key, owner = key[order], owner[order]
+        begins = _changes(key // SHARDS)
+        group, word = np.divmod(key[begins] // SHARDS, words)
+        values = [pa.array((key % SHARDS).astype(np.int16)), rows.column("id").combine_chunks().take(pa.array(owner)), pa.array(_numbers(rows, "tfs")[order], ints), pa.array(_numbers(rows, "dl")[owner], ints)]
+        yield pa.RecordBatch.from_arrays([terms.dictionary.take(pa.array(word)), pa.array(group, ints), *(_listed(v, begins) for v in values)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
+        for b in batches:
+            total = np.append(0, np.cumsum(pc.list_value_length(b.column("terms")).to_numpy()))
+            at = 0
+            while at < b.num_rows:
+                end = max(int(np.searchsorted(total, total[at] + HELD - held, "right")) - 1, at + 1)
+                parts.append(b.slice(at, end - at))
+                held += int(total[end] - total[at])
+                at = end
+                if at < b.num_rows or held >= HELD:
+                    yield from inverted(parts)
+                    parts, held = [], 0
+        if parts:
+            yield from inverted(parts)
+
+    return run
 
-    def cut(rows: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
-        sizes = np.diff(np.append(starts, rows.num_rows))
-        place = np.arange(rows.num_rows) - np.repeat(starts, sizes)
+
+def _blocks(kind: pa.DataType) -> Callable:
+    """A function from runs in order (term, group) to blocks; a term of a group that a batch cuts is carried over."""
+    ints = pa.int32()
+    slices = pa.struct([("shard", ints), ("first", ints), ("size", ints)])
+    schema = pa.schema([("bucket", ints), ("term", pa.string()), ("block", ints), ("df", ints), ("slices", pa.list_(slices)), ("ids", pa.list_(kind)), ("tfs", pa.list_(ints)), ("dls", pa.list_(ints))])
+
+    def cut(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        sizes = pc.list_value_length(rows.column("ids")).to_numpy()
+        number = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, rows.num_rows)))  # of a run's term and group
+        key = np.repeat(number, sizes) * SHARDS + _numbers(rows, "shards")
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = _changes(key // SHARDS)
+        count = np.diff(np.append(first, len(key)))
+        place = np.arange(len(key)) - np.repeat(first, count)
         begins = np.flatnonzero(place % POSTINGS == 0)
-        first = place[begins] == 0
-        df = np.zeros(len(begins), np.int32)
-        df[first] = sizes
-        tf, dl = (rows.column(c).to_numpy() for c in ("tf", "dl"))
-        offsets = pa.array(np.append(begins, rows.num_rows), ints)
-        lists = [pa.ListArray.from_arrays(offsets, rows.column(c)) for c in ("id", "tf", "dl")]
-        own = [rows.column(c).take(pa.array(begins)) for c in ("bucket", "shard", "term")]
-        numbers = [pa.array((place[begins] // POSTINGS).astype(np.int32)), pa.array(df, ints, mask=~first), pa.array(np.maximum.reduceat(tf, begins)), pa.array(np.minimum.reduceat(dl, begins))]
-        return pa.RecordBatch.from_arrays([*own, *numbers, *lists], schema=schema)
+        own = key[begins] // SHARDS
+        parts = np.union1d(_changes(key), begins)
+        block = np.searchsorted(begins, parts, "right") - 1
+        group = _numbers(rows, "group")[starts].astype(np.int64)
+        shard = group[key[parts] // SHARDS] * SHARDS + key[parts] % SHARDS
+        made = pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in (shard, parts - begins[block], np.diff(np.append(parts, len(key))))], fields=list(slices))
+        ids = rows.column("ids").combine_chunks().flatten().take(pa.array(order))
+        lists = [ids, *(pa.array(_numbers(rows, c)[order], ints) for c in ("tfs", "dls"))]
+        names = [rows.column(c).combine_chunks().take(pa.array(starts[own])) for c in ("bucket", "term")]
+        numbers = [pa.array((place[begins] // POSTINGS).astype(np.int32)), pa.array(count[own].astype(np.int32), ints, mask=place[begins] > 0)]
+        return pa.RecordBatch.from_arrays([*names, *numbers, _listed(made, np.searchsorted(parts, begins)), *(_listed(v, begins) for v in lists)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[pa.RecordBatch] = []
         for b in batches:
             if not b.num_rows:
                 continue
-            rows = pa.Table.from_batches([*rest, b]).combine_chunks().to_batches()[0]
+            rows = pa.Table.from_batches([*rest, b]).combine_chunks()
             new = np.ones(rows.num_rows, bool)
             new[1:] = False
-            for c in ("shard", "term"):
-                new[1:] |= pc.not_equal(rows.column(c)[1:], rows.column(c)[:-1]).to_numpy(zero_copy_only=False)
+            for c in ("term", "group"):
+                own = rows.column(c).combine_chunks()
+                new[1:] |= pc.not_equal(own[1:], own[:-1]).to_numpy(zero_copy_only=False)
             starts = np.flatnonzero(new)
             if starts[-1]:
                 yield cut(rows.slice(0, int(starts[-1])), starts[:-1])
-            rest = [rows.slice(int(starts[-1]))]
+            rest = rows.slice(int(starts[-1])).to_batches()
         if rest:
-            yield cut(pa.Table.from_batches(rest).combine_chunks().to_batches()[0], np.zeros(1, np.int64))
+            yield cut(pa.Table.from_batches(rest), np.zeros(1, np.int64))
 
     return run
 
 
-def blocks(lists: DataFrame, shards: int, buckets: int, avgdl: float) -> DataFrame:
-    """(bucket, shard, term, block, df, max_tf, min_dl, ids, tfs, dls): the postings of each term in each shard of texts, best
-    first, in blocks, in the order of terms within a file of few buckets. ``df`` is of the shard and stands in its first block.
+def runs(lists: DataFrame, shards: int) -> DataFrame:
+    """(term, group, shards, ids, tfs, dls) of term lists: a row for each term of each HELD postings, not for each posting.
+    ``shards`` are numbers within a group of SHARDS shards.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = lists.schema["id"].dataType
+    rows = lists.select("id", "dl", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), "terms", "tfs")
+    return rows.mapInArrow(_runs(to_arrow_type(kind)), f"term string, group int, shards array<smallint>, ids array<{kind.simpleString()}>, tfs array<int>, dls array<int>")
+
+
+def blocks(lists: DataFrame, shards: int, buckets: int) -> DataFrame:
+    """The columns BLOCK: the postings of each term in each group of SHARDS shards of texts, by shard, in blocks of POSTINGS, in
+    the order of terms within a file of few buckets. ``slices`` tells a block's shards and where their postings stand in it.
+    ``df`` is of the group and stands in its first block.
 
-    What is shuffled of a posting is its term, its text's id, and one number of both counts. A partition is sorted and cut
-    as it streams by: a term in a shard has MANY postings at most, and no more is held at once. The order within a term is
-    that of the average length given; a block's bounds hold for any.
+    Each task inverts its texts first, so rows of terms are shuffled and sorted, not rows of postings. A term in a group has
+    SHARDS times MANY postings at most, and no more is held at once.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = lists.schema["id"].dataType
-    rows = lists.select("id", "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("p"))
-    rows = rows.select(F.col("p.terms").alias("term"), "id", (F.col("p.tfs").cast("long") * (1 << 32) + F.col("dl")).alias("counts"))
-    bucket, shard = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"), F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")
-    dealt = rows.repartition(bucket, F.floor(shard / SHARDS))
-    tf, dl = F.shiftright("counts", 32).cast("int"), F.col("counts").bitwiseAND((1 << 32) - 1).cast("int")
-    own = dealt.select("term", shard.alias("shard"), "id", "counts", impact(tf, dl, avgdl).alias("impact"))
-    ordered = own.sortWithinPartitions("term", "shard", F.desc("impact")).select(bucket.alias("bucket"), "shard", "term", "id", tf.alias("tf"), dl.alias("dl"))
-    schema = f"bucket int, shard int, term string, block int, df int, max_tf int, min_dl int, ids array<{kind.simpleString()}>, tfs array<int>, dls array<int>"
-    return ordered.mapInArrow(_blocks(to_arrow_type(kind)), schema)
+    rows = runs(lists, shards).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    ordered = rows.repartition("bucket", "group").sortWithinPartitions("term", "group")
+    return ordered.mapInArrow(_blocks(to_arrow_type(kind)), BLOCK.format(kind.simpleString()))
 
 
 def with_idf(df: DataFrame, n: int, epsilon: float = EPSILON) -> DataFrame:

@@ -97,7 +97,8 @@ class LexicalIndex:
         for number, s in enumerate(self.manifest.segments):
             rows = _postings(self.spark, s).where(F.col("bucket").isin(sorted({h % s.buckets for _, h in asked})))
             rows = rows.where(F.col("term").isin([t for t, _ in asked])) if len(asked) <= 10 else rows.join(words, "term", "left_semi")
-            parts.append(rows.select(unit(number), "term", "ids", "tfs", "dls"))
+            rows = rows.select("term", "ids", "tfs", "dls", F.explode("slices").alias("s")).withColumn("shard", F.col("s.shard"))
+            parts.append(rows.select(unit(number), "term", *(F.slice(c, F.col("s.first") + 1, F.col("s.size")).alias(c) for c in ("ids", "tfs", "dls"))))
         if self.manifest.gone:
             for number in range(len(self.manifest.segments)):
                 rows = self.gone.where(F.col("segment") == number).groupBy("shard").agg(F.collect_list("id").alias("ids"))  # a shard's
@@ -119,8 +120,7 @@ class LexicalIndex:
 def _postings(spark: SparkSession, s: Segment) -> DataFrame:
     """A segment's blocks; its folder has no file where no text has a term."""
     kind = spark.read.parquet(f"{s.path}/docs").schema["id"].dataType.simpleString()
-    schema = f"bucket int, shard int, term string, block int, df int, max_tf int, min_dl int, ids array<{kind}>, tfs array<int>, dls array<int>"
-    return spark.read.schema(schema).parquet(f"{s.path}/postings")
+    return spark.read.schema(lexical.BLOCK.format(kind)).parquet(f"{s.path}/postings")
 
 
 def _versions(spark: SparkSession, root: str) -> dict[str, Manifest]:
@@ -161,7 +161,7 @@ def _segment(spark: SparkSession, root: str, lists: DataFrame) -> tuple[list[Seg
     if not one["n"]:
         return [], 0, 0
     s = Segment(path, lexical.shard_count(one["n"]), lexical.bucket_count(one["n"]))
-    blocks = lexical.blocks(rows, s.shards, s.buckets, one["length"] / one["n"])
+    blocks = lexical.blocks(rows, s.shards, s.buckets)
     blocks.write.option("compression", "zstd").parquet(f"{path}/postings")
     return [s], one["n"], one["length"]
 
@@ -272,7 +272,8 @@ def table_statistics(spark: SparkSession, path: str, id_col: str, text: str) ->
 
 
 def _root(spark: SparkSession, path: str, id_col: str, text: str) -> str:
-    return f"{shared_folder(spark)}/lexical-{hashlib.sha256(repr((path, id_col, text)).encode()).hexdigest()[:20]}"
+    """An index's folder; its name tells the form of the blocks."""
+    return f"{shared_folder(spark)}/lexical2-{hashlib.sha256(repr((path, id_col, text)).encode()).hexdigest()[:20]}"
 
 
 def kept_lexical(spark: SparkSession, path: str, id_col: str, text: str) -> LexicalIndex:

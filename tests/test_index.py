@@ -167,3 +167,23 @@ def test_statistics_without_an_index_equal_its(spark, tmp_path):
             assert bool(index._versions(spark, root)) == (len(seen) == 2)
             index.kept_lexical(spark, path, "doc_id", "text")
         assert seen[0] == seen[1]
+
+
+def test_a_task_inverts_its_texts_before_the_shuffle(spark, monkeypatch):
+    """Rows of terms, not of postings, are shuffled; a rare term of many shards is one block; blocks hold all postings."""
+    monkeypatch.setattr(lexical, "POSTINGS", 8)
+    rows = [(i, t) for i, t in enumerate(corpus(300, 3))] + [(900, "rare rare"), (901, "rare"), (902, None)]
+    lists = lexical.term_lists(spark.createDataFrame(rows, "id long, t string").repartition(3), "id", "t")
+    want = {(w, i, (t or "").split().count(w), len(t.split())) for i, t in rows if t for w in t.split()}
+    for held, most in ((1_000_000, 3 * 31 * 2), (50, len(want))):
+        monkeypatch.setattr(lexical, "HELD", held)
+        assert len(set(WORDS)) < lexical.runs(lists, 90).count() <= most < len(want) + 1  # two groups of shards
+        found = lexical.blocks(lists, 90, 16).collect()
+        assert {(r["term"], *p) for r in found for p in zip(r["ids"], r["tfs"], r["dls"])} == want
+        assert sum(len(r["ids"]) for r in found) == len(want) == sum(r["df"] or 0 for r in found)
+        assert max(len(r["ids"]) for r in found) == 8
+        shard = {r["id"]: r["s"] for r in lists.select("id", F.pmod(F.xxhash64("id"), F.lit(90)).alias("s")).collect()}
+        for r in found:
+            assert [s["shard"] for s in r["slices"] for _ in range(s["size"])] == [shard[i] for i in r["ids"]]
+            assert [s["first"] for s in r["slices"]] == np.cumsum([0] + [s["size"] for s in r["slices"]])[:-1].tolist()
+    assert len([r for r in found if r["term"] == "rare"]) <= 2
