@@ -19,10 +19,11 @@ from ..functions.text import tokens
 from .topk import top
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
-#: Postings of a block. Texts of a shard, at least and at most; between the two there are SHARDS of them.
-POSTINGS, FEW, MANY, SHARDS = 256, 2_000, 50_000, 64
-#: Postings that a task inverts at once; texts for each 16 buckets.
-HELD, BUCKETED = 1_000_000, 50_000
+#: Postings of a block. Texts of a shard, at least and at most; between the two there are SHARDS of them. A task holds one
+#: shard's postings of a pass's terms at once.
+POSTINGS, FEW, MANY, SHARDS = 256, 2_000, 8_000, 64
+#: Postings that a task inverts or cuts in blocks at once; texts for each 16 buckets.
+HELD, BUCKETED = 400_000, 50_000
 #: The columns of blocks, with the type of ids.
 BLOCK = "bucket int, term string, block int, df int, slices array<struct<shard:int,first:int,size:int>>, ids array<{}>, tfs array<int>, dls array<int>"
 #: Characters of the questions that one pass takes: their weights are held on the driver and sent to the tasks.
@@ -151,8 +152,12 @@ def _blocks(kind: pa.DataType) -> Callable:
                 own = rows.column(c).combine_chunks()
                 new[1:] |= pc.not_equal(own[1:], own[:-1]).to_numpy(zero_copy_only=False)
             starts = np.flatnonzero(new)
-            if starts[-1]:
-                yield cut(rows.slice(0, int(starts[-1])), starts[:-1])
+            total = np.append(0, np.cumsum(pc.list_value_length(rows.column("ids")).to_numpy()))[starts]
+            at = 0
+            while at < len(starts) - 1:  # a batch of frequent terms is cut in parts
+                end = max(int(np.searchsorted(total, total[at] + HELD, "right")) - 1, at + 1)
+                yield cut(rows.slice(int(starts[at]), int(starts[end] - starts[at])), starts[at:end] - starts[at])
+                at = end
             rest = rows.slice(int(starts[-1])).to_batches()
         if rest:
             yield cut(pa.Table.from_batches(rest), np.zeros(1, np.int64))

@@ -187,3 +187,9 @@ def test_a_task_inverts_its_texts_before_the_shuffle(spark, monkeypatch):
             assert [s["shard"] for s in r["slices"] for _ in range(s["size"])] == [shard[i] for i in r["ids"]]
             assert [s["first"] for s in r["slices"]] == np.cumsum([0] + [s["size"] for s in r["slices"]])[:-1].tolist()
     assert len([r for r in found if r["term"] == "rare"]) <= 2
+
+
+def test_a_shard_has_as_many_texts_however_large_the_table():
+    """A task of a search holds a shard's postings."""
+    for n in (1, 50_000, 256_000, 2_000_000, 60_000_000):
+        assert n / lexical.shard_count(n) <= 8_000
