@@ -5,7 +5,7 @@ rest can't reach its k-th score.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -22,8 +22,9 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Postings of a block. Texts of a shard, at least and at most; between the two there are SHARDS of them. A task holds one
 #: shard's postings of a pass's terms at once.
 POSTINGS, FEW, MANY, SHARDS = 256, 2_000, 8_000, 64
-#: Postings that a task inverts or cuts in blocks at once; texts for each 16 buckets.
-HELD, BUCKETED = 400_000, 50_000
+#: Tokens or postings that a task counts or inverts at once; tokens of a bucket of a group of shards, whose postings a task
+#: cuts in blocks at once.
+HELD, BUCKETED = 400_000, 1_000_000
 #: The columns of blocks, with the type of ids.
 BLOCK = "bucket int, term string, block int, df int, slices array<struct<shard:int,first:int,size:int>>, ids array<{}>, tfs array<int>, dls array<int>"
 #: Characters of the questions that one pass takes: their weights are held on the driver and sent to the tasks.
@@ -35,25 +36,52 @@ MARGIN = 2e-6
 def term_lists(docs: DataFrame, id_col: str, text: str, tokenizer=tokens) -> DataFrame:
     """(id, dl, terms, tfs): the number of a text's terms, its distinct terms in order, and how often each stands there.
 
-    Terms are sorted and counted within a row, so nothing is shuffled; a text without a term has empty lists. Rows of a
-    null id are no documents. Other columns stay.
+    Tasks sort and count the terms of HELD tokens at once, so nothing is shuffled; a text without a term has empty lists. Rows
+    of a null id are no documents. Other columns stay.
     """
     others = [c for c in docs.columns if c not in (id_col, text)]
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.coalesce(F.sort_array(tokenizer(F.col(text))), F.array().cast("array<string>")).alias("ts"), *others)
-    n = F.size("ts")
-    at = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get("ts", i) != F.get("ts", i - 1)))
-    rows = rows.select("id", n.alias("dl"), "ts", F.when(n > 0, at).otherwise(F.array().cast("array<int>")).alias("at"), *others)
-    end = lambda j: F.coalesce(F.get("at", j + 1), F.col("dl"))
-    return rows.select("id", "dl", F.transform("at", lambda i: F.get("ts", i)).alias("terms"), F.transform("at", lambda i, j: (end(j) - i).cast("int")).alias("tfs"), *others)
+    own = F.coalesce(tokenizer(F.col(text)), F.array().cast("array<string>"))
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), own.alias("ts"), *others)
+    made = rows.select("id", F.lit(0).alias("dl"), F.col("ts").alias("terms"), F.array().cast("array<int>").alias("tfs"), *others)
+    return rows.mapInArrow(_counted, made.schema)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, dl, terms, tfs, others) of (id, ts, others)."""
+    for b in batches:
+        total = np.append(0, np.cumsum(pc.list_value_length(b.column("ts")).to_numpy()))
+        at = 0
+        while at < b.num_rows:
+            end = max(int(np.searchsorted(total, total[at] + HELD, "right")) - 1, at + 1)
+            rows = b.slice(at, end - at)
+            tokens = rows.column("ts").flatten().dictionary_encode()
+            order = pc.sort_indices(tokens.dictionary)
+            rank = np.empty(len(order), np.int64)
+            rank[order.to_numpy()] = np.arange(len(order))
+            sizes = np.diff(total[at : end + 1])
+            key = np.sort(np.repeat(np.arange(end - at), sizes) * len(order) + rank[tokens.indices.to_numpy()])
+            first = _changes(key)
+            owner, word = np.divmod(key[first], max(len(order), 1))
+            begins = np.searchsorted(owner, np.arange(end - at))
+            terms = tokens.dictionary.take(order.take(pa.array(word)))
+            tfs = pa.array(np.diff(np.append(first, len(key))).astype(np.int32))
+            others = {c: rows.column(c) for c in b.schema.names if c not in ("id", "ts")}
+            yield pa.RecordBatch.from_pydict({"id": rows.column("id"), "dl": pa.array(sizes.astype(np.int32)), "terms": _listed(terms, begins), "tfs": _listed(tfs, begins)} | others)
+            at = end
 
 
 def shard_count(n: int) -> int:
     return max(1, math.ceil(n / min(max(n / SHARDS, FEW), MANY)))
 
 
-def bucket_count(n: int) -> int:
-    """Buckets of terms: 16 for a small index, 1,024 at most."""
-    return min(1_024, 16 * max(1, math.ceil(n / BUCKETED)))
+def bucket_count(length: int, shards: int) -> int:
+    """Buckets of terms: 16 for a small index, and so many that a bucket has BUCKETED tokens in a group of shards."""
+    return max(16, math.ceil(length / math.ceil(shards / SHARDS) / BUCKETED))
+
+
+def buckets_of(terms: Iterable[str], buckets: int) -> np.ndarray:
+    """The bucket of each term, the same in every process."""
+    return (pd.util.hash_array(np.array(list(terms), object), categorize=False) % np.uint64(buckets)).astype(np.int64)
 
 
 def _numbers(rows: pa.Table, column: str) -> np.ndarray:
@@ -71,12 +99,12 @@ def _changes(key: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.diff(key, prepend=key[0] - 1)) if len(key) else np.zeros(0, np.int64)
 
 
-def _runs(kind: pa.DataType) -> Callable:
-    """A function from texts (id, dl, shard, terms, tfs) to runs: the postings of a term in HELD postings or fewer of a task's
-    texts, of one group of shards, by shard.
+def _runs(kind: pa.DataType, buckets: int) -> Callable:
+    """A function from texts (id, dl, shard, terms, tfs) to runs: the postings of a bucket's terms in HELD postings or fewer of a
+    task's texts, of one group of shards, by term and shard.
     """
     ints = pa.int32()
-    schema = pa.schema([("term", pa.string()), ("group", ints), ("shards", pa.list_(pa.int16())), ("ids", pa.list_(kind)), ("tfs", pa.list_(ints)), ("dls", pa.list_(ints))])
+    schema = pa.schema([("bucket", ints), ("group", ints), ("terms", pa.list_(pa.string())), ("sizes", pa.list_(ints)), ("shards", pa.list_(pa.int16())), ("ids", pa.list_(kind)), ("tfs", pa.list_(ints)), ("dls", pa.list_(ints))])
 
     def inverted(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(parts)
@@ -85,13 +113,20 @@ def _runs(kind: pa.DataType) -> Callable:
             return
         owner = np.repeat(np.arange(rows.num_rows), pc.list_value_length(rows.column("terms")).to_numpy())
         shard, words = _numbers(rows, "shard")[owner].astype(np.int64), len(terms.dictionary)
-        key = (shard // SHARDS * words + terms.indices.to_numpy()) * SHARDS + shard % SHARDS
+        own = buckets_of(terms.dictionary.to_pylist(), buckets)
+        groups = int(shard.max()) // SHARDS + 1
+        word = terms.indices.to_numpy()
+        key = ((own[word] * groups + shard // SHARDS) * words + word) * SHARDS + shard % SHARDS
         order = np.argsort(key, kind="stable")
         key, owner = key[order], owner[order]
-        begins = _changes(key // SHARDS)
-        group, word = np.divmod(key[begins] // SHARDS, words)
+        begins = _changes(key // SHARDS)  # of a term in a group
+        cell, word = np.divmod(key[begins] // SHARDS, words)
+        first = _changes(cell)  # of a bucket in a group
+        bucket, group = np.divmod(cell[first], groups)
+        sizes = np.diff(np.append(begins, len(key)))
         values = [pa.array((key % SHARDS).astype(np.int16)), rows.column("id").combine_chunks().take(pa.array(owner)), pa.array(_numbers(rows, "tfs")[order], ints), pa.array(_numbers(rows, "dl")[owner], ints)]
-        yield pa.RecordBatch.from_arrays([terms.dictionary.take(pa.array(word)), pa.array(group, ints), *(_listed(v, begins) for v in values)], schema=schema)
+        lists = [_listed(terms.dictionary.take(pa.array(word)), first), _listed(pa.array(sizes, ints), first), *(_listed(v, begins[first]) for v in values)]
+        yield pa.RecordBatch.from_arrays([pa.array(bucket, ints), pa.array(group, ints), *lists], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
@@ -113,15 +148,18 @@ def _runs(kind: pa.DataType) -> Callable:
 
 
 def _blocks(kind: pa.DataType) -> Callable:
-    """A function from runs in order (term, group) to blocks; a term of a group that a batch cuts is carried over."""
+    """A function from runs in order (bucket, group) to blocks; the runs of a bucket in a group are gathered and cut at once."""
     ints = pa.int32()
     slices = pa.struct([("shard", ints), ("first", ints), ("size", ints)])
     schema = pa.schema([("bucket", ints), ("term", pa.string()), ("block", ints), ("df", ints), ("slices", pa.list_(slices)), ("ids", pa.list_(kind)), ("tfs", pa.list_(ints)), ("dls", pa.list_(ints))])
 
-    def cut(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
-        sizes = pc.list_value_length(rows.column("ids")).to_numpy()
-        number = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, rows.num_rows)))  # of a run's term and group
-        key = np.repeat(number, sizes) * SHARDS + _numbers(rows, "shards")
+    def cut(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(parts).combine_chunks()
+        terms = rows.column("terms").combine_chunks().flatten().dictionary_encode()
+        by_name = pc.sort_indices(terms.dictionary)
+        rank = np.empty(len(by_name), np.int64)
+        rank[by_name.to_numpy()] = np.arange(len(by_name))
+        key = np.repeat(rank[terms.indices.to_numpy()], _numbers(rows, "sizes")) * SHARDS + _numbers(rows, "shards")
         order = np.argsort(key, kind="stable")
         key = key[order]
         first = _changes(key // SHARDS)
@@ -129,66 +167,55 @@ def _blocks(kind: pa.DataType) -> Callable:
         place = np.arange(len(key)) - np.repeat(first, count)
         begins = np.flatnonzero(place % POSTINGS == 0)
         own = key[begins] // SHARDS
-        parts = np.union1d(_changes(key), begins)
-        block = np.searchsorted(begins, parts, "right") - 1
-        group = _numbers(rows, "group")[starts].astype(np.int64)
-        shard = group[key[parts] // SHARDS] * SHARDS + key[parts] % SHARDS
-        made = pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in (shard, parts - begins[block], np.diff(np.append(parts, len(key))))], fields=list(slices))
+        pieces = np.union1d(_changes(key), begins)
+        block = np.searchsorted(begins, pieces, "right") - 1
+        shard = rows.column("group")[0].as_py() * SHARDS + key[pieces] % SHARDS
+        made = pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in (shard, pieces - begins[block], np.diff(np.append(pieces, len(key))))], fields=list(slices))
         ids = rows.column("ids").combine_chunks().flatten().take(pa.array(order))
         lists = [ids, *(pa.array(_numbers(rows, c)[order], ints) for c in ("tfs", "dls"))]
-        names = [rows.column(c).combine_chunks().take(pa.array(starts[own])) for c in ("bucket", "term")]
+        names = [pa.array(np.full(len(begins), rows.column("bucket")[0].as_py()), ints), terms.dictionary.take(by_name.take(pa.array(own)))]
         numbers = [pa.array((place[begins] // POSTINGS).astype(np.int32)), pa.array(count[own].astype(np.int32), ints, mask=place[begins] > 0)]
-        return pa.RecordBatch.from_arrays([*names, *numbers, _listed(made, np.searchsorted(parts, begins)), *(_listed(v, begins) for v in lists)], schema=schema)
+        return pa.RecordBatch.from_arrays([*names, *numbers, _listed(made, np.searchsorted(pieces, begins)), *(_listed(v, begins) for v in lists)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[pa.RecordBatch] = []
+        cell, parts = None, []
         for b in batches:
-            if not b.num_rows:
-                continue
-            rows = pa.Table.from_batches([*rest, b]).combine_chunks()
-            new = np.ones(rows.num_rows, bool)
-            new[1:] = False
-            for c in ("term", "group"):
-                own = rows.column(c).combine_chunks()
-                new[1:] |= pc.not_equal(own[1:], own[:-1]).to_numpy(zero_copy_only=False)
-            starts = np.flatnonzero(new)
-            total = np.append(0, np.cumsum(pc.list_value_length(rows.column("ids")).to_numpy()))[starts]
-            at = 0
-            while at < len(starts) - 1:  # a batch of frequent terms is cut in parts
-                end = max(int(np.searchsorted(total, total[at] + HELD, "right")) - 1, at + 1)
-                yield cut(rows.slice(int(starts[at]), int(starts[end] - starts[at])), starts[at:end] - starts[at])
-                at = end
-            rest = rows.slice(int(starts[-1])).to_batches()
-        if rest:
-            yield cut(pa.Table.from_batches(rest), np.zeros(1, np.int64))
+            own = np.stack([b.column(c).to_numpy() for c in ("bucket", "group")], axis=1)
+            starts = np.flatnonzero(np.append(True, (own[1:] != own[:-1]).any(axis=1))) if b.num_rows else []
+            for s, e in zip(starts, np.append(starts[1:], b.num_rows)):
+                if parts and tuple(own[s]) != cell:
+                    yield cut(parts)
+                    parts = []
+                cell = tuple(own[s])
+                parts.append(b.slice(s, e - s))
+        if parts:
+            yield cut(parts)
 
     return run
 
 
-def runs(lists: DataFrame, shards: int) -> DataFrame:
-    """(term, group, shards, ids, tfs, dls) of term lists: a row for each term of each HELD postings, not for each posting.
-    ``shards`` are numbers within a group of SHARDS shards.
+def runs(lists: DataFrame, shards: int, buckets: int = 16) -> DataFrame:
+    """(bucket, group, terms, sizes, shards, ids, tfs, dls) of term lists: a row for a bucket's terms in each HELD postings, neither
+    for each term nor for each posting; ``sizes`` are the terms' postings. ``shards`` are numbers within a group of SHARDS shards.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = lists.schema["id"].dataType
     rows = lists.select("id", "dl", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), "terms", "tfs")
-    return rows.mapInArrow(_runs(to_arrow_type(kind)), f"term string, group int, shards array<smallint>, ids array<{kind.simpleString()}>, tfs array<int>, dls array<int>")
+    return rows.mapInArrow(_runs(to_arrow_type(kind), buckets), f"bucket int, group int, terms array<string>, sizes array<int>, shards array<smallint>, ids array<{kind.simpleString()}>, tfs array<int>, dls array<int>")
 
 
 def blocks(lists: DataFrame, shards: int, buckets: int) -> DataFrame:
     """The columns BLOCK: the postings of each term in each group of SHARDS shards of texts, by shard, in blocks of POSTINGS, in
-    the order of terms within a file of few buckets. ``slices`` tells a block's shards and where their postings stand in it.
+    the order of terms within a bucket and group. ``slices`` tells a block's shards and where their postings stand in it.
     ``df`` is of the group and stands in its first block.
 
-    Each task inverts its texts first, so rows of terms are shuffled and sorted, not rows of postings. A term in a group has
-    SHARDS times MANY postings at most, and no more is held at once.
+    Each task inverts its texts first, so rows of buckets are shuffled and sorted, not rows of terms or postings.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = lists.schema["id"].dataType
-    rows = runs(lists, shards).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-    ordered = rows.repartition("bucket", "group").sortWithinPartitions("term", "group")
+    ordered = runs(lists, shards, buckets).repartition("bucket", "group").sortWithinPartitions("bucket", "group")
     return ordered.mapInArrow(_blocks(to_arrow_type(kind)), BLOCK.format(kind.simpleString()))
 
 
@@ -311,11 +338,11 @@ def _shard_search(asked: list, words: list[str], avgdl: float, k: int, k1: float
     return run
 
 
-def bm25_topk(queries: DataFrame, query_id: str, query: str, postings: Callable[[list[tuple[str, int]]], DataFrame], terms: DataFrame, avgdl: float, id_type, k: int = 5, k1: float = K1, b: float = B, tokenizer=tokens, keep: Callable | None = None) -> DataFrame:
+def bm25_topk(queries: DataFrame, query_id: str, query: str, postings: Callable[[list[str]], DataFrame], terms: DataFrame, avgdl: float, id_type, k: int = 5, k1: float = K1, b: float = B, tokenizer=tokens, keep: Callable | None = None) -> DataFrame:
     """(query_id, id, score, rank): the best ``k`` texts of each question, by score rounded to 6 digits, then id.
 
-    ``postings(terms and their hashes)`` gives the blocks (unit, term, ids, tfs, dls) of these terms, a unit for each shard; a
-    row without a term holds ids that don't count any more. ``terms`` is (term, hash, idf). A repeated term of a question
+    ``postings(terms)`` gives the blocks (unit, term, ids, tfs, dls) of these terms, a unit for each shard; a
+    row without a term holds ids that don't count any more. ``terms`` is (term, idf). A repeated term of a question
     counts each time. Texts that share no term with a question don't appear. Questions are taken in passes of PASS_CHARS
     characters; ``keep`` writes a pass's result down where there are several.
     """
@@ -329,13 +356,13 @@ def bm25_topk(queries: DataFrame, query_id: str, query: str, postings: Callable[
         some = asked if passes == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == p)
         counted = some.select("query_id", F.explode(tokenizer(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
         # the terms of one pass have a proven bound
-        weighed = terms.join(F.broadcast(counted), "term").select("query_id", "term", "hash", (F.col("qtf") * F.col("idf")).alias("w"))
-        rows = weighed.groupBy("query_id").agg(F.collect_list(F.struct("term", "hash", "w")).alias("ws")).collect()
-        hashes = {x["term"]: x["hash"] for r in rows for x in r["ws"]}
-        if not hashes:
+        weighed = terms.join(F.broadcast(counted), "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w"))
+        rows = weighed.groupBy("query_id").agg(F.collect_list(F.struct("term", "w")).alias("ws")).collect()
+        words = list({x["term"]: None for r in rows for x in r["ws"]})
+        if not words:
             continue
-        run = _shard_search([(r["query_id"], r["ws"]) for r in rows], list(hashes), avgdl, k, k1, b, to_arrow_type(kind), to_arrow_type(id_type))
-        part = postings(list(hashes.items())).groupBy("unit").applyInArrow(run, f"query_id {kind.simpleString()}, id {id_type.simpleString()}, score double")
+        run = _shard_search([(r["query_id"], r["ws"]) for r in rows], words, avgdl, k, k1, b, to_arrow_type(kind), to_arrow_type(id_type))
+        part = postings(words).groupBy("unit").applyInArrow(run, f"query_id {kind.simpleString()}, id {id_type.simpleString()}, score double")
         found.append(keep(part) if keep and passes > 1 else part)
     if not found:
         return spark.createDataFrame([], f"query_id {kind.simpleString()}, id {id_type.simpleString()}, score double, rank int")

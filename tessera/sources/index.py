@@ -55,7 +55,7 @@ class LexicalIndex:
 
     @property
     def terms(self) -> DataFrame:
-        """(term, hash, df, idf)"""
+        """(term, df, idf)"""
         return self._table("terms")
 
     @property
@@ -87,16 +87,16 @@ class LexicalIndex:
             parts.append(rows.join(self.gone.where(F.col("segment") == number).select("id"), "id", "left_anti") if self.manifest.gone else rows)
         return reduce(DataFrame.unionByName, parts)
 
-    def postings(self, asked: list[tuple[str, int]]) -> DataFrame:
-        """(unit, term, ids, tfs, dls) of some terms; and each shard's ids that are gone. A file holds few buckets, in
+    def postings(self, asked: list[str]) -> DataFrame:
+        """(unit, term, ids, tfs, dls) of some terms; and each shard's ids that are gone. A file holds few buckets, each in
         the order of terms, so what a scan needn't read shows in the files' statistics.
         """
-        words = F.broadcast(self.spark.createDataFrame([(t,) for t, _ in asked], "term string"))  # of one pass of questions
+        words = F.broadcast(self.spark.createDataFrame([(t,) for t in asked], "term string"))  # of one pass of questions
         unit = lambda number: (F.lit(number).cast("long") * (1 << 32) + F.col("shard")).alias("unit")
         parts = []
         for number, s in enumerate(self.manifest.segments):
-            rows = _postings(self.spark, s).where(F.col("bucket").isin(sorted({h % s.buckets for _, h in asked})))
-            rows = rows.where(F.col("term").isin([t for t, _ in asked])) if len(asked) <= 10 else rows.join(words, "term", "left_semi")
+            rows = _postings(self.spark, s).where(F.col("bucket").isin(sorted(set(lexical.buckets_of(asked, s.buckets).tolist()))))
+            rows = rows.where(F.col("term").isin(asked)) if len(asked) <= 10 else rows.join(words, "term", "left_semi")
             rows = rows.select("term", "ids", "tfs", "dls", F.explode("slices").alias("s")).withColumn("shard", F.col("s.shard"))
             parts.append(rows.select(unit(number), "term", *(F.slice(c, F.col("s.first") + 1, F.col("s.size")).alias(c) for c in ("ids", "tfs", "dls"))))
         if self.manifest.gone:
@@ -160,7 +160,7 @@ def _segment(spark: SparkSession, root: str, lists: DataFrame) -> tuple[list[Seg
     one = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("length")).first()
     if not one["n"]:
         return [], 0, 0
-    s = Segment(path, lexical.shard_count(one["n"]), lexical.bucket_count(one["n"]))
+    s = Segment(path, lexical.shard_count(one["n"]), lexical.bucket_count(one["length"], lexical.shard_count(one["n"])))
     blocks = lexical.blocks(rows, s.shards, s.buckets)
     blocks.write.option("compression", "zstd").parquet(f"{path}/postings")
     return [s], one["n"], one["length"]
@@ -178,8 +178,7 @@ def _version(spark: SparkSession, root: str, version: str, manifest: Manifest, g
         manifest.gone, manifest.n, manifest.length = one["n"], manifest.n - one["n"], manifest.length - one["length"]
         counts.append(gone.select(F.explode("terms").alias("term"), F.lit(-1).cast("long").alias("df")))
     df = reduce(DataFrame.unionByName, counts).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
-    terms = lexical.with_idf(df, manifest.n).withColumn("hash", F.xxhash64("term"))
-    terms.select("term", "hash", "df", "idf").write.mode("overwrite").parquet(f"{at}/terms")
+    lexical.with_idf(df, manifest.n).write.mode("overwrite").parquet(f"{at}/terms")
     spark.createDataFrame([(json.dumps(asdict(manifest)),)], "value string").coalesce(1).write.mode("overwrite").text(f"{at}/manifest")
     return LexicalIndex(spark, root, version, manifest)
 
@@ -273,7 +272,7 @@ def table_statistics(spark: SparkSession, path: str, id_col: str, text: str) ->
 
 def _root(spark: SparkSession, path: str, id_col: str, text: str) -> str:
     """An index's folder; its name tells the form of the blocks."""
-    return f"{shared_folder(spark)}/lexical2-{hashlib.sha256(repr((path, id_col, text)).encode()).hexdigest()[:20]}"
+    return f"{shared_folder(spark)}/lexical3-{hashlib.sha256(repr((path, id_col, text)).encode()).hexdigest()[:20]}"
 
 
 def kept_lexical(spark: SparkSession, path: str, id_col: str, text: str) -> LexicalIndex:

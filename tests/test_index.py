@@ -193,3 +193,22 @@ def test_a_shard_has_as_many_texts_however_large_the_table():
     """A task of a search holds a shard's postings."""
     for n in (1, 50_000, 256_000, 2_000_000, 60_000_000):
         assert n / lexical.shard_count(n) <= 8_000
+
+
+def test_a_row_of_the_shuffle_holds_many_terms(spark, monkeypatch):
+    """Rare terms don't make a row each; terms are counted the same however many tokens a task takes at once."""
+    rows = [(i, " ".join([*(f"w{i}x{k}" for k in range(20)), "often", "often"])) for i in range(100)] + [(900, None), (901, "...")]
+    docs = spark.createDataFrame(rows, "id long, t string").repartition(3)
+    for held in (400_000, 30):
+        monkeypatch.setattr(lexical, "HELD", held)
+        lists = {r["id"]: r for r in lexical.term_lists(docs.withColumn("more", F.lit("m")), "id", "t").collect()}
+        for i, t in rows:
+            words = [w for w in (t or "").split() if w != "..."]
+            own = sorted(set(words))
+            assert tuple(lists[i]) == (i, len(words), own, [words.count(w) for w in own], "m")
+    monkeypatch.setattr(lexical, "HELD", 400_000)
+    made = lexical.term_lists(docs, "id", "t")
+    assert lexical.runs(made, 90, 16).count() <= 3 * 2 * 16
+    assert sum(len(r["ids"]) for r in lexical.blocks(made, 90, 16).collect()) == 100 * 21
+    for length, shards in ((1, 1), (26_000_000, 26), (10**9, 256), (10**11, 7_500)):
+        assert length / -(-shards // lexical.SHARDS) / lexical.bucket_count(length, shards) <= lexical.BUCKETED
