@@ -37,8 +37,8 @@ LEAVES = GROUPS * GROUPS
 #: Numbers by which an id's neighbours are told: half for those before it, half for those after it.
 TRAITS = 32
 ROUNDS, BATCH, RATE = 6, 256, 0.02
-#: Windows that are scored together.
-HELD = 1024
+#: Windows that are scored together, and those whose attention is computed at once in training.
+HELD, PART = 1024, 64
 #: Words whose counts are sent to every task; all others meet their counts in a join, with the same results.
 KNOWN_WORDS = 50_000
 
@@ -119,60 +119,95 @@ class Attention:
         ends = np.cumsum([0] + [p.size for p in self.parts()])
         return Attention(*(values[s:e].reshape(p.shape).astype(np.float32) for p, s, e in zip(self.parts(), ends[:-1], ends[1:])))
 
-    def hidden(self, x: np.ndarray) -> tuple:
-        """What the model makes of windows [n, WINDOW] at each of the last STRIDE places, [n, STRIDE, width]."""
-        h = self.embed[x] + self.place
-        q, k, v = np.split(h @ self.qkv, 3, axis=2)
-        q = q[:, LEAD:]
-        a = q @ k.transpose(0, 2, 1) * np.float32(self.embed.shape[1] ** -0.5)
-        a = np.exp(a - a.max(2, keepdims=True)) * CAUSAL
-        a /= a.sum(2, keepdims=True)
-        return h[:, LEAD:] + a @ v, (h, q, k, v, a)
-
     def gradients(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, list[np.ndarray]]:
-        """The mean loss of the leaves ``y`` that follow, in nats, and its gradients; ``weight`` is 0 for what doesn't count."""
+        """The mean loss of the leaves ``y`` that follow, in nats, and its gradients; ``weight`` is 0 for what doesn't count.
+
+        Exponents are cut at 80 as in ``scorer``. PART windows at a time go through the attention, so they stay in the
+        processor's cache.
+        """
         d = self.embed.shape[1]
-        z, (h, q, k, v, a) = self.hidden(x)
-        flat, leaf = z.reshape(-1, d), y.ravel()
+        scale = np.float32(d**-0.5)
+        wq, wk, wv = (np.ascontiguousarray(w) for w in np.split(self.qkv, 3, axis=1))
+        leaf = y.ravel()
         w = (weight.ravel() / max(float(weight.sum()), 1.0)).astype(np.float32)
-        group, rest = leaf // GROUPS, leaf % GROUPS
-        rows = np.arange(len(leaf))
+        group, rest = np.divmod(leaf, GROUPS)
+        rows, ones = np.arange(len(leaf)), np.ones(GROUPS, np.float32)
 
-        def softmax(p: np.ndarray, target: np.ndarray, w: np.ndarray) -> tuple[float, np.ndarray]:
-            p = np.exp(p - p.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
+        def softmax(p: np.ndarray, target: np.ndarray, w: np.ndarray) -> float:
+            """The loss of logits ``p``, which become its gradient."""
+            np.clip(p, -80, 80, out=p)
             at = rows[: len(p)], target
-            loss = float(-(np.log(np.maximum(p[at], 1e-12)) * w).sum())
-            p[at] -= 1
-            p *= w[:, None]
-            return loss, p
-
-        loss, g = softmax(flat @ self.out + self.bias, group, w)
-        g_out, g_bias, g_z = flat.T @ g, g.sum(0), g @ self.out.T
+            own = p[at]
+            np.exp(p, out=p)
+            total = p @ ones
+            p *= (w / total)[:, None]
+            p[at] -= w
+            return float(((np.log(total) - own) * w).sum())
+
+        loss, kept = 0.0, []
+        z, g_z = np.empty((len(leaf), d), np.float32), np.empty((len(leaf), d), np.float32)
+        g_out, g_bias = np.zeros_like(self.out), np.zeros_like(self.bias)
+        for first in range(0, len(x), PART):
+            own = slice(first * STRIDE, (first + PART) * STRIDE)
+            h = self.embed[x[first : first + PART]] + self.place
+            n, late = len(h), np.ascontiguousarray(h[:, LEAD:]).reshape(-1, d)
+            q = (late @ (wq * scale)).reshape(n, STRIDE, d)
+            k, v = ((h.reshape(-1, d) @ m).reshape(n, WINDOW, d) for m in (wk, wv))
+            a = q @ k.transpose(0, 2, 1)
+            np.clip(a, -80, 80, out=a)
+            np.exp(a, out=a)
+            a *= CAUSAL
+            a /= (a @ ONES)[:, :, None]
+            seen = (a @ v).reshape(-1, d)
+            np.add(late, seen, out=z[own])
+            p = z[own] @ self.out
+            p += self.bias
+            loss += softmax(p, group[own], w[own])
+            g_out += z[own].T @ p
+            g_bias += p.sum(0)
+            g_z[own] = p @ self.out.T
+            kept.append((own, h, late, q, k, v, a, seen))
         g_leaf_out, g_leaf_bias = np.zeros_like(self.leaf_out), np.zeros_like(self.leaf_bias)
-        for c, own in _by_group(group):
-            more, g = softmax(flat[own] @ self.leaf_out[c] + self.leaf_bias[c], rest[own], w[own])
-            loss += more
-            g_leaf_out[c], g_leaf_bias[c] = flat[own].T @ g, g.sum(0)
-            g_z[own] += g @ self.leaf_out[c].T
-        g_z = g_z.reshape(z.shape)
-        g_a, g_v = g_z @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ g_z
-        g_s = a * (g_a - (g_a * a).sum(2, keepdims=True)) * np.float32(d**-0.5)
-        g_q = np.zeros_like(k)
-        g_q[:, LEAD:] = g_s @ k
-        g_qkv = np.concatenate([g_q, g_s.transpose(0, 2, 1) @ q, g_v], axis=2)
-        g_h = g_qkv @ self.qkv.T
-        g_h[:, LEAD:] += g_z
+        order = np.argsort(group.astype(np.uint8), kind="stable")
+        bounds = np.searchsorted(group[order], np.arange(GROUPS + 1)).tolist()
+        by_group, rest, w, more = z[order], rest[order], w[order], np.empty_like(z)
+        for c in np.flatnonzero(np.diff(bounds)).tolist():
+            own = slice(bounds[c], bounds[c + 1])
+            p = by_group[own] @ self.leaf_out[c]
+            p += self.leaf_bias[c]
+            loss += softmax(p, rest[own], w[own])
+            np.matmul(by_group[own].T, p, out=g_leaf_out[c])
+            np.sum(p, axis=0, out=g_leaf_bias[c])
+            np.matmul(p, self.leaf_out[c].T, out=more[own])
+        g_z[order] += more
+        g_h, g_wq, g_wk, g_wv = np.empty((len(x), WINDOW, d), np.float32), *(np.zeros_like(m) for m in (wq, wk, wv))
+        for k0, (own, h, late, q, k, v, a, seen) in enumerate(kept):
+            n, g = len(h), g_z[own]
+            g_v = (a.transpose(0, 2, 1) @ g.reshape(n, STRIDE, d)).reshape(-1, d)
+            g_s = g.reshape(n, STRIDE, d) @ v.transpose(0, 2, 1)
+            g_s -= np.einsum("ij,ij->i", g, seen).reshape(n, STRIDE, 1)  # the mean of g_s under a
+            g_s *= a
+            g_q = (g_s @ k).reshape(-1, d)
+            g_q *= scale
+            g_k = (g_s.transpose(0, 2, 1) @ q).reshape(-1, d)  # q has the scale
+            flat = h.reshape(-1, d)
+            g_wq += late.T @ g_q
+            g_wk += flat.T @ g_k
+            g_wv += flat.T @ g_v
+            made = g_h[k0 * PART : k0 * PART + n]
+            made[:] = (g_k @ wk.T + g_v @ wv.T).reshape(n, WINDOW, d)
+            made[:, LEAD:] += (g_q @ wq.T + g).reshape(n, STRIDE, d)
         g_embed = np.zeros_like(self.embed)
-        order = np.argsort(x.ravel(), kind="stable")
-        heads = np.flatnonzero(np.diff(x.ravel()[order], prepend=-1))
-        g_embed[x.ravel()[order[heads]]] = np.add.reduceat(g_h.reshape(-1, d)[order], heads)
-        return loss, [g_embed, g_h.sum(0), np.tensordot(h, g_qkv, ((0, 1), (0, 1))), g_out, g_bias, g_leaf_out, g_leaf_bias]
+        seen = x.ravel().astype(np.int16)
+        order = np.argsort(seen, kind="stable")
+        heads = np.flatnonzero(np.diff(seen[order], prepend=-1))
+        g_embed[seen[order[heads]]] = np.add.reduceat(g_h.reshape(-1, d)[order], heads)
+        return loss, [g_embed, g_h.sum(0), np.concatenate([g_wq, g_wk, g_wv], axis=1), g_out, g_bias, g_leaf_out, g_leaf_bias]
 
     def scorer(self):
         """A function of (x, y) that gives the natural log of the chance of each leaf of y [n, STRIDE].
 
-        The same numbers as ``hidden``'s, in fewer passes: the projections are looked up in tables by leaf and place.
+        The same numbers as in ``gradients``, in fewer passes: the projections are looked up in tables by leaf and place.
         """
         d = self.embed.shape[1]
         scale = np.float32(d**-0.5)

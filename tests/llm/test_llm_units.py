@@ -391,6 +391,22 @@ def test_attention_gradients(monkeypatch):
     assert np.array_equal(m.unflat(m.flat()).leaf_out, m.leaf_out)
 
 
+def test_attention_gradients_in_parts(monkeypatch):
+    """However many windows go through the attention at once, the gradients are the same, also of very unlikely leaves."""
+    m = small_attention(monkeypatch)
+    rng = np.random.default_rng(4)
+    x, y = rng.integers(0, 17, (7, lm.WINDOW)), rng.integers(0, 16, (7, lm.STRIDE))
+    w = (rng.random((7, lm.STRIDE)) < 0.8).astype(np.float32)
+    m.bias[0] = -60  # the loss isn't cut where a chance is under 1e-12
+    found = []
+    for part in (64, 3):
+        monkeypatch.setattr(lm, "PART", part)
+        found.append(m.gradients(x, y, w))
+    assert found[0][0] > 60 * (w * (y < 4)).sum() / w.sum() - 5 and abs(found[0][0] - found[1][0]) < 1e-4
+    for a, b in zip(found[0][1], found[1][1]):
+        assert np.allclose(a, b, atol=1e-6)
+
+
 def plain_score(model, ids):
     """log10 of a sequence's probability by a forward pass of its own for each token, in double precision."""
     a, end, groups = model.attention, len(model.leaf) - 1, lm.GROUPS
