@@ -13,7 +13,9 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from itertools import chain, repeat
+from math import prod
 
 import numpy as np
 import pandas as pd
@@ -21,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_remainder, saved, table, words_of
-from .pieces import encoder
+from .pieces import SPACE, encoder, ranges
 from .spm import model_bytes, model_path
 
 HELD_OUT, MODULUS = 2, 7
@@ -41,6 +43,8 @@ ROUNDS, BATCH, RATE = 6, 256, 0.02
 HELD, PART = 1024, 64
 #: Words whose counts are sent to every task; all others meet their counts in a join, with the same results.
 KNOWN_WORDS = 50_000
+#: Other words whose ids a task remembers.
+MET = 300_000
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -80,12 +84,30 @@ def frequent(counts: DataFrame, most: int) -> DataFrame:
 # --- the model --------------------------------------------------------------------------------------------------------
 
 
-def _by_group(group: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(group, its places) of all groups met."""
+def _by_group(group: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, list[tuple[int, slice]]]]]:
+    """Places in the order of their groups, and blocks of this order, of PART windows or one group: (first, end, the
+    groups met, each with its part of the block).
+    """
     order = np.argsort(group.astype(np.uint8), kind="stable")
-    bounds = np.searchsorted(group[order], np.arange(GROUPS + 1))
-    for g in np.flatnonzero(np.diff(bounds)):
-        yield int(g), order[bounds[g] : bounds[g + 1]]
+    bounds, blocks = np.searchsorted(group[order], np.arange(GROUPS + 1)).tolist(), []
+    for g, (s, e) in enumerate(zip(bounds[:-1], bounds[1:])):
+        if s == e:
+            continue
+        if not blocks or e - blocks[-1][0] > PART * STRIDE:
+            blocks.append([s, e, []])
+        blocks[-1][1] = e
+        blocks[-1][2].append((g, slice(s - blocks[-1][0], e - blocks[-1][0])))
+    return order, blocks
+
+
+class Room(dict):
+    """Arrays by name whose memory is used again by the next call: on fresh pages the kernels take up to twice the time."""
+
+    def __call__(self, name: str, *shape: int) -> np.ndarray:
+        size = prod(shape)
+        if name not in self or self[name].size < size:
+            self[name] = np.empty(size, np.float32)
+        return self[name][:size].reshape(shape)
 
 
 @dataclass
@@ -99,6 +121,7 @@ class Attention:
     bias: np.ndarray  # GROUPS
     leaf_out: np.ndarray  # GROUPS x width x GROUPS
     leaf_bias: np.ndarray  # GROUPS x GROUPS
+    room: Room = field(default_factory=Room, repr=False, compare=False)
 
     @classmethod
     def new(cls, mass: np.ndarray, width: int = WIDTH, seed: int = 11) -> Attention:
@@ -122,12 +145,13 @@ class Attention:
     def gradients(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, list[np.ndarray]]:
         """The mean loss of the leaves ``y`` that follow, in nats, and its gradients; ``weight`` is 0 for what doesn't count.
 
-        Exponents are cut at 80 as in ``scorer``. PART windows at a time go through the attention, so they stay in the
-        processor's cache.
+        Exponents are cut at 80 as in ``scorer``. PART windows at a time go through the attention, and so many ids through
+        the softmax over leaves, so they stay in the processor's cache. The biases are the last rows of the weights.
         """
         d = self.embed.shape[1]
         scale = np.float32(d**-0.5)
-        wq, wk, wv = (np.ascontiguousarray(w) for w in np.split(self.qkv, 3, axis=1))
+        qkv = self.qkv.copy()
+        qkv[:, :d] *= scale
         leaf = y.ravel()
         w = (weight.ravel() / max(float(weight.sum()), 1.0)).astype(np.float32)
         group, rest = np.divmod(leaf, GROUPS)
@@ -145,64 +169,70 @@ class Attention:
             return float(((np.log(total) - own) * w).sum())
 
         loss, kept = 0.0, []
-        z, g_z = np.empty((len(leaf), d), np.float32), np.empty((len(leaf), d), np.float32)
-        g_out, g_bias = np.zeros_like(self.out), np.zeros_like(self.bias)
+        room = self.room
+        z, g_z = room("z", len(leaf), d + 1), room("g_z", len(leaf), d)
+        z[:, d] = 1
+        out = np.concatenate([self.out, self.bias[None]])
+        g_out = np.zeros_like(out)
         for first in range(0, len(x), PART):
             own = slice(first * STRIDE, (first + PART) * STRIDE)
-            h = self.embed[x[first : first + PART]] + self.place
-            n, late = len(h), np.ascontiguousarray(h[:, LEAD:]).reshape(-1, d)
-            q = (late @ (wq * scale)).reshape(n, STRIDE, d)
-            k, v = ((h.reshape(-1, d) @ m).reshape(n, WINDOW, d) for m in (wk, wv))
-            a = q @ k.transpose(0, 2, 1)
+            n = len(x[first : first + PART])
+            h, t = (room(f"{name} {first}", n, WINDOW, m) for name, m in (("h", d), ("qkv", 3 * d)))
+            self.embed.take(x[first : first + PART], 0, out=h, mode="clip")
+            h += self.place
+            np.matmul(h.reshape(-1, d), qkv, out=t.reshape(-1, 3 * d))
+            q, k, v = t[:, LEAD:, :d], t[:, :, d : 2 * d], t[:, :, 2 * d :]
+            a = np.matmul(q, k.transpose(0, 2, 1), out=room(f"a {first}", n, STRIDE, WINDOW))
             np.clip(a, -80, 80, out=a)
             np.exp(a, out=a)
             a *= CAUSAL
             a /= (a @ ONES)[:, :, None]
-            seen = (a @ v).reshape(-1, d)
-            np.add(late, seen, out=z[own])
-            p = z[own] @ self.out
-            p += self.bias
+            seen = np.matmul(a, v, out=room(f"seen {first}", n, STRIDE, d))
+            np.add(h[:, LEAD:], seen, out=z[own].reshape(n, STRIDE, d + 1)[:, :, :d])
+            p = np.matmul(z[own], out, out=room("p", n * STRIDE, GROUPS))
             loss += softmax(p, group[own], w[own])
             g_out += z[own].T @ p
-            g_bias += p.sum(0)
-            g_z[own] = p @ self.out.T
-            kept.append((own, h, late, q, k, v, a, seen))
-        g_leaf_out, g_leaf_bias = np.zeros_like(self.leaf_out), np.zeros_like(self.leaf_bias)
-        order = np.argsort(group.astype(np.uint8), kind="stable")
-        bounds = np.searchsorted(group[order], np.arange(GROUPS + 1)).tolist()
-        by_group, rest, w, more = z[order], rest[order], w[order], np.empty_like(z)
-        for c in np.flatnonzero(np.diff(bounds)).tolist():
-            own = slice(bounds[c], bounds[c + 1])
-            p = by_group[own] @ self.leaf_out[c]
-            p += self.leaf_bias[c]
+            np.matmul(p, self.out.T, out=g_z[own])
+            kept.append((own, h, q, k, v, a, seen))
+        leaf_out = np.concatenate([self.leaf_out, self.leaf_bias[:, None]], axis=1)
+        g_leaf_out = np.zeros_like(leaf_out)
+        order, blocks = _by_group(group)
+        by_group, more = z.take(order, 0, out=room("by_group", *z.shape), mode="clip"), room("more", *g_z.shape)
+        rest, w = rest[order], w[order]
+        for begin, end, met in blocks:
+            own = slice(begin, end)
+            p = room("p", end - begin, GROUPS)
+            for g, part in met:
+                np.matmul(by_group[own][part], leaf_out[g], out=p[part])
             loss += softmax(p, rest[own], w[own])
-            np.matmul(by_group[own].T, p, out=g_leaf_out[c])
-            np.sum(p, axis=0, out=g_leaf_bias[c])
-            np.matmul(p, self.leaf_out[c].T, out=more[own])
-        g_z[order] += more
-        g_h, g_wq, g_wk, g_wv = np.empty((len(x), WINDOW, d), np.float32), *(np.zeros_like(m) for m in (wq, wk, wv))
-        for k0, (own, h, late, q, k, v, a, seen) in enumerate(kept):
-            n, g = len(h), g_z[own]
-            g_v = (a.transpose(0, 2, 1) @ g.reshape(n, STRIDE, d)).reshape(-1, d)
-            g_s = g.reshape(n, STRIDE, d) @ v.transpose(0, 2, 1)
-            g_s -= np.einsum("ij,ij->i", g, seen).reshape(n, STRIDE, 1)  # the mean of g_s under a
+            for g, part in met:
+                np.matmul(by_group[own][part].T, p[part], out=g_leaf_out[g])
+                np.matmul(p[part], self.leaf_out[g].T, out=more[own][part])
+        back = np.empty_like(order)
+        back[order] = rows
+        g_z += more.take(back, 0, out=room("z", *more.shape), mode="clip")
+        g_h, g_qkv = room("g_h", len(x), WINDOW, d), np.zeros_like(qkv)
+        for k0, (own, h, q, k, v, a, seen) in enumerate(kept):
+            n = len(h)
+            g = g_z[own].reshape(n, STRIDE, d)
+            g_s = np.matmul(g, v.transpose(0, 2, 1), out=room("g_s", n, STRIDE, WINDOW))
+            g_s -= np.einsum("ijk,ijk->ij", g, seen)[:, :, None]  # the mean of g_s under a
             g_s *= a
-            g_q = (g_s @ k).reshape(-1, d)
-            g_q *= scale
-            g_k = (g_s.transpose(0, 2, 1) @ q).reshape(-1, d)  # q has the scale
-            flat = h.reshape(-1, d)
-            g_wq += late.T @ g_q
-            g_wk += flat.T @ g_k
-            g_wv += flat.T @ g_v
-            made = g_h[k0 * PART : k0 * PART + n]
-            made[:] = (g_k @ wk.T + g_v @ wv.T).reshape(n, WINDOW, d)
-            made[:, LEAD:] += (g_q @ wq.T + g).reshape(n, STRIDE, d)
-        g_embed = np.zeros_like(self.embed)
-        seen = x.ravel().astype(np.int16)
+            t = room("g_qkv", n, WINDOW, 3 * d)
+            t[:, :LEAD, :d] = 0
+            np.matmul(g_s, k, out=t[:, LEAD:, :d])
+            np.matmul(g_s.transpose(0, 2, 1), q, out=t[:, :, d : 2 * d])
+            np.matmul(a.transpose(0, 2, 1), g, out=t[:, :, 2 * d :])
+            flat, made = t.reshape(-1, 3 * d), g_h[k0 * PART : k0 * PART + n]
+            g_qkv += h.reshape(-1, d).T @ flat
+            np.matmul(flat, qkv.T, out=made.reshape(-1, d))
+            made[:, LEAD:] += g
+        g_qkv[:, :d] *= scale
+        g_embed, seen = np.zeros_like(self.embed), x.ravel().astype(np.int16)
         order = np.argsort(seen, kind="stable")
         heads = np.flatnonzero(np.diff(seen[order], prepend=-1))
-        g_embed[seen[order[heads]]] = np.add.reduceat(g_h.reshape(-1, d)[order], heads)
-        return loss, [g_embed, g_h.sum(0), np.concatenate([g_wq, g_wk, g_wv], axis=1), g_out, g_bias, g_leaf_out, g_leaf_bias]
+        g_embed[seen[order[heads]]] = np.add.reduceat(g_h.reshape(-1, d).take(order, 0, out=room("g_h in order", len(order), d), mode="clip"), heads)
+        return loss, [g_embed, g_h.sum(0), g_qkv, g_out[:d], g_out[d], g_leaf_out[:, :d], g_leaf_out[:, d]]
 
     def scorer(self):
         """A function of (x, y) that gives the natural log of the chance of each leaf of y [n, STRIDE].
@@ -214,7 +244,8 @@ class Attention:
         kv = (self.embed @ self.qkv[:, d:]).astype(np.float32), (self.place @ self.qkv[:, d:]).astype(np.float32)
         qh = np.concatenate([self.embed @ self.qkv[:, :d] * scale, self.embed], axis=1), np.concatenate([self.place @ self.qkv[:, :d] * scale, self.place], axis=1)[LEAD:]
 
-        ones, some = np.ones(GROUPS, np.float32), 64
+        ones, room = np.ones(GROUPS, np.float32), self.room
+        group_out, leaf_out = np.concatenate([self.out, self.bias[None]]), np.concatenate([self.leaf_out, self.leaf_bias[:, None]], axis=1)
 
         def log_chance(p: np.ndarray, target: np.ndarray) -> np.ndarray:
             np.minimum(p, 80, out=p)
@@ -222,28 +253,37 @@ class Attention:
             np.exp(p, out=p)
             return own - np.log(p @ ones)
 
-        def hidden(x: np.ndarray) -> np.ndarray:
+        def hidden(x: np.ndarray, z: np.ndarray) -> None:
+            """Fills ``z`` [n, STRIDE, d]."""
             n = len(x)
-            left = kv[0][x] + kv[1]
-            right = qh[0][x[:, LEAD:]] + qh[1]
-            a = right[:, :, :d] @ left[:, :, :d].transpose(0, 2, 1)
+            left = kv[0].take(x, 0, out=room("left", n, WINDOW, 2 * d), mode="clip")
+            left += kv[1]
+            right = qh[0].take(x[:, LEAD:], 0, out=room("right", n, STRIDE, 2 * d), mode="clip")
+            right += qh[1]
+            a = np.matmul(right[:, :, :d], left[:, :, :d].transpose(0, 2, 1), out=room("a", n, STRIDE, WINDOW))
             np.clip(a, -80, 80, out=a)
             np.exp(a, out=a)
             a *= CAUSAL
-            z = a @ left[:, :, d:]
-            z /= (a @ ONES).reshape(n, STRIDE, 1)
-            z += right[:, :, d:]
-            return z.reshape(n * STRIDE, d)
+            seen = np.matmul(a, left[:, :, d:], out=room("seen", n, STRIDE, d))
+            seen /= (a @ ONES)[:, :, None]
+            np.add(seen, right[:, :, d:], out=z)
 
         def score(x: np.ndarray, y: np.ndarray) -> np.ndarray:
             group, rest = np.divmod(y.ravel(), GROUPS)
-            z, out = np.empty((len(group), d), np.float32), np.empty(len(group), np.float32)
-            for k in range(0, len(x), some):  # so few windows stay in the processor's cache
-                own = slice(k * STRIDE, (k + some) * STRIDE)
-                z[own] = hidden(x[k : k + some])
-                out[own] = log_chance(z[own] @ self.out + self.bias, group[own])
-            for c, own in _by_group(group):
-                out[own] += log_chance(z[own] @ self.leaf_out[c] + self.leaf_bias[c], rest[own])
+            z, out = room("z", len(group), d + 1), np.empty(len(group), np.float32)
+            z[:, d] = 1  # meets the biases
+            for k in range(0, len(x), PART):  # so few windows stay in the processor's cache
+                own = slice(k * STRIDE, (k + PART) * STRIDE)
+                hidden(x[k : k + PART], z[own].reshape(-1, STRIDE, d + 1)[:, :, :d])
+                out[own] = log_chance(np.matmul(z[own], group_out, out=room("p", len(group[own]), GROUPS)), group[own])
+            order, blocks = _by_group(group)
+            z, rest = z.take(order, 0, out=room("by_group", *z.shape), mode="clip"), rest[order]
+            for begin, end, met in blocks:
+                own = slice(begin, end)
+                p = room("p", end - begin, GROUPS)
+                for g, part in met:
+                    np.matmul(z[own][part], leaf_out[g], out=p[part])
+                out[order[own]] += log_chance(p, rest[own])
             return out
 
         return score
@@ -268,16 +308,26 @@ class Trainer:
 
     def __init__(self, model: Attention, rate: float):
         self.model, self.rate, self.steps = model, rate, 0
-        self.m, self.s = [np.zeros_like(p) for p in model.parts()], [np.zeros_like(p) for p in model.parts()]
+        self.m, self.s, self.room = [np.zeros_like(p) for p in model.parts()], [np.zeros_like(p) for p in model.parts()], Room()
 
     def step(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
         self.steps += 1
         loss, grads = self.model.gradients(x, y, weight)
         rate = self.rate * min(1.0, self.steps / 10)
         for p, g, m, s in zip(self.model.parts(), grads, self.m, self.s):
-            m += 0.1 * (g - m)
-            s += 0.01 * (g * g - s)
-            p -= (rate / (1 - 0.9**self.steps)) * m / (np.sqrt(s / (1 - 0.99**self.steps)) + 1e-8)
+            t = np.subtract(g, m, out=self.room("t", *g.shape))
+            t *= 0.1
+            m += t
+            np.multiply(g, g, out=t)
+            t -= s
+            t *= 0.01
+            s += t
+            np.divide(s, 1 - 0.99**self.steps, out=t)
+            np.sqrt(t, out=t)
+            t += 1e-8
+            np.divide(m, t, out=t)
+            t *= rate / (1 - 0.9**self.steps)
+            p -= t
         return loss
 
 
@@ -350,43 +400,71 @@ class Model:
 # --- training and scoring over tables ---------------------------------------------------------------------------------
 
 
-def spelled(texts: list[str | None], enc) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
-    """The words of some texts, and all texts' ids with each one's bounds."""
-    words = [words_of(t) for t in texts]
-    return words, *enc.encode_batch([b" ".join(w).decode("utf-8", "replace") for w in words])
-
-
 def id_kind(size: int) -> type:
     return np.uint16 if size <= 1 << 16 else np.int32
 
 
+class Speller:
+    """The words of texts and their ids. Those of ``known`` words are at hand, and a task remembers up to MET others."""
+
+    def __init__(self, known: list[str], proto: bytes):
+        self.known, self.proto = [w.encode() for w in known], proto
+        self.ids, self.bounds = encoder(proto).encode_batch(known)
+
+    def reader(self):
+        """A function of texts that gives the words one after the other, the texts' bounds in them, each word's place in
+        ``known`` (-1: none), and each text's ids.
+        """
+        enc, mark = encoder(self.proto), SPACE.encode()
+        kind = id_kind(enc.sp.get_piece_size())
+        place: dict[bytes, int] = {}
+        pool, starts = self.ids.astype(kind), self.bounds
+
+        def read(texts: list[str | None]) -> tuple[list[bytes], np.ndarray, np.ndarray, list[np.ndarray]]:
+            nonlocal place, pool, starts
+            parts = [words_of(t) for t in texts]
+            words = list(chain.from_iterable(parts))
+            bounds = np.concatenate(([0], np.cumsum([len(w) for w in parts], dtype=np.int64)))
+            if not place or len(place) > len(self.known) + MET:
+                place, pool, starts = {w: k for k, w in enumerate(self.known)}, self.ids.astype(kind), self.bounds
+            at = np.fromiter(map(place.get, words, repeat(-1)), np.int64, len(words))
+            other = np.flatnonzero(at < 0)
+            others = [words[k] for k in other.tolist()]
+            new = list(dict.fromkeys(w for w in others if mark not in w))
+            ids, ends = enc.encode_words([w.decode("utf-8", "replace") for w in new])
+            place |= zip(new, range(len(place), len(place) + len(new)))
+            pool, starts = np.concatenate([pool, ids.astype(kind)]), np.concatenate([starts, ends[1:] + len(pool)])
+            at[other] = np.fromiter(map(place.get, others, repeat(len(place))), np.int64, len(others))
+            sizes = np.append(np.diff(starts), 0)[at]  # none of a word that has the mark of a space in it
+            own, ends = pool[ranges(starts[at], sizes)], np.concatenate(([0], np.cumsum(sizes)))[bounds]
+            found = [own[s:e] for s, e in zip(ends[:-1], ends[1:])]
+            for k, t in enumerate(texts):
+                if t and SPACE in t:  # ids can span words
+                    found[k] = enc.encode_batch([b" ".join(parts[k]).decode("utf-8", "replace")])[0].astype(kind)
+            return words, bounds, np.where(at < len(self.known), at, -1), found
+
+        return read
+
+
 def encoded(docs: DataFrame, proto: bytes, known: dict[str, float], end_base: float) -> DataFrame:
     """Each row's number, id (as text, which keeps nulls and large numbers whole), tokens, the base score of its ``known``
     words and end and their number, its other words, and its ids.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(known)  # KNOWN_WORDS words: bounded
+    shared = docs.sparkSession.sparkContext.broadcast((Speller(list(known), proto), np.array(list(known.values()))))  # KNOWN_WORDS words: bounded
     schema = "row long, doc_id string, held_out boolean, round int, n_tokens long, n_known long, base double, tail string, ids binary"
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        class Places(dict):
-            def __missing__(self, word):
-                return -1
-
-        enc, place = encoder(proto), Places((w.encode(), k) for k, w in enumerate(shared.value))
-        logs = np.fromiter(shared.value.values(), np.float64, len(shared.value))
-        end = enc.sp.get_piece_size()
-        kind = id_kind(end)
+        speller, logs = shared.value
+        read = speller.reader()
         for b in batches:
-            words, ids, bounds = spelled(list(b["text"]), enc)
-            tails, known, base, own = [], [], [], []
-            for w, s, e in zip(words, bounds[:-1], bounds[1:]):
-                at = np.fromiter(map(place.__getitem__, w), np.int64, len(w))
-                there = at >= 0
-                known.append(1 + int(there.sum()))
-                base.append(end_base + float(logs[at[there]].sum()))
-                tails.append(b"\n".join([w[i] for i in np.flatnonzero(~there).tolist()]).decode("utf-8", "replace"))
-                own.append(ids[s:e].astype(kind).tobytes())
-            yield pd.DataFrame({"row": b["row"], "doc_id": b["doc_id"], "held_out": b["held_out"], "round": b["round"], "n_tokens": [len(w) + 1 for w in words], "n_known": known, "base": base, "tail": tails, "ids": own})
+            words, bounds, at, ids = read(list(b["text"]))
+            there, owner = at >= 0, np.repeat(np.arange(len(b)), np.diff(bounds))
+            known = 1 + np.bincount(owner[there], minlength=len(b))
+            base = end_base + np.bincount(owner[there], logs[at[there]], len(b))
+            others = [words[k] for k in np.flatnonzero(~there).tolist()]
+            ends = np.concatenate(([0], np.cumsum(~there)))[bounds].tolist()
+            tails = [b"\n".join(others[s:e]).decode("utf-8", "replace") for s, e in zip(ends[:-1], ends[1:])]
+            yield pd.DataFrame({"row": b["row"], "doc_id": b["doc_id"], "held_out": b["held_out"], "round": b["round"], "n_tokens": np.diff(bounds) + 1, "n_known": known, "base": base, "tail": tails, "ids": [i.tobytes() for i in ids]})
 
     number = F.monotonically_increasing_id()
     numbered = docs.select(number.alias("row"), F.col("doc_id").cast("string").alias("doc_id"), (crc_remainder("doc_id", MODULUS) == HELD_OUT).alias("held_out"), "text")
@@ -405,7 +483,7 @@ def statistics(counts: DataFrame, proto: bytes, n_docs: int) -> tuple[np.ndarray
 
         def add(words: list[str], times: np.ndarray) -> None:
             nonlocal count
-            ids, bounds = enc.encode_batch(words)
+            ids, bounds = enc.encode_words(words)
             c = np.repeat(times.astype(np.float64), np.diff(bounds))
             if not len(ids):
                 return

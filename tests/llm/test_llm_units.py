@@ -407,6 +407,44 @@ def test_attention_gradients_in_parts(monkeypatch):
         assert np.allclose(a, b, atol=1e-6)
 
 
+def test_attention_uses_its_memory_again(monkeypatch):
+    """Steps of one size take no new arrays for their work, and what a call gave stays as it was."""
+    m = small_attention(monkeypatch)
+    rng = np.random.default_rng(5)
+    x, y = rng.integers(0, 17, (2, 70, lm.WINDOW)), rng.integers(0, 16, (2, 70, lm.STRIDE))
+    w = np.ones((70, lm.STRIDE), np.float32)
+    score = m.scorer()
+    first, chances = m.gradients(x[0], y[0], w), score(x[0], y[0])
+    kept, copies, own = {k: id(v) for k, v in m.room.items()}, [g.copy() for g in first[1]], chances.copy()
+    m.gradients(x[1], y[1], w)
+    score(x[1], y[1])
+    assert kept and kept == {k: id(v) for k, v in m.room.items()}
+    assert all(np.array_equal(a, b) for a, b in zip(first[1], copies)) and np.array_equal(chances, own)
+    again = m.gradients(x[0], y[0], w)
+    assert first[0] == again[0] and all(np.array_equal(a, b) for a, b in zip(copies, again[1])) and np.array_equal(own, score(x[0], y[0]))
+    assert np.isclose(-chances.mean(), first[0], rtol=1e-5)
+
+
+def test_ids_of_words_are_those_of_texts(monkeypatch):
+    """Looked up, remembered or encoded, words give the ids of their whole text, also where a mark of a space stands in it."""
+    proto = spm.model_bytes(spm.model_path())
+    enc = pieces.encoder(proto)
+    texts = ["The cat sat", "▁ a ▁▁b c▁ d", None, "", " \n ", "a　b 　 The", "x" * 3000 + " \x00y 😀😀 cat cat", "▁", "sat b▁ The", "newer older newer"]
+    for met in (lm.MET, 2):
+        monkeypatch.setattr(lm, "MET", met)
+        for known in ([], ["the", "cat", "▁", "b▁"]):
+            read = lm.Speller(known, proto).reader()
+            for _ in range(3):
+                words, bounds, at, ids = read(texts)
+                for k, t in enumerate(texts):
+                    own = common.words_of(t)
+                    assert words[bounds[k] : bounds[k + 1]] == own
+                    assert ids[k].tolist() == enc.encode(b" ".join(own).decode())
+                    assert at[bounds[k] : bounds[k + 1]].tolist() == [known.index(w.decode()) if w.decode() in known else -1 for w in own]
+    for words in ([], ["a"], ["cat", "▁x"], ["a　", "b"], ["one", "", "two"], ["dog"] * 3):
+        assert [x.tolist() for x in enc.encode_words(words)] == [x.tolist() for x in enc.encode_batch(words)]
+
+
 def plain_score(model, ids):
     """log10 of a sequence's probability by a forward pass of its own for each token, in double precision."""
     a, end, groups = model.attention, len(model.leaf) - 1, lm.GROUPS
