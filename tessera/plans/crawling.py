@@ -89,9 +89,12 @@ def title_from_url(spark, sf_dir):
 
 
 def thin_pages(spark, sf_dir):
+    """Each text as a page: under a heading, below a menu for even ids; and bare, where only a heading of its own counts."""
     d = read(spark, sf_dir, "documents")
-    marked = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("menu\n# "), "text")).otherwise(F.col("text"))
-    return d.select("doc_id", markdown.is_thin(marked).alias("thin"), F.length(markdown.main_markdown(marked)).cast("long").alias("n_chars"))
+    page = F.concat(F.when(F.col("doc_id") % 2 == 0, "menu\n# ").otherwise("# "), "text")
+    known = lambda c: F.when(F.col("text").isNotNull(), c)
+    measured = lambda t, thin, n: (known(markdown.is_thin(t)).alias(thin), known(F.length(markdown.main_markdown(t))).cast("long").alias(n))
+    return d.select("doc_id", *measured(page, "thin", "n_chars"), *measured(F.col("text"), "bare_thin", "bare_chars"))
 
 
 def front_lines(spark, sf_dir):
@@ -282,8 +285,8 @@ select doc_id, place, 'https://docs.example.com/docs/' || array_to_string(case w
     "html_title": "select page_id, regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '^\\s+|\\s+$', '', 'g') title from pages",
     "title_from_url": """with t as (select page_id, regexp_replace(url, '[?#].*$', '') u, url from pages), s as (select page_id, left(trim(translate(string_split(rtrim(u, '/'), '/')[-1], '-_', '  ')), 40) title, left(trim(translate(string_split(rtrim(url, '/'), '/')[-1], '-_', '  ')), 40) whole from t)
 select page_id, title, case when page_id % 2 = 0 then case when whole = '' then 'Untitled' else whole end else 'T' || page_id end normal from s""",
-    "thin_pages": """with m as (select doc_id, case when doc_id % 2 = 0 then 'menu' || chr(10) || '# ' || text else text end t from documents), b as (select doc_id, regexp_replace(regexp_extract(t, '(?ms)^# .*'), '^\\s+|\\s+$', '', 'g') s from m)
-select doc_id, length(regexp_replace(s, '\\s+', '', 'g')) < 120 thin, length(s) n_chars from b""",
+    "thin_pages": """with m as (select doc_id, case when doc_id % 2 = 0 then 'menu' || chr(10) else '' end || '# ' || text t, text from documents), b as (select doc_id, regexp_replace(regexp_extract(t, '(?ms)^# .*'), '^\\s+|\\s+$', '', 'g') s, regexp_replace(regexp_extract(text, '(?ms)^# .*'), '^\\s+|\\s+$', '', 'g') bare from m)
+select doc_id, length(regexp_replace(s, '\\s+', '', 'g')) < 120 thin, length(s) n_chars, length(regexp_replace(bare, '\\s+', '', 'g')) < 120 bare_thin, length(bare) bare_chars from b""",
     "front_lines": "select doc_id, 'https://docs.example.com/' || source source_url, 'T' || doc_id title, case when doc_id % 3 = 0 then 'guide' else 'doc' end data_type, 'doc-' || left(sha1('https://docs.example.com/' || source), 12) docid from documents",
     "docid_build": "select page_id, 'doc-' || left(sha1(case when page_id % 2 = 0 or page_id % 3 = 0 then url else 'p' || page_id end), 12) docid from pages",
     "docid_eval": "select doc_id, case when doc_id % 5 = 0 then 'given-' || doc_id else 'doc_' || left(sha1(trim(regexp_replace(source, '\\s+', ' ', 'g')) || '|' || doc_id || '|' || trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))), 16) end docid from documents",
